@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from proofline.llm import mixing, quality_rules
+from proofline.llm import byte_bpe, mixing, quality_rules, tiff
 
 
 def queries() -> dict:
     return {
         "op4_quality_rules": quality_rules.query,
+        "op5_byte_bpe": byte_bpe.query,
+        "op6_tiff": tiff.query,
         "op7_source_mixing": mixing.query,
     }
 
