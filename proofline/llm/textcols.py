@@ -37,12 +37,12 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Row ranges of a column of at most ``limit`` bytes, or one row: (first, last + 1, bytes, offsets)."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES, rows_limit: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row ranges of a column of at most ``limit`` bytes and ``rows_limit`` rows, or one row: (first, last + 1, bytes, offsets)."""
     data, at = flat(column)
     first, rows = 0, len(at) - 1
     while first < rows:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + limit, side="right")) - 1)
+        last = max(first + 1, min(first + rows_limit, int(np.searchsorted(at, at[first] + limit, side="right")) - 1))
         yield first, last, data[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
 
