@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +58,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, so that functions of its modules run there; once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_proofline_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="proofline-zip-")) / "proofline.zip"
+    with zipfile.ZipFile(at, "w") as archive:
+        for file in sorted(here.rglob("*.py")):
+            archive.write(file, Path(here.name) / file.relative_to(here))
+    context.addPyFile(str(at))
+    context._proofline_shipped = True
