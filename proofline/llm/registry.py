@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-from proofline.llm import byte_bpe, mixing, quality_rules, tiff
+from proofline.llm import byte_bpe, mixing, neighbour_quality, quality_rules, tiff, toxicity
+from proofline.session import ship
+
+
+def _shipped(query):
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {
+    found = {
+        "op1_neighbour_quality": neighbour_quality.query,
+        "op2_toxicity": toxicity.query,
         "op4_quality_rules": quality_rules.query,
         "op5_byte_bpe": byte_bpe.query,
         "op6_tiff": tiff.query,
         "op7_source_mixing": mixing.query,
     }
+    return {name: _shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

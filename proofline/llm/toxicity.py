@@ -1,11 +1,12 @@
 """Toxicity by maximum-scoring segments.
 
-A token's score is its log-odds between toxic and clean documents under an informative Dirichlet prior, where it is
-significant, less a small drift for every token. The maximal scoring segments of a document are found in one linear
+A term is a token or the leading bytes of one (inflected and compound words share those). Its score is its log-odds
+between toxic and clean documents under an informative Dirichlet prior, where that is significant; a token takes the
+highest score among its terms, less a small drift. The maximal scoring segments of a document are found in one linear
 scan; their scores are judged by extreme-value statistics (how high such segments get by chance in that many clean
 tokens), summed over a document's best segments, and the evidence is mapped to a probability on the training sample.
 
-Training takes at most ``MAX_LABELLED`` labelled documents and keeps at most ``MAX_TERMS`` scored tokens (the most
+Training takes at most ``MAX_LABELLED`` labelled documents and keeps at most ``MAX_TERMS`` scored terms (the most
 significant ones); those bounds limit what reaches the driver and what is broadcast.
 
 Defined cases: null and empty texts have no segments and get the score of a document without evidence; without any
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 
 from proofline.llm.labelled import held_out, training_sample
 from proofline.llm.textcols import RollingHash, lowered, slices
+from proofline.session import cut
 
 MAX_LABELLED = 20_000
 MAX_TERMS = 50_000
@@ -51,9 +53,23 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return RollingHash(low).of(starts, ends), starts, ends, np.searchsorted(starts, at)
 
 
+#: Lengths in bytes of the leading parts that count as terms of longer tokens.
+STEMS = (4, 5, 6, 7)
+
+
+def terms_of(data: np.ndarray, at: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens with their terms: ([(fingerprints, tokens that have one), whole tokens first], starts, ends, first of each document)."""
+    prints, starts, ends, edges = tokens(data, at)
+    rolling, kinds = RollingHash(lowered(data)), [(prints, np.arange(len(prints)))]
+    for k in STEMS:
+        longer = np.flatnonzero(ends - starts > k)
+        kinds.append((rolling.of(starts[longer], starts[longer] + k) ^ np.uint64(k), longer))
+    return kinds, starts, ends, edges
+
+
 @dataclass(frozen=True)
 class Model:
-    """Scored tokens (sorted fingerprints), extreme-value parameters and the final logistic map."""
+    """Scored terms (sorted fingerprints), extreme-value parameters and the final logistic map."""
 
     terms: np.ndarray
     scores: np.ndarray
@@ -67,30 +83,30 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         label = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False)
         for first, last, data, at in slices(batch.column(batch.schema.get_field_index("text"))):
-            prints, _, _, edges = tokens(data, at)
+            kinds, _, _, edges = terms_of(data, at)
             own = np.repeat(label[first:last], np.diff(edges))
-            terms, back = np.unique(prints, return_inverse=True)
-            toxic = np.bincount(back, weights=own, minlength=len(terms)).astype(np.int64)
-            every = np.bincount(back, minlength=len(terms)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(toxic), pa.array(every - toxic)], ["term", "toxic", "clean"])
+            for k, (prints, of) in enumerate(kinds):
+                terms, back = np.unique(prints, return_inverse=True)
+                toxic = np.bincount(back, weights=own[of], minlength=len(terms)).astype(np.int64)
+                every = np.bincount(back, minlength=len(terms)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(np.full(len(terms), k == 0)), pa.array(toxic), pa.array(every - toxic)], ["term", "whole", "toxic", "clean"])
 
 
-def _terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
-    """The most significant tokens: (fingerprints, scores, clean probability, tokens in clean documents, in toxic ones)."""
-    counts = sample.select("text", "label").mapInArrow(_counted, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    counts = counts.where("t + c >= 3")
-    totals = sample.select("text", "label").mapInArrow(_counted, "term long, toxic long, clean long").agg(F.sum("toxic"), F.sum("clean")).first()
+def _terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most significant terms: (sorted fingerprints, scores, probability in clean text)."""
+    counts = cut(sample.select("text", "label").mapInArrow(_counted, "term long, whole boolean, toxic long, clean long").groupBy("term", "whole").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")), "toxic-terms")
+    totals = counts.where("whole").agg(F.sum("t"), F.sum("c")).first()
     n_t, n_c = float(totals[0] or 0), float(totals[1] or 0)
     none = np.zeros(0)
     if not n_t or not n_c:
-        return none.astype(np.uint64), none, none, n_c, n_t
+        return none.astype(np.uint64), none, none
     prior = (F.col("t") + F.col("c")) * F.lit(PRIOR / (n_t + n_c))
     odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(n + PRIOR) - F.col(y) - prior))
-    scored = counts.select("term", "c", (odds("t", n_t) - odds("c", n_c)).alias("s"), F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior)).alias("e"), prior.alias("p"))
-    best = scored.where(F.abs(F.col("s") / F.col("e")) >= LEAST_Z).orderBy(F.abs(F.col("s") / F.col("e")).desc(), "term").limit(MAX_TERMS).toPandas()
+    rated = counts.where("t + c >= 3").select("term", "c", (odds("t", n_t) - odds("c", n_c)).alias("s"), F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior)).alias("e"), prior.alias("p"))
+    best = rated.where(F.abs(F.col("s") / F.col("e")) >= LEAST_Z).orderBy(F.abs(F.col("s") / F.col("e")).desc(), "term").limit(MAX_TERMS).toPandas()
     term = best["term"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(term)
-    return term[order], best["s"].to_numpy(float)[order], ((best["c"] + best["p"]) / (n_c + PRIOR)).to_numpy(float)[order], n_c, n_t
+    return term[order], best["s"].to_numpy(float)[order], ((best["c"] + best["p"]) / (n_c + PRIOR)).to_numpy(float)[order]
 
 
 def _rate(scores: np.ndarray, share: np.ndarray) -> float:
@@ -153,13 +169,16 @@ def evidence(best: list[float], n: int, rate: float, density: float) -> float:
 
 def _scan(model: Model, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, list[tuple[float, int, int]]]]:
     """Tokens and segments (score, first byte, end byte) of each document of a slice."""
-    prints, starts, ends, edges = tokens(data, at)
-    if len(model.terms):
+    kinds, starts, ends, edges = terms_of(data, at)
+    best = np.zeros(len(starts))
+    for prints, of in kinds if len(model.terms) else ():
         near = np.minimum(np.searchsorted(model.terms, prints), len(model.terms) - 1)
         hit = np.flatnonzero(model.terms[near] == prints)
-    else:
-        near, hit = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    score = model.scores[near[hit]] if len(hit) else np.zeros(0)
+        value, place = model.scores[near[hit]], of[hit]
+        # whole tokens come first and may lower a score; their leading parts only raise it
+        best[place] = value if of is kinds[0][1] else np.maximum(best[place], value)
+    hit = np.flatnonzero(best)
+    score = best[hit]
     of = np.searchsorted(hit, edges)
     above = np.concatenate([[0], np.cumsum(score > 0)])[of]
     for d in range(len(at) - 1):
@@ -206,7 +225,7 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, floa
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_LABELLED) -> Model:
     """A model from the labelled training documents."""
     sample = training_sample(docs, labels, label, limit)
-    terms, scores, share, n_c, _ = _terms(sample)
+    terms, scores, share = _terms(sample)
     net = scores - DRIFT
     rate = _rate(net, share)
     spark = docs.sparkSession
