@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proofline.llm.labelled import held_out, training_sample
-from proofline.llm.textcols import RollingHash, lowered, slices
+from proofline.llm.textcols import RollingHash, lowered, rows_of, slices
 from proofline.session import cut
 
 MAX_LABELLED = 20_000
 MAX_TERMS = 50_000
-#: Tokens' worth of prior; the least |z| of a scored token; what each token costs; segments summed at most.
-PRIOR, LEAST_Z, DRIFT, BEST = 1_000.0, 3.0, 0.05, 12
+#: The prior's weight as a share of all counts; the least |z| of a scored token; what each token costs; segments summed at most.
+PRIOR, LEAST_Z, DRIFT, BEST = 0.1, 3.0, 0.02, 12
+#: Log-odds below which a term is no evidence on its own, for either class.
+LEAST_SCORE = 1.5
 
 _PART = np.zeros(256, dtype=bool)
 _PART[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -84,10 +86,15 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False)
         for first, last, data, at in slices(batch.column(batch.schema.get_field_index("text"))):
             kinds, _, _, edges = terms_of(data, at)
-            own = np.repeat(label[first:last], np.diff(edges))
+            doc, toxic_doc = rows_of(edges), label[first:last].astype(bool)
             for k, (prints, of) in enumerate(kinds):
-                terms, back = np.unique(prints, return_inverse=True)
-                toxic = np.bincount(back, weights=own[of], minlength=len(terms)).astype(np.int64)
+                # a document counts a term once, so that loops and refrains don't pass for evidence
+                order = np.lexsort((doc[of], prints))
+                term, own = prints[order], doc[of][order]
+                once = np.ones(len(term), dtype=bool)
+                once[1:] = (term[1:] != term[:-1]) | (own[1:] != own[:-1])
+                terms, back = np.unique(term[once], return_inverse=True)
+                toxic = np.bincount(back, weights=toxic_doc[own[once]], minlength=len(terms)).astype(np.int64)
                 every = np.bincount(back, minlength=len(terms)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(np.full(len(terms), k == 0)), pa.array(toxic), pa.array(every - toxic)], ["term", "whole", "toxic", "clean"])
 
@@ -100,13 +107,14 @@ def _terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0)
     if not n_t or not n_c:
         return none.astype(np.uint64), none, none
-    prior = (F.col("t") + F.col("c")) * F.lit(PRIOR / (n_t + n_c))
-    odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(n + PRIOR) - F.col(y) - prior))
+    weight = PRIOR * (n_t + n_c)
+    prior = (F.col("t") + F.col("c")) * F.lit(PRIOR)
+    odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(n + weight) - F.col(y) - prior))
     rated = counts.where("t + c >= 3").select("term", "c", (odds("t", n_t) - odds("c", n_c)).alias("s"), F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior)).alias("e"), prior.alias("p"))
-    best = rated.where(F.abs(F.col("s") / F.col("e")) >= LEAST_Z).orderBy(F.abs(F.col("s") / F.col("e")).desc(), "term").limit(MAX_TERMS).toPandas()
+    best = rated.where((F.abs(F.col("s") / F.col("e")) >= LEAST_Z) & (F.abs("s") >= LEAST_SCORE)).orderBy(F.abs(F.col("s") / F.col("e")).desc(), "term").limit(MAX_TERMS).toPandas()
     term = best["term"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(term)
-    return term[order], best["s"].to_numpy(float)[order], ((best["c"] + best["p"]) / (n_c + PRIOR)).to_numpy(float)[order]
+    return term[order], best["s"].to_numpy(float)[order], ((best["c"] + best["p"]) / (n_c + weight)).to_numpy(float)[order]
 
 
 def _rate(scores: np.ndarray, share: np.ndarray) -> float:
@@ -224,7 +232,7 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, floa
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_LABELLED) -> Model:
     """A model from the labelled training documents."""
-    sample = training_sample(docs, labels, label, limit)
+    sample = training_sample(docs, labels, label, limit).dropDuplicates(["text"])
     terms, scores, share = _terms(sample)
     net = scores - DRIFT
     rate = _rate(net, share)
