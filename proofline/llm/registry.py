@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proofline.llm import byte_bpe, mixing, neighbour_quality, quality_rules, tiff, toxicity
+from proofline.llm import byte_bpe, html_extract, mixing, neighbour_quality, ngram_join, quality_rules, tiff, toxicity
 from proofline.session import ship
 
 
@@ -18,10 +18,12 @@ def queries() -> dict:
     found = {
         "op1_neighbour_quality": neighbour_quality.query,
         "op2_toxicity": toxicity.query,
+        "op3_ngram_join": ngram_join.query,
         "op4_quality_rules": quality_rules.query,
         "op5_byte_bpe": byte_bpe.query,
         "op6_tiff": tiff.query,
         "op7_source_mixing": mixing.query,
+        "op10_html_extract": html_extract.query,
     }
     return {name: _shipped(query) for name, query in found.items()}
 
