@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proofline.llm import byte_bpe, html_extract, mixing, neighbour_quality, ngram_join, quality_rules, tiff, toxicity
+from proofline.llm import byte_bpe, html_extract, mixing, neighbour_quality, ngram_join, quality_rules, suffix_dedup, tiff, toxicity
 from proofline.session import ship
 
 
@@ -23,6 +23,7 @@ def queries() -> dict:
         "op5_byte_bpe": byte_bpe.query,
         "op6_tiff": tiff.query,
         "op7_source_mixing": mixing.query,
+        "op8_suffix_dedup": suffix_dedup.query,
         "op10_html_extract": html_extract.query,
     }
     return {name: _shipped(query) for name, query in found.items()}
