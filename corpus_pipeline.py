@@ -1 +1,70 @@
-STAGES = []
+"""A training-data pipeline over ``documents``: rules, near duplicates, repeated strings, mixture, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written and read again as the next
+one's documents. All but the last return the columns they got. Empty tables pass through; extra columns stay.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from proofline.llm import byte_bpe, mixing, ngram_join, quality_rules, suffix_dedup
+from proofline.session import cut, ship
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the current policy of the quality rules keeps."""
+    bare = quality_rules.ledger(docs.select(F.struct(*docs.columns).alias("_row"), "text"))
+    return quality_rules.apply_policy(bare).where("kept").select("_row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document, by id, of each component of similar texts; of rows that share an id, the first by text."""
+    ship(spark)
+    found = cut(ngram_join.similar(docs), "pipeline-components")
+    first = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_first")).distinct()
+    one = Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("_first")), "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings they repeat. Where a cut splits a character, its remaining bytes go too."""
+    ship(spark)
+    kept = suffix_dedup.dedup(docs)
+    raw = F.col("kept").cast("string")
+    text = F.when(F.col("n_removed") == 0, raw).when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("�"), F.lit("")))
+    columns = [text.alias("text") if c == "text" else F.length(text).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
+    return kept.select(*columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of sources takes it."""
+    mixed = mixing.mix(docs.withColumn("_size", mixing.n_words(F.col("text"))), size="_size")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).where("copies > 0").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with digests of the ids and of what they decode to."""
+    ship(spark)
+    return byte_bpe.digest(docs, byte_bpe.vocabulary(), ids=True)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("ngram_join", near_duplicates),
+    ("suffix_dedup", repeated_strings),
+    ("source_mixing", mixture),
+    ("byte_bpe", tokens),
+]
+
+#: The stages are not SQL; tests compare them with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, from ``documents`` on."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -288,26 +288,25 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return df.mapInArrow(lambda it: decoded(it, path, ids), _with(df, decoded=T.BinaryType()))
 
 
-def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, number of ids, and SHA-256 of ids and decoded bytes."""
+def digests(batches: Iterable[pa.RecordBatch], keep: tuple[str, ...] = ("doc_id",)) -> Iterator[pa.RecordBatch]:
+    """The columns to keep, the number of ids, and SHA-256 of ids and decoded bytes."""
     for batch in batches:
         column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         values, sizes = column["ids"].flatten().to_numpy(zero_copy_only=False).astype("<u4"), pc.list_value_length(column["ids"]).to_numpy(zero_copy_only=False)
         stops = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-        yield pa.RecordBatch.from_arrays(
-            [
-                column["doc_id"],
-                pa.array(sizes, pa.int64()),
-                pa.array([hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(stops, stops[1:])], pa.string()),
-                pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in column["decoded"]], pa.string()),
-            ],
-            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
-
-
-def digest(docs: DataFrame, path: str) -> DataFrame:
-    """Encode, decode and digest in one pass over the texts: the generators of ``encode`` and ``decode`` joined end to end."""
-    return docs.select("doc_id", "text").mapInArrow(lambda it: digests(decoded(encoded(it, path), path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        own = [
+            pa.array(sizes, pa.int64()),
+            pa.array([hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(stops, stops[1:])], pa.string()),
+            pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in column["decoded"]], pa.string()),
+        ]
+        yield pa.RecordBatch.from_arrays([*(column[n] for n in keep), *own], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def digest(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
+    """doc_id, on demand the ids, and the digests: one pass over the texts, with the generators of ``encode`` and ``decode`` joined end to end."""
+    keep = ("doc_id", "ids") if ids else ("doc_id",)
+    schema = "doc_id long, " + "ids array<int>, " * ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select("doc_id", "text").mapInArrow(lambda it: digests(decoded(encoded(it, path), path), keep), schema)
 
 
 def vocabulary() -> str:

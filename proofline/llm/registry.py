@@ -26,8 +26,12 @@ def queries() -> dict:
         "op8_suffix_dedup": suffix_dedup.query,
         "op10_html_extract": html_extract.query,
     }
-    return {name: _shipped(query) for name, query in found.items()}
+    import corpus_pipeline
+
+    return {name: _shipped(query) for name, query in found.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.SQL}
+    import corpus_pipeline
+
+    return {"op4_quality_rules": quality_rules.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
