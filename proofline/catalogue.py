@@ -2,25 +2,43 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from proofline.session import table
+from proofline.plans import dataset
+from proofline.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Modules of ``proofline.plans``; each has QUERIES: name -> (query, DuckDB SQL or None).
+PLANS = ("dataset",)
+
+
+def _all() -> dict[str, tuple[Query, str | None]]:
+    found: dict[str, tuple[Query, str | None]] = {}
+    for plan in PLANS:
+        found |= importlib.import_module(f"proofline.plans.{plan}").QUERIES
+    return found
+
+
+def _shipped(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact duplicate groups of the documents."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy(F.sha2("text", 256).alias("content_hash")).count().where("count > 1")
+    """Exact duplicate findings of the documents."""
+    return dataset.exact_duplicate_findings(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: _shipped(query) for name, (query, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
