@@ -137,11 +137,38 @@ def repeats(buffer: np.ndarray, start: np.ndarray, group: np.ndarray) -> np.ndar
     return found
 
 
+def whole_runs(buffer: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which runs of windows, in order, equal the first run of their group and length byte for byte.
+
+    Copies share all of an anchor's windows: one comparison with the trie's first leaf settles them together.
+    """
+    size = np.diff(at)
+    found = np.zeros(len(size), dtype=bool)
+    order = np.lexsort((size, group))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (group[order][1:] != group[order][:-1]) | (size[order][1:] != size[order][:-1])
+    head = np.flatnonzero(new)
+    leaf = np.repeat(order[head], np.diff(np.concatenate([head, [len(order)]])))
+    own, leaf = order[~new], leaf[~new]
+    words = np.ndarray((max(0, len(buffer) - 7),), dtype="<u8", buffer=np.ascontiguousarray(buffer), strides=(1,))
+    for k in range(0, int(size.max(initial=0)), 8):
+        if not len(own):
+            break
+        # the last word of a run overlaps the one before it
+        off = np.minimum(k, size[own] - 8)
+        same = words[at[own] + off] == words[at[leaf] + off]
+        done = same & (off < k)
+        found[own[done]] = True
+        own, leaf = own[same & ~done], leaf[same & ~done]
+    found[own] = True
+    return found
+
+
 def _anchored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of documents, for the count: (h, bucket, key).
+    """Anchors of documents, for the count: (h, b), where b is the bucket.
 
-    An anchor that a slice holds twice is known to repeat: its buckets go on under keys of their own, and one row
-    without a bucket tells the other slices.
+    An anchor that a slice holds twice is known to repeat: its buckets go on as b = -2 - bucket, and one row with
+    b = -1 tells the other slices.
     """
     for batch in batches:
         buckets = batch.column(0).to_numpy()
@@ -157,31 +184,18 @@ def _anchored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             distinct = new.copy()
             distinct[1:] |= own[1:] != own[:-1]
             known, tell, single = many & distinct, many & new, ~many
-            k, t, s = int(known.sum()), int(tell.sum()), int(single.sum())
-            with np.errstate(over="ignore"):
-                apart = h[known] ^ (own[known] * np.int64(-7046029254386353131))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([h[known], h[tell], h[single]])),
-                    pa.concat_arrays([pa.array(own[known], pa.int64()), pa.nulls(t, pa.int64()), pa.array(own[single], pa.int64())]),
-                    pa.array(np.concatenate([apart, h[tell], h[single]])),
-                    pa.array(np.concatenate([np.ones(k, dtype=bool), np.zeros(t + s, dtype=bool)])),
-                ],
-                ["h", "bucket", "key", "known"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[known], h[tell], h[single]])), pa.array(np.concatenate([-2 - own[known], np.full(int(tell.sum()), -1), own[single]]))], ["h", "b"])
 
 
 def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (known, h), those that are known to repeat or share their anchor with another row."""
+    """Of rows sorted by h, the known ones apart, those that are known to repeat or share their anchor with another row: (bucket, h)."""
     held = None
     for batch in batches:
-        h, known = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-        bucket = batch.column(1).fill_null(-1).to_numpy()
+        h, bucket = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        joined = held is not None and held[2]
         if held is not None:
-            h, bucket, known = np.concatenate([[held[0]], h]), np.concatenate([[held[1]], bucket]), np.concatenate([[False], known])
-            joined = held[2]
-        else:
-            joined = False
+            h, bucket = np.concatenate([[held[0]], h]), np.concatenate([[held[1]], bucket])
+        known = bucket < -1
         if not len(h):
             continue
         twin = np.zeros(len(h), dtype=bool)
@@ -191,11 +205,11 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both[0] |= joined
         # the last row may find its twin in the next batch
         wait = not known[-1]
-        use = (both | known) & (bucket >= 0)
+        use = (both | known) & (bucket != -1)
         held = (h[-1], bucket[-1], bool(both[-1])) if wait else None
         if wait:
             use[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[use]), pa.array(h[use])], ["bucket", "h"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(known, -2 - bucket, bucket)[use]), pa.array(h[use])], ["bucket", "h"])
     if held is not None and held[2] and held[1] >= 0:
         yield pa.RecordBatch.from_arrays([pa.array([held[1]], pa.int64()), pa.array([held[0]], pa.int64())], ["bucket", "h"])
 
@@ -252,26 +266,34 @@ def _in_bucket(docs: pa.Table, shared: pa.Table) -> pa.Table:
     # anchors that the bucket holds twice are sorted here
     names, back, times = np.unique(h, return_inverse=True, return_counts=True)
     twice = times[back] > 1
-    which, start = _windows(first, stop)
+    which, start = _windows(first[twice], stop[twice])
+    which = np.flatnonzero(twice)[which]
     repeated = np.zeros(len(start), dtype=bool)
-    inner = np.flatnonzero(twice[which])
-    for a, b in _cuts(back[which[inner]]):
-        take = np.sort(inner[a:b])
-        group = back[which[take]].astype(np.int64) << 8 | (place[which[take]] - start[take])
-        repeated[take] = repeats(data, start[take], group)
-    row = np.searchsorted(at, start, side="right") - 1
-    out = [_spans(np.full(int(repeated.sum()), bucket), row[repeated], start[repeated] - at[row[repeated]])]
-    which, start, row = which[~repeated], start[~repeated], row[~repeated]
-    if len(start):
-        new = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (start[1:] != start[:-1] + 1)]))
-        last = np.concatenate([new[1:], [len(start)]]) - 1
-        a, b, r, w = start[new], start[last] + LENGTH, row[new], which[new]
+    for a, b in _cuts(back[which]):
+        group = back[which[a:b]].astype(np.int64) << 8 | (place[which[a:b]] - start[a:b])
+        repeated[a:b] = repeats(data, start[a:b], group)
+    row = np.searchsorted(at, start[repeated], side="right") - 1
+    out = [_spans(np.full(len(row), bucket), row, start[repeated] - at[row])]
+    # what is first in the bucket goes on, run by run; anchors held once go on whole
+    which, start = which[~repeated], start[~repeated]
+    new = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (start[1:] != start[:-1] + 1)])) if len(start) else np.zeros(0, dtype=np.int64)
+    last = np.concatenate([new[1:], [len(start)]]).astype(np.int64) - 1 if len(start) else new
+    w = np.concatenate([which[new], np.flatnonzero(~twice)])
+    a, b = np.concatenate([start[new], first[~twice]]), np.concatenate([start[last] + LENGTH, stop[~twice] - 1 + LENGTH])
+    if len(w):
+        r = np.searchsorted(at, a, side="right") - 1
         raw = data.tobytes()
         parts = [raw[x:y] for x, y in zip(a.tolist(), b.tolist())]
         out.append(pa.RecordBatch.from_arrays([pa.array(h[w].view(np.int64)), pa.array(np.full(len(a), bucket)), pa.array(r, pa.int32()), pa.array(ids[r]), pa.array(a - at[r]), pa.array(place[w] - a, pa.int32()), pa.nulls(len(a), pa.int64()), pa.array(parts, pa.binary())], schema=_PARTS))
     return pa.Table.from_batches(out, schema=_PARTS)
 
 
+def _lined(data: np.ndarray, at: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The runs of a flat array laid out in another order."""
+    _, place = _windows(at[:-1][order], at[1:][order])
+    return data[place]
+
+
 def _cuts(group: np.ndarray) -> Iterator[tuple[int, int]]:
     """Index ranges of about ``SORTED`` elements that keep groups whole. Elements of a group need not be adjacent: then the range is all."""
     if len(group) <= SORTED or (np.diff(group) < 0).any():
@@ -295,9 +317,21 @@ def _across(batches: Iterable[pa.RecordBatch], last: bool) -> Iterator[pa.Record
         h, bucket, row, ids, start, off = (col[n].to_numpy() for n in ("h", "bucket", "row", "id", "start", "off"))
         order = np.lexsort((start, row, bucket, ids))
         data, at = flat(col["bytes"])
+        _, name, times = np.unique(h, return_inverse=True, return_counts=True)
+        # an anchor's only run meets nothing here
+        order = order[times[name[order]] > 1] if last else order
+        ends = np.cumsum(np.diff(at)[order])
+        lined, lined_at = _lined(data, at, order), np.concatenate([[0], ends])
+        copy = whole_runs(lined, lined_at, name[order].astype(np.int64) << 8 | off[order])
+        gone = order[copy]
+        if len(gone):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(gone), pa.int64()), pa.array(bucket[gone]), pa.array(row[gone]), pa.nulls(len(gone), pa.int64()), pa.array(start[gone]), pa.nulls(len(gone), pa.int32()), pa.array(start[gone] + np.diff(at)[gone]), pa.nulls(len(gone), pa.binary())], schema=_PARTS)
+        order = order[~copy]
+        if last:
+            left = np.bincount(name[order], minlength=len(times))
+            order = order[left[name[order]] > 1]
         which, win = _windows(at[:-1][order], at[1:][order] - LENGTH + 1)
         run = order[which]
-        _, name = np.unique(h, return_inverse=True)
         shift = win - at[run]
         group = name[run].astype(np.int64) << 8 | (off[run] - shift)
         found = repeats(data, win, group)
@@ -362,8 +396,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(total / bucket_bytes))
     raw = docs.select(*rest, F.col(key).cast("long").alias("_id"), F.col(text).cast("binary").alias("_raw"), F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(buckets)).alias("_bucket"))
-    counted = raw.select("_bucket", "_raw").mapInArrow(_anchored, "h long, bucket long, key long, known boolean")
-    shared = counted.repartition("key").select("h", "bucket", "known").sortWithinPartitions("known", "h").mapInArrow(_repeated, "bucket long, h long")
+    counted = raw.select("_bucket", "_raw").mapInArrow(_anchored, "h long, b long").select("h", F.col("b").cast("int").alias("b") if buckets < 1 << 31 else "b")
+    # known rows are dealt by bucket too, so a frequent anchor is spread
+    dealt = counted.repartition(F.when(F.col("b") < -1, F.xxhash64("h", "b")).otherwise(F.col("h")))
+    shared = dealt.sortWithinPartitions(F.col("b") < -1, "h").select("h", F.col("b").cast("long").alias("b")).mapInArrow(_repeated, "bucket long, h long")
     grouped = raw.groupBy("_bucket")
     parts = grouped.cogroup(shared.groupBy("bucket")).applyInArrow(_in_bucket, _PARTS_DDL)
     level = fan_in
