@@ -143,8 +143,8 @@ def _receipts(spark, sf_dir):
         F.sha2(F.concat_ws("|", F.when(F.col("n") % 13 == 0, F.col("n") - 1).otherwise(F.col("n")).cast("string"), F.col("user_id").cast("string")), 256).alias("receipt_hash"),
         F.concat(F.lit("n"), F.when(F.col("n") % 11 == 0, F.col("n") - 2).otherwise(F.col("n")).cast("string")).alias("nonce"),
         F.when(F.col("n") % 7 == 0, F.col("n") - 3).otherwise(F.col("n")).cast("long").alias("sequence"),
-        F.timestamp_seconds(F.unix_micros("ts") / 1_000_000 - lag).alias("issued_at"),
-        F.col("ts").alias("received_at"),
+        (F.col("ts").cast("timestamp") - F.make_dt_interval(secs=lag)).alias("issued_at"),
+        F.col("ts").cast("timestamp").alias("received_at"),
         (F.col("event_id") % 29 != 0).alias("checks_valid"),
     )
 
