@@ -83,14 +83,18 @@ RULES = (
     Rule("long_words", "word_chars > 20 * n_words"),
     Rule("shouting", "100 * n_upper > 50 * n_letters"),
     Rule("few_letters", "100 * n_letters < 50 * word_chars"),
+    Rule("mostly_repeated_lines", "n_dup_lines > 4 AND 2 * n_dup_lines > n_lines"),
 )
 BASE = ("too_few_words", "repeated_windows")
 #: Named policies: the rules that reject a document. A published version is never edited.
 POLICIES = {
     "base": BASE,
     "v1": (*BASE, "symbol_heavy", "duplicate_lines", "shouting"),
-    "v2": tuple(r.name for r in RULES),
+    "v2": (*BASE, "symbol_heavy", "duplicate_lines", "short_words", "long_words", "shouting", "few_letters"),
+    # a refrain of a few lines is no template: only long repetition counts
+    "v3": (*BASE, "symbol_heavy", "mostly_repeated_lines", "short_words", "long_words", "shouting", "few_letters"),
 }
+CURRENT = "v3"
 
 
 def mask(rules: tuple[str, ...]) -> int:
@@ -108,13 +112,13 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     return found.drop("failure_bits").withColumn("failure_bits", bits)
 
 
-def apply_policy(entries: DataFrame, policy: str = "v2") -> DataFrame:
+def apply_policy(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
     """A ledger with ``base_failed`` and ``kept`` under one policy; only bits are read."""
     hit = lambda name: F.col("failure_bits").bitwiseAND(F.lit(mask(POLICIES[name]) | mask(BASE)).cast("long")) != 0
     return entries.drop("base_failed", "kept").withColumns({"base_failed": hit("base"), "kept": ~hit(policy)})
 
 
-def ablations(entries: DataFrame, policy: str = "v2") -> DataFrame:
+def ablations(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
     """For each rule of a policy: how many fail it, how many it alone rejects, and how many would stay without it.
 
     The ledger is first counted by bit pattern (at most 2 ** number of rules rows), so nothing else is shuffled.
@@ -161,7 +165,7 @@ m AS (
   FROM w LEFT JOIN r USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 2 * n_words
+       NOT (base_failed OR 10 * n_symbols > n_words OR (n_dup_lines > 4 AND 2 * n_dup_lines > n_lines) OR word_chars < 2 * n_words
             OR word_chars > 20 * n_words OR 100 * n_upper > 50 * n_letters OR 100 * n_letters < 50 * word_chars) AS kept
 FROM b
 """
