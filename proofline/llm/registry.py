@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proofline.llm import byte_bpe, html_extract, mixing, neighbour_quality, ngram_join, quality_rules, suffix_dedup, tiff, toxicity
+from proofline.llm import byte_bpe, html_extract, license_scan, mixing, neighbour_quality, ngram_join, quality_rules, suffix_dedup, tiff, toxicity
 from proofline.session import ship
 
 
@@ -24,6 +24,7 @@ def queries() -> dict:
         "op6_tiff": tiff.query,
         "op7_source_mixing": mixing.query,
         "op8_suffix_dedup": suffix_dedup.query,
+        "op9_license_scan": license_scan.query,
         "op10_html_extract": html_extract.query,
     }
     import corpus_pipeline
@@ -34,4 +35,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"op4_quality_rules": quality_rules.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op4_quality_rules": quality_rules.SQL, "op9_license_scan": license_scan.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
