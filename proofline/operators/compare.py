@@ -31,7 +31,7 @@ def divergences(counts: DataFrame, keys: tuple[str, ...], bucket: str, bins: int
     shares = shares.withColumn("m", (F.col("p") + F.col("q")) / 2)
     part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) / F.col("m"))).otherwise(F.when(F.col(x).isNotNull(), 0.0))
     js = F.sum((part("p") + part("q")) / 2)
-    found = [public(F.least(F.lit(1.0), F.greatest(F.lit(0.0), js))).alias("js"), public(F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("tv")]
+    found = [F.when(js.isNotNull(), public(F.least(F.lit(1.0), F.greatest(F.lit(0.0), js)))).alias("js"), public(F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("tv")]
     if bins:
         # a bin absent on both sides keeps the running difference, so each bin counts for the gap up to the next
         order = whole.orderBy(bucket)
