@@ -122,3 +122,17 @@ def verify_checkpoints(points: DataFrame, log: DataFrame) -> DataFrame:
         .otherwise("VALID")
     )
     return joined.select("chain", "audit_sequence", status.alias("status"))
+
+
+def drainable(outbox: DataFrame) -> DataFrame:
+    """Pending intents in order of creation, with the first thing that forbids delivery, or null."""
+    problem = F.when(~F.col("payload_hash").eqNullSafe(F.sha2("payload_json", 256)), "PAYLOAD_HASH_MISMATCH").when(F.try_parse_json("payload_json").isNull(), "PAYLOAD_MALFORMED").when(F.col("event_key").isNull(), "KEY_MISSING")
+    return outbox.where("status = 'PENDING'").withColumn("problem", problem).orderBy("created_at", "event_key")
+
+
+def checkpoint_refusals(log: DataFrame, pending: DataFrame, latest: DataFrame) -> DataFrame:
+    """For each chain, why no checkpoint is made now, or null: intents pending, or the head already has one."""
+    waiting = pending.groupBy("chain").agg(F.count("*").alias("_pending"))
+    joined = heads(log).join(waiting, "chain", "left").join(latest.select("chain", F.col("record_hash").alias("_last")), "chain", "left")
+    reason = F.when(F.coalesce("_pending", F.lit(0)) > 0, "INTENTS_PENDING").when(F.col("_last").eqNullSafe(F.col("record_hash")), "HEAD_UNCHANGED")
+    return joined.withColumn("reason", reason).drop("_pending", "_last")

@@ -285,3 +285,65 @@ def output_contract(runs: DataFrame, contracts: DataFrame, most_elements: int =
     joined = runs.join(contracts, "model_id", "left")
     code = F.when(F.col("output").isNull() | F.col("expected_size").isNull() | (F.size("output") != F.col("expected_size")), "OUTPUT_CONTRACT_CHANGED").when(F.size("output") > most_elements, "OUTPUT_ELEMENT_LIMIT_EXCEEDED")
     return joined.withColumn("code", code).withColumn("nonfinite", F.coalesce(F.exists("output", lambda x: ~finite(x.cast("double"))), F.lit(False)))
+
+
+# ---------------------------------------------------------------- coverage, baselines, comparisons of reports
+
+
+def parameter_coverage(tensors: DataFrame) -> DataFrame:
+    """Tensors, elements and bytes in all and analysed, by model, with the ratio and status; ``tensors``: (model_id, elements, bytes, analysed)."""
+    part = lambda c: F.coalesce(F.sum(F.when(F.col("analysed"), F.col(c))), F.lit(0)).cast("long")
+    found = tensors.groupBy("model_id").agg(F.count("*").alias("tensors"), F.count_if("analysed").alias("tensors_analysed"), F.sum("elements").alias("elements"), part("elements").alias("elements_analysed"), F.sum("bytes").alias("bytes"), part("bytes").alias("bytes_analysed"))
+    status = F.when(F.col("tensors_analysed") == 0, "UNAVAILABLE").when(F.col("tensors_analysed") < F.col("tensors"), "PARTIAL").otherwise("COMPLETE")
+    return found.withColumns({"element_ratio": F.try_divide(F.col("elements_analysed").cast("double"), F.col("elements").cast("double")), "status": status})
+
+
+def structure_fingerprint(nodes: DataFrame) -> DataFrame:
+    """A hash of each model's graph: its nodes' operators and domains, in order of position."""
+    row = F.concat_ws("|", F.format_string("%012d", "position"), "op_type", F.coalesce("domain", F.lit("")))
+    return nodes.groupBy("model_id").agg(F.count("*").alias("nodes"), F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ";"), 256).alias("structure_sha256"))
+
+
+def baseline_problems(records: DataFrame) -> DataFrame:
+    """Baseline records with what is wrong with them; columns model_id, artifact_sha256, structure_sha256, value_sha256, status, record_sha256."""
+    hashes = ("artifact_sha256", "structure_sha256", "value_sha256")
+    text = F.concat_ws("|", *(F.coalesce(F.col(c), F.lit("")) for c in ("model_id", *hashes, "status")))
+    bad = [F.when(~F.coalesce(F.col(h).rlike("^[0-9a-f]{64}$"), F.lit(False)), F.lit(f"{h.upper()}_MALFORMED")) for h in hashes]
+    errors = F.array_compact(F.array(F.when(F.col("model_id").isNull() | (F.trim("model_id") == ""), "MODEL_ID_MISSING"), *bad, F.when(~F.coalesce(F.col("status") == "COMPLETE", F.lit(False)), "BASELINE_INCOMPLETE"), F.when(~F.col("record_sha256").eqNullSafe(F.sha2(text, 256)), "RECORD_DIGEST_MISMATCH")))
+    return records.withColumn("errors", errors)
+
+
+def baseline(models_: DataFrame) -> DataFrame:
+    """Baseline records, sealed by a digest over their fields."""
+    text = F.concat_ws("|", *(F.coalesce(F.col(c), F.lit("")) for c in ("model_id", "artifact_sha256", "structure_sha256", "value_sha256", "status")))
+    return models_.select("model_id", "artifact_sha256", "structure_sha256", "value_sha256", "status", F.sha2(text, 256).alias("record_sha256"))
+
+
+def compare_baselines(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Two records of each model: the state of artifact, structure and values, and what that means."""
+    b, a = (df.select("model_id", *(F.col(c).alias(f"{s}_{c}") for c in ("artifact_sha256", "structure_sha256", "value_sha256", "status"))) for s, df in (("b", before), ("a", after)))
+    state = lambda c: F.when(F.col("b_status").isNull() | F.col("a_status").isNull(), "INCOMPARABLE").when(F.col(f"b_{c}").isNull() | F.col(f"a_{c}").isNull(), "UNAVAILABLE").when(F.col(f"b_{c}") == F.col(f"a_{c}"), "SAME").otherwise("CHANGED")
+    found = b.join(a, "model_id", "full_outer").select("model_id", *(state(c).alias(n) for n, c in (("artifact", "artifact_sha256"), ("structure", "structure_sha256"), ("parameters", "value_sha256"))))
+    meaning = (
+        F.when(F.col("structure") == "INCOMPARABLE", "NOT_COMPARED")
+        .when(F.col("structure") == "CHANGED", "STRUCTURE_CHANGED")
+        .when(F.col("parameters") == "CHANGED", "PARAMETERS_CHANGED")
+        .when((F.col("structure") == "UNAVAILABLE") | (F.col("parameters") == "UNAVAILABLE"), "EVIDENCE_INCOMPLETE")
+        .when(F.col("artifact") == "CHANGED", "REPACKAGED")
+        .otherwise("UNCHANGED")
+    )
+    return found.withColumn("interpretation", meaning)
+
+
+def compare_behaviour(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Flip rates of triggers that two reports share with equal support: their change."""
+    b = before.select("model_id", "trigger_id", F.col("pairs").alias("pairs_before"), F.col("flip_rate").alias("flip_before"))
+    both = after.select("model_id", "trigger_id", "pairs", F.col("flip_rate").alias("flip_after")).join(b, ["model_id", "trigger_id"])
+    return both.where("pairs = pairs_before").withColumn("flip_change", F.col("flip_after") - F.col("flip_before")).drop("pairs_before")
+
+
+def protocol_mismatches(before: DataFrame, after: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Per model, the parts of the test protocol in which two reports differ, so that they can't be compared."""
+    a = after.select("model_id", *(F.col(f).alias(f"_{f}") for f in fields))
+    differs = F.array_compact(F.array(*(F.when(~F.col(f).eqNullSafe(F.col(f"_{f}")), F.lit(f"{f.upper()}_MISMATCH")) for f in fields)))
+    return before.join(a, "model_id").select("model_id", differs.alias("reasons"))

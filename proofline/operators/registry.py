@@ -92,3 +92,19 @@ def run_details(runs: DataFrame, members: DataFrame, authentications: DataFrame)
     """Runs with their assessment and authentication; a run without authentication has the error MISSING_AUTHENTICATION."""
     joined = runs.join(members.select("run_id", "assessment_id"), "run_id", "left").join(authentications.select("run_id", "mode"), "run_id", "left")
     return joined.withColumn("authenticated", F.coalesce(F.col("mode") == "SIGNED", F.lit(False))).withColumn("error", F.when(F.col("mode").isNull(), "MISSING_AUTHENTICATION"))
+
+
+def run_id(*parts: str):
+    """A run's id over the columns that make it the run it is."""
+    return F.concat(F.lit("R-"), F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts)), 256), 1, 24))
+
+
+def assessment_findings(members: DataFrame, runs: DataFrame, authentications: DataFrame, mode: str | None = None) -> DataFrame:
+    """Findings of assessments whose runs are authenticated for the very request that was made.
+
+    ``members``: (assessment_id, run_id); ``runs``: (run_id, module, request_hash, finding_ids); ``authentications``:
+    (run_id, request_hash, mode).
+    """
+    joined = members.join(runs, "run_id").join(authentications.select("run_id", F.col("request_hash").alias("_signed"), "mode"), "run_id").where("request_hash = _signed")
+    joined = joined.where(F.col("mode") == mode) if mode else joined
+    return joined.select("assessment_id", "module", "mode", F.explode("finding_ids").alias("finding_id")).distinct()

@@ -65,3 +65,13 @@ def transitions(log: DataFrame, key: str, order: tuple[str, ...], state: str, le
         here = before.isNull() if start is None else before == start
         allowed = allowed | F.coalesce(here & F.col(state).isin(*ends), F.lit(False))
     return log.withColumn("before", before).withColumn("is_legal", allowed)
+
+
+def lookup(keys: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Many point lookups at once: the asked keys with the stored row, or nulls."""
+    return keys.select(key).distinct().join(stored, key, "left")
+
+
+def next_sequence(stored: DataFrame, sequence: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The number after the highest, by key."""
+    return stored.groupBy(*keys).agg((F.coalesce(F.max(sequence), F.lit(0)) + 1).alias("next"))

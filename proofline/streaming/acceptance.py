@@ -82,3 +82,22 @@ def verify(receipts: DataFrame, parts: tuple[str, ...]) -> DataFrame:
     checked = receipts.withColumn("checks", F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(check, parts), signature)))
     values = F.map_values("checks")
     return checked.withColumn("status", F.when(F.array_contains(values, "INVALID"), "REJECT").when(F.array_contains(values, "UNAVAILABLE"), "REVIEW").otherwise("ACCEPT"))
+
+
+def verify_links(receipts: DataFrame) -> DataFrame:
+    """Receipts of a stream key in order of issue, each against the hash of the one before: ``linked`` or not."""
+    from pyspark.sql import Window
+
+    before = F.lag("receipt_hash").over(Window.partitionBy("stream_key").orderBy("sequence", "receipt_id"))
+    return receipts.withColumn("linked", F.col("previous_receipt_hash").eqNullSafe(before))
+
+
+def attack_findings(outcomes: DataFrame) -> DataFrame:
+    """Findings of refused receipts: one per receipt and kind of attack, all critical."""
+    from proofline.functions.columns import canonical
+
+    kinds = {"REPLAY_DETECTED": "REPLAY_DETECTED", "NONCE_REUSE": "REPLAY_DETECTED", "MODEL_INVALID": "MODEL_SUBSTITUTION", "OUTPUT_INVALID": "OUTPUT_TAMPERING", "CHECKS_INVALID": "OUTPUT_TAMPERING"}
+    category = F.coalesce(*(F.when(F.col("attack") == a, F.lit(c)) for a, c in kinds.items()))
+    rows = outcomes.where("status = 'REJECT'").withColumn("attack", F.explode(F.split("reasons", ","))).withColumn("category", category).where("category IS NOT NULL").select("stream_key", "receipt_id", "category").distinct()
+    ident = F.upper(F.substring(F.sha2(canonical(category=F.col("category"), receipt=F.col("receipt_id").cast("string"), stream=F.col("stream_key")), 256), 1, 16))
+    return rows.withColumns({"finding_id": F.concat(F.lit("F-INFERENCE-"), ident), "severity": F.lit("CRITICAL"), "confidence": F.lit(1.0), "recommendation": F.lit("REJECT")})
