@@ -12,11 +12,12 @@ from proofline.session import cut
 DETECTORS = ("exact_duplicates", "near_duplicates", "rare_labels", "outliers")
 
 
-def analyze(samples: DataFrame, labels: DataFrame | None = None, vectors: DataFrame | None = None, only: tuple[str, ...] = DETECTORS, threshold: int = 10, least_label: int = 2, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def analyze(samples: DataFrame, labels: DataFrame | None = None, vectors: DataFrame | None = None, only: tuple[str, ...] = DETECTORS, threshold: int = 10, least_label: int = 2, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(findings, summary) of a data set.
 
     ``samples``: sample_id, content, contributor_id, batch_id; ``labels``: sample_id, label; ``vectors``: sample_id,
-    vector. Each detector is a plan of its own; those left out or without input are named in the summary.
+    vector. Each detector is a plan of its own; those left out or without input are named in the summary. All distinct
+    findings are returned; with ``most``, the first so many by id, and ``partial`` says whether more were left out.
     """
     found, skipped = [], []
     exact = detect.duplicate_groups(samples, "sample_id", "content")
@@ -42,7 +43,8 @@ def analyze(samples: DataFrame, labels: DataFrame | None = None, vectors: DataFr
     for part in found:
         every = every.unionByName(part)
     bound = cut(detect.bind_source(every, samples.select(F.col("sample_id").cast("string").alias("sample_id"), "contributor_id", "batch_id").dropDuplicates(["sample_id"])), "dataset-scan")
-    kept = detect.stable(bound.dropDuplicates(["finding_id"]), most)
+    kept = bound.dropDuplicates(["finding_id"])
+    kept = kept.withColumn("partial", F.lit(False)) if most is None else detect.stable(kept, most)
     risk = detect.dataset_risk(bound)
     summary = risk.withColumn("skipped", F.lit(",".join(skipped))).crossJoin(F.broadcast(bound.agg(F.count_distinct("finding_id").alias("unique_findings"))))
     return kept, summary

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from proofline.functions import columns as C
 from proofline.functions.policies import ComparisonPolicy
-from proofline.operators import audit, compare, detect, models, outputs, profile, registry, relational, scoring, vectors
+from proofline.operators import audit, compare, dataset_scan, detect, models, outputs, profile, registry, relational, scoring, vectors
+from proofline.plans import reports
 
 
 def one(df):
@@ -179,3 +180,19 @@ def test_ingest_and_lifecycle(spark):
     assert {r.conflict for r in registry.key_conflicts(keys).collect()} == {"KEY_CONTENT_CONFLICT", "FINGERPRINT_BOUND_TWICE"}
     twin = spark.createDataFrame([(None, "a"), ("x", None)], "k string, v string")
     assert relational.named_diff(twin, twin, ("k",), ("v",)).count() == 0
+
+
+def test_dataset_scan_counts_every_finding(spark, tmp_path):
+    n = 12_000
+    rows = spark.range(n).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', id) AS lang", "'s' AS source")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(50).selectExpr("id AS vec_id", "transform(sequence(1, 64), i -> float(sin(i * (id + 1)))) AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    rare = [r for r in reports.dataset_scan_findings(spark, str(tmp_path)).collect() if "RARE" in r.category or "LABEL" in r.category]
+    # the query gives the documents 7, 4008 and 8009 one label
+    assert sum(r.n for r in rare) == sum(r.assets for r in rare) == n - 3
+    samples = rows.selectExpr("string(doc_id) AS sample_id", "text AS content", "source AS contributor_id", "lang AS batch_id")
+    labels = rows.selectExpr("string(doc_id) AS sample_id", "lang AS label")
+    found, summary = dataset_scan.analyze(samples, labels)
+    assert found.where("NOT partial").count() == one(summary).unique_findings == n
+    first, _ = dataset_scan.analyze(samples, labels, most=7)
+    assert first.where("partial").count() == first.count() == 7
