@@ -5,7 +5,8 @@ call the block content or boilerplate: the capacities to the two terminals. Neig
 share DOM ancestors are joined by edges, whose capacities are what it costs to part them. The minimum cut of that
 graph, by augmenting paths, is the cheapest labelling; the content side, in page order, is the main text.
 
-Blocks inside scripts, styles, templates, forms' controls and other elements without prose are no candidates.
+Blocks inside scripts, styles, templates, forms' controls and other elements without prose are no candidates. Where such
+an element is not closed, it ends with its parent or at the next block; only a script goes on to the page's end.
 
 Defined cases: a null or empty page, or one without text, gives an empty text; unclosed and stray tags are tolerated;
 character references are decoded once; white space inside a block becomes one space, blocks are joined by one space;
@@ -29,13 +30,18 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop|style)(?:\s
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 
 #: Elements whose content is read to their end tag as text and never shown as prose.
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "svg", "math", "select", "button", "option", "object", "canvas", "audio", "video", "head"}
-_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in _RAW}
+_RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
+#: Elements whose content is markup and never shown as prose.
+_DROPPED = {"noscript", "template", "svg", "select", "button", "option", "canvas", "audio", "video"}
+_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in _RAW | _DROPPED}
+_TURNS = {tag: re.compile(rf"<(/?){tag}\b", re.I) for tag in _RAW | _DROPPED}
+#: Dropped elements that may hold their like.
+_NESTED = {"template", "svg"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that do not interrupt a block.
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "object", "math", "semantics", "annotation", "annotation-xml", "merror", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover"}
 _CLOSES_P = {"p", "div", "article", "section", "aside", "nav", "header", "footer", "ul", "ol", "dl", "table", "form", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "hr", "main", "figure", "address", "fieldset", "details"}
-_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "main", "nav", "aside", "header", "footer", "form"}
 
 #: The classifier: log-odds for content of what surrounds a block, learned by hand from how pages are marked up.
@@ -90,24 +96,45 @@ def blocks(html: str) -> list[Block]:
     stack: list[tuple[str, int, float]] = [("", 0, 0.0)]  # open block elements: name, number, log-odds of the path
     parts: list[str] = []
     linked, in_link, number, at, size, inside = 0, 0, 0, 0, len(html), 0
+    drop, loose = 0, False  # the place of the outermost dropped element in the stack, and whether the next block ends it
+    live, open_inline, last_end = {0}, {}, {}  # numbers in the stack; of each inline element's block; places of last end tags
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip(" ")
             if text:
-                found.append(Block(text, linked, stack[-1][0], tuple(n for _, n, _ in stack), stack[-1][2]))
+                path = stack[:drop] if drop else stack
+                found.append(Block(text, linked, path[-1][0], tuple(n for _, n, _ in path), path[-1][2]))
             parts.clear()
         linked = 0
 
     def close(k: int) -> None:
-        nonlocal inside
+        nonlocal inside, drop
         inside -= sum(1 for t, _, _ in stack[k:] if t in ("article", "main"))
+        live.difference_update(n for _, n, _ in stack[k:])
         del stack[k:]
+        if drop >= k:
+            drop = 0
+
+    def push(tag: str, odds: float) -> None:
+        nonlocal number, inside
+        number += 1
+        live.add(number)
+        stack.append((tag, number, odds))
+        inside += tag in ("article", "main")
+
+    def unclosed(tag: str) -> bool:
+        """No end tag follows, or none before the next such element, which can't be inside."""
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in _ENDS[tag].finditer(html)), default=-1)
+        if at > last_end[tag]:
+            return True
+        return tag not in _NESTED and tag not in ("script", "style") and not _TURNS[tag].search(html, at)[1]
 
     def words(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and not drop:
             parts.append(text)
             if in_link:
                 linked += len(text)
@@ -124,16 +151,30 @@ def blocks(html: str) -> list[Block]:
             continue
         tag = tag.lower()
         if not m[1]:
-            if tag in _RAW and tag != "head":
-                if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
-                    end = _ENDS[tag].search(html, at)
-                    at = end.end() if end else size
+            shut = m[3].rstrip().endswith("/")
+            if shut and (tag == "svg" or (drop and stack[drop][0] == "svg")):
+                continue
+            open_ = (tag in _RAW or tag in _DROPPED) and unclosed(tag)
+            if tag in _RAW and (not open_ or tag == "script"):
+                at = size if open_ else _ENDS[tag].search(html, at).end()
+                continue
+            if drop and (stack[drop][0] == tag and tag not in _NESTED or loose and tag not in _INLINE and tag not in _VOID and tag not in _DROPPED and tag != "optgroup"):
+                close(drop)
+            if tag in _RAW or tag in _DROPPED or drop:
+                if tag in _INLINE:
+                    open_inline.setdefault(tag, []).append(stack[-1][1])
+                elif tag not in _VOID:
+                    push(tag, 0.0)
+                    if not drop:
+                        drop, loose = len(stack) - 1, open_ or tag in ("option", "select")
                 continue
             if tag == "br":
                 parts.append(" ")
             elif tag == "a":
                 in_link = 1
             if tag in _INLINE or tag in ("br", "img", "input", "wbr"):
+                if tag in _INLINE and tag not in _VOID:
+                    open_inline.setdefault(tag, []).append(stack[-1][1])
                 continue
             flush()
             if tag in _VOID:
@@ -152,15 +193,22 @@ def blocks(html: str) -> list[Block]:
                         break
                     if stack[k][0] in _SCOPE:
                         break
-            number += 1
-            stack.append((tag, number, stack[-1][2] + _element_odds(tag, m[3], inside > 0)))
-            inside += tag in ("article", "main")
-        elif tag == "a":
-            in_link = 0
-        elif tag not in _INLINE and tag not in _VOID:
-            flush()
+            push(tag, stack[-1][2] + _element_odds(tag, m[3], inside > 0))
+        elif tag in _INLINE:
+            began = open_inline.get(tag, [])
+            while began and began[-1] not in live:
+                began.pop()
+            if began and began.pop() < stack[drop][1] and drop:
+                close(drop)  # the inline parent's end
+            if tag == "a" and not drop:
+                in_link = 0
+        elif tag not in _VOID:
+            if not drop and tag not in _DROPPED:
+                flush()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
+                    if drop > k:
+                        flush()
                     close(k)
                     break
                 if tag == "p" and stack[k][0] in _SCOPE:

@@ -23,6 +23,14 @@ def test_edges():
     assert H.main_text("<div>" * 3000 + "<p>deep text</p>") == "deep text"
 
 
+def test_elements_without_end_tags():
+    for head in ("<datalist><option value=a><option value=b></datalist>", "<datalist><option value=a/><option value=b/></datalist>", "<div><select><option>a<option>b</div>", "<div><button>Go</div>", "<div><iframe src=x></div>", "<noscript>x", "<div><button>Go<button>Go</button></div>"):
+        for tail in ("", "<select><option>z</option></select><button>y</button><noscript>x</noscript><iframe></iframe>"):
+            assert H.main_text(f"<body>{head}<article><p>First text.</p><p>Second.</p></article>{tail}") == "First text. Second.", (head, tail)
+    assert H.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <object data=y>fallback</object> so.</p>") == "Let x=1 be fallback so."
+    assert H.main_text("<article><p>a <span><button>Go</span> b <svg><path d='1'/><title>t</title><text>no</text></svg>c <button><i>x</i><div>y</div></button>d</p><p>e") == "a b c d e"
+
+
 def test_cut_is_the_cheapest_labelling():
     rng = random.Random(3)
     for _ in range(60):
