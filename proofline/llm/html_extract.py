@@ -46,12 +46,15 @@ _SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "main"
 
 #: The classifier: log-odds for content of what surrounds a block, learned by hand from how pages are marked up.
 _TAG_ODDS = {"article": 3.0, "main": 2.5, "nav": -6.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "header": -3.0, "menu": -6.0, "dialog": -5.0, "address": -2.0, "figcaption": 0.5, "blockquote": 0.5, "fieldset": -5.0}
-_BAD_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adverts?|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|popups?|modal|overlay|nav\w*|menu\w*|breadcrumbs?|footer\w*|site-?header|masthead|side-?bar\w*|widgets?|related\w*|recommend\w*|share\w*|sharing|social\w*|comments?\w*|disqus|respon[ds]\w*|replies|reply|subscribe|newsletter|sign-?up|login|log-?in|search\w*|pagination|pager|toolbar|copyright|legal|disclaimer|skip\w*|tags?|tagcloud|meta)(?:$|[\s_-])",
-    re.I,
-)
+_BAD_WORDS = r"(?:ads?|advert\w*|adverts?|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|popups?|modal|overlay|nav\w*|menu\w*|breadcrumbs?|footer\w*|site-?header|masthead|side-?bar\w*|widgets?|related\w*|recommend\w*|share\w*|sharing|social\w*|comments?\w*|disqus|respon[ds]\w*|replies|reply|subscribe|newsletter|sign-?up|login|log-?in|search\w*|pagination|pager|toolbar|copyright|legal|disclaimer|skip\w*|tags?|tagcloud|meta)"
+_BAD_WORD = re.compile(rf"(?:^|[\s_-]){_BAD_WORDS}(?:$|[\s_-])", re.I)
+#: Words that do not make more than boilerplate of a boilerplate word.
+_BOX_WORDS = r"(?:areas?|articles?|bars?|block|box|buttons?|container|content|form|icons?|inner|items?|links?|lists?|outer|posts?|section|thread|wrap|wrapper|\d+)"
+_BOILERPLATE = re.compile(rf"{_BAD_WORDS}|{_BOX_WORDS}", re.I)
+_PARTED = re.compile(r"\b(site|side|sign|log|skip)[-_](header|bar\w*|up|in|to)", re.I)
 _GOOD_WORD = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry\w*|content|main\w*|body|story\w*|text|blog\w*|articlebody|post-?body|prose)(?:$|[\s_-])", re.I)
 _ROLES = {"navigation": -6.0, "banner": -4.0, "contentinfo": -6.0, "complementary": -6.0, "search": -6.0, "form": -6.0, "dialog": -5.0, "alert": -4.0, "main": 2.5, "article": 3.0}
+_PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 _BAD, _GOOD, _HIDDEN = -6.0, 1.5, -8.0
 #: Costs of parting two blocks: neighbours in page order, and by shared parent.
 _NEIGHBOUR, _SIBLING = 0.35, 0.65
@@ -60,40 +63,58 @@ _NEIGHBOUR, _SIBLING = 0.35, 0.65
 class Block:
     """A run of text between block boundaries, with its path of element numbers and the path's log-odds."""
 
-    __slots__ = ("linked", "odds", "parent", "path", "tag", "text")
+    __slots__ = ("doubt", "linked", "odds", "parent", "path", "tag", "text")
 
-    def __init__(self, text: str, linked: int, tag: str, path: tuple[int, ...], odds: float):
-        self.text, self.linked, self.tag, self.path, self.odds = text, linked, tag, path, odds
+    def __init__(self, text: str, linked: int, tag: str, path: tuple[int, ...], odds: float, doubt: float = 0.0):
+        self.text, self.linked, self.tag, self.path, self.odds, self.doubt = text, linked, tag, path, odds, doubt
         self.parent = path[-2] if len(path) > 1 else 0
 
 
-def _element_odds(tag: str, attributes: str, inside: bool) -> float:
-    """Log-odds that one element adds for what it holds; ``inside``: an article or main element is open."""
-    odds = _TAG_ODDS.get(tag, 0.0)
+def _only_boilerplate(value: str) -> bool:
+    """Whether a value, or one of the words between its spaces, has boilerplate words and nothing but such."""
+    for name in value.split():
+        words = [w for w in re.split(r"[_-]+", _PARTED.sub(r"\1\2", name)) if w]
+        if _BAD_WORD.search(" ".join(words)) and all(_BOILERPLATE.fullmatch(w) for w in words):
+            return True
+    return False
+
+
+def _element_odds(tag: str, attributes: str, inside: bool) -> tuple[float, float]:
+    """Log-odds that one element adds for what it holds, and those it adds for links only.
+
+    ``inside``: an article or main element is open. There, ids are often made from headings, so one boilerplate word
+    counts for links only: an id counts in full when it is all boilerplate, and never on a heading or paragraph; the
+    classes of headings, paragraphs and sections likewise count in full when one is all boilerplate.
+    """
+    odds, doubt = _TAG_ODDS.get(tag, 0.0), 0.0
     if tag == "header" and inside:
         odds = 0.0  # an article's own head
     if not attributes.strip("/ \n\t"):
-        return odds
+        return odds, doubt
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "itemprop"):
             if tag in ("body", "html"):
                 continue
             if _BAD_WORD.search(value):
-                odds += _BAD
+                prose = tag in _PROSE
+                if not inside or not (prose or tag == "section" or name == "id") or (not (prose and name == "id") and _only_boilerplate(value)):
+                    odds += _BAD
+                else:
+                    doubt += _BAD
             elif _GOOD_WORD.search(value):
                 odds += _GOOD
         elif name == "role":
             odds += _ROLES.get(value.lower(), 0.0)
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             odds += _HIDDEN
-    return odds
+    return odds, doubt
 
 
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]  # open block elements: name, number, log-odds of the path
+    stack: list[tuple[str, int, float, float]] = [("", 0, 0.0, 0.0)]  # open block elements: name, number, log-odds of the path
     parts: list[str] = []
     linked, in_link, number, at, size, inside = 0, 0, 0, 0, len(html), 0
     drop, loose = 0, False  # the place of the outermost dropped element in the stack, and whether the next block ends it
@@ -105,23 +126,23 @@ def blocks(html: str) -> list[Block]:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip(" ")
             if text:
                 path = stack[:drop] if drop else stack
-                found.append(Block(text, linked, path[-1][0], tuple(n for _, n, _ in path), path[-1][2]))
+                found.append(Block(text, linked, path[-1][0], tuple(x[1] for x in path), *path[-1][2:]))
             parts.clear()
         linked = 0
 
     def close(k: int) -> None:
         nonlocal inside, drop
-        inside -= sum(1 for t, _, _ in stack[k:] if t in ("article", "main"))
-        live.difference_update(n for _, n, _ in stack[k:])
+        inside -= sum(1 for x in stack[k:] if x[0] in ("article", "main"))
+        live.difference_update(x[1] for x in stack[k:])
         del stack[k:]
         if drop >= k:
             drop = 0
 
-    def push(tag: str, odds: float) -> None:
+    def push(tag: str, odds: float, doubt: float) -> None:
         nonlocal number, inside
         number += 1
         live.add(number)
-        stack.append((tag, number, odds))
+        stack.append((tag, number, stack[-1][2] + odds, stack[-1][3] + doubt))
         inside += tag in ("article", "main")
 
     def unclosed(tag: str) -> bool:
@@ -164,7 +185,7 @@ def blocks(html: str) -> list[Block]:
                 if tag in _INLINE:
                     open_inline.setdefault(tag, []).append(stack[-1][1])
                 elif tag not in _VOID:
-                    push(tag, 0.0)
+                    push(tag, 0.0, 0.0)
                     if not drop:
                         drop, loose = len(stack) - 1, open_ or tag in ("option", "select")
                 continue
@@ -193,7 +214,7 @@ def blocks(html: str) -> list[Block]:
                         break
                     if stack[k][0] in _SCOPE:
                         break
-            push(tag, stack[-1][2] + _element_odds(tag, m[3], inside > 0))
+            push(tag, *_element_odds(tag, m[3], inside > 0))
         elif tag in _INLINE:
             began = open_inline.get(tag, [])
             while began and began[-1] not in live:
@@ -221,7 +242,7 @@ def _costs(block: Block) -> float:
     """Log-odds that a block is content: its surroundings, then its own shape."""
     n = len(block.text)
     share = min(1.0, block.linked / n)
-    odds = block.odds + (0.8 if n >= 80 else 0.3 if n >= 25 else 0.0) - 3.0 * (share > 0.6)
+    odds = block.odds + (0.8 if n >= 80 else 0.3 if n >= 25 else 0.0) + (block.doubt - 3.0) * (share > 0.6)
     if block.tag in ("p", "h1", "h2", "h3", "h4", "pre", "blockquote"):
         odds += 0.7
     return odds

@@ -31,6 +31,18 @@ def test_elements_without_end_tags():
     assert H.main_text("<article><p>a <span><button>Go</span> b <svg><path d='1'/><title>t</title><text>no</text></svg>c <button><i>x</i><div>y</div></button>d</p><p>e") == "a b c d e"
 
 
+def test_slug_ids():
+    for slug in ("search-trees", "related-work", "legal-background", "social-impact", "sharing-memory", "meta-analysis", "search"):
+        page = f'<article><h1>A title</h1><p>Opening words.</p><h2 id="{slug}">Head</h2><p id="{slug}-1">Words.</p><div><p>More.</p></div></article>'
+        assert H.main_text(page) == "A title Opening words. Head Words. More.", slug
+    for slug in ("search-trees", "related-work", "legal-background", "social-impact"):
+        for tag in ("section", "div"):
+            assert H.main_text(f'<article><h1>T</h1><p>One.</p><{tag} id="{slug}"><h2>H</h2><p>Two.</p><p>Three, at more length than that.</p></{tag}></article>') == "T One. H Two. Three, at more length than that.", slug
+    for box in ('section id="comments"', 'div id="related-posts"', 'div id="share_buttons"', 'div class="social-share-x"', 'section class="side-bar"'):
+        assert H.main_text(f"<article><p>One.</p><p>Two.</p><{box}><p>Not prose of it.</p></{box.split()[0]}></article>") == "One. Two.", box
+    assert H.main_text('<article><p>One.</p><p>Two.</p><div id="related-reading"><ul><li><a href=x>A link to elsewhere</a></ul></div></article>') == "One. Two."
+
+
 def test_cut_is_the_cheapest_labelling():
     rng = random.Random(3)
     for _ in range(60):
