@@ -6,7 +6,7 @@ one's documents. All but the last return the columns they got. Empty tables pass
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.llm import byte_bpe, mixing, ngram_join, quality_rules, suffix_dedup
@@ -20,12 +20,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document, by id, of each component of similar texts; of rows that share an id, the first by text."""
+    """One row of each component of similar texts: the first by id, then by text. Ids may be null and may repeat."""
     ship(spark)
-    found = cut(ngram_join.similar(docs), "pipeline-components")
-    first = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_first")).distinct()
-    one = Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
-    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("_first")), "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    # the row numbers are written, since they would differ from one reading to the next
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    found = cut(ngram_join.similar(rows, "_row"), "pipeline-components").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
+    others = found.where("_row != _component")
+    members = others.union(others.select(F.col("_component").alias("_row"), "_component").distinct())
+    first = rows.select("_row", "doc_id", "text").join(members, "_row").groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text", "_row")).alias("_first"))
+    left_out = members.join(first.select(F.col("_first._row").alias("_row")), "_row", "left_anti").select("_row")
+    return rows.join(left_out, "_row", "left_anti").select(*docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,14 @@ def test_empty_table(spark):
     for _, stage in pipeline.STAGES:
         docs = cut(stage(spark, docs, SF), "test-empty")
         assert docs.count() == 0
+
+
+def test_null_and_repeated_ids_keep_differing_texts(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = words(0) + " end"
+    rows = [(None, words(0)), (None, words(1)), (None, words(2)), (7, words(3)), (7, words(4)), (7, words(4)), (9, near), (None, words(1) + " end"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, source string")
+    got = pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(None, words(1)), (None, words(2)), (7, words(3)), (7, words(4)), (9, near), (None, None), (None, "")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
