@@ -352,24 +352,29 @@ def store_texts(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 class _Reading:
-    """What is folded over the pages of one file."""
+    """What is folded over the pages of one file: 64 cells of equal size span the payload, on however many pages it lies."""
 
     def __init__(self, head: tuple):
-        self.head, self.sha, self.size, self.tail, self.pages, self.sums, self.cells = head, hashlib.sha256(), 0, b"", 0, 0, []
+        self.head, self.sha, self.size, self.tail, self.pages, self.sums = head, hashlib.sha256(), 0, b"", 0, 0
+        self.cell, self.cells = max(UNIT, -(-head[1] // UNIT) * UNIT) // 64, np.zeros(64, dtype=np.int64)
 
     def add(self, samples: bytes) -> None:
         self.sha.update(samples)
-        self.size += len(samples)
+        first, self.size = self.size, self.size + len(samples)
+        if self.size > 64 * self.cell:
+            raise ValueError(f"document {self.head[0]} has more samples than its payload")
         self.tail = (self.tail + samples[-32:])[-32:]
         self.pages += 1
         values = np.frombuffer(samples, dtype=np.uint8)
         self.sums += int(values.sum(dtype=np.int64))
-        if self.pages == 1:
-            self.cells = [int(c.sum(dtype=np.int64)) * 1000 // max(1, len(c)) for c in np.array_split(values, 64)]
+        if len(values):
+            k = np.arange(first // self.cell, (self.size - 1) // self.cell + 1)
+            self.cells[k] += np.add.reduceat(values, np.maximum(k * self.cell - first, 0), dtype=np.int64)
 
     def row(self) -> tuple:
-        mean = sorted(self.cells)[32] if self.cells else 0
-        bits = sum(1 << i for i, c in enumerate(self.cells) if c > mean)
+        cells = (self.cells * 1000 // self.cell).tolist()
+        mean = sorted(cells)[32]
+        bits = sum(1 << i for i, c in enumerate(cells) if c > mean)
         return (*self.head, self.size, self.sha.hexdigest(), zlib.crc32(self.tail), f"pages={self.pages};mean={self.sums * 1000 // max(1, self.size)};hash={bits:016x}")
 
 

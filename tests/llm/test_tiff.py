@@ -72,3 +72,16 @@ def test_query_against_brute_force(spark, tmp_path):
         r = found[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
     assert found[0][1:] == found[1][1:] and found[7][1:] == found[8][1:]
+
+
+def test_feature_depends_on_every_page(spark, tmp_path):
+    head = "first page " * 60_000
+    texts = [head + " " * 300_000 + "z" * 300_000, head + "z" * 300_000 + " " * 300_000, "short text " * 50]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r.feature for r in tiff.query(spark, str(tmp_path)).collect()}
+    assert found[0] != found[1]
+    for i, text in enumerate(texts):
+        values = np.frombuffer(tiff.padded(text.encode()), dtype=np.uint8)
+        cells = [int(c.sum()) * 1000 // len(c) for c in np.array_split(values.astype(np.int64), 64)]
+        bits = sum(1 << k for k, c in enumerate(cells) if c > sorted(cells)[32])
+        assert found[i] == f"pages={-(-len(values) // (tiff.LINE * tiff.PAGE_LINES))};mean={int(values.sum(dtype=np.int64)) * 1000 // len(values)};hash={bits:016x}"
