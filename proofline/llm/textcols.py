@@ -6,6 +6,7 @@ slice holds a bounded number of bytes (plus at most one document) however long a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,6 +91,37 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: Ranges beyond so many bytes are hashed one by one.
+_LONG_RANGE = 512
+_LANE_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_CHAIN = np.uint64(0xD6E8FEB86659FD93)
+
+
+def range_prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of byte ranges: a chain of mixing steps over lanes of eight bytes, with the length.
+
+    Other than in a polynomial, every step depends on the bytes before it, so no structure of the bytes cancels out.
+    """
+    size = ends - starts
+    with np.errstate(over="ignore"):
+        out = mix(size.astype(np.uint64) * np.uint64(_MULTIPLIER))
+        padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+        lanes = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+        longer = size > _LONG_RANGE
+        open_ = np.flatnonzero(~longer & (size > 0))
+        k = 0
+        while len(open_):
+            left = size[open_] - k
+            lane = lanes[starts[open_] + k] & _LANE_MASKS[np.minimum(left, 8)]
+            out[open_] = mix(out[open_] * _CHAIN ^ lane)
+            open_ = open_[left > 8]
+            k += 8
+        for i in np.flatnonzero(longer):
+            digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+            out[i] = np.uint64(int.from_bytes(digest, "little"))
+    return out
+
+
 class RollingHash:
     """Polynomial fingerprints, modulo 2**64, of any byte ranges of one flat array in constant time each."""
 
