@@ -1,29 +1,37 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source is a queue of its documents in a fixed shuffled order, passed through up to ``passes`` times. A copy's
-virtual finish time is the source's cumulative size, through that copy, over the source's target. The mix takes
-copies in order of finish time until the total budget is spent; one best-fitting document per source then closes the
-gap that a whole document at the boundary leaves.
+virtual finish time is the source's cumulative size, through that copy, over the source's target. All copies are sorted
+by finish time, and the mix takes them in that order while their cumulative size is within the total budget. A source
+so ends within a document of its target, and within what whole documents at the end of other queues leave unspent.
 
 Targets: sources in code-point order (null last) weigh 1, 2, ..., ``cycle``, repeating, and share the total size; a
 target stops at ``passes`` times its source's size and the excess goes to the others by weight.
 
-A queue is never one group: it is split into slices of the shuffled order, sums of slices give each slice its offset,
-and only the sums meet. The cut in finish time is found on a histogram, then exactly inside one of its bins.
+Both orders, of the queues and of the copies, are range partitions over the whole table: each partition sums what it
+holds, the partitions' totals are summed by themselves, and nothing else meets. So no source is a group, and rows that
+are alike in all columns are dealt on by their row number. The cut is one row.
 
 Defined cases: a null text has size 0; documents of size 0 are never taken; a null source is a source; repeated rows
-each count; an empty table gives no rows; columns named like the results are replaced.
+each count; rows that share an id are ordered by a hash of all their columns, so reruns agree; an empty table gives no
+rows; columns named like the results are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from proofline.session import cut
+from proofline.session import cut, ship
 
 SEED = 20_240_607
-SLICE_ROWS = 16_384
 
 
 def n_words(text: Column) -> Column:
@@ -55,64 +63,81 @@ def targets(sources: DataFrame, passes: int = 3, cycle: int = 3) -> DataFrame:
     return ranked.select("source", "source_size", "weight", F.least(F.col("ceiling"), F.when(F.col("_at") == float("inf"), F.col("ceiling")).otherwise(F.col("_at") * F.col("weight"))).alias("target"))
 
 
-def mix(df: DataFrame, source: str = "source", size: str = "size", key: str = "doc_id", passes: int = 3, cycle: int = 3, seed: int = SEED, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def _summed(batches: Iterable[pa.RecordBatch], size: str, by: str | None) -> Iterator[pa.RecordBatch]:
+    """Sorted rows with ``_part``, the partition, and ``_sum``, the running sum of ``size`` in it, per run of ``by``."""
+    part, total, last = TaskContext.get().partitionId(), 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sums = np.cumsum(batch.column(batch.schema.get_field_index(size)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        if by is None:
+            sums += total
+        else:
+            column = batch.column(batch.schema.get_field_index(by))
+            codes = pc.dictionary_encode(column, null_encoding="encode").indices.to_numpy()
+            begins = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            before = np.where(begins > 0, sums[begins - 1], 0)
+            if last is not None and column[0].as_py() == last[0]:
+                before[0] = -total
+            sums -= np.repeat(before, np.diff(np.concatenate([begins, [len(sums)]])))
+            last = (column[-1].as_py(),)
+        total = int(sums[-1])
+        columns = [*batch.columns, pa.array(np.full(len(sums), part, dtype=np.int64)), pa.array(sums)]
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_part", "_sum"])
+
+
+def _in_order(df: DataFrame, order: list[Column], size: str, by: str | None, name: str) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order``, written down with the columns of ``_summed``."""
+    ship(df.sparkSession)
+    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.LongType()), T.StructField("_sum", T.LongType())])
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut(dealt.mapInArrow(lambda it: _summed(it, size, by), schema), name)
+
+
+def mix(
+    df: DataFrame, source: str = "source", size: str = "size", key: str = "doc_id", passes: int = 3, cycle: int = 3, seed: int = SEED
+) -> DataFrame:
     """``df`` with ``source_size``, ``target``, ``copies`` (times the mix takes the document) and ``taken`` (its size times copies)."""
-    spark = df.sparkSession
-    own = {"source_size", "target", "copies", "taken", "_turn", "_slice", "_done"}
+    own = {"source_size", "target", "copies", "taken", "_name", "_bare", "_turn", "_tie", "_row", "_part", "_sum", "_done", "_of", "_in", "_offset"}
     rows = df.select(*(c for c in df.columns if c.lower() not in own))
-    slim = cut(rows.select(F.col(source).alias("source"), F.col(size).cast("long").alias("size"), F.col(key).alias("key"), F.xxhash64(F.col(key), F.lit(seed)).alias("_turn")), "mix-sizes")
-    n = slim.count()
-    bits = max(0, (max(1, n) // slice_rows).bit_length())
-    slice_of = F.shiftrightunsigned("_turn", 64 - bits) if bits else F.lit(0).cast("long")
-    slim = slim.withColumn("_slice", slice_of)
-    sums = slim.groupBy("source", "_slice").agg(F.sum("size").alias("s"))
-    offsets = sums.withColumn("_offset", F.sum("s").over(Window.partitionBy("source").orderBy("_slice")) - F.col("s")).drop("s")
-    aims = targets(sums.groupBy("source").agg(F.sum("s").alias("source_size")), passes, cycle)
-    # sums of slices and sources: as many rows as queues have slices
-    aimed = cut(offsets.join(aims, offsets["source"].eqNullSafe(aims["source"])).select(offsets["source"], "_slice", "_offset", "source_size", "target"), "mix-queues")
-
-    def queued(x: DataFrame, name: str, width: str, tie: str) -> DataFrame:
-        """Rows with their source's cumulative size through them."""
-        joined = x.join(aimed.withColumnRenamed("source", "_source").withColumnRenamed("_slice", "_in"), F.col(name).eqNullSafe(F.col("_source")) & (F.col("_slice") == F.col("_in")))
-        turn = Window.partitionBy("_source", "_slice").orderBy("_turn", tie, width).rowsBetween(Window.unboundedPreceding, 0)
-        return joined.withColumn("_done", F.col("_offset") + F.sum(width).over(turn))
-
-    finish = lambda j: (F.col("_done") + F.lit(j).cast("long") * F.col("source_size")) / F.col("target")
-    queue = cut(queued(slim, "source", "size", "key").where("size > 0").select("_source", "size", "_done", "source_size", "target"), "mix-queue")
-    copies = queue.select("_source", "size", F.explode(F.array(*(finish(j) for j in range(passes)))).alias("f"))
-    bins = max(1024, n // 4096)
-    binned = copies.withColumn("b", F.least(F.floor(F.col("f") * bins), F.lit(4 * bins)).cast("long"))
-    budget = slim.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("budget"))
-    levels = binned.groupBy("b").agg(F.sum("size").alias("s")).withColumn("through", F.sum("s").over(Window.orderBy("b")))
-    # the bin in which the budget runs out, and what the bins before it take
-    edge = levels.crossJoin(budget).where("through > budget").agg(F.min(F.struct("b", (F.col("through") - F.col("s")).alias("before"))).alias("e")).select("e.*").crossJoin(budget)
-    last = (
-        binned.join(F.broadcast(edge), "b")
-        .withColumn("through", F.col("before") + F.sum("size").over(Window.partitionBy("b").orderBy("f", F.col("_source").asc_nulls_last(), "size")))
-        .where("through <= budget")
-        .agg(F.max("f").alias("f_in"))
+    shuffled = rows.withColumns(
+        {
+            "_bare": F.col(source).isNull(),
+            "_name": F.coalesce(F.col(source).cast("string"), F.lit("")),
+            "_turn": F.xxhash64(F.col(key), F.lit(seed)),
+            "_tie": F.xxhash64(*rows.columns),
+            "_row": F.monotonically_increasing_id(),
+        }
     )
-    # one row: everything finishing by `until` is in; an unspent budget takes all there is
-    until = edge.crossJoin(last).agg(F.first(F.coalesce("f_in", F.col("b") / bins - 1e-12)).alias("until")).select(F.coalesce("until", F.lit(float("inf"))).alias("until"))
-    n_in = sum((F.when(finish(j) <= F.col("until"), 1).otherwise(0) for j in range(passes)), F.lit(0))
-    first = queue.crossJoin(F.broadcast(until)).withColumn("n", n_in)
-    gaps = first.groupBy("_source").agg((F.first("target") - F.sum(F.col("size") * F.col("n"))).alias("gap"))
-    fits = (
-        first.where(F.col("n") < passes)
-        .join(gaps.withColumnRenamed("_source", "_of"), F.col("_source").eqNullSafe(F.col("_of")))
-        .where(F.abs(F.col("gap") - F.col("size")) < F.abs(F.col("gap")))
-        .groupBy("_source")
-        .agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")), F.col("_done"))).alias("m"))
-        .select(F.col("_source").alias("_fit"), F.col("m._done").alias("_extra"))
-    )
-    settled = cut(fits.crossJoin(until), "mix-edge") if n else None
-    if settled is None:
-        return rows.withColumns({"source_size": F.lit(0).cast("long"), "target": F.lit(0.0), "copies": F.lit(0), "taken": F.lit(0).cast("long")})
-    line = cut(until, "mix-until")
-    full = queued(rows.withColumn("_turn", F.xxhash64(F.col(key), F.lit(seed))).withColumn("_slice", slice_of), source, size, key)
-    decided = full.crossJoin(F.broadcast(line)).join(settled.select("_fit", "_extra"), F.col("_source").eqNullSafe(F.col("_fit")), "left")
-    count = F.when(F.col(size) > 0, n_in + F.when(F.col("_extra") == F.col("_done"), 1).otherwise(0)).otherwise(0)
-    return decided.withColumn("copies", count.cast("int")).withColumn("taken", (F.col("copies") * F.col(size)).cast("long")).select(*rows.columns, "source_size", "target", "copies", "taken")
+    queues = _in_order(shuffled, [F.col(c) for c in ("_bare", "_name", "_turn", "_tie", "_row")], size, source, "mix-queues")
+    # what each partition holds of each source: a row for each partition and for each source
+    sums = queues.groupBy("_part", F.col(source).alias("source")).agg(F.max("_sum").alias("s"))
+    offsets = sums.withColumn("_offset", F.sum("s").over(Window.partitionBy("source").orderBy("_part")) - F.col("s"))
+    aims = targets(sums.groupBy("source").agg(F.sum("s").alias("source_size")), passes, cycle)
+    aimed = offsets.join(aims, offsets["source"].eqNullSafe(aims["source"]))
+    aimed = cut(aimed.select(offsets["source"].alias("_of"), F.col("_part").alias("_in"), "_offset", "source_size", "target"), "mix-targets")
+    placed = queues.join(aimed, F.col(source).eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_in")))
+    placed = placed.withColumn("_done", F.col("_offset") + F.col("_sum"))
+
+    def finish(j: int | Column) -> Column:
+        through = F.col("_done") + F.lit(j).cast("long") * F.col("source_size")
+        return F.try_divide(through.cast("double"), F.col("target"))
+
+    place = lambda f: F.struct(f.alias("f"), "_bare", "_name", "_done")
+    copies = placed.where(F.col(size) > 0).select(F.explode(F.array(*(place(finish(j)) for j in range(passes)))).alias("at"), F.col(size).cast("long").alias("size"))
+    ordered = _in_order(copies.select("at.*", "size"), [F.col(c) for c in ("f", "_bare", "_name", "_done")], "size", None, "mix-order")
+    parts = ordered.groupBy("_part").agg(F.max("_sum").alias("s"))
+    before = parts.select(F.col("_part").alias("_in"), (F.sum("s").over(Window.orderBy("_part")) - F.col("s")).alias("_offset"))
+    budget = sums.agg(F.coalesce(F.sum("s"), F.lit(0))).first()[0]
+    within = ordered.join(before, F.col("_part") == F.col("_in")).where(F.col("_offset") + F.col("_sum") <= budget)
+    end = within.agg(F.max(place(F.col("f"))).alias("end")).first()["end"]
+    if end is None:
+        count = F.lit(0)
+    else:
+        last = F.struct(F.lit(end["f"]).alias("f"), F.lit(end["_bare"]).alias("_bare"), F.lit(end["_name"]).alias("_name"), F.lit(end["_done"]).cast("long").alias("_done"))
+        count = sum((F.when((F.col(size) > 0) & (place(finish(j)) <= last), 1).otherwise(0) for j in range(passes)), F.lit(0))
+    decided = placed.withColumn("copies", count.cast("int")).withColumn("taken", F.coalesce(F.col("copies") * F.col(size), F.lit(0)).cast("long"))
+    return decided.select(*rows.columns, "source_size", "target", "copies", "taken")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
