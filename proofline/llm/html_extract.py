@@ -1,9 +1,12 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page becomes blocks of text in page order. A classifier over a block's surroundings and shape gives what it costs to
-call the block content or boilerplate: the capacities to the two terminals. Neighbours in page order and blocks that
-share DOM ancestors are joined by edges, whose capacities are what it costs to part them. The minimum cut of that
-graph, by augmenting paths, is the cheapest labelling; the content side, in page order, is the main text.
+call the block content or boilerplate: the capacities to the two terminals. A block that is short beside the others of
+its container speaks against itself there. Neighbours in page order are joined by edges that weaken with their distance
+in the DOM, blocks of one parent by a further edge, and each block with the longest of its container; between containers
+of different kind edges are weak. The minimum cut of that graph, by augmenting paths, is the cheapest labelling, so a
+line that looks like boilerplate by itself stays in the article around it, and one that looks like prose goes with its
+surroundings. The content side, in page order, is the main text.
 
 Blocks inside scripts, styles, templates, forms' controls and other elements without prose are no candidates. Where such
 an element is not closed, it ends with its parent or at the next block; only a script goes on to the page's end.
@@ -25,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+_START = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_STOP = re.compile(r"[\"'>]")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 
@@ -45,7 +49,7 @@ _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "main", "nav", "aside", "header", "footer", "form"}
 
 #: The classifier: log-odds for content of what surrounds a block, learned by hand from how pages are marked up.
-_TAG_ODDS = {"article": 3.0, "main": 2.5, "nav": -6.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "header": -3.0, "menu": -6.0, "dialog": -5.0, "address": -2.0, "figcaption": 0.5, "blockquote": 0.5, "fieldset": -5.0}
+_TAG_ODDS = {"article": 3.0, "main": 2.5, "nav": -6.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "header": -3.0, "menu": -6.0, "dialog": -5.0, "address": -0.5, "figcaption": 0.5, "blockquote": 0.5, "fieldset": -5.0}
 _BAD_WORDS = r"(?:ads?|advert\w*|adverts?|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|popups?|modal|overlay|nav\w*|menu\w*|breadcrumbs?|footer\w*|site-?header|masthead|side-?bar\w*|widgets?|related\w*|recommend\w*|share\w*|sharing|social\w*|comments?\w*|disqus|respon[ds]\w*|replies|reply|subscribe|newsletter|sign-?up|login|log-?in|search\w*|pagination|pager|toolbar|copyright|legal|disclaimer|skip\w*|tags?|tagcloud|meta)"
 _BAD_WORD = re.compile(rf"(?:^|[\s_-]){_BAD_WORDS}(?:$|[\s_-])", re.I)
 #: Words that do not make more than boilerplate of a boilerplate word.
@@ -56,18 +60,85 @@ _GOOD_WORD = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry\w*|content|main\w
 _ROLES = {"navigation": -6.0, "banner": -4.0, "contentinfo": -6.0, "complementary": -6.0, "search": -6.0, "form": -6.0, "dialog": -5.0, "alert": -4.0, "main": 2.5, "article": 3.0}
 _PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 _BAD, _GOOD, _HIDDEN = -6.0, 1.5, -8.0
-#: Costs of parting two blocks: neighbours in page order, and by shared parent.
-_NEIGHBOUR, _SIBLING = 0.35, 0.65
+#: What evidence for content counts, of that against it; evidence that makes an element a container of its own.
+_POSITIVE, _CONTAINER = 0.5, 1.0
+#: A block that is shorter than this share of its container's median, and what that counts.
+_SHORT_SHARE, _SHORT = 0.25, -2.3
+#: Costs of parting two blocks: neighbours in page order, by shared parent, and from the longest of their container.
+_NEIGHBOUR, _SIBLING, _ANCHOR = 0.9, 0.5, 0.6
+#: What is left of these between containers, and the DOM distance beyond which neighbours are not joined.
+_ACROSS, _FAR = 0.1, 6
 
 
 class Block:
-    """A run of text between block boundaries, with its path of element numbers and the path's log-odds."""
+    """A run of text between block boundaries, with its element and the log-odds of the element's path.
 
-    __slots__ = ("doubt", "linked", "odds", "parent", "path", "tag", "text")
+    Elements are (parent, depth, number) of the DOM; ``container`` is the number of the innermost element that tells
+    content from boilerplate.
+    """
 
-    def __init__(self, text: str, linked: int, tag: str, path: tuple[int, ...], odds: float, doubt: float = 0.0):
-        self.text, self.linked, self.tag, self.path, self.odds, self.doubt = text, linked, tag, path, odds, doubt
-        self.parent = path[-2] if len(path) > 1 else 0
+    __slots__ = ("container", "doubt", "element", "linked", "odds", "parent", "tag", "text")
+
+    def __init__(self, text: str, linked: int, tag: str, element: tuple, odds: float, doubt: float, container: int):
+        self.text, self.linked, self.tag, self.element, self.odds, self.doubt, self.container = text, linked, tag, element, odds, doubt, container
+        self.parent = element[0][2] if element[0] else 0
+
+
+def _distance(a: tuple, b: tuple) -> int:
+    """Elements between two and their lowest common ancestor, 0 for siblings; at most about ``_FAR``."""
+    steps = 0
+    while a[2] != b[2] and steps <= _FAR + 2:
+        if a[1] >= b[1]:
+            a = a[0]
+        else:
+            b = b[0]
+        steps += 1
+    return max(0, steps - 2)
+
+
+class _Tags:
+    """Reads tags from left to right in linear time: a quote without its like closes nothing."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.done: set[str] = set()
+
+    def _find(self, what: str, at: int) -> int:
+        if what in self.done:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.done.add(what)
+        return found
+
+    def next(self, at: int) -> tuple[int, int, str, str | None, str] | None:
+        """(start, end, slash, name, attributes) of the next tag, or name None for comments and declarations."""
+        html = self.html
+        while True:
+            m = _START.search(html, at)
+            if m is None:
+                return None
+            if m[1] or m[2]:
+                end = "-->" if m[1] else "]]>"
+                stop = self._find(end, m.end())
+                return m.start(), len(html) if stop < 0 else stop + 3, "", None, ""
+            stop = self._find(">", m.end()) if m[3] else self._attributes(m.end())
+            if stop >= 0:
+                return m.start(), stop + 1, m[4] or "", m[5], "" if m[3] else html[m.end() : stop]
+            if ">" in self.done:
+                return None
+            at = m.end()
+
+    def _attributes(self, at: int) -> int:
+        while True:
+            m = _STOP.search(self.html, at) if ">" not in self.done else None
+            if m is None:
+                self.done.add(">")
+                return -1
+            if m[0] == ">":
+                return m.start()
+            close = self._find(m[0], m.end())
+            at = m.end() if close < 0 else close + 1
 
 
 def _only_boilerplate(value: str) -> bool:
@@ -90,7 +161,7 @@ def _element_odds(tag: str, attributes: str, inside: bool) -> tuple[float, float
     if tag == "header" and inside:
         odds = 0.0  # an article's own head
     if not attributes.strip("/ \n\t"):
-        return odds, doubt
+        return (odds * _POSITIVE if odds > 0 else odds), doubt
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "itemprop"):
@@ -108,13 +179,14 @@ def _element_odds(tag: str, attributes: str, inside: bool) -> tuple[float, float
             odds += _ROLES.get(value.lower(), 0.0)
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             odds += _HIDDEN
-    return odds, doubt
+    return (odds * _POSITIVE if odds > 0 else odds), doubt
 
 
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, int, float, float]] = [("", 0, 0.0, 0.0)]  # open block elements: name, number, log-odds of the path
+    stack: list[tuple] = [("", 0, 0.0, 0.0, (None, 0, 0), 0)]  # open block elements: name, number, log-odds of the path, element, container
+    tags = _Tags(html)
     parts: list[str] = []
     linked, in_link, number, at, size, inside = 0, 0, 0, 0, len(html), 0
     drop, loose = 0, False  # the place of the outermost dropped element in the stack, and whether the next block ends it
@@ -125,8 +197,8 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip(" ")
             if text:
-                path = stack[:drop] if drop else stack
-                found.append(Block(text, linked, path[-1][0], tuple(x[1] for x in path), *path[-1][2:]))
+                name, _, odds, doubt, element, container = stack[drop - 1 if drop else -1]
+                found.append(Block(text, linked, name, element, odds, doubt, container))
             parts.clear()
         linked = 0
 
@@ -142,7 +214,9 @@ def blocks(html: str) -> list[Block]:
         nonlocal number, inside
         number += 1
         live.add(number)
-        stack.append((tag, number, stack[-1][2] + odds, stack[-1][3] + doubt))
+        above = stack[-1]
+        element = (above[4], above[4][1] + 1, number)
+        stack.append((tag, number, above[2] + odds, above[3] + doubt, element, number if abs(odds) >= _CONTAINER else above[5]))
         inside += tag in ("article", "main")
 
     def unclosed(tag: str) -> bool:
@@ -161,18 +235,18 @@ def blocks(html: str) -> list[Block]:
                 linked += len(text)
 
     while at < size:
-        m = _TOKEN.search(html, at)
-        if m is None:
+        read = tags.next(at)
+        if read is None:
             words(html[at:])
             break
-        words(html[at : m.start()])
-        at = m.end()
-        tag = m[2]
+        start, end, slash, tag, attributes = read
+        words(html[at:start])
+        at = end
         if tag is None:
             continue
         tag = tag.lower()
-        if not m[1]:
-            shut = m[3].rstrip().endswith("/")
+        if not slash:
+            shut = attributes.rstrip().endswith("/")
             if shut and (tag == "svg" or (drop and stack[drop][0] == "svg")):
                 continue
             open_ = (tag in _RAW or tag in _DROPPED) and unclosed(tag)
@@ -214,7 +288,7 @@ def blocks(html: str) -> list[Block]:
                         break
                     if stack[k][0] in _SCOPE:
                         break
-            push(tag, *_element_odds(tag, m[3], inside > 0))
+            push(tag, *_element_odds(tag, attributes, inside > 0))
         elif tag in _INLINE:
             began = open_inline.get(tag, [])
             while began and began[-1] not in live:
@@ -238,16 +312,43 @@ def blocks(html: str) -> list[Block]:
     return found
 
 
-def _costs(block: Block) -> float:
-    """Log-odds that a block is content: its surroundings, then its own shape."""
-    n = len(block.text)
-    share = min(1.0, block.linked / n)
-    odds = block.odds + (0.8 if n >= 80 else 0.3 if n >= 25 else 0.0) + (block.doubt - 3.0) * (share > 0.6)
-    if block.tag in ("p", "h1", "h2", "h3", "h4", "pre", "blockquote"):
-        odds += 0.7
+def _costs(found: list[Block]) -> list[float]:
+    """Log-odds that each block is content: its surroundings, then its own shape, also beside its container's others."""
+    sizes: dict[int, list[int]] = {}
+    for block in found:
+        sizes.setdefault(block.container, []).append(len(block.text))
+    middle = {container: sorted(n)[len(n) // 2] for container, n in sizes.items()}
+    odds = []
+    for block in found:
+        n = len(block.text)
+        own = block.odds + (0.8 if n >= 80 else 0.3 if n >= 25 else 0.0) + (block.doubt - 2.2) * (block.linked > 0.6 * n)
+        if block.tag in ("p", "h1", "h2", "h3", "h4", "pre", "blockquote"):
+            own += 0.7
+        odds.append(own + (_SHORT if n < _SHORT_SHARE * middle[block.container] else 0.0))
     return odds
 
 
+def _edges(found: list[Block]) -> list[tuple[int, int, float]]:
+    """Pairs of blocks with the cost of parting them."""
+    edges, last, longest = [], {}, {}
+    for i, block in enumerate(found):
+        if block.container not in longest or len(block.text) > len(found[longest[block.container]].text):
+            longest[block.container] = i
+    for i, block in enumerate(found):
+        if i:
+            before = found[i - 1]
+            far = _distance(before.element, block.element)
+            if far <= _FAR:
+                edges.append((i - 1, i, _NEIGHBOUR * 0.5**far * (1 if before.container == block.container else _ACROSS)))
+        if block.parent in last:
+            j = last[block.parent]
+            edges.append((j, i, _SIBLING * (1 if found[j].container == block.container else _ACROSS)))
+        last[block.parent] = i
+        if longest[block.container] != i:
+            edges.append((longest[block.container], i, _ANCHOR))
+    return edges
+
+
 def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes stay on the content side of the cheapest cut.
 
@@ -292,16 +393,9 @@ def labelled(found: list[Block]) -> list[bool]:
     A block that would pay more at its terminal than for parting from all its neighbours is on its own side in every
     cheapest cut; what it pulls on its neighbours is added to their ties, and the flow runs over the rest.
     """
-    odds = [_costs(b) for b in found]
+    odds, edges = _costs(found), _edges(found)
     if all(w > 0 for w in odds) or all(w <= 0 for w in odds):
         return [w > 0 for w in odds]
-    edges, last = [], {}
-    for i, block in enumerate(found):
-        if i:
-            edges.append((i - 1, i, _NEIGHBOUR))
-        if block.parent in last:
-            edges.append((last[block.parent], i, _SIBLING))
-        last[block.parent] = i
     around = [0.0] * len(odds)
     for a, b, w in edges:
         around[a] += w

@@ -1,5 +1,10 @@
 import itertools
 import random
+import re
+import time
+from html import unescape
+
+import pyarrow.parquet as pq
 
 from proofline.llm import html_extract as H
 
@@ -43,6 +48,39 @@ def test_slug_ids():
     assert H.main_text('<article><p>One.</p><p>Two.</p><div id="related-reading"><ul><li><a href=x>A link to elsewhere</a></ul></div></article>') == "One. Two."
 
 
+def test_cut_decides_without_article():
+    """Pages without an article: the labels of some blocks are not the signs of their own costs."""
+    long = "A paragraph of prose that goes on for a while, as paragraphs of an article do, with clauses and a full stop."
+    page = f"""<body><div><a href=/>Home</a></div><div><a href=/n>News</a></div>
+    <div><h1>Of cuts</h1><p>{long}</p><p>Short.</p><p>{long}</p><div>Note</div><p>{long}</p><p><a href=x>A link</a></p><p>{long}</p></div>
+    <div class="footer"><p>{long} It is about the makers of this site and not about the matter.</p></div></body>"""
+    found = H.blocks(page)
+    labels, costs = H.labelled(found), H._costs(found)
+    moved = [b.text for b, kept, w in zip(found, labels, costs) if kept != (w > 0)]
+    assert {"A link", "Note"} <= set(moved)
+    assert H.main_text(page) == f"Of cuts {long} Short. {long} Note {long} A link {long}"
+
+
+def test_articles_of_all_pages():
+    """The whole table against the text of its article elements, and the cut against the signs of the costs."""
+    table = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).to_pydict()["html"]
+    moved = 0
+    for html in table:
+        article = re.search(r"<article>(.*?)</article>", html, re.S)[1]
+        text = unescape(re.sub(r"<[^>]*>", "", re.sub(r"<(?:/?p|br|/?h1)>", " ", article)))
+        assert H.main_text(html) == " ".join(re.split(r"[ \t\n\v\f\r]+", text.strip(" \t\n\v\f\r")))
+        found = H.blocks(html)
+        moved += sum(kept != (w > 0) for kept, w in zip(H.labelled(found), H._costs(found)))
+    assert moved > 0
+
+
+def test_hostile_markup_takes_linear_time():
+    for part in ('<a "', "<a '", "<a \"'", "<!", "<p title='", "<b>", "</i", "<button>", "<![CDATA[", "<div a=\"'>"):
+        began = time.monotonic()
+        H.main_text(part * 20_000)
+        assert time.monotonic() - began < 20, part
+
+
 def test_cut_is_the_cheapest_labelling():
     rng = random.Random(3)
     for _ in range(60):
