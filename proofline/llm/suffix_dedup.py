@@ -6,18 +6,20 @@ documents.
 
 Only suffixes that can repeat are sorted. Each window of ``LENGTH`` bytes belongs to the smallest fingerprint among
 the ``ANCHOR``-byte strings inside it, so equal windows belong to equal anchors at equal places, and windows of
-anchors that occur once in the corpus are no repeats. Anchors number about 2 in 70 bytes. The windows of the other
-anchors are sorted, group by group, deep-shallow: a multikey sort over 8-byte characters to a shallow depth, then
-blind tries for the groups that still hang together: a member is compared once, with its trie's first leaf, and hangs
-where they part.
+anchors that occur once in the corpus are no repeats. Anchors number about 2 in 70 bytes. The suffixes of the other
+anchors are sorted, group by group, deep-shallow (``deep_shallow``): a multikey quicksort over 8-byte characters to a
+shallow depth, then blind tries for the groups that still hang together. Equal strings come out side by side. The first
+sort is over the suffixes where runs of windows start, to the runs' lengths, which settles copies of whole runs; the
+second is over the windows of the runs that are left.
 
 Documents are dealt to buckets of about ``BUCKET_BYTES``. A bucket first resolves its own repeats and sends on only the
 first of each, so a passage that a third of all documents share arrives at the sort once per bucket, not once per
 document; beyond ``FAN_IN`` buckets the sort has further levels, each merging at most so many.
 
 Defined cases: null and empty texts have no bytes and stay as they are; rows that share an id are ordered by their
-text, equal rows one after the other (one of them is first); a null id comes after all others; a table without rows
-gives none; columns of the input that clash with the results' are replaced.
+bucket, then text, equal rows one after the other (one of them is first), so an id on a third of all rows is no single
+bucket; a null id comes after all others; a table without rows gives none; columns of the input that clash with the
+results' are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +43,8 @@ SHALLOW = 16
 #: Windows sorted at a time.
 SORTED = 300_000
 _CHUNK = 1 << 20
+#: Anchors that a task remembers to have told of.
+TOLD = 1 << 18
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -86,81 +91,95 @@ def _runs(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
-def repeats(buffer: np.ndarray, start: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Which windows equal an earlier one of their group. Windows come in order; windows of other groups differ."""
-    found = np.zeros(len(start), dtype=bool)
+def _quicksort(words: np.ndarray, start: np.ndarray, size: np.ndarray, now: np.ndarray, label: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Multikey quicksort of all groups at once, to ``SHALLOW`` bytes; ``order`` takes the items of each place.
+
+    A round parts every open group by the 8-byte character of its middle member into the smaller, the equal and the
+    greater; the equal go on with the next character. Returns (place, item, group) of the groups that still hang together.
+    """
+    slot, depth = np.arange(len(now)), np.zeros(len(now), dtype=np.int64)
+    deep = []
+    while len(now):
+        heads = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
+        count = np.diff(np.concatenate([heads, [len(now)]]))
+        many = np.repeat(count > 1, count)
+        shallow = depth < SHALLOW
+        hang = many & ~shallow
+        if hang.any():
+            deep.append((slot[hang], now[hang], np.repeat(slot[heads], count)[hang]))
+        go = many & shallow
+        slot, now, label, depth = slot[go], now[go], label[go], depth[go]
+        if not len(now):
+            break
+        heads = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
+        count = np.diff(np.concatenate([heads, [len(now)]]))
+        char = words[start[now] + np.minimum(depth, size[now] - 8)].astype(np.uint64)
+        pivot = np.repeat(char[heads + count // 2], count)
+        side = (char >= pivot).astype(np.int64) + (char > pivot)
+        key = np.repeat(np.arange(len(heads)), count) * 3 + side
+        by = np.argsort(key, kind="stable")
+        now, label, depth = now[by], key[by], depth[by] + 8 * (side[by] == 1)
+        order[slot] = now
+    if not deep:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none
+    slot, now, label = (np.concatenate(x) for x in zip(*deep))
+    by = np.argsort(slot, kind="stable")
+    return slot[by], now[by], label[by]
+
+
+def deep_shallow(buffer: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes sorted by group, then by their first ``size`` bytes (8 at least, the same in a group), then as they come.
+
+    Returns (order, fresh): the suffix at each place, and whether it differs from the one before.
+    """
     padded = np.concatenate([buffer, np.zeros(8, dtype=np.uint8)])
     words = np.ndarray((len(padded) - 7,), dtype=">u8", buffer=padded, strides=(1,))
-    now = np.arange(len(start))
-    # shallow: a multikey sort, one 8-byte character after the other, over groups that still have two members
-    for depth in range(0, SHALLOW + 1, 8):
-        if depth == 0:
-            order = np.argsort(group, kind="stable")
-            label = _runs(order, group)
-        else:
-            char = words[start[now] + depth - 8].astype(np.uint64)
-            order = np.lexsort((char, label_of))
-            label = _runs(order, label_of, char)
-        now = now[order]
-        many = np.bincount(label)[label] > 1 if len(label) else np.zeros(0, dtype=bool)
-        now, label_of = now[many], label[many]
-    # deep: blind tries; members of a group are in order, so the first is the leaf that all others meet
-    offsets = [*range(SHALLOW, LENGTH - 7, 8)] + ([LENGTH - 8] if (LENGTH - SHALLOW) % 8 else [])
+    now = np.argsort(group, kind="stable")
+    order, fresh = now.copy(), np.ones(len(now), dtype=bool)
+    slot, now, label = _quicksort(words, start, size, now, _runs(now, group), order)
+    # blind tries, those of all groups at once: a member is compared once, with its trie's first leaf, and hangs where
+    # they part; what hangs at one branch is a trie again
     while len(now):
-        head = np.flatnonzero(np.concatenate([[True], label_of[1:] != label_of[:-1]]))
+        head = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
         leaf = np.repeat(now[head], np.diff(np.concatenate([head, [len(now)]])))
-        depth, branch = np.full(len(now), LENGTH), np.zeros(len(now), dtype=np.int64)
-        open_ = np.arange(len(now))
-        for k in offsets:
-            own, other = words[start[now[open_]] + k].astype(np.uint64), words[start[leaf[open_]] + k].astype(np.uint64)
+        depth, branch, side = (np.zeros(len(now), dtype=np.int64) for _ in range(3))
+        open_, k = np.arange(len(now)), SHALLOW
+        while len(open_):
+            # the last word of a suffix overlaps the one before it
+            off = np.minimum(k, size[now[open_]] - 8)
+            own, other = words[start[now[open_]] + off].astype(np.uint64), words[start[leaf[open_]] + off].astype(np.uint64)
             apart = own != other
-            if apart.any():
-                at = open_[apart]
+            at = open_[apart]
+            if len(at):
                 # the first byte that differs, from the highest bit that does
                 odd = own[apart] ^ other[apart]
-                depth[at] = k + sum((odd < np.uint64(1 << 8 * j)).astype(np.int64) for j in range(1, 8))
+                depth[at] = off[apart] + sum((odd < np.uint64(1 << 8 * j)).astype(np.int64) for j in range(1, 8))
                 branch[at] = buffer[start[now[at]] + depth[at]]
-                open_ = open_[~apart]
-                if not len(open_):
-                    break
-        same = depth == LENGTH
-        same[head] = False
-        found[now[same]] = True
-        rest = ~same
-        rest[head] = False
-        now, label, depth, branch = now[rest], label_of[rest], depth[rest], branch[rest]
-        order = np.lexsort((now, branch, depth, label))
-        fresh = _runs(order, label, depth, branch)
-        now = now[order]
-        many = np.bincount(fresh)[fresh] > 1 if len(fresh) else np.zeros(0, dtype=bool)
-        now, label_of = now[many], fresh[many]
-    return found
-
-
-def whole_runs(buffer: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Which runs of windows, in order, equal the first run of their group and length byte for byte.
-
-    Copies share all of an anchor's windows: one comparison with the trie's first leaf settles them together.
-    """
-    size = np.diff(at)
-    found = np.zeros(len(size), dtype=bool)
-    order = np.lexsort((size, group))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (group[order][1:] != group[order][:-1]) | (size[order][1:] != size[order][:-1])
-    head = np.flatnonzero(new)
-    leaf = np.repeat(order[head], np.diff(np.concatenate([head, [len(order)]])))
-    own, leaf = order[~new], leaf[~new]
-    words = np.ndarray((max(0, len(buffer) - 7),), dtype="<u8", buffer=np.ascontiguousarray(buffer), strides=(1,))
-    for k in range(0, int(size.max(initial=0)), 8):
-        if not len(own):
-            break
-        # the last word of a run overlaps the one before it
-        off = np.minimum(k, size[own] - 8)
-        same = words[at[own] + off] == words[at[leaf] + off]
-        done = same & (off < k)
-        found[own[done]] = True
-        own, leaf = own[same & ~done], leaf[same & ~done]
-    found[own] = True
+                side[at] = np.where(own[apart] > other[apart], 1, -1)
+            k += 8
+            open_ = open_[~apart & (off + 8 < size[now[open_]])]
+        # what is smaller than the leaf comes first, the sooner it parts from it; what is greater, the later
+        by = np.lexsort((now, branch, -depth * side, side, label))
+        new = np.diff(_runs(by, label, side, depth, branch), prepend=-1) > 0
+        now, side = now[by], side[by]
+        order[slot] = now
+        fresh[slot] |= new
+        fresh[slot[(side == 0) & ~new]] = False
+        heads = np.flatnonzero(new)
+        count = np.diff(np.concatenate([heads, [len(now)]]))
+        more = np.repeat(count > 1, count) & (side != 0)
+        label = np.repeat(slot[heads], count)[more]
+        slot, now = slot[more], now[more]
+    return order, fresh
+
+
+def repeats(buffer: np.ndarray, start: np.ndarray, size: np.ndarray | int, group: np.ndarray) -> np.ndarray:
+    """Which suffixes equal an earlier one of their group over their first ``size`` bytes."""
+    size = np.broadcast_to(np.asarray(size, dtype=np.int64), start.shape)
+    order, fresh = deep_shallow(buffer, start, size, group)
+    found = np.zeros(len(start), dtype=bool)
+    found[order[~fresh]] = True
     return found
 
 
@@ -168,8 +187,9 @@ def _anchored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors of documents, for the count: (h, b), where b is the bucket.
 
     An anchor that a slice holds twice is known to repeat: its buckets go on as b = -2 - bucket, and one row with
-    b = -1 tells the other slices.
+    b = -1 tells the other tasks. What a task has told goes on as known from then on.
     """
+    told = np.zeros(0, dtype=np.int64)
     for batch in batches:
         buckets = batch.column(0).to_numpy()
         for first, last, data, at in slices(batch.column(1)):
@@ -180,10 +200,12 @@ def _anchored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.ones(len(h), dtype=bool)
             new[1:] = h[1:] != h[:-1]
             size = np.diff(np.concatenate([np.flatnonzero(new), [len(h)]]))
-            many = np.repeat(size > 1, size)
+            before = told[np.minimum(np.searchsorted(told, h), len(told) - 1)] == h if len(told) else np.zeros(len(h), dtype=bool)
+            many = np.repeat(size > 1, size) | before
             distinct = new.copy()
             distinct[1:] |= own[1:] != own[:-1]
-            known, tell, single = many & distinct, many & new, ~many
+            known, tell, single = many & distinct, many & new & ~before, ~many
+            told = np.union1d(told if len(told) < TOLD else told[:0], h[tell])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[known], h[tell], h[single]])), pa.array(np.concatenate([-2 - own[known], np.full(int(tell.sum()), -1), own[single]]))], ["h", "b"])
 
 
@@ -271,7 +293,7 @@ def _in_bucket(docs: pa.Table, shared: pa.Table) -> pa.Table:
     repeated = np.zeros(len(start), dtype=bool)
     for a, b in _cuts(back[which]):
         group = back[which[a:b]].astype(np.int64) << 8 | (place[which[a:b]] - start[a:b])
-        repeated[a:b] = repeats(data, start[a:b], group)
+        repeated[a:b] = repeats(data, start[a:b], LENGTH, group)
     row = np.searchsorted(at, start[repeated], side="right") - 1
     out = [_spans(np.full(len(row), bucket), row, start[repeated] - at[row])]
     # what is first in the bucket goes on, run by run; anchors held once go on whole
@@ -308,7 +330,10 @@ def _cuts(group: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _across(batches: Iterable[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
-    """Runs of windows, sorted by anchor, resolved against each other: spans, and before the last level the runs that stay first."""
+    """Runs of windows, sorted by anchor, resolved against each other: spans, and before the last level the runs that stay first.
+
+    Rows without bytes are spans of earlier levels and go on as they are.
+    """
     held: list[pa.RecordBatch] = []
     size = 0
 
@@ -322,7 +347,8 @@ def _across(batches: Iterable[pa.RecordBatch], last: bool) -> Iterator[pa.Record
         order = order[times[name[order]] > 1] if last else order
         ends = np.cumsum(np.diff(at)[order])
         lined, lined_at = _lined(data, at, order), np.concatenate([[0], ends])
-        copy = whole_runs(lined, lined_at, name[order].astype(np.int64) << 8 | off[order])
+        size = np.diff(lined_at)
+        copy = repeats(lined, lined_at[:-1], size, (name[order].astype(np.int64) << 8 | off[order]) << 16 | size)
         gone = order[copy]
         if len(gone):
             yield pa.RecordBatch.from_arrays([pa.nulls(len(gone), pa.int64()), pa.array(bucket[gone]), pa.array(row[gone]), pa.nulls(len(gone), pa.int64()), pa.array(start[gone]), pa.nulls(len(gone), pa.int32()), pa.array(start[gone] + np.diff(at)[gone]), pa.nulls(len(gone), pa.binary())], schema=_PARTS)
@@ -334,7 +360,7 @@ def _across(batches: Iterable[pa.RecordBatch], last: bool) -> Iterator[pa.Record
         run = order[which]
         shift = win - at[run]
         group = name[run].astype(np.int64) << 8 | (off[run] - shift)
-        found = repeats(data, win, group)
+        found = repeats(data, win, LENGTH, group)
         yield _spans(bucket[run[found]], row[run[found]], start[run[found]] + shift[found])
         if not last:
             stay = ~found
@@ -347,6 +373,11 @@ def _across(batches: Iterable[pa.RecordBatch], last: bool) -> Iterator[pa.Record
                 yield pa.RecordBatch.from_arrays([pa.array(h[r]), pa.array(bucket[r]), pa.array(row[r]), pa.array(ids[r]), pa.array(start[r] + shift[new]), pa.array((off[r] - shift[new]).astype(np.int32)), pa.nulls(len(r), pa.int64()), pa.array(parts, pa.binary())], schema=_PARTS)
 
     for batch in batches:
+        own = batch.column("bytes").is_null()
+        settled = batch.filter(own)
+        if settled.num_rows:
+            yield settled.select(_PARTS.names)
+            batch = batch.filter(pc.invert(own))
         if not batch.num_rows:
             continue
         held.append(batch)
@@ -389,35 +420,39 @@ def _removed(docs: pa.Table, spans: pa.Table) -> pa.Table:
     return pa.table({n: docs[n] for n in docs.column_names if n not in ("_id", "_raw", "_bucket")} | own)
 
 
+def bucket_of(key: str, text: str, buckets: int) -> Column:
+    """The bucket of a row; rows that share an id are spread by their texts."""
+    return F.pmod(F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string")), F.lit(buckets))
+
+
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES, fan_in: int = FAN_IN) -> DataFrame:
     """``docs`` with ``kept`` (the bytes that stay), ``n_bytes``, ``n_removed`` and ``n_spans`` in place of the text."""
     own = ("kept", "n_bytes", "n_removed", "n_spans", "_id", "_raw", "_bucket")
     rest = [c for c in docs.columns if c.lower() not in own and c != text]
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(total / bucket_bytes))
-    raw = docs.select(*rest, F.col(key).cast("long").alias("_id"), F.col(text).cast("binary").alias("_raw"), F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(buckets)).alias("_bucket"))
-    counted = raw.select("_bucket", "_raw").mapInArrow(_anchored, "h long, b long").select("h", F.col("b").cast("int").alias("b") if buckets < 1 << 31 else "b")
+    renamed = [F.col(key).cast("long").alias("_id"), F.col(text).cast("binary").alias("_raw"), bucket_of(key, text, buckets).alias("_bucket")]
+    raw = docs.select(*rest, *renamed)
+    counted = raw.select("_bucket", "_raw").mapInArrow(_anchored, "h long, b long")
+    counted = counted.select("h", F.col("b").cast("int").alias("b") if buckets < 1 << 31 else "b")
     # known rows are dealt by bucket too, so a frequent anchor is spread
     dealt = counted.repartition(F.when(F.col("b") < -1, F.xxhash64("h", "b")).otherwise(F.col("h")))
-    shared = dealt.sortWithinPartitions(F.col("b") < -1, "h").select("h", F.col("b").cast("long").alias("b")).mapInArrow(_repeated, "bucket long, h long")
+    in_order = dealt.sortWithinPartitions(F.col("b") < -1, "h").select("h", F.col("b").cast("long").alias("b"))
+    shared = in_order.mapInArrow(_repeated, "bucket long, h long")
     grouped = raw.groupBy("_bucket")
-    parts = grouped.cogroup(shared.groupBy("bucket")).applyInArrow(_in_bucket, _PARTS_DDL)
-    level = fan_in
-    sorted_ = parts.withColumn("salt", F.lit(0).cast("long"))
-    spans = None
-    while True:
+    runs = grouped.cogroup(shared.groupBy("bucket")).applyInArrow(_in_bucket, _PARTS_DDL)
+    # each level is read once: spans that are settled pass through it
+    level, last = fan_in, False
+    while not last:
         last = buckets <= level
         salt = F.lit(0).cast("long") if last else F.col("bucket") % F.lit(math.ceil(buckets / level))
-        ready = sorted_.where("bytes IS NOT NULL").withColumn("salt", salt).repartition("h", "salt").sortWithinPartitions("h", "salt")
-        out = ready.mapInArrow(lambda it, last=last: _across(it, last), _PARTS_DDL)
-        got = sorted_.where("bytes IS NULL").select("bucket", "row", "start", "end")
-        spans = got if spans is None else spans.union(got)
-        sorted_ = out.withColumn("salt", F.lit(0).cast("long"))
-        if last:
-            spans = spans.union(out.where("bytes IS NULL").select("bucket", "row", "start", "end"))
-            break
+        salted = runs.withColumn("salt", F.when(F.col("h").isNull(), F.lit(0).cast("long")).otherwise(salt))
+        ready = salted.repartition(F.coalesce("h", F.xxhash64("bucket", "row")), "salt").sortWithinPartitions("h", "salt")
+        runs = ready.mapInArrow(lambda it, last=last: _across(it, last), _PARTS_DDL)
         level *= fan_in
-    fields = [*(raw.schema[c] for c in rest), T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())]
+    spans = runs.where("bytes IS NULL").select("bucket", "row", "start", "end")
+    numbers = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
+    fields = [*(raw.schema[c] for c in rest), T.StructField("kept", T.BinaryType()), *numbers]
     return grouped.cogroup(spans.groupBy("bucket")).applyInArrow(_removed, T.StructType(fields))
 
 
