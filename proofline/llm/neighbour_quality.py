@@ -1,8 +1,9 @@
 """Document quality by nearest-neighbour voting in a latent-semantic space.
 
-Documents become frequencies of word shapes (case, length, last character, repetition, and pairs of shapes) with a few
-measures of the whole text, weighted by inverse document frequency and projected on the leading singular directions of
-a labelled sample. The labelled vectors are broadcast; every document is compared with all of them, in blocks of exact
+Documents become frequencies of terms (words in lower case, hashed to ``TERMS`` columns), of word shapes (case, length,
+last character, repetition, and pairs of shapes) and a few measures of the whole text, weighted by inverse document
+frequency and projected on the leading singular directions of a labelled sample; terms as a whole weigh ``TERM_WEIGHT``
+of what shapes do, since most of them tell the language and the subject. The labelled vectors are broadcast; every document is compared with all of them, in blocks of exact
 cosine products, and its nearest neighbours vote with their similarities as weights.
 
 Training takes at most ``MAX_LABELLED`` labelled documents; so at most MAX_LABELLED * (RANK + 1) numbers are broadcast.
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proofline.llm.labelled import held_out, training_sample
-from proofline.llm.textcols import RollingHash, rows_of, slices, word_spans
+from proofline.llm.textcols import lowered, range_prints, rows_of, slices, word_spans
 
 MAX_LABELLED = 4_000
-RANK = 48
+RANK = 64
 NEIGHBOURS = 15
 ROWS = 1_024
 
@@ -39,7 +40,9 @@ _LENGTHS = np.searchsorted([2, 3, 4, 6, 9, 13, 21], np.arange(64), side="right")
 _SHAPES = 5 * 8 * 8 * 2
 _PAIRS = 384
 _WHOLE = 6
-WIDTH = _SHAPES + _PAIRS + _WHOLE
+#: Columns of hashed terms, and their weight beside word shapes.
+TERMS, TERM_WEIGHT = 1_024, 0.5
+WIDTH = _SHAPES + _PAIRS + _WHOLE + TERMS
 
 
 def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -56,7 +59,7 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     # no letters, all small, leading capital, all capitals, mixed
     case = np.select([alphas == 0, caps == 0, (caps == 1) & (kind[starts] == 0), caps == alphas], [0, 1, 2, 3], 4)
     tail = kind[ends - 1].astype(np.int64)
-    prints = RollingHash(data).of(starts, ends)
+    prints = range_prints(data, starts, ends)
     doc = rows_of(edges)
     again = np.zeros(len(starts), dtype=np.int64)
     again[1:] = (prints[1:] == prints[:-1]) & (doc[1:] == doc[:-1])
@@ -64,10 +67,11 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     coarse = case * 8 + tail
     pair = (coarse[:-1] * 40 + coarse[1:]) % _PAIRS + _SHAPES
     within = doc[1:] == doc[:-1]
-    cells = np.concatenate([doc * WIDTH + shape, (doc[1:] * WIDTH + pair)[within]])
+    term = (range_prints(lowered(data), starts, ends) % np.uint64(TERMS)).astype(np.int64) + _SHAPES + _PAIRS + _WHOLE
+    cells = np.concatenate([doc * WIDTH + shape, (doc[1:] * WIDTH + pair)[within], doc * WIDTH + term])
     counts = np.bincount(cells, minlength=rows * WIDTH).reshape(rows, WIDTH)
     share = np.maximum(1, n)[:, None]
-    out[:, : _SHAPES + _PAIRS] = np.sqrt(counts[:, : _SHAPES + _PAIRS] / share)
+    out[:] = np.sqrt(counts / share)
     order = np.lexsort((prints, doc))
     fresh = np.ones(len(order), dtype=bool)
     fresh[1:] = (prints[order][1:] != prints[order][:-1]) | (doc[order][1:] != doc[order][:-1])
@@ -120,7 +124,8 @@ def fit(matrix: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Model:
         return Model(np.zeros((WIDTH, 1), dtype=np.float32), np.zeros((0, 1), dtype=np.float32), np.zeros(0, dtype=np.float32), 0.5)
     present = (matrix > 0).sum(axis=0)
     idf = np.log((1 + len(matrix)) / (1 + present)) + 0.05
-    idf[_SHAPES + _PAIRS :] = 2.0
+    idf[_SHAPES + _PAIRS : -TERMS] = 2.0
+    idf[-TERMS:] *= TERM_WEIGHT
     weighted = matrix * idf
     values, vectors = np.linalg.eigh(weighted.T @ weighted)
     projection = (idf[:, None] * vectors[:, np.argsort(values)[::-1][:rank]]).astype(np.float32)
@@ -128,7 +133,10 @@ def fit(matrix: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Model:
 
 
 def vote(model: Model, matrix: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
-    """Similarity-weighted share of label 1 among each row's nearest labelled vectors; ties by sample order."""
+    """Similarity-weighted share of label 1 among each row's nearest labelled vectors.
+
+    Where several are as near as the last one that votes, which of them votes is left open.
+    """
     out = np.full(len(matrix), model.prior)
     k = min(k, len(model.labels))
     if not k:
@@ -151,7 +159,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
         for batch in batches:
             for first, last, data, at in slices(batch.column(2), rows_limit=ROWS):
                 rows = features(data, at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array([r.astype(np.float16).tobytes() for r in rows], pa.binary())], ["doc_id", "label", "features"])
+                packed = pa.array([r.astype(np.float16).tobytes() for r in rows], pa.binary())
+                known = [batch.column(k).slice(first, last - first) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*known, packed], ["doc_id", "label", "features"])
 
     sample = training_sample(docs, labels, label, limit).select("doc_id", "label", "text")
     rows = sample.mapInArrow(vectors, "doc_id long, label int, features binary").toArrow().sort_by("doc_id")
