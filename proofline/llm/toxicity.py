@@ -4,10 +4,11 @@ A term is a token or the leading bytes of one (inflected and compound words shar
 between toxic and clean documents under an informative Dirichlet prior, where that is significant; a token takes the
 highest score among its terms, less a small drift. The maximal scoring segments of a document are found in one linear
 scan; their scores are judged by extreme-value statistics (how high such segments get by chance in that many clean
-tokens), summed over a document's best segments, and the evidence is mapped to a probability on the training sample.
+tokens), summed over a document's segments, the most telling number of them. The evidence is mapped to a probability
+on labelled rows that its term scores were not learned from: two halves of the sample judge each other.
 
-Training takes at most ``MAX_LABELLED`` labelled documents and keeps at most ``MAX_TERMS`` scored terms (the most
-significant ones); those bounds limit what reaches the driver and what is broadcast.
+Training takes at most ``MAX_LABELLED`` labelled documents. Their significant terms and segments are all kept, so that
+bound limits what reaches the driver and what is broadcast.
 
 Defined cases: null and empty texts have no segments and get the score of a document without evidence; without any
 labelled toxic document every score is 0; repeated rows are scored one by one; an empty table gives an empty result;
@@ -21,19 +22,19 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proofline.llm.labelled import held_out, training_sample
-from proofline.llm.textcols import RollingHash, lowered, rows_of, slices
+from proofline.llm.textcols import lowered, range_prints, rows_of, slices
 from proofline.session import cut
 
 MAX_LABELLED = 20_000
-MAX_TERMS = 50_000
-#: The prior's weight as a share of all counts; the least |z| of a scored token; what each token costs; segments summed at most.
-PRIOR, LEAST_Z, DRIFT, BEST = 0.1, 3.0, 0.02, 12
+#: The prior's weight as a share of all counts; the least |z| of a scored token; what each token costs.
+PRIOR, LEAST_Z, DRIFT = 0.1, 3.0, 0.02
 #: Log-odds below which a term is no evidence on its own, for either class.
 LEAST_SCORE = 1.5
 
@@ -52,7 +53,7 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         opens[1:] &= ~inside[:-1] | edge[1:-1]
         closes[:-1] &= ~inside[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    return RollingHash(low).of(starts, ends), starts, ends, np.searchsorted(starts, at)
+    return range_prints(low, starts, ends), starts, ends, np.searchsorted(starts, at)
 
 
 #: Lengths in bytes of the leading parts that count as terms of longer tokens.
@@ -62,10 +63,10 @@ STEMS = (4, 5, 6, 7)
 def terms_of(data: np.ndarray, at: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
     """Tokens with their terms: ([(fingerprints, tokens that have one), whole tokens first], starts, ends, first of each document)."""
     prints, starts, ends, edges = tokens(data, at)
-    rolling, kinds = RollingHash(lowered(data)), [(prints, np.arange(len(prints)))]
+    low, kinds = lowered(data), [(prints, np.arange(len(prints)))]
     for k in STEMS:
         longer = np.flatnonzero(ends - starts > k)
-        kinds.append((rolling.of(starts[longer], starts[longer] + k) ^ np.uint64(k), longer))
+        kinds.append((range_prints(low, starts[longer], starts[longer] + k) ^ np.uint64(k), longer))
     return kinds, starts, ends, edges
 
 
@@ -100,8 +101,9 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most significant terms: (sorted fingerprints, scores, probability in clean text)."""
-    counts = cut(sample.select("text", "label").mapInArrow(_counted, "term long, whole boolean, toxic long, clean long").groupBy("term", "whole").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")), "toxic-terms")
+    """The significant terms: (sorted fingerprints, scores, probability in clean text)."""
+    found = sample.select("text", "label").mapInArrow(_counted, "term long, whole boolean, toxic long, clean long")
+    counts = cut(found.groupBy("term", "whole").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")), "toxic-terms")
     totals = counts.where("whole").agg(F.sum("t"), F.sum("c")).first()
     n_t, n_c = float(totals[0] or 0), float(totals[1] or 0)
     none = np.zeros(0)
@@ -110,8 +112,9 @@ def _terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     weight = PRIOR * (n_t + n_c)
     prior = (F.col("t") + F.col("c")) * F.lit(PRIOR)
     odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(n + weight) - F.col(y) - prior))
-    rated = counts.where("t + c >= 3").select("term", "c", (odds("t", n_t) - odds("c", n_c)).alias("s"), F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior)).alias("e"), prior.alias("p"))
-    best = rated.where((F.abs(F.col("s") / F.col("e")) >= LEAST_Z) & (F.abs("s") >= LEAST_SCORE)).orderBy(F.abs(F.col("s") / F.col("e")).desc(), "term").limit(MAX_TERMS).toPandas()
+    error = F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
+    rated = counts.select("term", "c", (odds("t", n_t) - odds("c", n_c)).alias("s"), error.alias("e"), prior.alias("p"))
+    best = rated.where((F.abs(F.col("s") / F.col("e")) >= LEAST_Z) & (F.abs("s") >= LEAST_SCORE)).toPandas()
     term = best["term"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(term)
     return term[order], best["s"].to_numpy(float)[order], ((best["c"] + best["p"]) / (n_c + weight)).to_numpy(float)[order]
@@ -162,7 +165,7 @@ def segments(scores: list[float], places: list[int], drift: float = DRIFT) -> li
 def evidence(best: list[float], n: int, rate: float, density: float) -> float:
     """-log of the chance that clean text of n tokens holds segments as high as the r best, for the most telling r."""
     out, total, log_fact = 0.0, 0.0, 0.0
-    for r, s in enumerate(sorted(best, reverse=True)[:BEST], 1):
+    for r, s in enumerate(sorted(best, reverse=True), 1):
         total += rate * s - math.log(max(density * n, 1e-9))
         log_fact += math.log(r) + (math.log(r - 1) if r > 1 else 0.0)
         if r == 1:
@@ -172,7 +175,7 @@ def evidence(best: list[float], n: int, rate: float, density: float) -> float:
         else:
             p = 0.0
         out = max(out, p - (r > 1) * math.log(2) * (r - 1))
-    return min(out, 200.0)
+    return out
 
 
 def _scan(model: Model, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, list[tuple[float, int, int]]]]:
@@ -230,28 +233,50 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, floa
     return float(max(0.0, w[0])), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_LABELLED) -> Model:
-    """A model from the labelled training documents."""
-    sample = training_sample(docs, labels, label, limit).dropDuplicates(["text"])
+def _scores(sample: DataFrame) -> Model:
+    """Term scores of a sample, with the rate at which high segments get rare in its clean text."""
     terms, scores, share = _terms(sample)
     net = scores - DRIFT
-    rate = _rate(net, share)
-    spark = docs.sparkSession
-    raw = spark.sparkContext.broadcast(Model(terms, net, rate, 1.0))
+    return Model(terms, net, _rate(net, share), 1.0)
+
+
+def _judged(sample: DataFrame, model: Model) -> pd.DataFrame:
+    """label, n (tokens) and the scores of all segments of each document of the sample."""
+    sent = sample.sparkSession.sparkContext.broadcast(model)
 
     def parts(batches):
         for batch in batches:
-            rows = [(n, [s for s, _, _ in got]) for _, _, data, at in slices(batch.column(1)) for n, got in _scan(raw.value, data, at)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([sorted(s, reverse=True)[:BEST] for _, s in rows], pa.list_(pa.float64())), pa.array([len(s) for _, s in rows], pa.int64())], ["label", "n", "best", "parts"])
+            rows = [(n, [s for s, _, _ in got]) for _, _, data, at in slices(batch.column(1)) for n, got in _scan(sent.value, data, at)]
+            columns = [batch.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "n", "parts"])
+
+    return sample.select("label", "text").mapInArrow(parts, "label int, n long, parts array<double>").toPandas()
+
 
-    rows = sample.select("label", "text").mapInArrow(parts, "label int, n long, best array<double>, parts long").toPandas()
+def _density(rows: pd.DataFrame, model: Model) -> float:
+    """Segments in clean text number about density * tokens * exp(-rate * least score)."""
     clean = rows[rows["label"] == 0]
-    # segments in clean text number about density * tokens * exp(-rate * least score)
-    least = net[net > 0].min() if (net > 0).any() else 1.0
-    density = max(1e-6, float(clean["parts"].sum()) / max(1.0, float(clean["n"].sum())) * math.exp(rate * least)) if len(clean) else 1.0
-    x = np.array([evidence(list(b), n, rate, density) if len(b) else 0.0 for b, n in zip(rows["best"], rows["n"])])
-    slope, base = logistic(x, rows["label"].to_numpy(float))
-    return Model(terms, net, rate, density, slope, base)
+    if not len(clean):
+        return 1.0
+    least = model.scores[model.scores > 0].min() if (model.scores > 0).any() else 1.0
+    share = float(clean["parts"].map(len).sum()) / max(1.0, float(clean["n"].sum()))
+    return max(1e-6, share * math.exp(model.rate * least))
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_LABELLED) -> Model:
+    """A model from the labelled training documents: terms of all, calibrated on halves by the other half's terms."""
+    bare = training_sample(docs, labels, label, limit).dropDuplicates(["text"])
+    sample = cut(bare.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2))), "toxic-sample")
+    proof, known, density = [], [], []
+    for half in (0, 1):
+        model, own = _scores(sample.where(F.col("half") != half)), sample.where(F.col("half") == half)
+        rows = _judged(own, model)
+        density.append(_density(rows, model))
+        proof += [evidence(list(s), n, model.rate, density[-1]) if len(s) else 0.0 for s, n in zip(rows["parts"], rows["n"])]
+        known += rows["label"].tolist()
+    model = _scores(sample)
+    slope, base = logistic(np.array(proof, dtype=float), np.array(known, dtype=float))
+    return Model(model.terms, model.scores, model.rate, float(np.mean(density)), slope, base)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -48,6 +49,26 @@ def all_maximal(scores):
     return best(0, len(scores))
 
 
+def test_evidence_counts_every_segment():
+    """Tails of sums of exponential scores: the r best against the expected number of segments, for the most telling r."""
+    rate, density = 0.7, 0.01
+
+    def tail(r, total):
+        if r == 1:
+            return -math.log(-math.expm1(-math.exp(-total))) if total < 30 else total
+        return total - (r - 1) * math.log(total) + math.log(math.factorial(r)) + math.log(math.factorial(r - 1)) if total > r else 0.0
+
+    rng = random.Random(8)
+    for n_parts in (1, 2, 5, 40):
+        parts, n = [rng.uniform(2, 9) for _ in range(n_parts)], 500
+        top = sorted(parts, reverse=True)
+        sums = [sum(rate * s - math.log(density * n) for s in top[:r]) for r in range(1, n_parts + 1)]
+        want = max([0.0] + [tail(r, t) - math.log(2) * (r - 1) for r, t in enumerate(sums, 1)])
+        assert abs(toxicity.evidence(parts, n, rate, density) - want) < 1e-9
+    # more than any fixed number of segments counts
+    assert toxicity.evidence([9.0] * 40, 500, rate, density) > toxicity.evidence([9.0] * 20, 500, rate, density)
+
+
 @pytest.mark.parametrize("seed", range(25))
 def test_segments_are_the_maximal_ones(seed):
     rng = random.Random(seed)
