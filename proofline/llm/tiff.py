@@ -5,7 +5,8 @@ or deflate; horizontal predictor) and emits one row per page. ``store`` writes p
 the form (compression, strips or tiles, predictor) follows from the payload alone.
 
 Defined cases: a null or empty medium, or one that is no TIFF, gives one row with page 0, null samples and ``error``;
-a damaged page gives a row with ``error`` and the walk goes on; directories that loop end the walk; repeated rows are
+a damaged page gives a row with ``error`` and the walk goes on, as does one whose header claims more samples than the
+file's bytes can hold; directories that loop end the walk; repeated rows are
 read one by one; an empty table gives no rows; input columns that clash with the results' are replaced.
 """
 
@@ -28,7 +29,9 @@ _FIELD = {1: "B", 3: "H", 4: "I"}
 
 UNIT = 576
 LINE = 192
-PAGE_LINES = 3072
+PAGE_LINES = 256
+#: No scheme makes more of a byte of a file than this (LZW: about 1,300; deflate: 1,032).
+EXPANSION = 2_048
 
 # ---------------------------------------------------------------- compression schemes
 
@@ -168,7 +171,7 @@ def _unpack(scheme: int, data: bytes, size: int) -> bytes:
     elif scheme == LZW:
         out = unlzw(data, size)
     elif scheme in (DEFLATE, OLD_DEFLATE):
-        out = zlib.decompress(data)
+        out = zlib.decompressobj().decompress(data, size)
     else:
         raise ValueError(f"compression {scheme} is not supported")
     if len(out) < size:
@@ -256,8 +259,12 @@ def _page(data: bytes, f: dict[int, list[int]]) -> tuple:
     if set(f.get(BITS, [1])) != {8} or (deep > 1 and f.get(PLANAR, [1])[0] != 1) or predictor not in (1, 2):
         raise ValueError("only 8-bit chunky samples with predictor 1 or 2 are supported")
     tiled = TILE_AT in f
-    out = np.zeros((height, width, deep), dtype=np.uint8)
     w, h = (f[TILE_W][0], f[TILE_H][0]) if tiled else (width, min(height, f.get(ROWS, [height])[0]))
+    if min(width, height, deep, w, h) < 1:
+        raise ValueError("a page, strip or tile without samples")
+    if max(width * height, w * h) * deep > EXPANSION * len(data):
+        raise ValueError(f"{width} x {height} x {deep} samples can't come from {len(data)} bytes")
+    out = np.zeros((height, width, deep), dtype=np.uint8)
     across = -(-width // w)
     for k, (at, size) in enumerate(zip(f[TILE_AT if tiled else STRIP_AT], f[TILE_SIZE if tiled else STRIP_SIZE], strict=True)):
         y, x = k // across * h, k % across * w

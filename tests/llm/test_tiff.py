@@ -62,6 +62,17 @@ def test_bad_media(spark):
     assert tiff.pages(df.limit(0)).count() == 0
 
 
+def test_hostile_headers_and_bombs():
+    """A header can't claim more than the file holds, and a strip is inflated no further than its samples."""
+    bomb = zlib.compress(bytes(200_000_000), 9)
+    for size, wide in ((64, 8), (64, 60_000), (64, 0)):
+        at = 8 + len(bomb)
+        fields = [(256, 4, wide), (257, 4, wide), (258, 3, 8), (259, 3, 8), (273, 4, 8), (278, 4, wide), (279, 4, len(bomb))]
+        rows = b"".join(struct.pack("<HHI", t, k, 1) + (struct.pack("<HH", v, 0) if k == 3 else struct.pack("<I", v)) for t, k, v in fields)
+        found = list(tiff.read(struct.pack("<2sHI", b"II", 42, at) + bomb + struct.pack("<H", len(fields)) + rows + struct.pack("<I", 0)))
+        assert len(found) == 1 and (found[0][7] == bytes(size) if wide == 8 else found[0][8])
+
+
 def test_query_against_brute_force(spark, tmp_path):
     texts = ["", None, "a", "é" * 288, "é" * 289, "word " * 300_000, "x" * 576, "same", "same"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
