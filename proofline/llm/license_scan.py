@@ -6,11 +6,13 @@ stand between neighbours (list numbers, names, years). Ordered rules, longer seq
 a match uses up its sentences, so a part of a licence does not count again as a shorter rule.
 
 Texts are read in two ways, since licences come wrapped as well as line by line: with a line end as a sentence end,
-and with only punctuation and blank lines as such. A rule's count is the larger one.
+and with only punctuation and lines without ASCII letters and digits as such (so the empty lines of comments end
+sentences too). Each licence is counted in the reading that finds it more often, the wrapped one where both agree, so
+what both readings find counts once.
 
 DataFrame functions only, in one pass over the texts and without a shuffle. Defined cases: null, empty and blank texts
 hold nothing; repeated rows are scanned one by one; an empty table gives an empty result; columns of the input that
-clash with the results' are replaced.
+clash with the results' are replaced; a character U+0001 ends a sentence.
 """
 
 from __future__ import annotations
@@ -46,6 +48,37 @@ SENTENCES = {
     "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd_names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "mit_liable": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "apache_copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
+    "apache_obtain": "you may obtain a copy of the license at",
+    "apache_url": "http www apache org licenses license 2 0",
+    "apache_unless": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "bsd_provided": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd_event": "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services",
+    "gpl_hope": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl_even": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl_see": "see the gnu general public license for more details",
+    "gpl_received": "you should have received a copy of the gnu general public license along with this program",
+    "gpl3_only_terms": "you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation",
+    "gpl2_only_terms": "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "lgpl_free": "this library is free software",
+    "lgpl21_terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3_terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3_terms": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "isc_as_is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "zlib_as_is": "this software is provided as is without any express or implied warranty",
+    "zlib_event": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib_grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost_head": "distributed under the boost software license version 1 0",
+    "boost_grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "mpl2_v": "this source code form is subject to the terms of the mozilla public license v",
+    "two_zero": "2 0",
+    "mpl2_copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "epl2": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    "unlicense_anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "wtfpl": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    "cc_by_work": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc_by_sa_work": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
     "mpl2": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
     "cc_by": "licensed under cc by 4 0",
@@ -64,9 +97,25 @@ SENTENCES = {
 #: Licence, class and sequence of sentences; earlier rules win.
 RULES = (
     ("BSD-3-Clause", "permissive", ("bsd_head", "bsd_source", "bsd_binary", "bsd_names")),
+    ("Apache-2.0", "permissive", ("apache_head", "apache_comply", "apache_obtain", "apache_url", "apache_unless", "apache_see")),
+    ("Apache-2.0", "permissive", ("apache_head", "apache_comply", "apache_copy", "apache_unless", "apache_see")),
+    ("GPL-3.0-or-later", "copyleft", ("gpl_free", "gpl3_terms", "gpl_hope", "gpl_even", "gpl_see", "gpl_received")),
+    ("GPL-2.0-or-later", "copyleft", ("gpl_free", "gpl2_terms", "gpl_hope", "gpl_even", "gpl_see", "gpl_received")),
+    ("BSD-2-Clause", "permissive", ("bsd_head", "bsd_source", "bsd_binary", "bsd_provided", "bsd_event")),
+    ("MIT", "permissive", ("mit_grant", "mit_notice", "mit_as_is", "mit_liable")),
     ("BSD-2-Clause", "permissive", ("bsd_head", "bsd_source", "bsd_binary")),
     ("MIT", "permissive", ("mit_grant", "mit_notice", "mit_as_is")),
     ("Apache-2.0", "permissive", ("apache_head", "apache_comply", "apache_see")),
+    ("Zlib", "permissive", ("zlib_as_is", "zlib_event", "zlib_grant")),
+    ("MPL-2.0", "copyleft", ("mpl2_v", "two_zero", "mpl2_copy")),
+    ("Unlicense", "permissive", ("unlicense", "unlicense_anyone")),
+    ("ISC", "permissive", ("isc_grant", "isc_as_is")),
+    ("GPL-3.0-only", "copyleft", ("gpl_free", "gpl3_only_terms")),
+    ("GPL-2.0-only", "copyleft", ("gpl_free", "gpl2_only_terms")),
+    ("LGPL-2.1-or-later", "copyleft", ("lgpl_free", "lgpl21_terms")),
+    ("LGPL-3.0-or-later", "copyleft", ("lgpl_free", "lgpl3_terms")),
+    ("AGPL-3.0-or-later", "copyleft", ("gpl_free", "agpl3_terms")),
+    ("MPL-2.0", "copyleft", ("mpl2_v", "two_zero")),
     ("MIT", "permissive", ("mit_grant", "mit_notice")),
     ("Apache-2.0", "permissive", ("apache_head", "apache_comply")),
     ("GPL-3.0-or-later", "copyleft", ("gpl_free", "gpl3_terms")),
@@ -87,6 +136,16 @@ RULES = (
     ("GPL-3.0-only", "copyleft", ("gpl3_work",)),
     ("GPL-3.0-only", "copyleft", ("gpl3_short",)),
     ("GPL-2.0-only", "copyleft", ("gpl2_short",)),
+    ("LGPL-2.1-or-later", "copyleft", ("lgpl21_terms",)),
+    ("LGPL-3.0-or-later", "copyleft", ("lgpl3_terms",)),
+    ("AGPL-3.0-or-later", "copyleft", ("agpl3_terms",)),
+    ("Zlib", "permissive", ("zlib_grant",)),
+    ("BSL-1.0", "permissive", ("boost_head",)),
+    ("BSL-1.0", "permissive", ("boost_grant",)),
+    ("EPL-2.0", "copyleft", ("epl2",)),
+    ("WTFPL", "permissive", ("wtfpl",)),
+    ("CC-BY-4.0", "permissive", ("cc_by_work",)),
+    ("CC-BY-SA-4.0", "copyleft", ("cc_by_sa_work",)),
     ("MPL-2.0", "copyleft", ("mpl2",)),
     ("Unlicense", "permissive", ("unlicense",)),
     ("CC0-1.0", "permissive", ("cc0",)),
@@ -97,10 +156,10 @@ RULES = (
     ("LicenseRef-all-rights-reserved", "restricted", ("reserved",)),
 )
 #: Sentence identifiers as single characters, so that a sequence is a text.
-CODES = {name: chr(0x41 + i if i < 26 else 0x61 + i - 26) for i, name in enumerate(SENTENCES)}
+CODES = {name: chr(0x100 + i) for i, name in enumerate(SENTENCES)}
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WHITE = r"[\x20\x09-\x0D]"
-_ENDS = {"lines": rf"[.!?;:]+({_WHITE}+|\z)|\n", "wrapped": rf"[.!?;:]+({_WHITE}+|\z)|\n{_WHITE}*\n"}
+_ENDS = {"lines": rf"[.!?;:]+({_WHITE}+|\z)|\n", "wrapped": rf"[.!?;:]+({_WHITE}+|\z)|\n[^a-z0-9\n]*\n"}
 
 
 def _pattern(rule: tuple[str, ...]) -> str:
@@ -131,17 +190,37 @@ def _counts(line: Column) -> Column:
     return F.aggregate(F.array(*(F.lit(_pattern(rule)) for _, _, rule in RULES)), start, step, lambda acc: acc["n"])
 
 
+#: The rules of each rule's licence, by number.
+_SAME = [[j for j, other in enumerate(RULES) if other[0] == rule[0]] for rule in RULES]
+
+
+def _chosen(lines: Column, wrapped: Column) -> Column:
+    """Each rule's count in the reading that finds its licence more often, the wrapped one where both agree."""
+    total = lambda n, k: reduce(lambda a, b: a + b, (F.get(n, j) for j in _SAME[k]))
+    pick = lambda a, b, k: F.when(total(b, k) >= total(a, k), F.get(b, k)).otherwise(F.get(a, k))
+    return let(lines, lambda a: let(wrapped, lambda b: F.array(*(pick(a, b, k) for k in range(len(RULES))))))
+
+
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``sentences`` (position and identifier, line by line), ``matches`` (licence, class, count by rule) and ``licenses``."""
+    """``df`` with ``sentences``, ``matches`` (licence, class, count by rule) and ``licenses``.
+
+    ``sentences`` are those of both readings (reading, position in it, identifier).
+    """
     whole = F.coalesce(F.col(text), F.lit(""))
     own = {"sentences", "matches", "licenses", "_lines", "_wrapped"}
     read = df.select(*(c for c in df.columns if c.lower() not in own), *(_sequence(whole, e).alias(f"_{n}") for n, e in _ENDS.items()))
     names = F.create_map(*(F.lit(x) for name, code in CODES.items() for x in (code, name)))
     rules = F.array(*(F.struct(F.lit(a).alias("license"), F.lit(b).alias("class")) for a, b, _ in RULES))
     # most texts hold nothing: the rules run only where a sequence is
-    counted = F.when((F.col("_lines.line") == "") & (F.col("_wrapped.line") == ""), F.array().cast("array<int>")).otherwise(F.zip_with(_counts(F.col("_lines.line")), _counts(F.col("_wrapped.line")), lambda a, b: F.greatest(a, b)))
-    matches = F.filter(F.transform(counted, lambda n, i: F.struct(F.get(rules, i)["license"].alias("license"), F.get(rules, i)["class"].alias("class"), n.alias("n"))), lambda m: m["n"] > 0)
-    found = read.withColumn("sentences", F.transform("_lines.hits", lambda h: F.struct(h["pos"].alias("pos"), F.element_at(names, h["code"]).alias("sentence")))).withColumn("matches", matches)
+    none = (F.col("_lines.line") == "") & (F.col("_wrapped.line") == "")
+    counted = F.when(none, F.array().cast("array<int>")).otherwise(_chosen(_counts(F.col("_lines.line")), _counts(F.col("_wrapped.line"))))
+    rated = lambda n, i: F.struct(F.get(rules, i)["license"].alias("license"), F.get(rules, i)["class"].alias("class"), n.alias("n"))
+    matches = F.filter(F.transform(counted, rated), lambda m: m["n"] > 0)
+
+    def listed(reading: str) -> Column:
+        return F.transform(f"_{reading}.hits", lambda h: F.struct(F.lit(reading).alias("reading"), h["pos"].alias("pos"), F.element_at(names, h["code"]).alias("sentence")))
+
+    found = read.withColumn("sentences", F.concat(*(listed(n) for n in _ENDS))).withColumn("matches", matches)
     return found.withColumn("licenses", F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))).drop("_lines", "_wrapped")
 
 
@@ -153,7 +232,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    every = "".join(CODES.values())
+    codes = "".join(CODES.values())
     known = "MAP {" + ", ".join(f"'{s}': '{CODES[n]}'" for n, s in SENTENCES.items()) + "}"
     reads, steps = [], []
     for name, ends in _ENDS.items():
@@ -164,18 +243,25 @@ def _sql() -> str:
             f"l_{name} AS (SELECT rid, count(*) AS n, string_agg(p, '' ORDER BY i) AS x0 FROM g_{name} GROUP BY rid)"
         )
     chain = lambda name: reduce(lambda sql, k: f"SELECT *, replace(x{k}, '{_pattern(RULES[k][2])}', '#') AS x{k + 1} FROM ({sql})", range(len(RULES)), f"SELECT * FROM l_{name}")
-    marks = lambda k: f"length(translate(x{k + 1}, '{every}.', '')) - length(translate(x{k}, '{every}.', ''))"
+    marks = lambda k: f"length(translate(x{k + 1}, '{codes}.', '')) - length(translate(x{k}, '{codes}.', ''))"
     for name in _ENDS:
         steps.append(f"r_{name} AS (SELECT rid, n, " + ", ".join(f"{marks(k)} AS m{k}" for k in range(len(RULES))) + f" FROM ({chain(name)}))")
-    pick = lambda i: "list_filter([" + ", ".join(f"CASE WHEN greatest(coalesce(a.m{k}, 0), coalesce(b.m{k}, 0)) > 0 THEN '{r[i]}' END" for k, r in enumerate(RULES)) + "], lambda x: x IS NOT NULL)"
-    total = " + ".join(f"greatest(coalesce(a.m{k}, 0), coalesce(b.m{k}, 0))" for k in range(len(RULES)))
+    of = lambda t, k: f"coalesce({t}.m{k}, 0)"
+    every = lambda t, k: " + ".join(of(t, j) for j in _SAME[k])
+    count = lambda k: f"CASE WHEN {every('b', k)} >= {every('a', k)} THEN {of('b', k)} ELSE {of('a', k)} END"
+    chosen = "m AS (SELECT d.doc_id, coalesce(a.n, 0) + coalesce(b.n, 0) AS n, " + ", ".join(f"{count(k)} AS m{k}" for k in range(len(RULES)))
+    chosen += " FROM d LEFT JOIN r_lines a USING (rid) LEFT JOIN r_wrapped b USING (rid))"
+    pick = lambda i: "list_filter([" + ", ".join(f"CASE WHEN m{k} > 0 THEN '{r[i]}' END" for k, r in enumerate(RULES)) + "], lambda x: x IS NOT NULL)"
+    total = " + ".join(f"m{k}" for k in range(len(RULES)))
     joined = lambda i: f"array_to_string(list_sort(list_distinct({pick(i)})), ',')"
     return (
         f"WITH k AS (SELECT unnest(map_keys(m)) AS s, unnest(map_values(m)) AS code FROM (SELECT {known} AS m)), d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), "
         + ", ".join(reads)
         + ", "
         + ", ".join(steps)
-        + f" SELECT doc_id, coalesce(a.n, 0)::BIGINT AS n_sentences, ({total})::BIGINT AS n_matches, {joined(0)} AS licenses, {joined(1)} AS classes FROM d LEFT JOIN r_lines a USING (rid) LEFT JOIN r_wrapped b USING (rid)"
+        + ", "
+        + chosen
+        + f" SELECT doc_id, n::BIGINT AS n_sentences, ({total})::BIGINT AS n_matches, {joined(0)} AS licenses, {joined(1)} AS classes FROM m"
     )
 
 

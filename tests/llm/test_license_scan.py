@@ -24,10 +24,11 @@ BSD = """Redistribution and use in source and binary forms, with or without modi
 
 def brute(text):
     """Sentences one by one, rules by scanning the sequence."""
-    counts = {}
+    found = []
     for wrapped in (False, True):
+        counts = {}
         low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-        parts = re.split(r"[.!?;:]+(?:[\x20\x09-\x0d]+|\Z)|" + (r"\n[\x20\x09-\x0d]*\n" if wrapped else "\n"), low)
+        parts = re.split(r"[.!?;:]+(?:[\x20\x09-\x0d]+|\Z)|" + (r"\n[^a-z0-9\n]*\n" if wrapped else "\n"), low)
         sentences = [s for s in (re.sub("[^a-z0-9]+", " ", p).strip(" ") for p in parts) if s]
         back = {s: n for n, s in L.SENTENCES.items()}
         seq = []
@@ -44,8 +45,10 @@ def brute(text):
                     seq[i : i + len(rule)] = ["#"]
                     n += 1
                 i += 1
-            counts[k] = max(counts.get(k, 0), n)
-    return sorted({L.RULES[k][0] for k, n in counts.items() if n}), sum(counts.values())
+            counts[L.RULES[k][0]] = counts.get(L.RULES[k][0], 0) + n
+        found.append(counts)
+    best = {name: max(c[name] for c in found) for name in found[0]}
+    return sorted(name for name, n in best.items() if n), sum(best.values())
 
 
 def test_against_brute_force(spark):
@@ -60,3 +63,57 @@ def test_against_brute_force(spark):
     by = {r.doc_id: r.licenses for r in got}
     assert by[4] == ["MIT"] and by[5] == ["BSD-2-Clause"] and by[10] == ["Apache-2.0"] and by[12] == ["GPL-3.0-only"] and by[17] == []
     assert L.scan(df.limit(0)).count() == 0
+
+
+GRANT = MIT.split("\n\n", 2)[2].replace("copies or substantial portions of the Software.\n", "copies or substantial portions of the Software.") + """
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+GNU General Public License for more details."""
+
+
+def test_texts_as_they_stand_in_files(spark):
+    """Expectations by hand: each text counts as one licence, in a file of its own and in comments of three kinds."""
+    texts = {"MIT": GRANT, "ISC": ISC, "MPL-2.0": MPL, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL}
+    head = "Copyright (c) 2020 Foo"
+    rows = []
+    for name, text in texts.items():
+        for lead in ("", "# ", "// ", " * "):
+            lines = [lead + line for line in [head, "", *text.split("\n"), "", "import os"]]
+            rows.append((name, lead, "\n".join(line.rstrip() for line in lines)))
+    df = spark.createDataFrame(rows, "want string, lead string, text string")
+    for r in L.scan(df).collect():
+        assert r.licenses == [r.want] and sum(m.n for m in r.matches) == 1 and r.sentences, (r.want, r.lead, r.matches)
+
+
+def test_one_licence_in_two_readings_counts_once(spark):
+    wrapped = MIT.replace("included in all\ncopies", "included in all copies").replace("\n", " ", 0)
+    one_line = " ".join(GRANT.split("\n\n")[0].split()) + "\n\n" + GRANT.split("\n\n")[1]
+    df = spark.createDataFrame([(1, one_line), (2, " ".join(GRANT.split())), (3, wrapped)], "doc_id int, text string")
+    assert {r.doc_id: [m.n for m in r.matches] for r in L.scan(df).collect()} == {1: [1], 2: [1], 3: [1]}
