@@ -16,7 +16,8 @@ def analyze(samples: DataFrame, labels: DataFrame | None = None, vectors: DataFr
     """(findings, summary) of a data set.
 
     ``samples``: sample_id, content, contributor_id, batch_id; ``labels``: sample_id, label; ``vectors``: sample_id,
-    vector. Each detector is a plan of its own; those left out or without input are named in the summary. All distinct
+    vector (near duplicates take those of 64 values). Near duplicates are found between classes of equal signatures, a
+    member of a class linked with its representative. Each detector is a plan of its own; those left out or without input are named in the summary. All distinct
     findings are returned; with ``most``, the first so many by id, and ``partial`` says whether more were left out.
     """
     found, skipped = [], []
@@ -30,8 +31,12 @@ def analyze(samples: DataFrame, labels: DataFrame | None = None, vectors: DataFr
             found.append(detect.duplicate_findings(exact))
         elif name == "near_duplicates":
             signed = vectors.where(F.size("vector") == 64).select("sample_id", median_signature(F.col("vector")).alias("s"))
+            # one finding for each pair of classes and for each member that its representative stands for
+            classes = cut(detect.near_classes(signed, "sample_id", "s"), "near-classes")
+            members = classes.where("key != representative").select(F.col("representative").alias("a"), F.col("key").alias("b"), F.lit(0).alias("distance"))
+            pairs = detect.near_class_pairs(classes, threshold).select("a", "b", F.col("distance").cast("int").alias("distance")).union(members)
             hashes = samples.select(F.col("sample_id").alias("key"), F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
-            found.append(detect.near_findings(detect.minus_exact(detect.near_pairs(signed, "sample_id", "s", threshold), hashes)))
+            found.append(detect.near_findings(detect.minus_exact(pairs, hashes)))
         elif name == "rare_labels":
             found.append(detect.rare_labels(labels, "sample_id", "label", least_label))
         else:

@@ -70,6 +70,21 @@ def near_pairs(df: DataFrame, key: str, signature: str, threshold: int = 10, ban
     return pairs.withColumn("distance", hamming(F.col("sa"), F.col("sb"))).where(F.col("distance") <= threshold).where(F.col("band") == first).select("a", "b", "distance")
 
 
+def near_classes(df: DataFrame, key: str, signature: str) -> DataFrame:
+    """Each row's class: (key, representative, s), where rows of one signature are a class named by its smallest key."""
+    rows = df.select(F.col(key).alias("key"), F.col(signature).alias("s")).where("s IS NOT NULL")
+    return rows.join(rows.groupBy("s").agg(F.min("key").alias("representative")), "s").select("key", "representative", "s")
+
+
+def near_class_pairs(classes: DataFrame, threshold: int = 10, bands: int = 4) -> DataFrame:
+    """Pairs of different classes at most ``threshold`` bits apart: (a, b, distance) by representative.
+
+    Copies of a signature are one row here, so their number does not enter the join; with the classes' members, no link
+    between different signatures is lost.
+    """
+    return near_pairs(classes.where("key = representative").dropDuplicates(["representative"]), "representative", "s", threshold, bands)
+
+
 def similarity_band(confidence: Column) -> Column:
     """Severity of a confidence."""
     return F.when(confidence >= 0.85, "HIGH").when(confidence >= 0.70, "MEDIUM").otherwise("LOW")

@@ -83,34 +83,70 @@ def covariance(df: DataFrame, vector: str) -> DataFrame:
     return parts.groupBy("i", "j").agg((F.sum("xx") / F.sum("n") - F.sum("xi") * F.sum("xj") / (F.sum("n") * F.sum("n"))).alias("value"))
 
 
-def moved(profiles: DataFrame, keys: tuple[str, ...], policy: VectorPolicy = POLICY) -> DataFrame:
-    """Centroid, dispersion and variance features of two roles' profiles, with their metrics and states."""
+def _differs(small: Column, gap: Column, epsilon: float) -> Column:
+    """A scale without extent over which there is a gap: no ratio can be given, and the sides differ."""
+    return (small <= epsilon) & (gap > epsilon)
+
+
+def _ratio(gap: Column, scale: Column, epsilon: float) -> Column:
+    """gap / scale; 0 where both vanish, null where only the scale does."""
+    return F.when(scale > epsilon, public(gap / scale)).when(gap <= epsilon, F.lit(0.0))
+
+
+def _directions(a: Column, b: Column, epsilon: float) -> tuple[Column, Column]:
+    """Cosine distance, 0 for two vectors without length and null where only one has none; and whether that is so."""
+    short = (norm(a) <= epsilon).cast("int") + (norm(b) <= epsilon).cast("int")
+    distance = F.least(F.lit(2.0), F.greatest(F.lit(0.0), cosine_distance(a, b)))
+    return F.when(short == 2, F.lit(0.0)).when(short == 0, public(distance)), short == 1
+
+
+def moved(profiles: DataFrame, keys: tuple[str, ...], policy: VectorPolicy = POLICY, epsilon: float = 1e-12) -> DataFrame:
+    """Centroid, dispersion and variance features of two roles' profiles, with their metrics and states.
+
+    A metric is null where its scale vanishes although the sides differ (a centroid without length, windows of constant
+    vectors): such a feature is SHIFTED, whatever its other metrics say.
+    """
     both = compare.side_by_side(profiles, keys)
     r, c = F.col("r.centroid"), F.col("c.centroid")
-    gap = F.sqrt(F.aggregate(F.zip_with(r, c, lambda x, y: (y - x) ** 2), F.lit(0.0), lambda s, x: s + x))
+    apart = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (y - x) ** 2), F.lit(0.0), lambda s, x: s + x))
+    gap = apart(r, c)
     pooled = F.sqrt((F.col("r.rms_radius") ** 2 + F.col("c.rms_radius") ** 2) / 2)
     rv, cv = F.col("r.variance"), F.col("c.variance")
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
-    apart = F.sqrt(F.aggregate(F.zip_with(rv, cv, lambda x, y: (y - x) ** 2), F.lit(0.0), lambda s, x: s + x))
+    cosine, degenerate = _directions(r, c, epsilon)
+    variance_cosine, variance_degenerate = _directions(rv, cv, epsilon)
+    longer = F.greatest(norm(rv), norm(cv))
+    total_gap = F.abs(total(cv) - total(rv))
+    one_total = (F.least(total(rv), total(cv)) <= epsilon) & (total_gap > epsilon)
+    smd, quantile = compare.smd("r.radial", "c.radial"), compare.quantile_shift("r.radial", "c.radial")
     flat = both.select(
         *keys,
         F.col("r.norm.count").alias("n_ref"),
         F.col("c.norm.count").alias("n_cur"),
-        public(cosine_distance(r, c)).alias("centroid_cosine"),
-        F.when(pooled > 1e-12, public(gap / pooled)).alias("centroid_shift"),
-        compare.smd("r.radial", "c.radial").alias("radial_smd"),
-        compare.quantile_shift("r.radial", "c.radial").alias("radial_quantile"),
+        cosine.alias("centroid_cosine"),
+        _ratio(gap, pooled, epsilon).alias("centroid_shift"),
+        smd.alias("radial_smd"),
+        quantile.alias("radial_quantile"),
         compare.median_change("r.radial", "c.radial").alias("radial_median"),
-        public(F.try_divide(apart, F.greatest(norm(rv), norm(cv)))).alias("variance_l2"),
-        public(cosine_distance(rv, cv)).alias("variance_cosine"),
-        public(F.try_divide(F.abs(total(cv) - total(rv)), F.greatest(total(rv), total(cv)))).alias("variance_total"),
+        _ratio(apart(rv, cv), longer, epsilon).alias("variance_l2"),
+        variance_cosine.alias("variance_cosine"),
+        F.when(~one_total, public(total_gap / F.greatest(total(rv), total(cv), F.lit(epsilon)))).alias("variance_total"),
+        (degenerate | _differs(pooled, gap, epsilon)).alias("centroid_degenerate"),
+        (smd.isNull() | quantile.isNull()).alias("dispersion_degenerate"),
+        (variance_degenerate | _differs(longer, apart(rv, cv), epsilon)).alias("variance_degenerate"),
     )
     over = lambda t, *names: sum((F.when(F.col(n) >= t, 1).otherwise(0) for n in names), F.lit(0))
-    state = lambda hit: F.when((F.col("n_ref") < policy.support) | (F.col("n_cur") < policy.support) | F.col("n_ref").isNull() | F.col("n_cur").isNull(), "INSUFFICIENT").when(hit, "SHIFTED").otherwise("STABLE")
+    enough = F.coalesce((F.col("n_ref") >= policy.support) & (F.col("n_cur") >= policy.support), F.lit(False))
+
+    def state(feature: str, hit: Column) -> Column:
+        shifted = F.coalesce(F.col(f"{feature}_degenerate"), F.lit(False)) | F.coalesce(hit, F.lit(False))
+        return F.when(~enough, "INSUFFICIENT").when(shifted, "SHIFTED").otherwise("STABLE")
+
+    moved_far = (F.col("centroid_cosine") >= policy.centroid_cosine) & (F.col("centroid_shift") >= policy.centroid_shift)
     return (
-        flat.withColumn("centroid_state", state((F.col("centroid_cosine") >= policy.centroid_cosine) & (F.col("centroid_shift") >= policy.centroid_shift)))
-        .withColumn("dispersion_state", state(over(policy.dispersion, "radial_smd", "radial_quantile", "radial_median") >= 2))
-        .withColumn("variance_state", state(over(policy.variance, "variance_l2", "variance_cosine", "variance_total") >= 2))
+        flat.withColumn("centroid_state", state("centroid", moved_far))
+        .withColumn("dispersion_state", state("dispersion", over(policy.dispersion, "radial_smd", "radial_quantile", "radial_median") >= 2))
+        .withColumn("variance_state", state("variance", over(policy.variance, "variance_l2", "variance_cosine", "variance_total") >= 2))
     )
 
 

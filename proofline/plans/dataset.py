@@ -27,6 +27,15 @@ def near_duplicate_pairs(spark, sf_dir):
     return detect.near_findings(pairs).select(F.col("asset_id").alias("a"), F.element_at("evidence", 1).alias("distance"), F.element_at("evidence", 2).alias("b"), "severity", "confidence")
 
 
+def near_duplicate_classes(spark, sf_dir):
+    """A third of the vectors share one signature: class pairs, and each row's class."""
+    base = derived.signatures(spark, sf_dir)
+    shared = base.withColumn("s", F.when(F.col("k") % 3 == 0, F.lit(12345).cast("long")).otherwise(F.col("s")))
+    classes = detect.near_classes(shared, "k", "s")
+    links = detect.near_class_pairs(classes, 10).select("a", "b", F.col("distance").cast("int").alias("distance"))
+    return links.union(classes.select("representative", "key", F.lit(-1)))
+
+
 def near_minus_exact(spark, sf_dir):
     pairs = detect.near_pairs(derived.signatures(spark, sf_dir), "k", "s", 10)
     # every copy whose vector id is even counts as equal content
@@ -106,6 +115,10 @@ QUERIES = {
         near_duplicate_pairs,
         f"WITH {derived.SIGNATURES} SELECT a::VARCHAR AS a, 'matched_sample=' || b AS b, 'phash_distance=' || distance AS distance, round(1 - distance / 64, 2) AS confidence, CASE WHEN round(1 - distance / 64, 2) >= 0.85 THEN 'HIGH' WHEN round(1 - distance / 64, 2) >= 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM pairs",
     ),
+    "near_duplicate_classes": (
+        near_duplicate_classes,
+        f"WITH {derived.SIGNATURES}, t AS (SELECT k, CASE WHEN k % 3 = 0 THEN lpad(bin(12345), 64, '0') ELSE s END AS s FROM sig), c AS (SELECT k, s, min(k) OVER (PARTITION BY s) AS r FROM t) SELECT a.k AS a, b.k AS b, hamming(a.s, b.s)::INTEGER AS distance FROM c a JOIN c b ON a.k < b.k AND a.k = a.r AND b.k = b.r WHERE hamming(a.s, b.s) <= 10 UNION ALL SELECT r, k, -1 FROM c",
+    ),
     "near_minus_exact": (near_minus_exact, f"WITH {derived.SIGNATURES} SELECT a, b, distance::INTEGER AS distance FROM pairs WHERE NOT (a // 2 = b // 2 AND (a // 2) % 2 = 0)"),
     "rare_labels": (rare_labels, "WITH l AS (SELECT json_extract_string(props, '$.k') AS label, count(DISTINCT event_id) AS n FROM events GROUP BY 1) SELECT 'label:' || label AS asset_id, 'MEDIUM' AS severity, 0.75::DOUBLE AS confidence, 'label=' || label || ';label_count=' || n AS evidence FROM l WHERE label IS NOT NULL AND n < 100"),
     "outlier_scores": (outlier_scores, f"WITH {_ONE} SELECT vec_id, score FROM s"),

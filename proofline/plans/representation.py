@@ -30,7 +30,7 @@ def vector_profile(spark, sf_dir):
 
 
 def vector_covariance(spark, sf_dir):
-    return vectors.covariance(table(spark, sf_dir, "embeddings"), "embedding").where("i <= j AND j < 8").select("i", "j", F.round("value", 8).alias("value"))
+    return vectors.covariance(table(spark, sf_dir, "embeddings"), "embedding").where("i <= j").select("i", "j", F.round("value", 8).alias("value"))
 
 
 def vector_shift(spark, sf_dir):
@@ -38,6 +38,17 @@ def vector_shift(spark, sf_dir):
     return found.select("label", "n_ref", "n_cur", *(F.round(c, 6).alias(c) for c in ("centroid_cosine", "centroid_shift", "radial_smd", "radial_quantile", "radial_median", "variance_l2", "variance_cosine", "variance_total")), "centroid_state", "dispersion_state", "variance_state")
 
 
+def vector_collapse(spark, sf_dir):
+    """Windows of constant vectors, of a centroid without length, and of both, beside ordinary ones."""
+    k, current = F.col("label") % 4, F.col("vec_id") % 2 == 1
+    ones, steps = F.transform("embedding", lambda x: F.lit(1.0)), F.transform("embedding", lambda x, i: i.cast("double"))
+    zeros = F.transform("embedding", lambda x: F.lit(0.0))
+    v = F.when(k == 0, F.when(current, steps).otherwise(ones)).when((k == 1) & ~current, zeros).when(k == 2, zeros).otherwise(F.col("embedding").cast("array<double>"))
+    windows = table(spark, sf_dir, "embeddings").select("label", v.alias("v"), F.when(current, "CURRENT").otherwise("REFERENCE").alias("role"))
+    found = vectors.moved(vectors.vector_profile(windows, ("label", "role"), "v"), ("label",))
+    return found.select("label", "n_ref", "n_cur", "centroid_state", "dispersion_state", "variance_state", *(F.round(c, 6).alias(c) for c in ("centroid_cosine", "centroid_shift", "variance_total")))
+
+
 def vector_mmd(spark, sf_dir):
     return vectors.mmd(_windows(spark, sf_dir), "vec_id", "v").select(F.round("mmd", 7).alias("mmd"), "state")
 
@@ -120,8 +131,12 @@ def shift_findings(spark, sf_dir):
 _W = "w AS (SELECT vec_id, label, CASE WHEN vec_id % 2 = 1 THEN list_transform(embedding, lambda x: x::DOUBLE * 1.5 + 0.1) ELSE embedding::DOUBLE[] END AS v, CASE WHEN vec_id % 2 = 1 THEN 'CURRENT' ELSE 'REFERENCE' END AS role FROM embeddings)"
 
 
-def _moments(keys: str) -> str:
-    return f"""{_W},
+_COLLAPSED = """w AS (SELECT vec_id, label, CASE WHEN label % 4 = 0 AND vec_id % 2 = 1 THEN list_transform(range(0, 64), lambda i: i::DOUBLE) WHEN label % 4 = 0 THEN list_transform(range(0, 64), lambda i: 1::DOUBLE)
+  WHEN label % 4 = 2 OR (label % 4 = 1 AND vec_id % 2 = 0) THEN list_transform(range(0, 64), lambda i: 0::DOUBLE) ELSE embedding::DOUBLE[] END AS v, CASE WHEN vec_id % 2 = 1 THEN 'CURRENT' ELSE 'REFERENCE' END AS role FROM embeddings)"""
+
+
+def _moments(keys: str, windows: str = _W) -> str:
+    return f"""{windows},
 d AS (SELECT {keys}, i, avg(v[i]) AS m, var_pop(v[i]) AS s FROM w, range(1, 65) t(i) GROUP BY ALL),
 c AS (SELECT {keys}, list(m ORDER BY i) AS c, list(s ORDER BY i) AS s FROM d GROUP BY {keys}),
 x AS (SELECT {", ".join("w." + k.strip() for k in keys.split(","))}, sqrt(list_dot_product(v, v)) AS nrm, list_distance(v, c) AS rad FROM w JOIN c USING ({keys})),
@@ -149,7 +164,7 @@ _QS = "greatest(abs(y.q1 - x.q1), abs(y.q2 - x.q2), abs(y.q3 - x.q3), abs(y.q4 -
 QUERIES = {
     "vector_validate": (vector_validate, "WITH k AS (SELECT CASE WHEN vec_id % 50 = 3 THEN 3 ELSE vec_id END AS id, vec_id % 50 AS r FROM embeddings), d AS (SELECT *, count(*) OVER (PARTITION BY id) AS c FROM k) SELECT CASE WHEN r = 1 THEN 'WRONG_DIMENSION' WHEN r = 2 THEN 'NOT_FINITE' WHEN c > 1 THEN 'DUPLICATE_ID' ELSE '-' END AS problem, count(*) AS n FROM d GROUP BY 1"),
     "vector_profile": (vector_profile, f"WITH {_moments('role')} SELECT role, n, round(list_dot_product(c, c), 6) AS centroid_sq, round(list_sum(s), 6) AS total_variance, round(nm, 6) AS norm_mean, round(n95, 6) AS norm_q95, round(q3, 6) AS radial_median, round(rms, 6) AS rms_radius FROM p JOIN c USING (role)"),
-    "vector_covariance": (vector_covariance, "SELECT (i - 1)::INTEGER AS i, (j - 1)::INTEGER AS j, round(covar_pop(embedding[i]::DOUBLE, embedding[j]::DOUBLE), 8) AS value FROM embeddings, range(1, 9) a(i), range(1, 9) b(j) WHERE i <= j GROUP BY ALL"),
+    "vector_covariance": (vector_covariance, "SELECT (i - 1)::INTEGER AS i, (j - 1)::INTEGER AS j, round(covar_pop(embedding[i]::DOUBLE, embedding[j]::DOUBLE), 8) AS value FROM embeddings, range(1, 65) a(i), range(1, 65) b(j) WHERE i <= j GROUP BY ALL"),
     "vector_shift": (
         vector_shift,
         f"""WITH {_moments("label, role")}, m AS (SELECT x.label, x.n AS n_ref, y.n AS n_cur, 1 - list_dot_product(a.c, b.c) / (sqrt(list_dot_product(a.c, a.c)) * sqrt(list_dot_product(b.c, b.c))) AS centroid_cosine, list_distance(a.c, b.c) / sqrt((x.rms ^ 2 + y.rms ^ 2) / 2) AS centroid_shift, {_SMD} AS radial_smd, {_QS} AS radial_quantile, 2 * abs(y.q3 - x.q3) / (abs(x.q3) + abs(y.q3)) AS radial_median,
@@ -161,6 +176,22 @@ QUERIES = {
         CASE WHEN least(n_ref, n_cur) < 20 THEN 'INSUFFICIENT' WHEN (radial_smd >= 0.5)::INT + (radial_quantile >= 0.5)::INT + (radial_median >= 0.5)::INT >= 2 THEN 'SHIFTED' ELSE 'STABLE' END AS dispersion_state,
         CASE WHEN least(n_ref, n_cur) < 20 THEN 'INSUFFICIENT' WHEN (variance_l2 >= 0.5)::INT + (variance_cosine >= 0.5)::INT + (variance_total >= 0.5)::INT >= 2 THEN 'SHIFTED' ELSE 'STABLE' END AS variance_state FROM m""",
     ),
+    "vector_collapse": (
+        vector_collapse,
+        f"""WITH {_moments("label, role", _COLLAPSED)},
+        m AS (SELECT x.label, x.n AS n_ref, y.n AS n_cur, sqrt(list_dot_product(a.c, a.c)) AS la, sqrt(list_dot_product(b.c, b.c)) AS lb, list_dot_product(a.c, b.c) AS ab, list_distance(a.c, b.c) AS gap, sqrt((x.rms ^ 2 + y.rms ^ 2) / 2) AS pooled,
+          sqrt((x.rs ^ 2 + y.rs ^ 2) / 2) AS rscale, abs(y.rm - x.rm) AS rgap, greatest(x.q5 - x.q1, y.q5 - y.q1) AS qscale, greatest(abs(y.q1 - x.q1), abs(y.q2 - x.q2), abs(y.q3 - x.q3), abs(y.q4 - x.q4), abs(y.q5 - x.q5)) AS qgap, abs(y.q3 - x.q3) AS mgap, abs(x.q3) + abs(y.q3) AS msize,
+          sqrt(list_dot_product(a.s, a.s)) AS va, sqrt(list_dot_product(b.s, b.s)) AS vb, list_dot_product(a.s, b.s) AS vab, list_distance(a.s, b.s) AS vgap, list_sum(a.s) AS ta, list_sum(b.s) AS tb
+        FROM p x JOIN p y ON x.label = y.label AND x.role = 'REFERENCE' AND y.role = 'CURRENT' JOIN c a ON a.label = x.label AND a.role = 'REFERENCE' JOIN c b ON b.label = x.label AND b.role = 'CURRENT'),
+        f AS (SELECT *, CASE WHEN la <= 1e-12 AND lb <= 1e-12 THEN 0 WHEN la > 1e-12 AND lb > 1e-12 THEN greatest(0, 1 - ab / (la * lb)) END AS centroid_cosine, CASE WHEN pooled > 1e-12 THEN gap / pooled WHEN gap <= 1e-12 THEN 0 END AS centroid_shift,
+          CASE WHEN least(ta, tb) <= 1e-12 AND abs(tb - ta) > 1e-12 THEN NULL ELSE abs(tb - ta) / greatest(ta, tb, 1e-12) END AS variance_total,
+          coalesce(rgap / CASE WHEN rscale > 1e-12 THEN rscale END >= 0.5, false)::INT + coalesce(qgap / CASE WHEN qscale > 1e-12 THEN qscale END >= 0.5, false)::INT + coalesce(2 * mgap / CASE WHEN msize > 1e-12 THEN msize END >= 0.5, false)::INT AS spread,
+          coalesce(vgap / CASE WHEN greatest(va, vb) > 1e-12 THEN greatest(va, vb) END >= 0.5, false)::INT + coalesce(1 - vab / CASE WHEN va > 1e-12 AND vb > 1e-12 THEN va * vb END >= 0.5, false)::INT AS varied FROM m)
+        SELECT label, n_ref, n_cur, round(centroid_cosine, 6) AS centroid_cosine, round(centroid_shift, 6) AS centroid_shift, round(variance_total, 6) AS variance_total,
+          CASE WHEN least(n_ref, n_cur) < 20 THEN 'INSUFFICIENT' WHEN (la <= 1e-12) <> (lb <= 1e-12) OR (pooled <= 1e-12 AND gap > 1e-12) OR (centroid_cosine >= 0.1 AND centroid_shift >= 0.5) THEN 'SHIFTED' ELSE 'STABLE' END AS centroid_state,
+          CASE WHEN least(n_ref, n_cur) < 20 THEN 'INSUFFICIENT' WHEN (rscale <= 1e-12 AND rgap > 1e-12) OR (qscale <= 1e-12 AND qgap > 1e-12) OR spread >= 2 THEN 'SHIFTED' ELSE 'STABLE' END AS dispersion_state,
+          CASE WHEN least(n_ref, n_cur) < 20 THEN 'INSUFFICIENT' WHEN (va <= 1e-12) <> (vb <= 1e-12) OR (greatest(va, vb) <= 1e-12 AND vgap > 1e-12) OR varied + coalesce(variance_total >= 0.5, false)::INT >= 2 THEN 'SHIFTED' ELSE 'STABLE' END AS variance_state FROM f""",
+    ),
     "vector_mmd": (
         vector_mmd,
         f"WITH {_W}, d AS (SELECT a.role AS ra, b.role AS rb, a.vec_id AS i, b.vec_id AS j, list_distance(a.v, b.v) ^ 2 AS d FROM w a, w b), h AS (SELECT quantile_cont(d, 0.5) AS m FROM d WHERE i < j), k AS (SELECT avg(exp(-d / (2 * m))) FILTER (ra = rb AND ra = 'REFERENCE') + avg(exp(-d / (2 * m))) FILTER (ra = rb AND ra = 'CURRENT') - 2 * avg(exp(-d / (2 * m))) FILTER (ra <> rb) AS mmd FROM d, h) SELECT round(mmd, 7) AS mmd, CASE WHEN mmd >= 0.05 THEN 'SHIFTED' ELSE 'STABLE' END AS state FROM k",

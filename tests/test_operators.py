@@ -1,5 +1,7 @@
 """Hand-sized inputs with known results, and edge cases."""
 
+import decimal
+import hashlib
 import random
 from decimal import Decimal
 
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 from proofline.functions import columns as C
 from proofline.functions.policies import ComparisonPolicy
 from proofline.operators import audit, compare, dataset_scan, detect, models, outputs, profile, registry, relational, scoring, vectors
-from proofline.plans import reports
+from proofline import session
+from proofline.plans import reports, runs
 
 
 def one(df):
@@ -196,3 +199,54 @@ def test_dataset_scan_counts_every_finding(spark, tmp_path):
     assert found.where("NOT partial").count() == one(summary).unique_findings == n
     first, _ = dataset_scan.analyze(samples, labels, most=7)
     assert first.where("partial").count() == first.count() == 7
+
+
+def test_tensor_commitments_against_hashlib(spark):
+    """The query's hashes again, from values formatted by decimal arithmetic."""
+    sf = "/root/testdata/sf0.001"
+
+    def shown(x):
+        if x == 0:
+            return f"{x:.12e}"
+        with decimal.localcontext(decimal.Context(prec=13, rounding=decimal.ROUND_HALF_UP)):
+            return f"{+decimal.Decimal(repr(x)):.12e}".replace("e-", "e-0" if abs(x) >= 1e-9 else "e-").replace("e+", "e+0")
+
+    tensors = {}
+    for r in sorted(spark.read.parquet(f"{sf}/embeddings.parquet").collect(), key=lambda r: r.vec_id):
+        scale = {5: 0.0, 7: 60.0}.get(r.vec_id % 97, 1.0)
+        row = ",".join(shown(x * scale) for x in r.embedding)
+        tensors.setdefault(f"t{r.label}", []).append(hashlib.sha256(row.encode()).hexdigest())
+    values = {t: hashlib.sha256("".join(h).encode()).hexdigest() for t, h in tensors.items()}
+    model = hashlib.sha256(",".join(sorted(f"{t}:{h}" for t, h in values.items())).encode()).hexdigest()
+    got = {(r.tensor, r.value_sha256, r.model_fingerprint) for r in runs.tensor_commitments(spark, sf).collect()}
+    assert got == {(t, h, model) for t, h in values.items()}
+
+
+def test_near_classes_lose_no_link(spark):
+    """Equal signatures are one class; every pair within the radius is a class pair or shares a class."""
+    rng = random.Random(12)
+    base = [rng.getrandbits(63) for _ in range(6)]
+    rows = [(i, rng.choice(base) ^ (1 << rng.randrange(60) if rng.random() < 0.5 else 0)) for i in range(200)] + [(900, None)]
+    classes = detect.near_classes(spark.createDataFrame(rows, "k long, s long"), "k", "s")
+    of = {r.key: r.representative for r in classes.collect()}
+    links = {(r.a, r.b): r.distance for r in detect.near_class_pairs(classes, 4).collect()}
+    bits = dict(rows)
+    for a in range(200):
+        for b in range(a):
+            d = (bits[a] ^ bits[b]).bit_count()
+            pair = tuple(sorted((of[a], of[b])))
+            assert (d == 0) == (of[a] == of[b]) and (links.get(pair) == d if 0 < d <= 4 else pair not in links or d == 0)
+
+
+def test_shared_folder_is_named_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        _jsc = spark.sparkContext._jsc
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: None)})
+        sparkContext = Context
+
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        with pytest.raises(RuntimeError):
+            session.shared_dir(Session)
