@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from proofline.llm.components import connected
 from proofline.llm.textcols import lowered, mix, range_prints, rows_of, slices, word_spans
-from proofline.session import cut
+from proofline.session import cut, drop
 
 WORDS = 5
 #: A shingle in at least so many documents is frequent; of these the most frequent are put last in the order.
@@ -422,7 +422,7 @@ def similar(
     spark = docs.sparkSession
     hot = spark.sparkContext.broadcast(frequent_shingles(docs, frequent, most_frequent))
     rows = cut(docs.mapInArrow(lambda it: _prefixes(it, *hot.value, longest), _ROWS), "ngram-rows")
-    members = rows.where("h IS NULL").select("key", "cls", "n", "g", "bits")
+    members = cut(rows.where("h IS NULL").select("key", "cls", "n", "g", "bits"), "ngram-members")
     firsts = (F.first(c).alias(c) for c in ("n", "g", "bits"))
     classes = cut(members.where("n > 0").groupBy("cls").agg(F.min("key").alias("low"), *firsts), "ngram-classes")
     lists = rows.where("h IS NOT NULL").select("h", "g", "n", "pos", "frequent")
@@ -437,6 +437,7 @@ def similar(
     crowded = classes.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
     within = classes.join(crowded, "g").select((F.col("g").bitwiseXOR(F.lit(-1).cast("long"))).alias("h"), "cls", "n", F.lit(0).alias("pos"))
     every = cut(long.join(of, "g").select("h", "cls", "n", "pos").union(within), "ngram-long")
+    drop(rows)
     tried = cut(expanded.union(_stars(every, classes)).distinct(), "ngram-pairs")
     links = cut(_verified(docs, tried), "ngram-links")
     parts = connected(links)
