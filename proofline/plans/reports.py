@@ -67,7 +67,7 @@ def attack_findings(spark, sf_dir):
 
 def checkpoint_refusals(spark, sf_dir):
     log = assurance._log(spark, sf_dir)
-    pending = table(spark, sf_dir, "customer").where("c_custkey < 20").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("chain"))
+    pending = table(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.concat(F.lit("u"), F.col("n_nationkey").cast("string")).alias("chain"))
     latest = audit.heads(log).where("chain LIKE '%2' OR chain LIKE '%5'").select("chain", "record_hash")
     return audit.checkpoint_refusals(log, pending, latest).select("chain", "audit_sequence", F.coalesce("reason", F.lit("-")).alias("reason"))
 
@@ -107,8 +107,11 @@ QUERIES = {
         "SELECT o_custkey AS assessment_id, count(DISTINCT l_linenumber) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 3 <> 1 AND o_orderkey % 10 <> 0 AND o_orderstatus = 'F' GROUP BY o_custkey",
     ),
     "receipt_links": (receipt_links, "WITH r AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) SELECT user_id::VARCHAR AS stream_key, count(*) FILTER (event_id % 20 <> 0) AS linked, count(*) FILTER (event_id % 20 = 0) AS broken FROM r GROUP BY user_id"),
-    "attack_findings": (attack_findings, None),
-    "checkpoint_refusals": (checkpoint_refusals, f"WITH {_EV} SELECT chain, n AS audit_sequence, CASE WHEN chain IN (SELECT 'u' || c_custkey FROM customer WHERE c_custkey < 20) THEN 'INTENTS_PENDING' WHEN chain LIKE '%2' OR chain LIKE '%5' THEN 'HEAD_UNCHANGED' ELSE '-' END AS reason FROM ev"),
+    "attack_findings": (
+        attack_findings,
+        f"WITH {runs.FOLD}, c AS (SELECT receipt_id, 'REPLAY_DETECTED' AS category FROM w WHERE reasons LIKE '%REPLAY%' OR reasons LIKE '%NONCE%' UNION ALL SELECT receipt_id, 'OUTPUT_TAMPERING' FROM w WHERE reasons LIKE '%CHECKS%') SELECT category, 'CRITICAL' AS severity, 'REJECT' AS recommendation, count(*) AS n, count(*) AS ids FROM c GROUP BY category",
+    ),
+    "checkpoint_refusals": (checkpoint_refusals, f"WITH {_EV} SELECT chain, n AS audit_sequence, CASE WHEN chain IN (SELECT 'u' || n_nationkey FROM nation WHERE n_regionkey = 2) THEN 'INTENTS_PENDING' WHEN chain LIKE '%2' OR chain LIKE '%5' THEN 'HEAD_UNCHANGED' ELSE '-' END AS reason FROM ev"),
     "outbox_drainable": (outbox_drainable, "SELECT 'e' || o_orderkey AS event_key, CASE WHEN o_orderkey % 40 = 3 THEN 'PAYLOAD_HASH_MISMATCH' WHEN o_orderkey % 50 = 7 THEN 'PAYLOAD_MALFORMED' ELSE '-' END AS problem FROM orders WHERE o_orderstatus = 'O'"),
     "sequence_lookup": (sequence_lookup, "SELECT c_custkey AS customer, coalesce(max(o_orderkey), 0) + 1 AS next FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from proofline.operators import compare, outputs, profile, vectors
 from proofline.session import table
 
-LABELS = tuple(f"c{i}" for i in range(10))
+LABELS = tuple(f"c{i}" for i in range(64))
 
 
 def _windows(spark, sf_dir):
@@ -62,16 +62,16 @@ def vector_sample(spark, sf_dir):
 
 
 def _predictions(spark, sf_dir):
-    """Softmax over ten dimensions, tenfold; labels by argmax, some spoilt by rule."""
-    base = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 10), lambda x: F.exp(x.cast("double") * 10)).alias("e"))
+    """Softmax over the whole vector, tenfold; labels by argmax, some spoilt by rule."""
+    base = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.exp(x.cast("double") * 10)).alias("e"))
     p = base.withColumn("probabilities", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda s, y: s + y)))
     top = F.array_position("probabilities", F.array_max("probabilities")) - 1
     k = F.col("vec_id") % 40
     return p.select(
         F.concat(F.lit("s"), F.col("vec_id").cast("string")).alias("sample_id"),
-        F.when(k == 1, "zz").when(k == 2, F.concat(F.lit("c"), ((top + 1) % 10).cast("string"))).otherwise(F.concat(F.lit("c"), top.cast("string"))).alias("predicted_label"),
+        F.when(k == 1, "zz").when(k == 2, F.concat(F.lit("c"), ((top + 1) % 64).cast("string"))).otherwise(F.concat(F.lit("c"), top.cast("string"))).alias("predicted_label"),
         F.when(k == 3, 1.5).when(k == 4, F.array_max("probabilities") / 2).otherwise(F.array_max("probabilities")).alias("confidence"),
-        F.when(k == 5, F.slice("probabilities", 1, 9)).when(k == 6, F.transform("probabilities", lambda x: x / 2)).otherwise(F.col("probabilities")).alias("probabilities"),
+        F.when(k == 5, F.slice("probabilities", 1, 63)).when(k == 6, F.transform("probabilities", lambda x: x / 2)).otherwise(F.col("probabilities")).alias("probabilities"),
         ((F.col("vec_id") * 7 + F.col("label")) % 11 < F.when(F.col("vec_id") % 2 == 0, 1).otherwise(3)).alias("abstained"),
         F.lit(None).cast("boolean").alias("unknown_or_ood"),
         F.when(F.col("vec_id") % 2 == 0, "REFERENCE").otherwise("CURRENT").alias("role"),
@@ -144,14 +144,30 @@ p AS (SELECT {keys}, count(*) AS n, avg(nrm) AS nm, quantile_cont(nrm, 0.95) AS
 
 
 _PRED = """
-b AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: exp(x::DOUBLE * 10)) AS e FROM embeddings),
+b AS (SELECT vec_id, label, list_transform(embedding, lambda x: exp(x::DOUBLE * 10)) AS e FROM embeddings),
 p0 AS (SELECT vec_id, label, list_transform(e, lambda x: x / list_sum(e)) AS p FROM b),
 t AS (SELECT vec_id, label, p, list_position(p, list_max(p)) - 1 AS top, list_max(p) AS mx, vec_id % 40 AS k, CASE WHEN vec_id % 2 = 0 THEN 'REFERENCE' ELSE 'CURRENT' END AS role,
   (vec_id * 7 + label) % 11 < CASE WHEN vec_id % 2 = 0 THEN 1 ELSE 3 END AS ab FROM p0),
 c AS (SELECT *, CASE k WHEN 1 THEN 'INVALID_LABEL' WHEN 2 THEN 'LABEL_ARGMAX_MISMATCH' WHEN 3 THEN 'INVALID_CONFIDENCE' WHEN 4 THEN 'CONFIDENCE_PROBABILITY_MISMATCH' WHEN 5 THEN 'INVALID_PROBABILITY_VECTOR' WHEN 6 THEN 'PROBABILITY_SUM_MISMATCH' END AS code FROM t),
-g AS (SELECT role, 'c' || top AS lab, ab, mx AS top1, -list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN x * log2(x) ELSE 0 END)) / log2(10) AS entropy, mx - list_sort(p, 'DESC')[2] AS margin FROM c WHERE code IS NULL),
+g AS (SELECT role, 'c' || top AS lab, ab, mx AS top1, -list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN x * log2(x) ELSE 0 END)) / log2(64) AS entropy, mx - list_sort(p, 'DESC')[2] AS margin FROM c WHERE code IS NULL),
 u AS (SELECT role, unnest(['top1', 'entropy', 'margin']) AS feature, unnest([top1, entropy, margin]) AS value FROM g),
 q AS (SELECT role, feature, count(*) AS count, min(value) AS minimum, max(value) AS maximum, avg(value) AS mean, stddev_pop(value) AS std, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.05) AS q05, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.75) AS q75, quantile_cont(value, 0.95) AS q95 FROM u GROUP BY ALL)"""
+_SHIFT = """
+n AS (SELECT x.feature, x.count AS n_ref, y.count AS n_cur, abs(y.mean - x.mean) / sqrt((x.std ^ 2 + y.std ^ 2) / 2) AS smd,
+  greatest(abs(y.q05 - x.q05), abs(y.q25 - x.q25), abs(y.median - x.median), abs(y.q75 - x.q75), abs(y.q95 - x.q95)) / greatest(x.q95 - x.q05, y.q95 - y.q05) AS quantile,
+  2 * abs(y.median - x.median) / (abs(x.median) + abs(y.median)) AS median FROM q x JOIN q y ON x.feature = y.feature AND x.role = 'REFERENCE' AND y.role = 'CURRENT'),
+h AS (SELECT feature, least(floor(value * 50), 49)::INTEGER AS bin, count(*) FILTER (role = 'REFERENCE') AS a, count(*) FILTER (role = 'CURRENT') AS b FROM u WHERE value BETWEEN 0 AND 1 GROUP BY ALL),
+k AS (SELECT feature, i AS bin, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM (SELECT DISTINCT feature FROM h) CROSS JOIN range(0, 50) r(i) LEFT JOIN h USING (feature) WHERE h.bin = i
+  UNION ALL SELECT feature, i, 0, 0 FROM (SELECT DISTINCT feature FROM h) d CROSS JOIN range(0, 50) r(i) WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.feature = d.feature AND h.bin = i)),
+l AS (SELECT 'labels' AS feature, lab AS bin, count(*) FILTER (role = 'REFERENCE') AS a, count(*) FILTER (role = 'CURRENT') AS b FROM g GROUP BY lab),
+s AS (SELECT feature, bin, a / sum(a) OVER (PARTITION BY feature) AS p, b / sum(b) OVER (PARTITION BY feature) AS q FROM k),
+e AS (SELECT feature, p, q, abs(sum(p - q) OVER (PARTITION BY feature ORDER BY bin)) AS gap FROM s),
+v AS (SELECT feature, p, q, gap FROM e UNION ALL SELECT feature, a / sum(a) OVER (), b / sum(b) OVER (), NULL FROM l),
+d AS (SELECT feature, sum(((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) + (CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END)) / 2) AS js, sum(abs(p - q)) / 2 AS tv, sum(gap) / 50 AS wasserstein FROM v GROUP BY feature),
+z AS (SELECT feature, n_ref, n_cur, (smd >= 0.8)::INT + (quantile >= 0.5)::INT + (median >= 0.25)::INT + (js >= 0.1)::INT + (tv >= 0.25)::INT + (wasserstein >= 0.1)::INT >= 2 AS moved FROM n JOIN d USING (feature)
+  UNION ALL SELECT 'labels', (SELECT sum(a) FROM l), (SELECT sum(b) FROM l), js >= 0.1 AND tv >= 0.25 FROM d WHERE feature = 'labels'
+  UNION ALL SELECT 'abstention', 20, 20, abs(avg(ab::INT) FILTER (role = 'CURRENT') - avg(ab::INT) FILTER (role = 'REFERENCE')) >= 0.1 FROM g)
+SELECT feature, CASE WHEN least(n_ref, n_cur) < 20 THEN 'INSUFFICIENT' WHEN moved THEN 'SHIFTED' ELSE 'STABLE' END AS state FROM z"""
 _LAYER = """
 l AS (SELECT c_custkey AS key, i, ['IMAGE', 'REPRESENTATION', 'OUTPUT'][i + 1] AS layer FROM customer, range(0, 3) t(i) WHERE (c_custkey + i) % 13 <> 0),
 r AS (SELECT *, CASE WHEN (key * 7 + i * 3) % 11 < 7 THEN 'COMPLETE' WHEN (key * 7 + i * 3) % 11 < 9 THEN 'PARTIAL' ELSE 'UNAVAILABLE' END AS status, (key + i * key) % 3 = 0 AND (key * 7 + i * 3) % 11 < 9 AS hit FROM l),
@@ -202,9 +218,9 @@ QUERIES = {
     ),
     "vector_sample": (vector_sample, f"WITH {_W}, r AS (SELECT role, vec_id, row_number() OVER (PARTITION BY role ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY role) AS n FROM w) SELECT DISTINCT role, vec_id FROM r, range(0, 30) t(k) WHERE i = floor(k * (n - 1) / 29)"),
     "prediction_validate": (prediction_validate, f"WITH {_PRED} SELECT 's' || vec_id AS sample_id, coalesce(code, '-') AS code FROM c"),
-    "prediction_labels": (prediction_labels, f"WITH {_PRED} SELECT role, i::INTEGER AS class_index, 'c' || i AS value, (SELECT count(*) FROM g WHERE g.role = r.role AND lab = 'c' || i) AS n FROM (SELECT DISTINCT role FROM g) r, range(0, 10) t(i)"),
+    "prediction_labels": (prediction_labels, f"WITH {_PRED} SELECT role, i::INTEGER AS class_index, 'c' || i AS value, (SELECT count(*) FROM g WHERE g.role = r.role AND lab = 'c' || i) AS n FROM (SELECT DISTINCT role FROM g) r, range(0, 64) t(i)"),
     "prediction_profile": (prediction_profile, f"WITH {_PRED} SELECT role, feature, count, " + ", ".join(f"round({c}, 6) AS {c}" for c in profile.SUMMARY[1:]) + " FROM q"),
-    "prediction_shift": (prediction_shift, None),
+    "prediction_shift": (prediction_shift, f"WITH {_PRED}, {_SHIFT}"),
     "interpretation": (interpretation, f"WITH {_LAYER} SELECT key, pattern, changed_layers, incomplete_layers, missing_layers, sha256('{{\"changed\":\"' || changed_layers || '\",\"incomplete\":\"' || incomplete_layers || '\",\"missing\":\"' || missing_layers || '\",\"pattern\":\"' || pattern || '\"}}') AS interpretation_id FROM z"),
     "shift_findings": (shift_findings, f"WITH {_LAYER} SELECT key, pattern AS category, CASE WHEN pattern LIKE '%UNAVAILABLE' THEN 'MEDIUM' WHEN pattern LIKE '%EVIDENCE_INCOMPLETE' THEN 'LOW' WHEN changed = 1 THEN 'MEDIUM' ELSE 'HIGH' END AS severity, CASE WHEN pattern LIKE '%EVIDENCE%' THEN 1.0 ELSE 0.9 END::DOUBLE AS confidence FROM z WHERE pattern <> 'NO_SHIFT_OBSERVED'"),
 }

@@ -101,8 +101,8 @@ def issue_findings(spark, sf_dir):
 
 
 def _runs(spark, sf_dir):
-    """Clean runs are ten dimensions of a vector; five triggers add to one of them."""
-    base = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("m"), (F.col("label") % 3).cast("string")).alias("model_id"), F.col("vec_id").alias("sample_id"), F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 10).alias("output"))
+    """Clean runs are vectors; five triggers add to one of their dimensions."""
+    base = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("m"), (F.col("label") % 3).cast("string")).alias("model_id"), F.col("vec_id").alias("sample_id"), F.transform("embedding", lambda x: x.cast("double") * 10).alias("output"))
     t = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("t")
     rows = base.select("*", t)
     lift = F.when(F.col("t") == 0, 9.0).when(F.col("t") == 4, 0.0).otherwise(F.col("t") * 0.8)
@@ -126,8 +126,8 @@ def run_status(spark, sf_dir):
 
 
 def output_contract(spark, sf_dir):
-    runs = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("m"), (F.col("label") % 3).cast("string")).alias("model_id"), "vec_id", F.when(F.col("vec_id") % 10 == 0, F.slice("embedding", 1, 9)).when(F.col("vec_id") % 10 == 1, F.transform(F.slice("embedding", 1, 10), lambda x: F.lit(float("inf")).cast("float"))).otherwise(F.slice("embedding", 1, 10)).alias("output"))
-    contracts = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("m"), (F.col("label") % 3).cast("string")).alias("model_id")).distinct().where("model_id != 'm2'").withColumn("expected_size", F.lit(10))
+    runs = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("m"), (F.col("label") % 3).cast("string")).alias("model_id"), "vec_id", F.when(F.col("vec_id") % 10 == 0, F.slice("embedding", 1, 63)).when(F.col("vec_id") % 10 == 1, F.transform("embedding", lambda x: F.lit(float("inf")).cast("float"))).otherwise(F.col("embedding")).alias("output"))
+    contracts = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("m"), (F.col("label") % 3).cast("string")).alias("model_id")).distinct().where("model_id != 'm2'").withColumn("expected_size", F.lit(64))
     return models.output_contract(runs, contracts).select("vec_id", F.coalesce("code", F.lit("-")).alias("code"), "nonfinite")
 
 
@@ -173,11 +173,12 @@ def run_authorise(spark, sf_dir):
 
 
 def _submitted(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select((F.col("o_custkey")).alias("run_id"), F.concat(F.lit("F-"), (F.col("o_orderkey") % 12_000).cast("string")).alias("finding_id"), F.when(F.col("o_orderkey") % 500 == 0, "changed").otherwise(F.col("o_orderpriority")).alias("content"))
+    """A run for each customer; two neighbouring orders share a finding."""
+    return table(spark, sf_dir, "orders").select((F.col("o_custkey")).alias("run_id"), F.concat(F.lit("F-"), F.expr("o_orderkey div 2").cast("string")).alias("finding_id"), F.when(F.col("o_orderkey") % 500 == 0, "changed").otherwise(F.col("o_orderpriority")).alias("content"))
 
 
 def _stored(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0 AND o_orderkey < 12000").select(F.concat(F.lit("F-"), F.col("o_orderkey").cast("string")).alias("finding_id"), F.col("o_orderpriority").alias("content"))
+    return table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.concat(F.lit("F-"), F.expr("o_orderkey div 2").cast("string")).alias("finding_id"), F.col("o_orderpriority").alias("content"))
 
 
 def idempotent_ingest(spark, sf_dir):
@@ -185,8 +186,7 @@ def idempotent_ingest(spark, sf_dir):
 
 
 def run_ingest(spark, sf_dir):
-    incoming = _submitted(spark, sf_dir).where("cast(substring(finding_id, 3) as int) >= 3000")
-    return registry.ingest_runs(incoming, _stored(spark, sf_dir)).groupBy("accepted").agg(F.count("*").alias("runs"), F.sum(F.col("created") + F.col("existing") + F.col("conflicts")).alias("findings"))
+    return registry.ingest_runs(_submitted(spark, sf_dir), _stored(spark, sf_dir)).groupBy("accepted").agg(F.count("*").alias("runs"), F.sum(F.col("created") + F.col("existing") + F.col("conflicts")).alias("findings"))
 
 
 def assessment_lifecycle(spark, sf_dir):
@@ -264,7 +264,7 @@ w AS (SELECT k::VARCHAR AS name, CASE WHEN k % 11 = 0 THEN 'other' ELSE p_brand
 j AS (SELECT coalesce(o.name, w.name) AS name, o.name IS NULL AS added, w.name IS NULL AS removed, o.dtype <> w.dtype AS d, o.shape <> w.shape AS s, o.v <> w.v AS x FROM o FULL JOIN w ON o.name = w.name)"""
 _NODES = "nd AS (SELECT user_id % 20 AS model_id, event_type AS op_type, CASE WHEN event_id % 41 = 0 THEN 'custom.ops' ELSE '' END AS domain FROM events), si AS (SELECT model_id, 'CUSTOM_OPERATOR_DOMAIN' AS code, domain AS subject, count(*) AS n FROM nd WHERE domain <> '' GROUP BY ALL UNION ALL SELECT model_id, 'OPERATOR_NOT_APPROVED', op_type, count(*) FROM nd WHERE op_type NOT IN ('click', 'view') GROUP BY ALL)"
 _BEH = """
-b AS (SELECT 'm' || (label % 3) AS model_id, vec_id, list_transform(embedding[1:10], lambda x: x::DOUBLE * 10) AS o FROM embeddings),
+b AS (SELECT 'm' || (label % 3) AS model_id, vec_id, list_transform(embedding, lambda x: x::DOUBLE * 10) AS o FROM embeddings),
 t AS (SELECT model_id, vec_id, t, o, list_transform(o, lambda x, i: CASE WHEN i = 3 THEN x + CASE t WHEN 0 THEN 9.0 WHEN 4 THEN 0.0 ELSE t * 0.8 END ELSE x END) AS w FROM b, range(0, 5) r(t)),
 c AS (SELECT *, list_position(o, list_max(o)) - 1 AS c0, list_position(w, list_max(w)) - 1 AS c1, list_distance(o, w) / sqrt(list_dot_product(o, o)) AS d FROM t),
 g AS (SELECT model_id, t, count(*) AS pairs, count(*) FILTER (c0 <> c1) AS flips, avg(d) AS mean_delta FROM c GROUP BY ALL),
@@ -273,9 +273,20 @@ m AS (SELECT DISTINCT ON (model_id, t) model_id, t, c1 AS dominant, k FROM v ORD
 h AS (SELECT g.*, dominant, flips / pairs AS flip_rate, k / pairs AS dominant_rate, (SELECT count(*) FROM c WHERE c.model_id = g.model_id AND c.t = 0 AND c0 = dominant) / pairs AS clean_rate FROM g JOIN m USING (model_id, t)),
 r AS (SELECT h.*, dominant_rate - clean_rate AS lift, flip_rate - (SELECT quantile_cont(p.flip_rate, 0.5) FROM h p WHERE p.model_id = h.model_id AND p.t <> h.t) AS control_relative FROM h)"""
 _MEM = "me AS (SELECT o_custkey AS assessment_id, o_orderkey AS run_id, sha256(o_orderpriority) AS request_hash, CASE WHEN o_orderstatus = 'F' THEN 'SIGNED' ELSE 'TOKEN' END AS mode FROM orders)"
-_SUB = "su AS (SELECT o_custkey AS run_id, 'F-' || (o_orderkey % 12000) AS finding_id, o_orderkey % 12000 AS k, CASE WHEN o_orderkey % 500 = 0 THEN 'changed' ELSE o_orderpriority END AS content FROM orders), sd AS (SELECT 'F-' || o_orderkey AS finding_id, o_orderpriority AS stored FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey < 12000)"
+_SUB = "su AS (SELECT o_custkey AS run_id, 'F-' || (o_orderkey // 2) AS finding_id, CASE WHEN o_orderkey % 500 = 0 THEN 'changed' ELSE o_orderpriority END AS content FROM orders), sd AS (SELECT 'F-' || (o_orderkey // 2) AS finding_id, o_orderpriority AS stored FROM orders WHERE o_orderkey % 3 = 0)"
 _STATUS = "rk AS (SELECT x.*, min(content) OVER (PARTITION BY finding_id) AS f, row_number() OVER (PARTITION BY finding_id ORDER BY content) AS n FROM {x} x), sg AS (SELECT rk.*, CASE WHEN content <> coalesce(stored, f) THEN 'CONFLICT' WHEN stored IS NOT NULL OR n > 1 THEN 'EXISTS' ELSE 'CREATED' END AS status FROM rk LEFT JOIN sd USING (finding_id))"
 
+#: Receipts one by one by arrival: each step of the recursion takes the next receipt of every key.
+FOLD = """RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+q AS (SELECT user_id::VARCHAR AS stream_key, event_id, n, sha256((CASE WHEN n % 13 = 0 THEN n - 1 ELSE n END) || '|' || user_id) AS h, 'n' || (CASE WHEN n % 11 = 0 THEN n - 2 ELSE n END) AS nonce,
+  CASE WHEN n % 7 = 0 THEN n - 3 ELSE n END AS s, CASE WHEN event_id % 31 = 0 THEN 400 WHEN event_id % 37 = 0 THEN -60 ELSE 5 END AS age, event_id % 29 <> 0 AS ok FROM e),
+f AS (SELECT DISTINCT stream_key, 0::BIGINT AS n, NULL::BIGINT AS receipt_id, []::VARCHAR[] AS nonces, []::VARCHAR[] AS hashes, NULL::BIGINT AS top, NULL::VARCHAR AS reasons FROM q
+  UNION ALL SELECT stream_key, n, receipt_id, CASE WHEN r = '' THEN list_append(nonces, nonce) ELSE nonces END, CASE WHEN r = '' THEN list_append(hashes, h) ELSE hashes END, CASE WHEN r = '' THEN s ELSE top END, r FROM (
+    SELECT f.stream_key, q.n, q.event_id AS receipt_id, nonces, hashes, top, nonce, h, s, concat_ws(',', CASE WHEN NOT ok THEN 'CHECKS_INVALID' END, CASE WHEN age > 300 THEN 'STALE_RECEIPT' WHEN age < -30 THEN 'FUTURE_TIMESTAMP' END, CASE WHEN list_contains(nonces, nonce) THEN 'NONCE_REUSE' END,
+      CASE WHEN list_contains(hashes, h) THEN 'REPLAY_DETECTED' END, CASE WHEN s = top THEN 'DUPLICATE_SEQUENCE' WHEN s < top THEN 'SEQUENCE_REGRESSION' END) AS r FROM f JOIN q ON q.stream_key = f.stream_key AND q.n = f.n + 1)),
+w AS (SELECT stream_key, receipt_id, CASE WHEN reasons = '' THEN 'ACCEPT' ELSE 'REJECT' END AS status, reasons FROM f WHERE n > 0)"""
+ACCEPTED = f"WITH {FOLD} SELECT *, CASE WHEN status = 'ACCEPT' THEN 'RECEIPT_ACCEPTED' WHEN reasons LIKE '%REPLAY%' OR reasons LIKE '%NONCE%' THEN 'REPLAY_ATTEMPT' WHEN reasons LIKE '%CHECKS%' THEN 'VERIFICATION_FAILED' ELSE 'RECEIPT_REFUSED' END AS event FROM w"
+
 QUERIES = {
     "tensor_stats": (tensor_stats, f"WITH {_VAL} SELECT tensor, elements, n_finite, n_nan, " + ", ".join(f"round({c}, 6) AS {c}" for c in _STATS) + " FROM st"),
     "tensor_issues": (tensor_issues, f"WITH {_VAL} SELECT tensor, code, {_SEV} AS severity FROM vi"),
@@ -300,7 +311,7 @@ QUERIES = {
     "trigger_issues": (trigger_issues, f"WITH {_BEH} SELECT model_id, 'p' || t AS trigger_id, unnest(list_filter([CASE WHEN mean_delta >= 10 THEN 'TRIGGER_OUTPUT_DIVERGENCE' END, CASE WHEN flip_rate >= 0.75 THEN 'TRIGGER_PREDICTION_FLIP' END, CASE WHEN dominant_rate >= 0.75 AND lift >= 0.5 THEN 'TRIGGER_TARGET_CONCENTRATION' END, CASE WHEN flip_rate >= 0.75 AND dominant_rate >= 0.75 AND lift >= 0.5 AND control_relative >= 0.5 THEN 'TRIGGER_SENSITIVITY' END], lambda x: x IS NOT NULL)) AS code FROM r WHERE pairs >= 8"),
     "run_status": (run_status, "WITH r AS (SELECT o_custkey % 40 AS model_id, CASE WHEN o_orderstatus = 'F' THEN 'FAILED' WHEN o_orderkey % 9 = 0 THEN 'TIMEOUT' ELSE 'OK' END AS s FROM orders), a AS (SELECT model_id, count(*) AS requested, count(*) FILTER (s = 'OK') AS usable, count(*) FILTER (s = 'FAILED') AS failed, count(*) FILTER (s = 'TIMEOUT') AS timed_out FROM r GROUP BY ALL) SELECT *, CASE WHEN usable = 0 THEN 'UNAVAILABLE' WHEN usable < requested THEN 'PARTIAL' ELSE 'COMPLETE' END AS analysis FROM a"),
     "output_contract": (output_contract, "SELECT vec_id, CASE WHEN label % 3 = 2 OR vec_id % 10 = 0 THEN 'OUTPUT_CONTRACT_CHANGED' ELSE '-' END AS code, vec_id % 10 = 1 AS nonfinite FROM embeddings"),
-    "receipt_accept": (receipt_accept, None),
+    "receipt_accept": (receipt_accept, ACCEPTED),
     "receipt_verify": (receipt_verify, "WITH c AS (SELECT event_id, CASE WHEN event_id % 23 = 0 THEN 'UNAVAILABLE' WHEN event_id % 10 = 0 THEN 'INVALID' ELSE 'VALID' END AS input_check, CASE WHEN event_id % 50 = 0 OR event_id % 45 = 0 THEN 'INVALID' ELSE 'VALID' END AS signature_check FROM events) SELECT *, CASE WHEN 'INVALID' IN (input_check, signature_check) THEN 'REJECT' WHEN input_check = 'UNAVAILABLE' THEN 'REVIEW' ELSE 'ACCEPT' END AS status FROM c"),
     "registry_verify": (
         registry_verify,
@@ -311,7 +322,7 @@ QUERIES = {
         "WITH r AS (SELECT l_suppkey % 110 AS p, 'mod' || (l_linenumber % 4) AS module, CASE WHEN l_orderkey % 4 = 0 THEN l_suppkey % 110 + 100 * (l_linenumber % 3) ELSE l_partkey * 2 END AS k, 'Brand#' || (l_linenumber % 5 + 1) AS f FROM lineitem) SELECT CASE WHEN s_suppkey IS NULL THEN 'PRODUCER_UNKNOWN' WHEN s_suppkey % 7 = 0 THEN 'PRODUCER_NOT_APPROVED' WHEN module <> 'mod' || (s_nationkey % 4) THEN 'MODULE_MISMATCH' WHEN p_partkey IS NULL THEN 'KEY_UNKNOWN' WHEN p_partkey % 100 <> p THEN 'KEY_NOT_OWNED' WHEN p_size % 6 = 0 THEN 'KEY_NOT_ACTIVE' WHEN p_brand <> f THEN 'FINGERPRINT_MISMATCH' ELSE '-' END AS denial, count(*) AS n FROM r LEFT JOIN supplier ON s_suppkey = p LEFT JOIN part ON p_partkey = k GROUP BY 1",
     ),
     "idempotent_ingest": (idempotent_ingest, f"WITH {_SUB}, {_STATUS.format(x='su')} SELECT status, count(*) AS n, count(DISTINCT finding_id) AS ids FROM sg GROUP BY status"),
-    "run_ingest": (run_ingest, f"WITH {_SUB}, s3 AS (SELECT * FROM su WHERE k >= 3000), {_STATUS.format(x='s3')}, g AS (SELECT run_id, count(*) AS k, bool_or(status = 'CONFLICT') AS c FROM sg GROUP BY run_id) SELECT NOT c AS accepted, count(*) AS runs, sum(k)::BIGINT AS findings FROM g GROUP BY 1"),
+    "run_ingest": (run_ingest, f"WITH {_SUB}, {_STATUS.format(x='su')}, g AS (SELECT run_id, count(*) AS k, bool_or(status = 'CONFLICT') AS c FROM sg GROUP BY run_id) SELECT NOT c AS accepted, count(*) AS runs, sum(k)::BIGINT AS findings FROM g GROUP BY 1"),
     "assessment_lifecycle": (assessment_lifecycle, "WITH l AS (SELECT o_custkey AS assessment_id, o_orderkey AS a_t, ['DRAFT', 'ACTIVE', 'SEALED'][o_orderkey % 3 + 1] AS state FROM orders), b AS (SELECT *, lag(state) OVER (PARTITION BY assessment_id ORDER BY a_t) AS p FROM l) SELECT assessment_id, a_t AS \"at\", state, coalesce(p, '-') AS before, (p IS NULL AND state = 'DRAFT') OR coalesce(p = 'DRAFT' AND state = 'ACTIVE', false) OR coalesce(p = 'ACTIVE' AND state = 'SEALED', false) AS is_legal FROM b"),
     "seal_verify": (seal_verify, f"WITH {_MEM}, h AS (SELECT assessment_id, count(*) AS runs, sha256(string_agg(run_id || '|' || request_hash || '|' || mode, ';' ORDER BY run_id || '|' || request_hash || '|' || mode)) AS run_set_hash, bool_or(run_id % 400 = 0) AS e FROM me GROUP BY assessment_id) SELECT assessment_id, runs, run_set_hash, CASE WHEN e THEN 'COMPROMISED' ELSE 'VALID' END AS status FROM h"),
     "assurance_edges": (assurance_edges, "SELECT o_custkey::VARCHAR AS src, o_orderkey::VARCHAR AS dst, 'HAS_RUN' AS relation FROM orders UNION SELECT l_orderkey::VARCHAR, 'F' || l_linenumber, 'REPORTED' FROM lineitem"),

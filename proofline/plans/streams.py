@@ -45,7 +45,7 @@ def windowed_counts_stream(spark, sf_dir):
 
 
 QUERIES = {
-    "receipt_accept_stream": (receipt_accept_stream, None),
+    "receipt_accept_stream": (receipt_accept_stream, f"WITH {runs.FOLD} SELECT * FROM w"),
     "windowed_profile": (windowed_profile, "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS count, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.95), 6) AS q95 FROM events WHERE value IS NOT NULL GROUP BY ALL"),
     "windowed_counts_stream": (windowed_counts_stream, "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE GROUP BY ALL"),
 }
