@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from proofline.functions.columns import bounded_list, dot, finding_id, hamming, norm
 from proofline.functions.policies import RISK_WEIGHT, OutlierPolicy
+from proofline.operators.quantiles import with_quantiles
 
 DATASET = "dataset_integrity"
 
@@ -133,9 +134,9 @@ def outlier_scores(df: DataFrame, key: str, vector: str, segment: tuple[str, ...
 def outlier_threshold(scores: DataFrame, score: str = "score", segment: tuple[str, ...] = (), policy: OutlierPolicy = OutlierPolicy()) -> DataFrame:
     """Threshold by segment: median and scaled MAD, but at least the upper percentile; none below the least support."""
     top = policy.percentile / 100
-    first = scores.groupBy(*segment).agg(F.count(score).alias("n"), F.expr(f"percentile({score}, 0.5)").alias("median"), F.expr(f"percentile({score}, {top})").alias("upper"))
+    first = with_quantiles(scores, segment, F.col(score), {"median": 0.5, "upper": top}, F.count(score).alias("n"))
     near = scores.join(first.select(*segment, "median"), list(segment)) if segment else scores.crossJoin(F.broadcast(first.select("median")))
-    second = near.groupBy(*segment).agg(F.expr(f"percentile(abs({score} - median), 0.5)").alias("mad"))
+    second = with_quantiles(near, segment, F.abs(F.col(score) - F.col("median")), {"mad": 0.5})
     both = first.join(second, list(segment)) if segment else first.crossJoin(F.broadcast(second))
     robust = F.col("median") + policy.multiplier * policy.scale * F.col("mad")
     method = F.when(F.col("n") == 0, "empty").when(F.col("n") < policy.least, "insufficient").when(F.col("mad") == 0, "percentile").otherwise("mad")

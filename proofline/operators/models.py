@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.functions.columns import dot, finding_id, finite, norm
+from proofline.functions.columns import dot, finding_id, finite, let, norm
 from proofline.functions.policies import ISSUE_FINDINGS, PENALTY, BehaviourPolicy, TensorPolicy
+from proofline.operators.quantiles import with_quantiles
 from proofline.operators.relational import named_diff
 
 TENSOR = TensorPolicy()
@@ -21,7 +22,8 @@ def tensor_stats(values: DataFrame, keys: tuple[str, ...] = ("model_id", "tensor
     """
     x = F.col(value)
     ok = F.when(finite(x), x)
-    first = values.groupBy(*keys).agg(
+    first = with_quantiles(
+        values, keys, ok, {"median": 0.5},
         F.count("*").alias("elements"),
         F.count(ok).alias("n_finite"),
         F.count_if(F.isnan(x)).alias("n_nan"),
@@ -35,10 +37,9 @@ def tensor_stats(values: DataFrame, keys: tuple[str, ...] = ("model_id", "tensor
         F.sum(F.abs(ok)).alias("l1"),
         F.count_if(ok == 0).alias("_zero"),
         F.count_if(F.abs(ok) <= policy.near_zero).alias("_near"),
-        F.percentile(ok, F.lit(0.5)).alias("median"),
     )
     scaled = F.when(F.col("abs_max") > 0, ok / F.col("abs_max")).otherwise(F.when(ok.isNotNull(), 0.0))
-    second = values.join(first.select(*keys, "abs_max", "median"), list(keys)).groupBy(*keys).agg(F.sum(scaled * scaled).alias("_s"), F.percentile(F.abs(ok - F.col("median")), F.lit(0.5)).alias("mad"))
+    second = with_quantiles(values.join(first.select(*keys, "abs_max", "median"), list(keys)), keys, F.abs(ok - F.col("median")), {"mad": 0.5}, F.sum(scaled * scaled).alias("_s"))
     l2 = F.col("abs_max") * F.sqrt("_s")
     share = lambda c: F.try_divide(F.col(c).cast("double"), F.col("n_finite").cast("double"))
     return first.join(second, list(keys)).withColumns({"l2": l2, "rms": F.try_divide(l2, F.sqrt("n_finite")), "zero_fraction": share("_zero"), "near_zero_fraction": share("_near")}).drop("_zero", "_near", "_s")
@@ -129,6 +130,37 @@ def commitments(channels: DataFrame, vector: str = "values") -> DataFrame:
     return hashed.join(whole, "model_id")
 
 
+def tensor_modes(tensors: DataFrame, single: int, total: int) -> DataFrame:
+    """Whether each tensor (model_id, tensor, position, elements, bytes) is read FULL or SAMPLED.
+
+    Tensors are taken by position: one is FULL when it holds at most ``single`` bytes and the model's budget of
+    ``total`` bytes still covers it, which it then uses up. The list of a model's tensors (not of their values) is
+    walked in one value.
+    """
+    sizes = F.array_sort(F.collect_list(F.struct("position", "tensor", "bytes")))
+    start = F.struct(F.lit(total).cast("long").alias("left"), F.array().cast("array<string>").alias("full"))
+    fits = lambda s, t: (t["bytes"] <= single) & (t["bytes"] <= s["left"])
+    step = lambda s, t: F.when(fits(s, t), F.struct((s["left"] - t["bytes"]).alias("left"), F.array_append(s["full"], t["tensor"]).alias("full"))).otherwise(s)
+    walked = tensors.groupBy("model_id").agg(F.aggregate(sizes, start, step)["full"].alias("_full"))
+    return tensors.join(walked, "model_id").withColumn("mode", F.when(F.array_contains("_full", F.col("tensor")), "FULL").otherwise("SAMPLED")).drop("_full")
+
+
+def sampled_values(values: DataFrame, modes: DataFrame, most: int) -> DataFrame:
+    """The values (model_id, tensor, pos from 0, value) of FULL tensors, and at most ``most`` even ones of SAMPLED ones.
+
+    The first and last are among them. Whether a position is taken follows from it and the tensor's size alone, so
+    nothing is ranked: step k falls on floor(k (elements - 1) / (most - 1)).
+    """
+    joined = values.join(modes.select("model_id", "tensor", "elements", "mode"), ["model_id", "tensor"])
+    if most == 1:
+        taken = F.col("pos") == 0
+    else:
+        k = F.expr(f"(pos * {most - 1}L + elements - 2) div (elements - 1)")
+        taken = F.expr(f"(_k * (elements - 1)) div {most - 1}L") == F.col("pos")
+        joined = joined.withColumn("_k", F.when(F.col("elements") > 1, k))
+    return joined.where((F.col("mode") == "FULL") | (F.col("elements") <= most) | taken).drop("_k")
+
+
 def parameter_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Tensors by name that were added, removed, or changed in type, shape or values; columns name, dtype, shape, value_sha256."""
     diff = named_diff(before, after, ("name",), ("dtype", "shape", "value_sha256"))
@@ -191,8 +223,9 @@ def redacted(evidence: Column, most: int = 12) -> Column:
 def softmax(v: Column) -> Column:
     """A vector as probabilities, without overflow."""
     top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x.cast("double") - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    raised = let(top, lambda t: F.transform(v, lambda x: F.exp(x.cast("double") - t)))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda s, y: s + y)
+    return let(raised, lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def classified(runs: DataFrame, output: str = "output") -> DataFrame:
@@ -202,12 +235,47 @@ def classified(runs: DataFrame, output: str = "output") -> DataFrame:
     return runs.withColumn("class", F.when(usable, F.array_position(v, F.array_max(v)) - 1)).withColumn("score", F.when(usable, F.array_max(softmax(v))))
 
 
-def output_delta(a: Column, b: Column) -> Column:
-    """How far two output vectors are apart: largest, mean and normalised distance, and cosine."""
+def output_delta(a: Column, b: Column, epsilon: float = 1e-12) -> Column:
+    """How far two output vectors are apart: largest, mean and normalised distance, and cosine.
+
+    All four are null unless both are of one size, not empty and finite; the cosine is null where one has no length.
+    """
     gaps = F.zip_with(a, b, lambda x, y: F.abs(y.cast("double") - x.cast("double")))
     total = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x)
     l2 = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x))
-    return F.struct(F.array_max(gaps).alias("max_abs"), (total / F.size(gaps)).alias("mean_abs"), F.try_divide(l2, norm(a)).alias("normalised_l2"), F.try_divide(dot(a, b), norm(a) * norm(b)).alias("cosine"))
+    known = lambda v: F.forall(v, lambda x: x.isNotNull() & finite(x.cast("double")))
+    usable = (F.size(a) == F.size(b)) & (F.size(a) > 0) & known(a) & known(b)
+    parts = {"max_abs": F.array_max(gaps), "mean_abs": total / F.size(gaps), "normalised_l2": l2 / (norm(a) + epsilon), "cosine": F.try_divide(dot(a, b), norm(a) * norm(b))}
+    return F.struct(*(F.when(usable, value).alias(name) for name, value in parts.items()))
+
+
+def output_summary(runs: DataFrame, output: str = "output", name: str = "output") -> DataFrame:
+    """Each output with its counts of finite and other values, range, mean, RMS and fingerprint.
+
+    Mean and RMS are taken over the largest magnitude, so squares can't overflow. Without finite values the four
+    numbers are null; a null output has no elements. The fingerprint covers the name, the size and the values in order.
+    """
+    v = F.coalesce(F.transform(F.col(output), lambda x: x.cast("double")), F.array().cast("array<double>"))
+    ok = F.filter(F.col("_v"), lambda x: x.isNotNull() & finite(x))
+    many = lambda cond: F.size(F.filter("_v", cond)).cast("long")
+    total = lambda f: F.aggregate("_ok", F.lit(0.0), lambda s, x: s + f(F.try_divide(x, F.col("_top"))))
+    n = F.size("_ok")
+    scaled = lambda x: F.when(n > 0, F.when(F.col("_top") == 0, 0.0).otherwise(F.col("_top") * x))
+    text = F.array_join(F.transform("_v", lambda x: F.coalesce(F.format_string("%.12e", x), F.lit("null"))), ",")
+    staged = runs.withColumn("_v", v).withColumn("_ok", ok).withColumn("_top", F.array_max(F.transform("_ok", F.abs)))
+    found = staged.withColumns({
+        "elements": F.size("_v").cast("long"),
+        "n_finite": n.cast("long"),
+        "n_nan": many(F.isnan),
+        "n_posinf": many(lambda x: x == float("inf")),
+        "n_neginf": many(lambda x: x == float("-inf")),
+        "minimum": F.array_min("_ok"),
+        "maximum": F.array_max("_ok"),
+        "mean": scaled(F.try_divide(total(lambda x: x), n.cast("double"))),
+        "rms": scaled(F.sqrt(F.try_divide(total(lambda x: x * x), n.cast("double")))),
+        "fingerprint": F.sha2(F.concat_ws("|", F.lit(name), F.size("_v").cast("string"), text), 256),
+    })
+    return found.drop("_v", "_ok", "_top")
 
 
 def perturbed(samples: DataFrame, triggers: DataFrame, height: int, width: int) -> DataFrame:

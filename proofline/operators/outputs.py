@@ -105,6 +105,32 @@ def shift_findings(interpreted: DataFrame) -> DataFrame:
     return interpreted.where("pattern != 'NO_SHIFT_OBSERVED'").withColumns({"category": F.col("pattern"), "severity": severity, "confidence": confidence})
 
 
+#: What to look into when a layer moved.
+LAYER_CHECKS = {
+    "IMAGE": ("Look at the pixel features that moved.", "Compare capture and preprocessing settings of both windows."),
+    "REPRESENTATION": ("Make sure that both windows were embedded by one model.", "Look at the embedding features that moved, segment by segment."),
+    "OUTPUT": ("Make sure that both windows share one label set.", "Look at the output features that moved and at the runtime."),
+}
+
+
+def texts(interpreted: DataFrame) -> DataFrame:
+    """Interpretations with a ``summary``, one line per layer (``observations``) and the ``checks`` they call for."""
+    listed = lambda c: F.replace(F.col(c), F.lit(","), F.lit(", "))
+    gap = F.when(F.col("complete"), "").otherwise(" Not every layer was fully assessed.")
+    summary = (
+        F.when(~F.col("usable"), F.lit("No layer could be assessed."))
+        .when(F.col("changed") == 0, F.concat(F.lit("None of the assessed layers moved."), gap))
+        .otherwise(F.concat(F.lit("Moved: "), listed("changed_layers"), F.lit("."), gap))
+    )
+    seen = lambda x: F.col(f"s_{x}").isin("COMPLETE", "PARTIAL")
+    line = lambda x: F.concat(F.lit(f"{x}: "), F.when(F.col(f"_{x}"), "moved").when(seen(x), "steady").otherwise(F.concat(F.lit("not assessed, "), F.coalesce(F.col(f"s_{x}"), F.lit("NOT_PROVIDED")))))
+    none = F.array().cast("array<string>")
+    of_layers = [F.when(F.col(f"_{x}"), F.array(*map(F.lit, checks))).otherwise(none) for x, checks in LAYER_CHECKS.items()]
+    missing = F.when(F.col("complete"), none).otherwise(F.array(F.lit("Provide the layers that were not fully assessed.")))
+    checks = F.concat(F.array(F.lit("Make sure that the reports belong to the two windows meant.")), *of_layers, missing)
+    return interpreted.withColumns({"summary": summary, "observations": F.array(*map(line, LAYERS)), "checks": checks})
+
+
 def layer_problems(reports: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Reports that contradict themselves: a layer twice, a feature in two lists, or a shift in an unavailable layer."""
     n = reports.groupBy(*keys, "layer").agg(F.count("*").alias("n")).where("n > 1").select(*keys, "layer", F.lit("DUPLICATE_LAYER").alias("problem"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.functions.columns import canonical
+from proofline.operators.quantiles import with_quantiles
 
 #: Statistics of a summary, in order.
 SUMMARY = ("count", "minimum", "maximum", "mean", "std", "median", "q05", "q25", "q75", "q95")
@@ -18,10 +19,10 @@ def long_form(df: DataFrame, features: tuple[str, ...], keep: tuple[str, ...]) -
 
 
 def numeric_profile(values: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Summary of ``value`` by key: one aggregation with exact percentiles and population deviation."""
-    q = F.expr("percentile(value, array(0.5, 0.05, 0.25, 0.75, 0.95))")
-    found = values.groupBy(*keys).agg(F.count("value").alias("count"), F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), q.alias("_q"))
-    return found.select(*keys, "count", "minimum", "maximum", "mean", "std", *(F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("median", "q05", "q25", "q75", "q95"))))
+    """Summary of ``value`` by key, with exact quantiles and population deviation."""
+    places = {"median": 0.5, "q05": 0.05, "q25": 0.25, "q75": 0.75, "q95": 0.95}
+    plain = (F.count("value").alias("count"), F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    return with_quantiles(values, keys, F.col("value"), places, *plain)
 
 
 def unit_bin(value: Column, bins: int) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from proofline.functions.columns import let
 from proofline.operators import compare, outputs, profile, vectors
 from proofline.session import table
 
@@ -64,7 +65,8 @@ def vector_sample(spark, sf_dir):
 def _predictions(spark, sf_dir):
     """Softmax over the whole vector, tenfold; labels by argmax, some spoilt by rule."""
     base = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.exp(x.cast("double") * 10)).alias("e"))
-    p = base.withColumn("probabilities", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda s, y: s + y)))
+    total = F.aggregate("e", F.lit(0.0), lambda s, y: s + y)
+    p = base.withColumn("probabilities", let(total, lambda t: F.transform("e", lambda x: x / t)))
     top = F.array_position("probabilities", F.array_max("probabilities")) - 1
     k = F.col("vec_id") % 40
     return p.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from proofline.functions import columns as C
 from proofline.functions.policies import ComparisonPolicy
-from proofline.operators import audit, compare, dataset_scan, detect, models, outputs, profile, registry, relational, scoring, vectors
+from proofline.operators import audit, compare, dataset_scan, detect, models, outputs, profile, quantiles, registry, relational, scoring, vectors
 from proofline import session
 from proofline.plans import reports, runs
 
@@ -250,3 +250,48 @@ def test_shared_folder_is_named_on_a_cluster(spark, monkeypatch):
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         with pytest.raises(RuntimeError):
             session.shared_dir(Session)
+
+
+@pytest.mark.parametrize("n", [1, 2, 30, 19_999, 60_000])
+def test_quantiles_equal_percentile(spark, n):
+    x = F.when(F.col("id") % 5 == 0, 1.0).when(F.col("id") % 11 == 0, F.pow(F.lit(2.0), F.col("id") % 900)).otherwise(F.sin(F.col("id")))
+    df = spark.range(n).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), F.when(F.col("id") % 7 != 6, x).alias("v"))
+    qs = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.95, "e": 1.0}
+    for keys in (("k",), ()):
+        got = {tuple(r[k] for k in keys): [r[q] for q in qs] for r in quantiles.with_quantiles(df, keys, F.col("v"), qs, F.count("*").alias("n")).collect()}
+        want = {tuple(r[k] for k in keys): r["q"] for r in df.groupBy(*keys).agg(F.percentile("v", F.array(*map(F.lit, qs.values()))).alias("q")).collect()}
+        assert set(got) == set(want)
+        assert all(got[k] == pytest.approx(list(want[k]), rel=1e-12) for k in want)
+
+
+def test_quantiles_of_nothing(spark):
+    none = spark.createDataFrame([], "k string, v double")
+    assert quantiles.with_quantiles(none, ("k",), F.col("v"), {"m": 0.5}).count() == 0
+    assert one(quantiles.with_quantiles(none, (), F.col("v"), {"m": 0.5}, F.count("v").alias("n"))).asDict() == {"n": 0, "m": None}
+    empty = spark.createDataFrame([("a", None), (None, 2.0)], "k string, v double")
+    assert {(r.k, r.m) for r in quantiles.with_quantiles(empty, ("k",), F.col("v"), {"m": 0.5}).collect()} == {("a", None), (None, 2.0)}
+
+
+def test_output_summary_and_delta(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = spark.createDataFrame([(0, [3.0, -4.0, nan, inf, -inf, None]), (1, [1e200, 1e200]), (2, []), (3, None), (4, [0.0, 0.0])], "id int, output array<double>")
+    got = {r.id: r for r in models.output_summary(rows).collect()}
+    assert (got[0].elements, got[0].n_finite, got[0].n_nan, got[0].n_posinf, got[0].n_neginf) == (6, 2, 1, 1, 1)
+    assert got[0].mean == pytest.approx(-0.5) and got[0].rms == pytest.approx(12.5**0.5)
+    assert got[1].rms == pytest.approx(1e200) and (got[4].mean, got[4].rms) == (0.0, 0.0)
+    assert got[2].elements == got[3].elements == 0 and got[2].mean is None and got[3].minimum is None
+    assert len({r.fingerprint for r in got.values()}) == 4
+    pairs = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([1.0], [1.0, 2.0]), ([nan], [1.0]), ([0.0], [1.0])], "a array<double>, b array<double>")
+    d = [r.d for r in pairs.select(models.output_delta(F.col("a"), F.col("b")).alias("d")).collect()]
+    assert d[0].max_abs == 1.0 and d[0].normalised_l2 == pytest.approx(2**0.5) and d[0].cosine == 0.0
+    assert d[1].max_abs is None and d[2].mean_abs is None and d[3].cosine is None and d[3].normalised_l2 == pytest.approx(1e12)
+
+
+def test_sampled_tensors(spark):
+    tensors = spark.createDataFrame([("m", "a", 0, 10, 80), ("m", "b", 1, 7, 100), ("m", "c", 2, 3, 24), ("n", "a", 0, 1, 8)], "model_id string, tensor string, position int, elements long, bytes long")
+    modes = models.tensor_modes(tensors, 90, 100)
+    assert {(r.model_id, r.tensor): r["mode"] for r in modes.collect()} == {("m", "a"): "FULL", ("m", "b"): "SAMPLED", ("m", "c"): "SAMPLED", ("n", "a"): "FULL"}
+    values = tensors.select("model_id", "tensor", F.explode(F.sequence(F.lit(0).cast("long"), F.col("elements") - 1)).alias("pos"))
+    for most in (1, 2, 4, 7):
+        taken = models.sampled_values(values, modes, most).where("tensor = 'b'").collect()
+        assert sorted(r.pos for r in taken) == ([0] if most == 1 else [i * 6 // (most - 1) for i in range(most)])
