@@ -27,21 +27,30 @@ def record_hash() -> Column:
     return F.sha2(canonical(**{f: F.col(f) for f in _FIELDS}), 256)
 
 
-def build(events: DataFrame, chain: str, order: tuple[str, ...]) -> DataFrame:
+def build(events: DataFrame, chain: str, order: tuple[str, ...], after: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Audit records of events: ids, sequence and hashes, each over the one before.
 
     ``events`` has chain, order columns, event_type, asset_type, asset_id, payload_json and ts. A hash chain is
     sequential by nature, so a chain is one ordered fold; chains are independent of each other. Numbers, texts and
-    times are prepared as columns; the fold only hashes.
+    times are prepared as columns; the fold only hashes. Chains continue after the ``heads`` given in ``after``, and
+    the columns in ``keep`` are carried along.
     """
     rank = Window.partitionBy(chain).orderBy(*order)
-    rows = events.select(F.col(chain).alias("chain"), "event_type", "asset_type", "asset_id", "payload_json", F.row_number().over(rank).cast("long").alias("sequence"), utc_text(F.col("ts")).alias("timestamp"))
-    rows = rows.withColumn("audit_id", F.format_string("AUD-%08d", "sequence"))
-    schema = T.StructType([*rows.schema.fields, T.StructField("previous_hash", T.StringType()), T.StructField("current_hash", T.StringType())])
+    fields = ("event_type", "asset_type", "asset_id", "payload_json", *keep)
+    rows = events.select(F.col(chain).alias("chain"), *fields, F.row_number().over(rank).cast("long").alias("_rank"), utc_text(F.col("ts")).alias("timestamp"))
+    if after is None:
+        rows = rows.withColumn("_start", F.lit(0)).withColumn("previous_hash", F.lit(GENESIS))
+    else:
+        rows = rows.join(after.select("chain", F.col("audit_sequence").alias("_start"), F.col("record_hash").alias("previous_hash")), "chain", "left")
+        rows = rows.fillna({"_start": 0, "previous_hash": GENESIS})
+    sequence = (F.col("_rank") + F.col("_start")).cast("long")
+    rows = rows.select("chain", *fields, sequence.alias("sequence"), "timestamp", "previous_hash").withColumn("audit_id", F.format_string("AUD-%08d", "sequence"))
+    rows = rows.select("chain", *fields, "sequence", "timestamp", "audit_id", "previous_hash")
+    schema = T.StructType([*rows.schema.fields, T.StructField("current_hash", T.StringType())])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sequence")
-        before, links, hashes = GENESIS, [], []
+        before, links, hashes = pdf["previous_hash"].iloc[0], [], []
         for row in pdf[[f for f in _FIELDS if f != "previous_hash"]].to_dict("records"):
             row["previous_hash"] = before
             links.append(before)
@@ -125,11 +134,30 @@ def verify_checkpoints(points: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def drainable(outbox: DataFrame) -> DataFrame:
-    """Pending intents in order of creation, with the first thing that forbids delivery, or null."""
+    """Pending intents in order of creation, with the first thing that forbids delivery, or null.
+
+    Where the outbox has event_type, asset_type and asset_id, the body has to name the same ones.
+    """
     problem = F.when(~F.col("payload_hash").eqNullSafe(F.sha2("payload_json", 256)), "PAYLOAD_HASH_MISMATCH").when(F.try_parse_json("payload_json").isNull(), "PAYLOAD_MALFORMED").when(F.col("event_key").isNull(), "KEY_MISSING")
+    for c in ("event_type", "asset_type", "asset_id"):
+        if c in outbox.columns:
+            problem = problem.when(~F.get_json_object("payload_json", f"$.{c}").eqNullSafe(F.col(c)), "BODY_MISMATCH")
     return outbox.where("status = 'PENDING'").withColumn("problem", problem).orderBy("created_at", "event_key")
 
 
+def drain(outbox: DataFrame, log: DataFrame, delivered: DataFrame, chain: str = "chain") -> DataFrame:
+    """The records that delivering the outbox now appends to the log, with the event_key of each.
+
+    Pending intents go in order of creation; the first of a chain that can't be delivered holds back all behind it.
+    Those whose key ``delivered`` names are left out, so a drain that is run again delivers nothing twice.
+    """
+    before = Window.partitionBy(chain).orderBy("created_at", "event_key").rowsBetween(Window.unboundedPreceding, 0)
+    waiting = drainable(outbox.join(delivered.select("event_key"), "event_key", "left_anti"))
+    free = waiting.withColumn("_held", F.count("problem").over(before)).where(F.col("_held") == 0)
+    body = free.withColumn("payload_json", F.coalesce(F.get_json_object("payload_json", "$.payload"), F.lit("null")))
+    return build(body, chain, ("created_at", "event_key"), heads(log), ("event_key",))
+
+
 def checkpoint_refusals(log: DataFrame, pending: DataFrame, latest: DataFrame) -> DataFrame:
     """For each chain, why no checkpoint is made now, or null: intents pending, or the head already has one."""
     waiting = pending.groupBy("chain").agg(F.count("*").alias("_pending"))

@@ -123,3 +123,34 @@ def report(states: DataFrame, segment: tuple[str, ...]) -> DataFrame:
     found = states.groupBy(*segment).agg(of("SHIFTED").alias("shifted"), of("STABLE").alias("stable"), of("UNAVAILABLE", "INCOMPARABLE", "INSUFFICIENT").alias("not_assessed"), known.alias("k"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.when(~F.col("state").isin("SHIFTED", "STABLE"), F.concat(F.lit("FEATURE_"), "state")))), ",").alias("limitations"))
     status = F.when(F.col("k") == 0, "UNAVAILABLE").when(F.col("k") < F.col("n"), "PARTIAL").otherwise("COMPLETE")
     return found.withColumn("status", status).withColumn("report_id", F.sha2(F.concat_ws("|", "shifted", "stable", "not_assessed", "status"), 256)).drop("k", "n")
+
+
+#: What two windows of vectors, or of predictions, have to agree in, and the code where they don't.
+VECTOR_SPACE = {"dimension": "DIMENSION_MISMATCH", "space_id": "SPACE_MISMATCH"}
+OUTPUT_SPACE = {"space_id": "OUTPUT_SPACE_MISMATCH"}
+
+
+def comparability(windows: DataFrame, keys: tuple[str, ...], space: dict[str, str], version: int = 1, policy: ComparisonPolicy = POLICY) -> DataFrame:
+    """Per key, whether its two windows can be compared: ``state`` with ``limitations``.
+
+    ``windows``: keys, role, schema_version, status, samples and the columns of ``space``. INCOMPARABLE for a role that
+    is unknown or given twice, another schema version or another space; UNAVAILABLE where a side is absent or without
+    a usable sample; PARTIAL below the least support or for a partial window; else COMPLETE. The first rule decides
+    the terminal states; limitations of PARTIAL are listed in order.
+    """
+    role = F.col("role")
+    side = lambda name: F.max(F.when(role == name, F.struct("schema_version", "status", "samples", *space)))
+    wrong = F.count("*") > F.countDistinct(F.when(role.isin("REFERENCE", "CURRENT"), role))
+    both = windows.groupBy(*keys).agg(side("REFERENCE").alias("r"), side("CURRENT").alias("c"), wrong.alias("_wrong"))
+    either = lambda test: test("r") | test("c")
+    end = F.when(F.col("_wrong"), "ROLE_INVALID")
+    end = end.when(either(lambda s: F.col(s).isNotNull() & ~F.col(f"{s}.schema_version").eqNullSafe(F.lit(version))), "PROFILE_SCHEMA_INCOMPATIBLE")
+    end = end.when(either(lambda s: F.col(s).isNull() | F.coalesce(F.col(f"{s}.status") == "UNAVAILABLE", F.lit(True))), "INPUT_PROFILE_UNAVAILABLE")
+    for column, code in space.items():
+        end = end.when(~F.col(f"r.{column}").eqNullSafe(F.col(f"c.{column}")), code)
+    few = either(lambda s: F.coalesce(F.col(f"{s}.samples"), F.lit(0)) < policy.support)
+    partial = either(lambda s: F.col(f"{s}.status") == "PARTIAL")
+    notes = F.array_compact(F.array(F.when(few, "INSUFFICIENT_SAMPLE_SUPPORT"), F.when(partial, "INPUT_PROFILE_PARTIAL")))
+    found = both.withColumn("_end", end).withColumn("limitations", F.when(F.col("_end").isNull(), F.array_join(notes, ",")).otherwise(F.col("_end")))
+    state = F.when(F.col("_end") == "INPUT_PROFILE_UNAVAILABLE", "UNAVAILABLE").when(F.col("_end").isNotNull(), "INCOMPARABLE").when(F.col("limitations") != "", "PARTIAL").otherwise("COMPLETE")
+    return found.select(*keys, state.alias("state"), "limitations")

@@ -132,12 +132,17 @@ def outlier_scores(df: DataFrame, key: str, vector: str, segment: tuple[str, ...
 
 
 def outlier_threshold(scores: DataFrame, score: str = "score", segment: tuple[str, ...] = (), policy: OutlierPolicy = OutlierPolicy()) -> DataFrame:
-    """Threshold by segment: median and scaled MAD, but at least the upper percentile; none below the least support."""
+    """Threshold by segment: median and scaled MAD, but at least the upper percentile; none below the least support.
+
+    A policy with a ``fixed`` threshold takes that, whatever the scores are.
+    """
     top = policy.percentile / 100
     first = with_quantiles(scores, segment, F.col(score), {"median": 0.5, "upper": top}, F.count(score).alias("n"))
     near = scores.join(first.select(*segment, "median"), list(segment)) if segment else scores.crossJoin(F.broadcast(first.select("median")))
     second = with_quantiles(near, segment, F.abs(F.col(score) - F.col("median")), {"mad": 0.5})
     both = first.join(second, list(segment)) if segment else first.crossJoin(F.broadcast(second))
+    if policy.fixed is not None:
+        return both.withColumn("method", F.lit("fixed")).withColumn("threshold", F.lit(float(policy.fixed)))
     robust = F.col("median") + policy.multiplier * policy.scale * F.col("mad")
     method = F.when(F.col("n") == 0, "empty").when(F.col("n") < policy.least, "insufficient").when(F.col("mad") == 0, "percentile").otherwise("mad")
     return both.withColumn("method", method).withColumn("threshold", F.when(F.col("method") == "mad", F.round(F.greatest(robust, "upper"), 6)).when(F.col("method") == "percentile", F.round("upper", 6)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofline.functions.columns import dot, finding_id, finite, let, norm
 from proofline.functions.policies import ISSUE_FINDINGS, PENALTY, BehaviourPolicy, TensorPolicy
+from proofline.operators import profile
 from proofline.operators.quantiles import with_quantiles
 from proofline.operators.relational import named_diff
 
@@ -123,10 +124,11 @@ def bounded_issues(issues: DataFrame, policy: TensorPolicy = TENSOR) -> DataFram
 
 
 def commitments(channels: DataFrame, vector: str = "values") -> DataFrame:
-    """A hash of each tensor's values, channel by channel in order, and one fingerprint of each model."""
+    """A hash of each tensor's values, over its channels by number, and one fingerprint of each model over its tensors."""
     row = F.sha2(F.array_join(F.transform(vector, lambda x: F.format_string("%.12e", x.cast("double"))), ","), 256)
-    hashed = channels.select("model_id", "tensor", "channel", row.alias("h")).groupBy("model_id", "tensor").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("channel", "h"))), lambda s: s["h"]), ""), 256).alias("value_sha256"))
-    whole = hashed.groupBy("model_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "tensor", "value_sha256"))), ","), 256).alias("model_fingerprint"))
+    placed = channels.select("model_id", "tensor", F.concat_ws(":", F.col("channel").cast("string"), row).alias("_row"))
+    hashed = profile.commitment(placed, ("model_id", "tensor"), F.col("_row")).withColumnRenamed("commitment", "value_sha256").drop("samples")
+    whole = profile.commitment(hashed, ("model_id",), F.concat_ws(":", "tensor", "value_sha256")).withColumnRenamed("commitment", "model_fingerprint").drop("samples")
     return hashed.join(whole, "model_id")
 
 
@@ -278,19 +280,46 @@ def output_summary(runs: DataFrame, output: str = "output", name: str = "output"
     return found.drop("_v", "_ok", "_top")
 
 
-def perturbed(samples: DataFrame, triggers: DataFrame, height: int, width: int) -> DataFrame:
-    """The grid of samples and triggers with the patch written into single-channel pixels (row by row).
+KINDS = ("solid", "zero", "checkerboard")
+LOCATIONS = ("top_left", "top_right", "bottom_left", "bottom_right", "center")
 
-    ``triggers`` (trigger_id, kind solid/zero/checkerboard, top, left, ph, pw, value) is a small table by design.
+
+def default_triggers(height: int, width: int, low: float = 0.0, high: float = 1.0) -> list[tuple]:
+    """Each kind of patch at each of five places: (trigger_id, kind, location, top, left, ph, pw, low, value).
+
+    A patch takes an eighth of the image, 1 to 32 pixels a side. Zero patches are left out where 0 is no value.
     """
+    ph, pw = (min(n, max(1, min(32, -(-n // 8)))) for n in (height, width))
+    down, right = height - ph, width - pw
+    at = dict(zip(LOCATIONS, ((0, 0), (0, right), (down, 0), (down, right), (down // 2, right // 2))))
+    kinds = [k for k in KINDS if k != "zero" or low <= 0 <= high]
+    return [(f"{k}_{place}", k, place, top, left, ph, pw, float(low), float(high)) for k in kinds for place, (top, left) in at.items()]
+
+
+TRIGGER = "trigger_id string, kind string, location string, top int, left int, ph int, pw int, low double, value double"
+
+
+def perturbed(samples: DataFrame, triggers: DataFrame, height: int, width: int, channels: int = 1, layout: str = "NCHW") -> DataFrame:
+    """The grid of samples and triggers with the patch written into all channels of the flat ``pixels``.
+
+    ``layout`` is NCHW (planes) or NHWC (interleaved). ``triggers`` (trigger_id, kind, top, left, ph, pw, value and
+    ``low``, 0 without it) is a small table by design. Solid patches take ``value``, a checkerboard ``low`` where row
+    and column add up to an even number, else ``value``. Samples of another size are left out.
+    """
+    if layout not in ("NCHW", "NHWC"):
+        raise ValueError("layout must be NCHW or NHWC")
+    low = F.col("low") if "low" in triggers.columns else F.lit(0.0)
+
     def paint(p: Column, i: Column) -> Column:
-        y, x = F.floor(i / F.lit(width)), i % F.lit(width)
+        place = i % F.lit(height * width) if layout == "NCHW" else F.floor(i / F.lit(channels))
+        y, x = F.floor(place / F.lit(width)), place % F.lit(width)
         inside = (y >= F.col("top")) & (y < F.col("top") + F.col("ph")) & (x >= F.col("left")) & (x < F.col("left") + F.col("pw"))
-        odd = (y - F.col("top") + x - F.col("left")) % 2 == 1
-        value = F.when(F.col("kind") == "zero", 0.0).when((F.col("kind") == "checkerboard") & odd, 0.0).otherwise(F.col("value"))
+        even = (y - F.col("top") + x - F.col("left")) % 2 == 0
+        value = F.when(F.col("kind") == "zero", 0.0).when((F.col("kind") == "checkerboard") & even, low).otherwise(F.col("value"))
         return F.when(inside, value).otherwise(p)
 
-    return samples.where(F.size("pixels") == height * width).crossJoin(F.broadcast(triggers)).withColumn("pixels", F.transform("pixels", paint))
+    fitting = samples.where(F.size("pixels") == height * width * channels)
+    return fitting.crossJoin(F.broadcast(triggers)).withColumn("pixels", F.transform("pixels", paint))
 
 
 def score_runs(grid: DataFrame, runtime, schema: str) -> DataFrame:
@@ -348,10 +377,20 @@ def run_coverage(runs: DataFrame) -> DataFrame:
     return found.withColumn("analysis", F.when(F.col("usable") == 0, "UNAVAILABLE").when(F.col("usable") < F.col("requested"), "PARTIAL").otherwise("COMPLETE"))
 
 
-def output_contract(runs: DataFrame, contracts: DataFrame, most_elements: int = 1 << 20) -> DataFrame:
-    """What each run's output breaks of its model's contract (model_id, expected_size): a code or null, and non-finite outputs."""
+def output_contract(runs: DataFrame, contracts: DataFrame, most_elements: int = 1 << 20, most_bytes: int = 1 << 23) -> DataFrame:
+    """What each run's output breaks of its model's contract: a code or null, and non-finite outputs.
+
+    ``contracts``: model_id, expected_size and, where the runs have ``name`` or ``dtype``, expected_name and
+    expected_dtype. An element takes as many bytes as its type's name has bits / 8, or 8.
+    """
     joined = runs.join(contracts, "model_id", "left")
-    code = F.when(F.col("output").isNull() | F.col("expected_size").isNull() | (F.size("output") != F.col("expected_size")), "OUTPUT_CONTRACT_CHANGED").when(F.size("output") > most_elements, "OUTPUT_ELEMENT_LIMIT_EXCEEDED")
+    changed = F.col("output").isNull() | ~F.size("output").eqNullSafe(F.col("expected_size"))
+    for c in ("name", "dtype"):
+        if f"expected_{c}" in contracts.columns:
+            changed = changed | ~F.col(c).eqNullSafe(F.col(f"expected_{c}")) | F.col(c).isNull()
+    bits = F.expr("try_cast(regexp_extract(dtype, '([0-9]+)$', 1) AS int)") if "dtype" in runs.columns else F.lit(64)
+    size = F.size("output").cast("long") * F.coalesce(bits, F.lit(64)) / 8
+    code = F.when(changed, "OUTPUT_CONTRACT_CHANGED").when(F.size("output") > most_elements, "OUTPUT_ELEMENT_LIMIT_EXCEEDED").when(size > most_bytes, "OUTPUT_BYTE_LIMIT_EXCEEDED")
     return joined.withColumn("code", code).withColumn("nonfinite", F.coalesce(F.exists("output", lambda x: ~finite(x.cast("double"))), F.lit(False)))
 
 
@@ -367,9 +406,17 @@ def parameter_coverage(tensors: DataFrame) -> DataFrame:
 
 
 def structure_fingerprint(nodes: DataFrame) -> DataFrame:
-    """A hash of each model's graph: its nodes' operators and domains, in order of position."""
-    row = F.concat_ws("|", F.format_string("%012d", "position"), "op_type", F.coalesce("domain", F.lit("")))
-    return nodes.groupBy("model_id").agg(F.count("*").alias("nodes"), F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ";"), 256).alias("structure_sha256"))
+    """A hash of each model's graph: its nodes' places, operators and domains."""
+    row = F.concat_ws("|", F.col("position").cast("string"), "op_type", F.coalesce("domain", F.lit("")))
+    found = profile.commitment(nodes, ("model_id",), row)
+    return found.select("model_id", F.col("samples").alias("nodes"), F.col("commitment").alias("structure_sha256"))
+
+
+def parameter_fingerprint(parameters: DataFrame) -> DataFrame:
+    """A hash of each model's parameters without their values: names, types and shapes (a text each)."""
+    row = F.concat_ws("|", "name", F.coalesce("dtype", F.lit("")), F.coalesce(F.col("shape").cast("string"), F.lit("")))
+    found = profile.commitment(parameters, ("model_id",), row)
+    return found.select("model_id", F.col("samples").alias("parameters"), F.col("commitment").alias("metadata_sha256"))
 
 
 def baseline_problems(records: DataFrame) -> DataFrame:

@@ -69,15 +69,19 @@ def failures(df: DataFrame, keys: tuple[str, ...], path: str, code: str, shown:
     return bad.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("path", "code"))).where(F.col("rank") <= shown)
 
 
-def commitment(df: DataFrame, keys: tuple[str, ...], identity: Column, prefix: int = 2) -> DataFrame:
+def commitment(df: DataFrame, keys: tuple[str, ...], identity: Column) -> DataFrame:
     """A hash of the multiset of identities by key, whatever their order; duplicates count.
 
-    Identities are hashed, dealt to buckets by their first ``prefix`` hex digits, sorted and hashed inside each, and
-    the buckets' hashes are hashed in order, so no list holds more than a bucket's share.
+    Identities are hashed and counted, and the hashes form a tree by their first 6 and 3 hex digits: a node is the
+    hash of its children in order. An inner node has at most 4,096 children and a leaf a sixteen-millionth of the
+    distinct hashes, so no list grows with the window; copies are a count.
     """
-    rows = df.select(*keys, F.sha2(F.coalesce(identity, F.lit("")), 256).alias("h")).withColumn("b", F.substring("h", 1, prefix))
-    inner = rows.groupBy(*keys, "b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"), F.count("*").alias("n"))
-    return inner.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda s: s["h"]), ""), 256).alias("commitment"), F.sum("n").alias("samples"))
+    hashed = df.select(*keys, F.sha2(F.coalesce(identity, F.lit("")), 256).alias("h"))
+    level = hashed.groupBy(*keys, "h").agg(F.count("*").alias("n")).withColumn("t", F.concat_ws("*", "h", F.col("n").cast("string")))
+    node = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "t"))), lambda s: s["t"]), ","), 256)
+    for digits in (6, 3):
+        level = level.groupBy(*keys, F.substring("h", 1, digits).alias("p")).agg(node.alias("t"), F.sum("n").alias("n")).withColumnRenamed("p", "h")
+    return level.groupBy(*keys).agg(node.alias("commitment"), F.sum("n").alias("samples"))
 
 
 def profile_id(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.operators.relational import ingest_status, transitions
+from proofline.operators import profile
+from proofline.operators.relational import ingest_status, running_sum, transitions
 
 
 def verify_models(observed: DataFrame, registry: DataFrame) -> DataFrame:
@@ -64,21 +65,66 @@ def ingest_runs(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return found.withColumn("accepted", F.col("conflicts") == 0)
 
 
+def run_results(requests: DataFrame, stored_runs: DataFrame, incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """What becomes of submitted runs (run_id, request_hash) against stored ones: ``result`` with counts of findings.
+
+    EXISTS for a run that is stored under the same request: all its findings exist, none is looked at again. CONFLICT
+    for one stored under another request, and for a new one with a finding stored with other content; else CREATED.
+    """
+    kept = stored_runs.select("run_id", F.col("request_hash").alias("_stored"))
+    counts = ingest_runs(incoming, stored)
+    joined = requests.join(kept, "run_id", "left").join(counts, "run_id", "left").fillna(0, ["created", "existing", "conflicts"])
+    known, same = F.col("_stored").isNotNull(), F.col("_stored") == F.col("request_hash")
+    result = F.when(known & same, "EXISTS").when(known | (F.col("conflicts") > 0), "CONFLICT").otherwise("CREATED")
+    every = F.col("created") + F.col("existing") + F.col("conflicts")
+    return joined.withColumn("result", result).select(
+        "run_id",
+        "result",
+        F.when(F.col("result") == "CREATED", F.col("created")).otherwise(0).alias("created_findings"),
+        F.when(F.col("result") == "EXISTS", every).when(F.col("result") == "CREATED", F.col("existing")).otherwise(0).alias("existing_findings"),
+    )
+
+
 def lifecycle(log: DataFrame) -> DataFrame:
     """Assessment events with their legality: DRAFT, then ACTIVE, then SEALED."""
     return transitions(log, "assessment_id", ("at",), "state", {None: ("DRAFT",), "DRAFT": ("ACTIVE",), "ACTIVE": ("SEALED",), "SEALED": ()})
 
 
-def seal(members: DataFrame) -> DataFrame:
-    """Per assessment, the hash of its set of runs (run_id, request_hash, mode) in order of id."""
-    row = F.concat_ws("|", F.col("run_id").cast("string"), "request_hash", "mode")
-    return members.groupBy("assessment_id").agg(F.count("*").alias("runs"), F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ";"), 256).alias("run_set_hash"))
+def active_overlaps(log: DataFrame, scope: str) -> DataFrame:
+    """Legal events that leave more than one assessment of a scope ACTIVE at once: (scope, at, assessment_id, active).
 
+    ``log``: scope, assessment_id, at, state. What is ACTIVE is the running sum of legal activations less legal seals.
+    """
+    step = F.when(F.col("state") == "ACTIVE", 1).when(F.col("state") == "SEALED", -1).otherwise(0)
+    legal = lifecycle(log).where("is_legal").withColumn("_step", step)
+    summed = running_sum(legal, (scope,), ("at", "assessment_id"), F.col("_step"))
+    return summed.where((F.col("state") == "ACTIVE") & (F.col("running") > 1)).select(scope, "at", "assessment_id", F.col("running").alias("active"))
+
+
+def seal(members: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Per assessment, the hash of its set of runs (run_id, request_hash, mode), whatever their order.
 
-def verify_seals(sealed: DataFrame, members: DataFrame) -> DataFrame:
-    """Stored seals against the runs as they are now."""
-    now = seal(members).select("assessment_id", F.col("run_set_hash").alias("_now"))
-    return sealed.join(now, "assessment_id", "left").withColumn("status", F.when(F.col("_now").eqNullSafe(F.col("run_set_hash")), "VALID").otherwise("COMPROMISED")).drop("_now")
+    With its findings (assessment_id, module, severity, recommendation) also the hash of their summary: the counts by
+    module, severity and recommendation, in order; an assessment without findings has the hash of an empty summary.
+    """
+    row = F.concat_ws("|", F.col("run_id").cast("string"), "request_hash", "mode")
+    runs = profile.commitment(members, ("assessment_id",), row).select("assessment_id", F.col("samples").alias("runs"), F.col("commitment").alias("run_set_hash"))
+    if found is None:
+        return runs
+    kinds = found.groupBy("assessment_id", "module", "severity", "recommendation").agg(F.count("*").alias("n"))
+    line = F.concat_ws("|", "module", "severity", "recommendation", F.col("n").cast("string"))
+    summary = kinds.groupBy("assessment_id").agg(F.array_join(F.array_sort(F.collect_list(line)), ";").alias("_s"))
+    return runs.join(summary, "assessment_id", "left").withColumn("summary_hash", F.sha2(F.coalesce("_s", F.lit("")), 256)).drop("_s")
+
+
+def verify_seals(sealed: DataFrame, members: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Stored seals against the runs (and, where given, the findings) as they are now."""
+    hashes = ["run_set_hash"] if found is None else ["run_set_hash", "summary_hash"]
+    now = seal(members, found).select("assessment_id", *(F.col(h).alias(f"_{h}") for h in hashes))
+    same = F.lit(True)
+    for h in hashes:
+        same = same & F.col(f"_{h}").eqNullSafe(F.col(h))
+    return sealed.join(now, "assessment_id", "left").withColumn("status", F.when(same, "VALID").otherwise("COMPROMISED")).drop(*(f"_{h}" for h in hashes))
 
 
 def edges(members: DataFrame, found: DataFrame) -> DataFrame:

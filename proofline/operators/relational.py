@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofline.session import cut
+
 
 def paginate(df: DataFrame, filters: dict, order: tuple[str, ...], offset: int, limit: int) -> DataFrame:
     """A page of the rows that equal all given values, in a total order, with the ``total`` that match."""
@@ -24,10 +26,12 @@ def search(df: DataFrame, text: str, columns: tuple[str, ...], filters: dict | N
 def ingest_status(incoming: DataFrame, stored: DataFrame, key: str, content: str) -> DataFrame:
     """Incoming rows with ``status``: CREATED, EXISTS for equal content under the key, CONFLICT for other content.
 
-    Of incoming rows that share a key the smallest content stands for it.
+    Of incoming rows that share a key the smallest content stands for it; of equal ones the first by the other columns
+    (maps aside) is the one that is created.
     """
     known = stored.select(F.col(key), F.col(content).alias("_stored")).dropDuplicates([key])
-    first = Window.partitionBy(key).orderBy(content)
+    others = [name for name, kind in incoming.dtypes if name not in (key, content) and "map<" not in kind]
+    first = Window.partitionBy(key).orderBy(content, *others)
     ranked = incoming.withColumn("_first", F.min(content).over(Window.partitionBy(key))).withColumn("_n", F.row_number().over(first))
     base = F.coalesce("_stored", "_first")
     status = F.when(F.col(content) != base, "CONFLICT").when(F.col("_stored").isNotNull() | (F.col("_n") > 1), "EXISTS").otherwise("CREATED")
@@ -67,6 +71,30 @@ def transitions(log: DataFrame, key: str, order: tuple[str, ...], state: str, le
     return log.withColumn("before", before).withColumn("is_legal", allowed)
 
 
+def running_sum(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], amount: Column) -> DataFrame:
+    """``df`` with ``running``, the sum of ``amount`` up to and with each row in order within its key, and ``total``, the key's.
+
+    Rows are range-partitioned by key and order and written down with the partition they are in; a partition starts at
+    the sum of those before it. So a key of any size is spread over tasks, and only one row for each key and partition
+    meets in one place. Rows that tie in order are summed one after another in no set order. Null keys are a key.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("_amount", amount).repartitionByRange(width, *keys, *order)
+    parts = cut(ranged.withColumn("_part", F.spark_partition_id()), "running")
+    sums = parts.groupBy(*keys, "_part").agg(F.sum("_amount").alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(
+        *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)),
+        F.col("_part").alias("_at"),
+        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"),
+        F.sum("_sum").over(Window.partitionBy(*keys)).alias("total"),
+    )
+    on = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)), F.col("_part") == F.col("_at"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = parts.withColumn("running", F.sum("_amount").over(inside)).join(starts, on)
+    return summed.select(*df.columns, (F.col("running") + F.col("_start")).alias("running"), "total")
+
+
 def lookup(keys: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Many point lookups at once: the asked keys with the stored row, or nulls."""
     return keys.select(key).distinct().join(stored, key, "left")

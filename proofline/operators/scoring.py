@@ -115,6 +115,20 @@ def severity_counts(found: DataFrame) -> DataFrame:
     return wide.select("module", *(F.coalesce(s, F.lit(0)).alias(s.lower()) for s in PENALTY))
 
 
+def recommendation_counts(found: DataFrame) -> DataFrame:
+    """Findings by module and recommendation, absent ones as 0."""
+    wide = found.groupBy("module").pivot("recommendation", list(RANK)).count()
+    return wide.select("module", *(F.coalesce(r, F.lit(0)).alias(r.lower()) for r in RANK))
+
+
+def category_counts(found: DataFrame) -> DataFrame:
+    """Findings by module for each category that occurs at all, absent ones as 0."""
+    counts = found.groupBy("module", "category").agg(F.count("*").alias("n"))
+    module = F.explode(F.array(*map(F.lit, WEIGHT))).alias("module")
+    every = found.select("category").distinct().select("category", module)
+    return every.join(counts, ["module", "category"], "left").fillna(0, ["n"])
+
+
 def top_findings(found: DataFrame, most: int = 5) -> DataFrame:
     """The leading findings of each module: by severity, then confidence, then id."""
     order = Window.partitionBy("module").orderBy(penalty(F.col("severity")).desc(), F.col("confidence").desc(), "finding_id")

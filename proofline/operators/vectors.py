@@ -11,6 +11,7 @@ from proofline.functions.columns import cosine_distance, dot, finite, norm, publ
 from proofline.functions.policies import VectorPolicy
 from proofline.operators import compare, profile
 from proofline.operators.detect import mean_vector
+from proofline.operators.relational import running_sum
 
 POLICY = VectorPolicy()
 BLOCK = 512
@@ -40,13 +41,12 @@ def hashed_subset(df: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def spaced(df: DataFrame, keys: tuple[str, ...], order: str, most: int) -> DataFrame:
-    """At most ``most`` rows of each key, evenly spaced in order, the first and last among them."""
-    own, whole = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys)
-    ranked = df.withColumn("_i", F.row_number().over(own) - 1).withColumn("_n", F.count("*").over(whole))
+    """At most ``most`` rows of each key, evenly spaced in order, the first and last among them; a key spans many tasks."""
+    ranked = running_sum(df, keys, (order,), F.lit(1)).withColumn("_i", F.col("running") - 1).withColumnRenamed("total", "_n")
     # i is taken when some step k falls on it: floor(k (n - 1) / (most - 1)) = i
     k = F.ceil(F.col("_i") * (most - 1) / (F.col("_n") - 1))
     taken = (F.col("_n") <= most) | (F.floor(k * (F.col("_n") - 1) / F.lit(most - 1)) == F.col("_i"))
-    return ranked.where(taken).drop("_i", "_n")
+    return ranked.where(taken).select(*df.columns)
 
 
 def moments(df: DataFrame, keys: tuple[str, ...], vector: str) -> DataFrame:

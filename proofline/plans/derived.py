@@ -9,6 +9,15 @@ from proofline.functions.columns import median_signature
 from proofline.session import table
 
 
+def commitment_sql(rows: str, keys: str, identity: str) -> str:
+    """DuckDB CTEs ``hash_tree (keys, commitment, samples)`` of the identities of a table's rows by key."""
+    return f"""
+t0 AS (SELECT {keys}, h, count(*) AS n FROM (SELECT {keys}, sha256({identity}) AS h FROM {rows}) GROUP BY ALL),
+t1 AS (SELECT {keys}, substr(h, 1, 6) AS p6, sha256(string_agg(h || '*' || n, ',' ORDER BY h)) AS t, sum(n) AS n FROM t0 GROUP BY ALL),
+t2 AS (SELECT {keys}, substr(p6, 1, 3) AS p3, sha256(string_agg(t, ',' ORDER BY p6)) AS t, sum(n) AS n FROM t1 GROUP BY ALL),
+hash_tree AS (SELECT {keys}, sha256(string_agg(t, ',' ORDER BY p3)) AS commitment, sum(n)::BIGINT AS samples FROM t2 GROUP BY ALL)"""
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as samples: contributor = source, batch = language."""
     return table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("sample_id"), "text", F.col("source").alias("contributor_id"), F.col("lang").alias("batch_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofline.operators import audit, dataset_scan, models, registry, relational
 from proofline.plans import assurance, runs
+from proofline.plans.derived import commitment_sql
 from proofline.session import table
 from proofline.streaming import acceptance
 
@@ -96,7 +97,11 @@ QUERIES = {
         parameter_coverage,
         "WITH t AS (SELECT p_partkey % 30 AS model_id, p_size::BIGINT AS e, p_size::BIGINT * 4 AS b, p_partkey % 30 = 0 OR (p_partkey % 30 <> 1 AND p_size % 7 <> 0) AS a FROM part), g AS (SELECT model_id, count(*) AS tensors, count(*) FILTER (a) AS tensors_analysed, sum(e)::BIGINT AS elements, coalesce(sum(e) FILTER (a), 0)::BIGINT AS elements_analysed, sum(b)::BIGINT AS bytes, coalesce(sum(b) FILTER (a), 0)::BIGINT AS bytes_analysed FROM t GROUP BY model_id) SELECT *, round(elements_analysed / elements, 9) AS element_ratio, CASE WHEN tensors_analysed = 0 THEN 'UNAVAILABLE' WHEN tensors_analysed < tensors THEN 'PARTIAL' ELSE 'COMPLETE' END AS status FROM g",
     ),
-    "structure_fingerprint": (structure_fingerprint, "SELECT user_id % 20 AS model_id, count(*) AS nodes, sha256(string_agg(printf('%012d', event_id) || '|' || event_type || '|', ';' ORDER BY event_id)) AS structure_sha256 FROM events GROUP BY 1"),
+    "structure_fingerprint": (
+        structure_fingerprint,
+        f"""WITH n AS (SELECT user_id % 20 AS model_id, event_id || '|' || event_type || '|' AS row FROM events), {commitment_sql("n", "model_id", "row")}
+        SELECT model_id, samples AS nodes, commitment AS structure_sha256 FROM hash_tree""",
+    ),
     "baseline_compare": (
         baseline_compare,
         f"WITH b AS ({_B}), a AS ({_A}), c AS (SELECT coalesce(b.model_id, a.model_id) AS model_id, {_CMP.format(c='a')} AS artifact, {_CMP.format(c='s')} AS structure, {_CMP.format(c='v')} AS parameters FROM b FULL JOIN a ON a.k = b.k) SELECT *, CASE WHEN structure = 'INCOMPARABLE' THEN 'NOT_COMPARED' WHEN structure = 'CHANGED' THEN 'STRUCTURE_CHANGED' WHEN parameters = 'CHANGED' THEN 'PARAMETERS_CHANGED' WHEN parameters = 'UNAVAILABLE' THEN 'EVIDENCE_INCOMPLETE' WHEN artifact = 'CHANGED' THEN 'REPACKAGED' ELSE 'UNCHANGED' END AS interpretation FROM c",

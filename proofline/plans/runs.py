@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from proofline.operators import annotations, models, registry, relational
+from proofline.plans.derived import commitment_sql
 from proofline.session import table
 from proofline.streaming import acceptance
 
@@ -274,7 +275,7 @@ h AS (SELECT g.*, dominant, flips / pairs AS flip_rate, k / pairs AS dominant_ra
 r AS (SELECT h.*, dominant_rate - clean_rate AS lift, flip_rate - (SELECT quantile_cont(p.flip_rate, 0.5) FROM h p WHERE p.model_id = h.model_id AND p.t <> h.t) AS control_relative FROM h)"""
 _MEM = "me AS (SELECT o_custkey AS assessment_id, o_orderkey AS run_id, sha256(o_orderpriority) AS request_hash, CASE WHEN o_orderstatus = 'F' THEN 'SIGNED' ELSE 'TOKEN' END AS mode FROM orders)"
 _SUB = "su AS (SELECT o_custkey AS run_id, 'F-' || (o_orderkey // 2) AS finding_id, CASE WHEN o_orderkey % 500 = 0 THEN 'changed' ELSE o_orderpriority END AS content FROM orders), sd AS (SELECT 'F-' || (o_orderkey // 2) AS finding_id, o_orderpriority AS stored FROM orders WHERE o_orderkey % 3 = 0)"
-_STATUS = "rk AS (SELECT x.*, min(content) OVER (PARTITION BY finding_id) AS f, row_number() OVER (PARTITION BY finding_id ORDER BY content) AS n FROM {x} x), sg AS (SELECT rk.*, CASE WHEN content <> coalesce(stored, f) THEN 'CONFLICT' WHEN stored IS NOT NULL OR n > 1 THEN 'EXISTS' ELSE 'CREATED' END AS status FROM rk LEFT JOIN sd USING (finding_id))"
+_STATUS = "rk AS (SELECT x.*, min(content) OVER (PARTITION BY finding_id) AS f, row_number() OVER (PARTITION BY finding_id ORDER BY content, run_id) AS n FROM {x} x), sg AS (SELECT rk.*, CASE WHEN content <> coalesce(stored, f) THEN 'CONFLICT' WHEN stored IS NOT NULL OR n > 1 THEN 'EXISTS' ELSE 'CREATED' END AS status FROM rk LEFT JOIN sd USING (finding_id))"
 
 #: Receipts one by one by arrival: each step of the recursion takes the next receipt of every key.
 FOLD = """RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
@@ -324,7 +325,11 @@ QUERIES = {
     "idempotent_ingest": (idempotent_ingest, f"WITH {_SUB}, {_STATUS.format(x='su')} SELECT status, count(*) AS n, count(DISTINCT finding_id) AS ids FROM sg GROUP BY status"),
     "run_ingest": (run_ingest, f"WITH {_SUB}, {_STATUS.format(x='su')}, g AS (SELECT run_id, count(*) AS k, bool_or(status = 'CONFLICT') AS c FROM sg GROUP BY run_id) SELECT NOT c AS accepted, count(*) AS runs, sum(k)::BIGINT AS findings FROM g GROUP BY 1"),
     "assessment_lifecycle": (assessment_lifecycle, "WITH l AS (SELECT o_custkey AS assessment_id, o_orderkey AS a_t, ['DRAFT', 'ACTIVE', 'SEALED'][o_orderkey % 3 + 1] AS state FROM orders), b AS (SELECT *, lag(state) OVER (PARTITION BY assessment_id ORDER BY a_t) AS p FROM l) SELECT assessment_id, a_t AS \"at\", state, coalesce(p, '-') AS before, (p IS NULL AND state = 'DRAFT') OR coalesce(p = 'DRAFT' AND state = 'ACTIVE', false) OR coalesce(p = 'ACTIVE' AND state = 'SEALED', false) AS is_legal FROM b"),
-    "seal_verify": (seal_verify, f"WITH {_MEM}, h AS (SELECT assessment_id, count(*) AS runs, sha256(string_agg(run_id || '|' || request_hash || '|' || mode, ';' ORDER BY run_id || '|' || request_hash || '|' || mode)) AS run_set_hash, bool_or(run_id % 400 = 0) AS e FROM me GROUP BY assessment_id) SELECT assessment_id, runs, run_set_hash, CASE WHEN e THEN 'COMPROMISED' ELSE 'VALID' END AS status FROM h"),
+    "seal_verify": (
+        seal_verify,
+        f"""WITH {_MEM}, {commitment_sql("me", "assessment_id", "run_id || '|' || request_hash || '|' || mode")}, e AS (SELECT assessment_id, bool_or(run_id % 400 = 0) AS e FROM me GROUP BY 1)
+        SELECT assessment_id, samples AS runs, commitment AS run_set_hash, CASE WHEN e THEN 'COMPROMISED' ELSE 'VALID' END AS status FROM hash_tree JOIN e USING (assessment_id)""",
+    ),
     "assurance_edges": (assurance_edges, "SELECT o_custkey::VARCHAR AS src, o_orderkey::VARCHAR AS dst, 'HAS_RUN' AS relation FROM orders UNION SELECT l_orderkey::VARCHAR, 'F' || l_linenumber, 'REPORTED' FROM lineitem"),
     "run_details": (run_details, f"WITH {_MEM} SELECT run_id, CASE WHEN run_id % 5 <> 0 THEN assessment_id ELSE -1 END AS assessment_id, run_id % 11 <> 0 AND mode = 'SIGNED' AS authenticated, CASE WHEN run_id % 11 = 0 THEN 'MISSING_AUTHENTICATION' ELSE '-' END AS error FROM me"),
     "annotation_violations": (

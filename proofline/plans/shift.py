@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from proofline.operators import compare, profile
+from proofline.plans.derived import commitment_sql
 from proofline.session import table
 
 FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -127,7 +128,7 @@ QUERIES = {
     "profile_failures": (profile_failures, f"WITH {_E}, r AS (SELECT event_type, path, code, row_number() OVER (PARTITION BY event_type ORDER BY path, code) AS rank FROM e WHERE code IS NOT NULL) SELECT * FROM r WHERE rank <= 20"),
     "window_commitment": (
         window_commitment,
-        f"WITH {_E}, h AS (SELECT event_type, sha256(path || '|' || props) AS h FROM e), b AS (SELECT event_type, substr(h, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM h GROUP BY ALL) SELECT event_type, sha256(string_agg(h, '' ORDER BY b)) AS commitment, sum(n)::BIGINT AS samples FROM b GROUP BY event_type",
+        f"""WITH {_E}, {commitment_sql("e", "event_type", "path || '|' || props")} SELECT * FROM hash_tree""",
     ),
     "shift_continuous": (shift_continuous, f"WITH {_STATE} SELECT l_returnflag, feature, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("smd", "quantile", "median", "js", "tv", "wasserstein")) + ", exceeded, state, direction FROM z"),
     "shift_categorical": (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proofline.functions.columns import basename
+from proofline.functions.columns import basename, finite
 
 SUFFIXES = "*.{jpg,jpeg,png,bmp,webp,tif,tiff}"
 #: Format and inspection level by file extension.
@@ -43,7 +43,7 @@ def images(spark: SparkSession, folder: str, max_bytes: int = 1 << 26, max_pixel
     # the two sources write local paths with a different number of slashes
     one = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
     joined = listed.withColumn("_at", one("path")).join(decoded.withColumn("_at", one("origin")).drop("origin"), "_at", "left")
-    code = F.when(F.col("length") == 0, "EMPTY_FILE").when(F.col("length") > max_bytes, "FILE_TOO_LARGE").when(F.coalesce("width", F.lit(-1)) < 1, "UNDECODABLE").when(F.col("width").cast("long") * F.col("height") > max_pixels, "TOO_MANY_PIXELS")
+    code = F.when(F.col("length") == 0, "EMPTY_FILE").when(F.col("length") > max_bytes, "FILE_TOO_LARGE").when(F.coalesce("width", F.lit(-1)) < 1, "UNDECODABLE").when(F.col("width").cast("long") * F.col("height") > max_pixels, "TOO_MANY_PIXELS").when(~F.col("nChannels").isin(1, 3, 4), "UNSUPPORTED_IMAGE_MODE")
     return joined.select("path", "length", code.alias("failure_code"), "height", "width", F.col("nChannels").alias("channels"), "mode", F.when(code.isNull(), F.col("data")).alias("data"))
 
 
@@ -115,3 +115,30 @@ def paired_windows(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.schema(_PAIR).option("multiLine", True).json(path)
     side = lambda c, role: whole.select(F.col("descriptor.name").alias("name"), F.lit(role).alias("role"), F.posexplode(c).alias("pos", "r")).select("name", "role", "pos", "r.*")
     return side("reference", "REFERENCE").union(side("current", "CURRENT"))
+
+
+def paired_problems(spark: SparkSession, path: str, most: int = 128, dimensions: int = 64) -> DataFrame:
+    """Why a paired evidence file can't be used, or null: (file, name, problem), the first rule that it breaks.
+
+    A file has exactly the keys descriptor, reference and current; each window has 1 to ``most`` rows; the dimension
+    is 1 to ``dimensions`` and that of every vector; numbers are finite; sample ids are unique in their window.
+    """
+    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    parsed = text.withColumn("_keys", F.json_object_keys("value")).withColumn("_p", F.from_json("value", _PAIR))
+    sides = [F.col("_p.reference"), F.col("_p.current")]
+    size = F.col("_p.descriptor.dimension")
+    each = lambda test: test(sides[0]) & test(sides[1])
+    fits = lambda side: F.forall(side, lambda r: F.size(r["vec"]).eqNullSafe(size))
+    numbers = lambda side: F.forall(side, lambda r: F.forall(r["vec"], finite))
+    unique = lambda side: F.size(F.array_distinct(F.transform(side, lambda r: r["sample_id"]))) == F.size(side)
+    no = lambda ok: ~F.coalesce(ok, F.lit(False))
+    problem = (
+        F.when(F.col("_keys").isNull(), "MALFORMED")
+        .when(F.array_sort("_keys") != F.array(F.lit("current"), F.lit("descriptor"), F.lit("reference")), "WRONG_KEYS")
+        .when(no(each(lambda side: F.size(side).between(1, most))), "WINDOW_SIZE")
+        .when(no(size.between(1, dimensions)), "DIMENSION_OUT_OF_RANGE")
+        .when(no(each(fits)), "DIMENSION_MISMATCH")
+        .when(no(each(numbers)), "NOT_FINITE")
+        .when(no(each(unique)), "DUPLICATE_SAMPLE_ID")
+    )
+    return parsed.select("file", F.col("_p.descriptor.name").alias("name"), problem.alias("problem"))

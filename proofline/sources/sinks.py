@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from proofline.operators.relational import ingest_status
 from proofline.session import cut
@@ -26,11 +29,26 @@ def append_created(incoming: DataFrame, path: str, key: str, content: str) -> Da
     return status
 
 
+def _strict(c: Column, kind: T.DataType) -> Column:
+    """Whether all numbers inside a value of any depth are finite; null counts as such."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        ok = ~F.isnan(c) & (F.abs(c) < float("inf"))
+    elif isinstance(kind, T.ArrayType):
+        ok = F.forall(c, lambda x: _strict(x, kind.elementType))
+    elif isinstance(kind, T.MapType):
+        ok = F.forall(F.map_values(c), lambda x: _strict(x, kind.valueType))
+    elif isinstance(kind, T.StructType):
+        ok = reduce(lambda a, f: a & _strict(c[f.name], f.dataType), kind.fields, F.lit(True))
+    else:
+        return F.lit(True)
+    return F.coalesce(ok, F.lit(True))
+
+
 def write_report(df: DataFrame, path: str) -> None:
-    """A report as JSON lines; NaN and infinite numbers are refused."""
-    strict = df
+    """A report as JSON lines; NaN and infinite numbers are refused, in lists, maps and structs too."""
+    checked = []
     for f in df.schema.fields:
-        if f.dataType.typeName() in ("double", "float"):
-            c = F.col(f.name)
-            strict = strict.withColumn(f.name, F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.raise_error(F.lit(f"{f.name} is not finite")).cast("double")).otherwise(c))
-    strict.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
+        c = F.col(f"`{f.name}`")
+        refused = F.raise_error(F.lit(f"{f.name} is not finite")).cast(f.dataType)
+        checked.append(F.when(_strict(c, f.dataType), c).otherwise(refused).alias(f.name))
+    df.select(*checked).write.mode("errorifexists").option("ignoreNullFields", False).json(path)

@@ -1,5 +1,6 @@
 """Hand-sized inputs with known results, and edge cases."""
 
+import collections
 import decimal
 import hashlib
 import random
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofline.functions import columns as C
+from proofline.functions import policies
 from proofline.functions.policies import ComparisonPolicy
 from proofline.operators import audit, compare, dataset_scan, detect, models, outputs, profile, quantiles, registry, relational, scoring, vectors
 from proofline import session
@@ -21,6 +23,18 @@ def one(df):
     return rows[0]
 
 
+def hash_tree(identities):
+    """The commitment of identities, node by node."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    level = {h: f"{h}*{n}" for h, n in collections.Counter(map(sha, identities)).items()}
+    for digits in (6, 3, 0):
+        nodes = {}
+        for h in sorted(level):
+            nodes.setdefault(h[:digits], []).append(level[h])
+        level = {p: sha(",".join(children)) for p, children in nodes.items()}
+    return level[""]
+
+
 def test_columns(spark):
     row = one(spark.range(1).select(C.public(F.lit(-1e-15)).alias("zero"), C.bounded_text(F.lit("x" * 600)).alias("cut"), C.basename(F.lit("a\\b/c.onnx")).alias("base"), C.evidence_value(F.array(F.lit("a=1"), F.lit("b=2=3")), "b").alias("value"), C.product(F.array(F.lit(3), F.lit(4))).alias("p"), C.product(F.array(F.lit(1 << 62), F.lit(4))).alias("over"), C.strict_base64(F.lit("aGk="), 10).alias("raw"), C.strict_base64(F.lit("a%"), 10).alias("bad"), C.masked(F.lit("a\x01b")).alias("m")))
     assert str(row.zero) == "0.0" and len(row.cut) == 512 and row.cut.endswith("...[truncated]") and row.base == "c.onnx" and row.value == "2=3"
@@ -80,7 +94,9 @@ def test_profiles_and_divergences(spark):
     got = {r.value: r.n for r in profile.category_counts(names, (), "v", 3).collect()}
     assert got == {"a": 2, "b": 2, "OTHER": 5}
     shuffled = profile.commitment(names.orderBy(F.rand()), (), F.col("v")).collect() + profile.commitment(names, (), F.col("v")).collect()
-    assert shuffled[0] == shuffled[1] and shuffled[0].samples == 9
+    assert shuffled[0] == shuffled[1] and shuffled[0].samples == 9 and shuffled[0].commitment == hash_tree("aabbccdde")
+    assert one(profile.commitment(names.where("v != 'a'"), (), F.col("v"))).commitment != shuffled[0].commitment
+    assert profile.commitment(names.limit(0), ("v",), F.col("v")).count() == 0
 
 
 def test_continuous_shift(spark):
@@ -143,7 +159,7 @@ def test_perturbation(spark):
     samples = spark.createDataFrame([(1, [1.0] * 16)], "sample_id long, pixels array<double>")
     triggers = spark.createDataFrame([("s", "solid", 0, 0, 2, 2, 9.0), ("z", "zero", 2, 2, 2, 2, 9.0), ("c", "checkerboard", 1, 1, 2, 2, 9.0)], "trigger_id string, kind string, top int, left int, ph int, pw int, value double")
     got = {r.trigger_id: r.pixels for r in models.perturbed(samples, triggers, 4, 4).collect()}
-    assert got["s"][:6] == [9, 9, 1, 1, 9, 9] and got["z"][10:12] == [0, 0] and [got["c"][i] for i in (5, 6, 9, 10)] == [9, 0, 0, 9]
+    assert got["s"][:6] == [9, 9, 1, 1, 9, 9] and got["z"][10:12] == [0, 0] and [got["c"][i] for i in (5, 6, 9, 10)] == [0, 9, 9, 0]
 
 
 def test_scores(spark):
@@ -215,9 +231,9 @@ def test_tensor_commitments_against_hashlib(spark):
     for r in sorted(spark.read.parquet(f"{sf}/embeddings.parquet").collect(), key=lambda r: r.vec_id):
         scale = {5: 0.0, 7: 60.0}.get(r.vec_id % 97, 1.0)
         row = ",".join(shown(x * scale) for x in r.embedding)
-        tensors.setdefault(f"t{r.label}", []).append(hashlib.sha256(row.encode()).hexdigest())
-    values = {t: hashlib.sha256("".join(h).encode()).hexdigest() for t, h in tensors.items()}
-    model = hashlib.sha256(",".join(sorted(f"{t}:{h}" for t, h in values.items())).encode()).hexdigest()
+        tensors.setdefault(f"t{r.label}", []).append(f"{r.vec_id}:{hashlib.sha256(row.encode()).hexdigest()}")
+    values = {t: hash_tree(rows) for t, rows in tensors.items()}
+    model = hash_tree([f"{t}:{h}" for t, h in values.items()])
     got = {(r.tensor, r.value_sha256, r.model_fingerprint) for r in runs.tensor_commitments(spark, sf).collect()}
     assert got == {(t, h, model) for t, h in values.items()}
 
@@ -295,3 +311,46 @@ def test_sampled_tensors(spark):
     for most in (1, 2, 4, 7):
         taken = models.sampled_values(values, modes, most).where("tensor = 'b'").collect()
         assert sorted(r.pos for r in taken) == ([0] if most == 1 else [i * 6 // (most - 1) for i in range(most)])
+
+
+def test_running_sums_span_partitions(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", None, "b"]) if i % 3 else "a", rng.randrange(1 << 30), rng.randrange(-5, 9)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, at long, x long").repartition(7)
+    got = {(r.k, r.at): (r.running, r.total) for r in relational.running_sum(df, ("k",), ("at",), F.col("x")).collect()}
+    want = {}
+    for k in ("a", "b", None):
+        mine = sorted(r[1:] for r in rows if r[0] == k)
+        for i, (at, _) in enumerate(mine):
+            want[k, at] = (sum(x for _, x in mine[: i + 1]), sum(x for _, x in mine))
+    assert got == want
+    assert relational.running_sum(df.limit(0), ("k",), ("at",), F.lit(1)).count() == 0
+    ranks = [r.running for r in relational.running_sum(df.select("at"), (), ("at",), F.lit(1)).orderBy("at").collect()]
+    assert ranks == list(range(1, 3001))
+
+
+def test_policies_have_ids_and_limits():
+    assert policies.WindowLimits().policy_id == policies.WindowLimits().policy_id != policies.WindowLimits(bins=64).policy_id
+    for wrong in (lambda: policies.WindowLimits(bins=5000), lambda: policies.WindowLimits(samples=0), lambda: policies.WindowLimits(pixels=1.5), lambda: ComparisonPolicy(js=1.5), lambda: ComparisonPolicy(smd=float("inf"))):
+        with pytest.raises(ValueError):
+            wrong()
+    assert ComparisonPolicy().policy_id.startswith("comparison-policy:sha256:") and policies.PredictionPolicy().policy_id != ComparisonPolicy().policy_id
+    space = policies.VectorSpace("e", "1", 64)
+    assert space.space_id == policies.VectorSpace("e", "1", 64).space_id != policies.VectorSpace("e", "1", 64, digest="sha256:" + "a" * 64).space_id
+    out = policies.OutputSpace(("a", "b"))
+    assert out.space_id != policies.OutputSpace(("b", "a")).space_id
+    for wrong in (lambda: policies.VectorSpace("", "1", 4), lambda: policies.VectorSpace("e", "1", 0), lambda: policies.VectorSpace("e", "1", 4, digest="x"), lambda: policies.OutputSpace(("a", "a")), lambda: policies.OutputSpace(()), lambda: policies.OutputSpace(("a",), head="")):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_fixed_outliers_and_layouts(spark):
+    scores = spark.createDataFrame([("a", 0.2), ("b", 0.9)], "path string, score double")
+    row = one(detect.outlier_threshold(scores, policy=policies.OutlierPolicy(fixed=0.5)))
+    assert (row.method, row.threshold) == ("fixed", 0.5)
+    assert [r.path for r in detect.outliers(scores, detect.outlier_threshold(scores, policy=policies.OutlierPolicy(fixed=0.5))).collect()] == ["b"]
+    places = models.default_triggers(64, 300)
+    assert len(places) == 15 and {(t[5], t[6]) for t in places} == {(8, 32)} and len(models.default_triggers(8, 8, 0.5, 1.0)) == 10
+    assert {t[2]: t[3:5] for t in places} == {"top_left": (0, 0), "top_right": (0, 268), "bottom_left": (56, 0), "bottom_right": (56, 268), "center": (28, 134)}
+    with pytest.raises(ValueError):
+        models.perturbed(scores, scores, 1, 1, 1, "CHW")

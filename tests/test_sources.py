@@ -83,6 +83,34 @@ def test_paired_windows(spark, tmp_path):
     assert [(r.role, r.pos, r.sample_id) for r in files.paired_windows(spark, str(tmp_path / "p.json")).orderBy("role", "pos").collect()] == [("CURRENT", 0, "b"), ("CURRENT", 1, "c"), ("REFERENCE", 0, "a")]
 
 
+def test_paired_problems(spark, tmp_path):
+    good = {"descriptor": {"name": "d", "dimension": 2}, "reference": [{"sample_id": "a", "vec": [1, 2]}], "current": [{"sample_id": "b", "vec": [3, 4]}]}
+    many = [{"sample_id": str(i), "vec": [0, 0]} for i in range(129)]
+    cases = {
+        "good": (good, None),
+        "more": ({**good, "extra": 1}, "WRONG_KEYS"),
+        "none": ({**good, "current": []}, "WINDOW_SIZE"),
+        "many": ({**good, "current": many}, "WINDOW_SIZE"),
+        "wide": ({**good, "descriptor": {"name": "d", "dimension": 65}}, "DIMENSION_OUT_OF_RANGE"),
+        "short": ({**good, "current": [{"sample_id": "b", "vec": [3]}]}, "DIMENSION_MISMATCH"),
+        "null": ({**good, "current": [{"sample_id": "b", "vec": [3, None]}]}, "NOT_FINITE"),
+        "twice": ({**good, "reference": good["reference"] * 2}, "DUPLICATE_SAMPLE_ID"),
+    }
+    for name, (content, _) in cases.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(content))
+    (tmp_path / "broken.json").write_text("{")
+    got = {r.file.rsplit("/", 1)[1][:-5]: r.problem for r in files.paired_problems(spark, str(tmp_path)).collect()}
+    assert got == {"broken": "MALFORMED", **{name: problem for name, (_, problem) in cases.items()}}
+
+
+def test_strict_reports_look_inside(spark, tmp_path):
+    for i, bad in enumerate(("array(1D, double('NaN'))", "named_struct('a', array(double('Infinity')))", "map('k', float('-Infinity'))")):
+        with pytest.raises(Exception, match="not finite"):
+            sinks.write_report(spark.sql(f"SELECT {bad} AS x"), str(tmp_path / str(i)))
+    sinks.write_report(spark.sql("SELECT array(1D, NULL) AS x, named_struct('a', 2D) AS y, CAST(NULL AS DOUBLE) AS z"), str(tmp_path / "ok"))
+    assert json.loads(spark.read.text(str(tmp_path / "ok")).head().value) == {"x": [1.0, None], "y": {"a": 2.0}, "z": None}
+
+
 def expected_acceptance(rows):
     """Receipts one by one, against everything accepted so far."""
     seen, out = {}, {}
