@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proofline.llm import byte_bpe, html_extract, license_scan, mixing, neighbour_quality, ngram_join, quality_rules, suffix_dedup, tiff, toxicity
+from proofline.llm import byte_bpe, html_extract, license_scan, mixing, neighbour_quality, ngram_join, quality_rules, sentence_pieces, suffix_dedup, tiff, toxicity
 from proofline.session import ship
 
 
@@ -26,6 +26,7 @@ def queries() -> dict:
         "op8_suffix_dedup": suffix_dedup.query,
         "op9_license_scan": license_scan.query,
         "op10_html_extract": html_extract.query,
+        "op11_sentence_pieces": sentence_pieces.query,
     }
     import corpus_pipeline
 
