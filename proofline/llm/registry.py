@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proofline.llm import byte_bpe, html_extract, license_scan, mixing, neighbour_quality, ngram_join, quality_rules, sentence_pieces, spelling, suffix_dedup, tiff, toxicity
+from proofline.llm import byte_bpe, collocations, html_extract, license_scan, mixing, neighbour_quality, ngram_join, quality_rules, sentence_pieces, spelling, suffix_dedup, tiff, toxicity
 from proofline.session import ship
 
 
@@ -27,6 +27,7 @@ def queries() -> dict:
         "op9_license_scan": license_scan.query,
         "op10_html_extract": html_extract.query,
         "op11_sentence_pieces": sentence_pieces.query,
+        "op12_collocations": collocations.query,
         "op13_spelling_variants": spelling.query,
     }
     import corpus_pipeline
@@ -37,4 +38,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"op4_quality_rules": quality_rules.SQL, "op9_license_scan": license_scan.SQL, "op13_spelling_variants": spelling.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op4_quality_rules": quality_rules.SQL, "op9_license_scan": license_scan.SQL, "op12_collocations": collocations.SQL, "op13_spelling_variants": spelling.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

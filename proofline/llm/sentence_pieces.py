@@ -23,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -289,7 +290,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 def _id_rows(column: pa.Array) -> list[np.ndarray]:
     """The lists of a column of ids; null is empty."""
     values = column.flatten().to_numpy(zero_copy_only=False)
-    sizes = np.array([0 if n is None else n for n in pa.compute.list_value_length(column).to_pylist()], dtype=np.int64)
+    sizes = np.array([0 if n is None else n for n in pc.list_value_length(column).to_pylist()], dtype=np.int64)
     ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
     return [values[a:b] for a, b in zip(ends, ends[1:])]
 

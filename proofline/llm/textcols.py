@@ -97,14 +97,14 @@ _LANE_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _CHAIN = np.uint64(0xD6E8FEB86659FD93)
 
 
-def range_prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def range_prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit fingerprints of byte ranges: a chain of mixing steps over lanes of eight bytes, with the length.
 
     Other than in a polynomial, every step depends on the bytes before it, so no structure of the bytes cancels out.
     """
     size = ends - starts
     with np.errstate(over="ignore"):
-        out = mix(size.astype(np.uint64) * np.uint64(_MULTIPLIER))
+        out = mix(size.astype(np.uint64) * np.uint64(_MULTIPLIER) + np.uint64(seed))
         padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
         lanes = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
         longer = size > _LONG_RANGE
@@ -117,7 +117,7 @@ def range_prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
             open_ = open_[left > 8]
             k += 8
         for i in np.flatnonzero(longer):
-            digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+            digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
             out[i] = np.uint64(int.from_bytes(digest, "little"))
     return out
 
