@@ -136,11 +136,16 @@ def _rate(scores: np.ndarray, share: np.ndarray) -> float:
 
 
 def segments(scores: list[float], places: list[int], drift: float = DRIFT) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments as (score, first event, last event): one scan with a stack of candidates.
+    """All maximal scoring segments as (score, first event, last event): one linear scan with a stack of candidates.
 
-    Events are the tokens with a score of their own, at ``places``; each token between them costs ``drift``.
+    Events are the tokens with a score of their own, at ``places``; each token between them costs ``drift``. Every
+    candidate links to the nearest earlier one with a smaller sum before it, so a search skips what an earlier search skipped.
     """
-    found: list[list] = []  # cumulative score before and through, first and last event
+    left: list[float] = []  # of each candidate: the sum before it and through it, its first and last event, its link
+    through: list[float] = []
+    first: list[int] = []
+    final: list[int] = []
+    link: list[int] = []
     total, last = 0.0, None
     for k, (s, at) in enumerate(zip(scores, places)):
         if last is not None:
@@ -149,17 +154,22 @@ def segments(scores: list[float], places: list[int], drift: float = DRIFT) -> li
         before, total = total, total + s
         if s <= 0:
             continue
-        now = [before, total, k, k]
+        begin, j = k, len(left) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][0] >= now[0]:
-                j -= 1
-            if j < 0 or found[j][1] >= now[1]:
-                found.append(now)
+            while j >= 0 and left[j] >= before:
+                j = link[j]
+            if j < 0 or through[j] >= total:
                 break
-            now = [found[j][0], now[1], found[j][2], now[3]]
-            del found[j:]
-    return [(r - l, a, b) for l, r, a, b in found]
+            # the candidate joins with the one at j and all between; what is smaller than that one is at its link
+            before, begin, earlier = left[j], first[j], link[j]
+            del left[j:], through[j:], first[j:], final[j:], link[j:]
+            j = earlier
+        left.append(before)
+        through.append(total)
+        first.append(begin)
+        final.append(k)
+        link.append(j)
+    return [(r - l, a, b) for l, r, a, b in zip(left, through, first, final)]
 
 
 def evidence(best: list[float], n: int, rate: float, density: float) -> float:

@@ -121,3 +121,17 @@ def test_votes_are_exact():
         near = np.argsort(-cos)[:5]
         weight = np.maximum(cos[near], 0) ** 4
         assert abs(score - (weight * model.labels[near]).sum() / weight.sum()) < 1e-4
+
+
+def test_scan_is_linear():
+    """Twice the tokens take about twice the time, where every candidate stays, joins or is skipped."""
+    import time
+
+    def seconds(scores: list[float]) -> float:
+        began = time.perf_counter()
+        toxicity.segments(scores, list(range(len(scores))))
+        return time.perf_counter() - began
+
+    for unit in ([1, -2], [1, -0.5], [3, -1, -1, 1, -4]):
+        short, long = (min(seconds([float(x) for x in unit] * n) for _ in range(3)) for n in (20_000, 80_000))
+        assert long < 12 * short, (unit, short, long)
