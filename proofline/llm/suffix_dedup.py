@@ -397,8 +397,8 @@ def _across(batches: Iterable[pa.RecordBatch], last: bool) -> Iterator[pa.Record
         yield from resolve(pa.Table.from_batches(held))
 
 
-def _removed(docs: pa.Table, spans: pa.Table) -> pa.Table:
-    """A bucket's documents without the bytes of their spans."""
+def _removed(docs: pa.Table, spans: pa.Table, characters: bool = False) -> pa.Table:
+    """A bucket's documents without the bytes of their spans; with ``characters`` also as text without the characters that lost a byte."""
     docs, _ = _ordered(docs)
     data, at = flat(docs["_raw"])
     row = spans["row"].to_numpy()
@@ -417,6 +417,14 @@ def _removed(docs: pa.Table, spans: pa.Table) -> pa.Table:
     left = data[~gone].tobytes()
     parts = [left[a:b] for a, b in zip(kept_at[:-1].tolist(), kept_at[1:].tolist())]
     own = {"kept": pa.array(parts, pa.binary()), "n_bytes": pa.array(np.diff(at)), "n_removed": pa.array(n_gone), "n_spans": pa.array(count(opens))}
+    if characters:
+        begins = (data & 0xC0) != 0x80
+        begins[at[:-1][at[1:] > at[:-1]]] = True
+        char = np.cumsum(begins) - 1
+        stays = ~(np.bincount(char, weights=gone) > 0)[char] if len(data) else ~gone
+        ends = np.concatenate([[0], np.cumsum(count(stays))])
+        text = data[stays].tobytes()
+        own["whole"] = pa.array([text[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
     return pa.table({n: docs[n] for n in docs.column_names if n not in ("_id", "_raw", "_bucket")} | own)
 
 
@@ -425,9 +433,12 @@ def bucket_of(key: str, text: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string")), F.lit(buckets))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES, fan_in: int = FAN_IN) -> DataFrame:
-    """``docs`` with ``kept`` (the bytes that stay), ``n_bytes``, ``n_removed`` and ``n_spans`` in place of the text."""
-    own = ("kept", "n_bytes", "n_removed", "n_spans", "_id", "_raw", "_bucket")
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES, fan_in: int = FAN_IN, characters: bool = False) -> DataFrame:
+    """``docs`` with ``kept`` (the bytes that stay), ``n_bytes``, ``n_removed`` and ``n_spans`` in place of the text.
+
+    ``characters`` adds ``whole``: the bytes of the characters that lost none, so that a cut inside one leaves no part of it.
+    """
+    own = ("kept", "n_bytes", "n_removed", "n_spans", *(["whole"] if characters else []), "_id", "_raw", "_bucket")
     rest = [c for c in docs.columns if c.lower() not in own and c != text]
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(total / bucket_bytes))
@@ -453,7 +464,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes
     spans = runs.where("bytes IS NULL").select("bucket", "row", "start", "end")
     numbers = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
     fields = [*(raw.schema[c] for c in rest), T.StructField("kept", T.BinaryType()), *numbers]
-    return grouped.cogroup(spans.groupBy("bucket")).applyInArrow(_removed, T.StructType(fields))
+    if characters:
+        fields.append(T.StructField("whole", T.BinaryType()))
+    return grouped.cogroup(spans.groupBy("bucket")).applyInArrow(lambda a, b: _removed(a, b, characters), T.StructType(fields))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
