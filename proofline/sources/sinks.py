@@ -9,24 +9,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proofline.operators.relational import ingest_status
-from proofline.session import cut
+from proofline.session import cut, drop
+from proofline.sources import ledger
 
 
-def append_created(incoming: DataFrame, path: str, key: str, content: str) -> DataFrame:
-    """Append the rows that are new under their key to a Parquet table; what became of every row.
+def append_created(incoming: DataFrame, path: str, key: str, content: str, tries: int = 8) -> DataFrame:
+    """Append the rows that are new under their key to a ledger (``sources.ledger``); what became of every row.
 
-    The verdicts are written down before the append, so the table can't change under them.
+    Verdicts are taken against one version and written down; the rows are appended on top of that version only. Where
+    another writer was first, the verdicts are taken again, so of two writers of one key the second gets EXISTS or
+    CONFLICT, never both CREATED.
     """
-    spark = incoming.sparkSession
-    try:
-        stored = spark.read.schema(incoming.schema).parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        stored = incoming.limit(0)
-    status = cut(ingest_status(incoming, stored, key, content), "ingest")
-    status.where("status = 'CREATED'").select(*incoming.columns).write.mode("append").parquet(path)
-    return status
+    for _ in range(tries):
+        base = ledger.version(path)
+        stored = ledger.read(incoming.sparkSession, path, incoming.schema, base)
+        status = cut(ingest_status(incoming, stored, key, content), "ingest")
+        created = status.where("status = 'CREATED'").select(*incoming.columns)
+        if not created.limit(1).count():
+            return status
+        try:
+            ledger.write(created, path, base)
+            return status
+        except Exception as e:
+            if ledger.REFUSED not in str(e):
+                raise
+            drop(status)
+    raise RuntimeError(f"{tries} other writers were first at {path}")
 
 
 def _strict(c: Column, kind: T.DataType) -> Column:

@@ -1,66 +1,173 @@
-"""Receipt acceptance with replay protection: one fold, in batch and on a stream.
+"""Receipt acceptance with replay protection: one rule, in batch and on a stream.
 
 A receipt is accepted when its checks hold, it is fresh, and neither its nonce, its hash nor its sequence was accepted
 before or is behind. A rejected receipt changes nothing. Order is arrival: (received_at, receipt_id).
+
+What was accepted is remembered for ever, or for ``retain_s`` seconds of arrival time. A replay of the receipt itself
+is stale after the freshness bound anyway, and the highest sequence is never forgotten; so a retention above
+``MAX_AGE_S`` plus ``MAX_SKEW_S`` only forgets nonces that come back in receipts with a higher sequence.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable, Iterator
+from datetime import datetime, timedelta
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MAX_AGE_S, MAX_SKEW_S = 300, 30
 INPUT = ("stream_key", "receipt_id", "receipt_hash", "nonce", "sequence", "issued_at", "received_at", "checks_valid")
 OUTPUT = "stream_key string, receipt_id long, status string, reasons string"
-_STATE = "nonces array<string>, hashes array<string>, highest long"
+#: The store that keeps map states on disk, one entry a key.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Seconds of arrival that leave a stream's state together.
+BUCKET_S = 60
 
 
-def fold(rows: pd.DataFrame, nonces: set[str], hashes: set[str], highest: int | None) -> tuple[list[tuple], int | None]:
-    """Verdicts of rows in arrival order; the sets are updated, the highest accepted sequence is returned.
+def judge(r: Any, nonce_known: bool, hash_known: bool, highest: int | None) -> list[str]:
+    """Why a receipt is refused; none: accepted.
 
     Sequences at or below the highest are refused, so accepted ones only rise and equality is the one duplicate that
     the highest shows; an older one shows as a regression.
     """
-    out = []
-    for r in rows.sort_values(["received_at", "receipt_id"]).itertuples():
-        reasons = [] if r.checks_valid is True or r.checks_valid == 1 else ["CHECKS_INVALID"]
-        age = (r.received_at - r.issued_at).total_seconds()
-        reasons += ["STALE_RECEIPT"] if age > MAX_AGE_S else ["FUTURE_TIMESTAMP"] if age < -MAX_SKEW_S else []
-        reasons += ["NONCE_REUSE"] if r.nonce in nonces else []
-        reasons += ["REPLAY_DETECTED"] if r.receipt_hash in hashes else []
-        if highest is not None and r.sequence <= highest:
-            reasons.append("DUPLICATE_SEQUENCE" if r.sequence == highest else "SEQUENCE_REGRESSION")
+    reasons = [] if r.checks_valid is True or r.checks_valid == 1 else ["CHECKS_INVALID"]
+    age = (r.received_at - r.issued_at).total_seconds()
+    reasons += ["STALE_RECEIPT"] if age > MAX_AGE_S else ["FUTURE_TIMESTAMP"] if age < -MAX_SKEW_S else []
+    reasons += ["NONCE_REUSE"] if nonce_known else []
+    reasons += ["REPLAY_DETECTED"] if hash_known else []
+    if highest is not None and r.sequence <= highest:
+        reasons.append("DUPLICATE_SEQUENCE" if r.sequence == highest else "SEQUENCE_REGRESSION")
+    return reasons
+
+
+class _Accepted:
+    """Nonces and hashes of one key with the time they were accepted, forgotten in order of time."""
+
+    def __init__(self, retain_s: float | None):
+        self.retain = None if retain_s is None else timedelta(seconds=retain_s)
+        self.nonces: dict[str, datetime] = {}
+        self.hashes: dict[str, datetime] = {}
+        self.order: deque = deque()
+        self.highest: int | None = None
+
+    def verdict(self, r: Any) -> list[str]:
+        while self.retain is not None and self.order and r.received_at - self.order[0][0] > self.retain:
+            at, nonce, digest = self.order.popleft()
+            for known, value in ((self.nonces, nonce), (self.hashes, digest)):
+                if known.get(value) == at:
+                    del known[value]
+        reasons = judge(r, r.nonce in self.nonces, r.receipt_hash in self.hashes, self.highest)
         if not reasons:
-            nonces.add(r.nonce)
-            hashes.add(r.receipt_hash)
-            highest = int(r.sequence)
-        out.append((r.stream_key, r.receipt_id, "REJECT" if reasons else "ACCEPT", ",".join(reasons)))
-    return out, highest
+            self.nonces[r.nonce] = self.hashes[r.receipt_hash] = r.received_at
+            if self.retain is not None:
+                self.order.append((r.received_at, r.nonce, r.receipt_hash))
+            self.highest = int(r.sequence)
+        return reasons
+
 
+def accept_batch(receipts: DataFrame, retain_s: float | None = None) -> DataFrame:
+    """Verdicts of a whole table.
+
+    A stream of receipts (one key) is sequential by nature, keys are independent: rows come sorted by key and arrival
+    and pass one by one, so a task holds what a key remembers, never its history of rows.
+    """
 
-def accept_batch(receipts: DataFrame) -> DataFrame:
-    """Verdicts of a whole table; a stream of receipts (one key) is sequential by nature, keys are independent."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fold(pdf, set(), set(), None)[0], columns=["stream_key", "receipt_id", "status", "reasons"])
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, memory = None, _Accepted(retain_s)
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                if r.stream_key != key:
+                    key, memory = r.stream_key, _Accepted(retain_s)
+                reasons = memory.verdict(r)
+                out.append((r.stream_key, r.receipt_id, "REJECT" if reasons else "ACCEPT", ",".join(reasons)))
+            yield pd.DataFrame(out, columns=["stream_key", "receipt_id", "status", "reasons"])
 
-    return receipts.select(*INPUT).groupBy("stream_key").applyInPandas(run, OUTPUT)
+    in_order = receipts.select(*INPUT).repartition("stream_key").sortWithinPartitions("stream_key", "received_at", "receipt_id")
+    return in_order.mapInPandas(run, OUTPUT)
 
 
-def accept_stream(receipts: DataFrame) -> DataFrame:
-    """The same on a streaming table, in append mode; the state of a key is its accepted nonces, hashes and highest sequence."""
-    def run(key, pdfs: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        nonces, hashes, highest = state.get if state.exists else ([], [], None)
-        nonces, hashes = set(nonces), set(hashes)
-        rows = pd.concat(list(pdfs))
-        out, highest = fold(rows, nonces, hashes, highest)
-        state.update((sorted(nonces), sorted(hashes), highest))
-        yield pd.DataFrame(out, columns=["stream_key", "receipt_id", "status", "reasons"])
+class Acceptance(StatefulProcessor):
+    """The same with the state of a key in a store: a map of nonces, a map of hashes, the highest sequence.
 
-    return receipts.select(*INPUT).groupBy("stream_key").applyInPandasWithState(run, OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    An entry is read by its own key, so a batch costs what it holds, however much was accepted before. With a
+    retention, what was accepted in one bucket of time is listed, and a timer at the end of its retention removes it.
+    """
+
+    def __init__(self, retain_s: float | None):
+        self.retain_s = retain_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.nonces = handle.getMapState("nonces", "value string", "at_us long")
+        self.hashes = handle.getMapState("hashes", "value string", "at_us long")
+        self.highest = handle.getValueState("highest", "sequence long")
+        self.due = handle.getMapState("due", "until_ms long", "entries array<struct<nonce:string,hash:string>>")
+
+    def _known(self, known, value: str, now_us: int) -> bool:
+        if not known.containsKey((value,)):
+            return False
+        return self.retain_s is None or now_us - known.getValue((value,))[0] <= self.retain_s * 1e6
+
+    def _until(self, at_us: int) -> int:
+        """The end, in milliseconds, of the bucket in which an entry may be forgotten."""
+        ms = int(at_us / 1000 + self.retain_s * 1000)
+        return (ms // (BUCKET_S * 1000) + 1) * BUCKET_S * 1000
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        highest = self.highest.get()[0] if self.highest.exists() else None
+        due: dict[int, list[tuple[str, str]]] = {}
+        # the rows of one key in one micro-batch
+        for r in sorted(rows, key=lambda r: (r.received_at, r.receipt_id)):
+            reasons = judge(r, self._known(self.nonces, r.nonce, r.received_us), self._known(self.hashes, r.receipt_hash, r.received_us), highest)
+            if not reasons:
+                self.nonces.updateValue((r.nonce,), (r.received_us,))
+                self.hashes.updateValue((r.receipt_hash,), (r.received_us,))
+                highest = int(r.sequence)
+                if self.retain_s is not None:
+                    due.setdefault(self._until(r.received_us), []).append((r.nonce, r.receipt_hash))
+            yield Row(stream_key=key[0], receipt_id=r.receipt_id, status="REJECT" if reasons else "ACCEPT", reasons=",".join(reasons))
+        if highest is not None:
+            self.highest.update((highest,))
+        for until, entries in due.items():
+            have = [tuple(e) for e in self.due.getValue((until,))[0]] if self.due.containsKey((until,)) else []
+            if not have:
+                self.handle.registerTimer(until)
+            self.due.updateValue((until,), ([*have, *entries],))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        until = expiredTimerInfo.getExpiryTimeInMs()
+        if self.due.containsKey((until,)):
+            for nonce, digest in (tuple(e) for e in self.due.getValue((until,))[0]):
+                for known, value in ((self.nonces, nonce), (self.hashes, digest)):
+                    # what was accepted again since then leaves with its own bucket
+                    if known.containsKey((value,)) and self._until(known.getValue((value,))[0]) <= until:
+                        known.removeKey((value,))
+            self.due.removeKey((until,))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def accept_stream(receipts: DataFrame, retain_s: float | None = None, late: str = "1 hour") -> DataFrame:
+    """Verdicts on a streaming table, in append mode; sets the session's state store to one that keeps maps.
+
+    With a retention, arrival time carries a watermark, and receipts more than ``late`` behind the newest are not
+    judged (so they are not accepted); without one, every receipt is judged and the state only grows.
+    """
+    receipts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    rows = receipts.select(*INPUT, F.unix_micros("received_at").alias("received_us"))
+    if retain_s is not None:
+        rows = rows.withWatermark("received_at", late)
+    mode = "None" if retain_s is None else "EventTime"
+    return rows.groupBy("stream_key").transformWithState(Acceptance(retain_s), T.StructType.fromDDL(OUTPUT), "Append", mode)
 
 
 def classify(outcomes: DataFrame) -> DataFrame:
