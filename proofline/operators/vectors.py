@@ -1,4 +1,4 @@
-"""Embedding windows: validation, profiles and comparison, with capped pairwise metrics."""
+"""Embedding windows: validation, profiles and comparison, with pairwise metrics over whole windows."""
 
 from __future__ import annotations
 
@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from proofline.functions.columns import cosine_distance, dot, finite, norm, public
 from proofline.functions.policies import VectorPolicy
-from proofline.operators import compare, profile
+from proofline.operators import compare, pairwise, profile
 from proofline.operators.detect import mean_vector
 from proofline.operators.relational import running_sum
+from proofline.session import cut
 
 POLICY = VectorPolicy()
-BLOCK = 512
 
 
 def validate(df: DataFrame, key: str, vector: str, dimension: int) -> DataFrame:
@@ -150,75 +150,47 @@ def moved(profiles: DataFrame, keys: tuple[str, ...], policy: VectorPolicy = POL
     )
 
 
-def _blocks(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """At most ``BLOCK`` rows of a role packed per row: (role, block, ids, vectors)."""
-    rank = Window.partitionBy("role").orderBy(key)
-    numbered = df.withColumn("_b", F.floor((F.row_number().over(rank) - 1) / BLOCK))
-    return numbered.groupBy("role", F.col("_b").alias("block")).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))).alias("rows"))
+def _window(df: DataFrame, key: str, vector: str, most: int | None) -> DataFrame:
+    """Rows for pairwise work, written once: all, or ``most`` of each role, evenly spaced, where a policy caps them."""
+    rows = df if most is None else spaced(df, ("role",), key, most)
+    return cut(pairwise._plain(rows, key, vector), "pairwise")
 
 
-def _block_pairs(df: DataFrame, key: str, vector: str, most: int) -> DataFrame:
-    """Pairs of blocks of the capped windows: at most (2 * most / BLOCK) ** 2 rows, by the cap."""
-    packed = _blocks(spaced(df, ("role",), key, most), key, vector)
-    a, b = (packed.select(*(F.col(c).alias(f"{s}_{c}") for c in packed.columns)) for s in "ab")
-    return a.join(b, F.struct("a_role", "a_block") <= F.struct("b_role", "b_block"))
+def _bandwidth(rows: DataFrame, policy: VectorPolicy, fixed: float | None) -> tuple[float, bool]:
+    if fixed is not None:
+        if not fixed > 0 or fixed == float("inf"):
+            raise ValueError("a fixed bandwidth is a positive number")
+        return fixed, False
+    middle = pairwise.median_distance(rows)
+    return (policy.fallback_bandwidth, True) if middle is None or middle <= 1e-12 else (round(middle, 12), False)
 
 
-def _distances(pdf: pd.DataFrame):
-    for row in pdf.itertuples():
-        x, y = (np.stack([r["v"] for r in rows]) for rows in (row.a_rows, row.b_rows))
-        d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0.0)
-        yield row, d
+def bandwidth(df: DataFrame, key: str, vector: str, most: int | None = None, policy: VectorPolicy = POLICY, fixed: float | None = None) -> DataFrame:
+    """One row: the median squared distance between different rows of both windows, or the fallback, or a fixed value."""
+    value, fallback = _bandwidth(_window(df, key, vector, most), policy, fixed)
+    return df.sparkSession.createDataFrame([(value, fallback)], "bandwidth double, fallback boolean")
 
 
-def bandwidth(df: DataFrame, key: str, vector: str, most: int = 2000, policy: VectorPolicy = POLICY) -> DataFrame:
-    """One row: the median squared distance between different rows of both windows, or the fallback."""
-    def values(batches):
-        for pdf in batches:
-            for row, d in _distances(pdf):
-                same = (row.a_role, row.a_block) == (row.b_role, row.b_block)
-                yield pd.DataFrame({"d": d[np.triu_indices(len(d), 1)] if same else d.ravel()})
-
-    found = _block_pairs(df, key, vector, most).mapInPandas(values, "d double").agg(F.expr("percentile(d, 0.5)").alias("m"))
-    return found.select(F.when(F.col("m") > 1e-12, public(F.col("m"))).otherwise(policy.fallback_bandwidth).alias("bandwidth"), (F.coalesce("m", F.lit(0.0)) <= 1e-12).alias("fallback"))
+def mmd(df: DataFrame, key: str, vector: str, most: int | None = None, policy: VectorPolicy = POLICY, fixed: float | None = None) -> DataFrame:
+    """One row: biased MMD squared of the roles REFERENCE and CURRENT under an RBF kernel, over all rows (or ``most`` a role).
 
+    The bandwidth is the median squared distance, or ``fixed``.
+    """
+    rows = _window(df, key, vector, most)
+    value, _ = _bandwidth(rows, policy, fixed)
+    means = pairwise.kernel_sums(rows, value).groupBy().pivot("pair", ["RR", "CC", "CR"]).agg(F.sum("k") / F.sum("n"))
+    found = public(F.greatest(F.lit(0.0), F.col("RR") + F.col("CC") - 2 * F.col("CR")))
+    return means.select(found.alias("mmd")).withColumn("state", F.when(F.col("mmd") >= policy.mmd, "SHIFTED").otherwise("STABLE"))
 
-def mmd(df: DataFrame, key: str, vector: str, most: int = 2000, policy: VectorPolicy = POLICY) -> DataFrame:
-    """One row: biased MMD squared of the roles REFERENCE and CURRENT under an RBF kernel, at most ``most`` rows a role."""
-    def sums(batches):
-        for pdf in batches:
-            for row, d in _distances(pdf):
-                k = float(np.exp(-d / (2 * row.bandwidth)).sum())
-                mirrored = row.a_role == row.b_role and row.a_block != row.b_block
-                yield pd.DataFrame({"pair": ["".join(sorted((row.a_role[0], row.b_role[0])))], "k": [k * (2 if mirrored else 1)], "n": [d.size * (2 if mirrored else 1)]})
-
-    pairs = _block_pairs(df, key, vector, most).crossJoin(F.broadcast(bandwidth(df, key, vector, most, policy)))
-    means = pairs.mapInPandas(sums, "pair string, k double, n long").groupBy().pivot("pair", ["RR", "CC", "CR"]).agg(F.sum("k") / F.sum("n"))
-    value = public(F.greatest(F.lit(0.0), F.col("RR") + F.col("CC") - 2 * F.col("CR")))
-    return means.select(value.alias("mmd")).withColumn("state", F.when(F.col("mmd") >= policy.mmd, "SHIFTED").otherwise("STABLE"))
 
+def nearest_support(df: DataFrame, key: str, vector: str, most: int | None = None, policy: VectorPolicy = POLICY) -> DataFrame:
+    """One row: median distance of current rows to the nearest reference over that of reference rows to each other.
 
-def nearest_support(df: DataFrame, key: str, vector: str, most: int = 2000, policy: VectorPolicy = POLICY) -> DataFrame:
-    """One row: median distance of current rows to the nearest reference over that of reference rows to each other."""
-    def nearest(batches):
-        for pdf in batches:
-            for row, d in _distances(pdf):
-                if row.a_role == row.b_role == "CURRENT":
-                    continue
-                d = np.sqrt(d)
-                if (row.a_role, row.a_block) == (row.b_role, row.b_block):
-                    np.fill_diagonal(d, np.inf)
-                ids = lambda rows: [r["id"] for r in rows]
-                if row.b_role == "REFERENCE":  # a row's nearest among the reference rows of the other side
-                    yield pd.DataFrame({"role": row.a_role, "id": ids(row.a_rows), "d": d.min(1)})
-                if row.a_role == "REFERENCE" and row.a_block != row.b_block or row.a_role != row.b_role and row.a_role == "REFERENCE":
-                    yield pd.DataFrame({"role": row.b_role, "id": ids(row.b_rows), "d": d.min(0)})
-
-    low = _block_pairs(df, key, vector, most).mapInPandas(nearest, "role string, id long, d double").groupBy("role", "id").agg(F.min("d").alias("d"))
-    of = lambda role, q: F.expr(f"percentile(CASE WHEN role = '{role}' THEN d END, {q})")
-    one = low.agg(of("REFERENCE", 0.5).alias("base"), of("CURRENT", 0.5).alias("observed"), F.avg(F.when(F.col("role") == "CURRENT", F.col("d"))).alias("mean"), of("CURRENT", 0.95).alias("q95"))
+    ``compared`` is the share of all pairs whose distance was taken.
+    """
+    one = pairwise.support(_window(df, key, vector, most))
     ratio = F.when(F.col("base") > 1e-12, public(F.col("observed") / F.col("base"))).when(F.col("observed") <= 1e-12, F.lit(1.0))
-    return one.withColumn("ratio", ratio).withColumn("state", F.when(F.col("ratio").isNull() | (F.col("ratio") >= policy.nearest_ratio), "SHIFTED").otherwise("STABLE")).select("ratio", "mean", "q95", "state")
+    return one.withColumn("ratio", ratio).withColumn("state", F.when(F.col("ratio").isNull() | (F.col("ratio") >= policy.nearest_ratio), "SHIFTED").otherwise("STABLE")).select("ratio", "mean", "q95", "compared", "state")
 
 
 __all__ = ["bandwidth", "covariance", "dot", "hashed_subset", "mean_vector", "mmd", "moments", "moved", "nearest_support", "spaced", "unit", "validate", "vector_profile"]
