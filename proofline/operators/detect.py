@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,24 +53,45 @@ def duplicate_findings(groups: DataFrame) -> DataFrame:
     return findings(groups, "EXACT_DUPLICATE", "sample", F.col("asset_id"), F.lit("HIGH"), F.lit(1.0), F.lit("Several samples have byte-identical content."), evidence, F.concat(F.array("content_hash"), F.col("paths")), more)
 
 
-def near_pairs(df: DataFrame, key: str, signature: str, threshold: int = 10, bands: int = 4) -> DataFrame:
+#: Candidates per signature that the number of blocks is chosen for, and the most copies of a signature.
+CANDIDATES, COPIES = 20_000, 10_000
+
+
+def block_count(n: int, threshold: int = 10) -> int:
+    """The fewest blocks for which signatures spread at random have ``CANDIDATES`` candidates each, whatever their number."""
+    blocks = threshold + 1
+    while blocks < 64 and comb(blocks + 1, threshold) <= COPIES and n * comb(blocks, threshold) * 2.0 ** -(64 * (blocks - threshold) / blocks) > CANDIDATES:
+        blocks += 1
+    return blocks
+
+
+def near_candidates(df: DataFrame, key: str, signature: str, threshold: int, blocks: int) -> DataFrame:
+    """Rows (a, sa, b, sb, chosen, through) that share all bits of some ``blocks - threshold`` blocks, once for each such choice."""
+    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
+    masks = [((1 << edges[i + 1]) - (1 << edges[i])) for i in range(blocks)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    choices = [(signed(sum(masks[i] for i in c)), sum(1 << i for i in c), (1 << c[-1] + 1) - 1) for c in combinations(range(blocks), blocks - threshold)]
+    rows = df.select(F.col(key).alias("k"), F.col(signature).alias("s")).where("s IS NOT NULL")
+    spread = rows.withColumn("c", F.explode(F.array(*(F.struct(*(F.lit(x).cast("long").alias(n) for x, n in zip(c, ("mask", "chosen", "through")))) for c in choices))))
+    keyed = spread.select("k", "s", "c.chosen", "c.through", F.col("s").bitwiseAND(F.col("c.mask")).alias("v"))
+    one, two = keyed.selectExpr("k AS a", "s AS sa", "chosen", "through", "v"), keyed.selectExpr("k AS b", "s AS sb", "chosen", "v")
+    return one.join(two, ["chosen", "v"]).where("a < b").select("a", "sa", "b", "sb", "chosen", "through")
+
+
+def near_pairs(df: DataFrame, key: str, signature: str, threshold: int = 10, blocks: int | None = None) -> DataFrame:
     """All pairs of 64-bit signatures at most ``threshold`` bits apart: (a, b, distance), a < b.
 
-    Multi-index hashing: two such signatures agree in one of ``bands`` bands up to threshold // bands bits. Every row
-    is found under its own band values and asks for the values within that radius, so the join is an equi-join on
-    (band, value); its candidates are verified and each pair is kept once, in the first band that finds it.
+    Of ``blocks`` blocks, ``threshold`` different bits leave at least ``blocks - threshold`` untouched, so two such
+    signatures agree in every bit of some choice of that many blocks: an equi-join on (choice, those bits). More blocks
+    make keys longer and choices more; their number grows with the signatures (``block_count``), which keeps the
+    candidates of a signature about level. Each pair is kept once, in the choice of the first blocks that agree.
     """
-    width = 64 // bands
-    radius = threshold // bands
-    flips = [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)]
-    value = lambda s, b: F.shiftrightunsigned(s, width * b).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-    each = df.select(F.col(key).alias("k"), F.col(signature).alias("s")).where("s IS NOT NULL").withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
-    banded = each.withColumn("v", F.coalesce(*(F.when(F.col("band") == b, value(F.col("s"), b)) for b in range(bands))))
-    asked = banded.withColumn("q", F.explode(F.array(*(F.lit(m).cast("long") for m in flips)))).withColumn("v", F.col("v").bitwiseXOR(F.col("q"))).drop("q")
-    pairs = banded.selectExpr("k AS a", "s AS sa", "band", "v").join(asked.selectExpr("k AS b", "s AS sb", "band", "v"), ["band", "v"]).where("a < b")
-    within = lambda b: F.bit_count(value(F.col("sa").bitwiseXOR(F.col("sb")), b)) <= radius
-    first = F.coalesce(*(F.when(within(b), F.lit(b)) for b in range(bands)))
-    return pairs.withColumn("distance", hamming(F.col("sa"), F.col("sb"))).where(F.col("distance") <= threshold).where(F.col("band") == first).select("a", "b", "distance")
+    blocks = blocks or block_count(df.where(F.col(signature).isNotNull()).count(), threshold)
+    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
+    apart = F.col("sa").bitwiseXOR(F.col("sb"))
+    agree = reduce(lambda x, y: x + y, (F.when(F.shiftrightunsigned(apart, edges[i]).bitwiseAND(F.lit((1 << edges[i + 1] - edges[i]) - 1).cast("long")) == 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(blocks)))
+    found = near_candidates(df, key, signature, threshold, blocks).where(hamming(F.col("sa"), F.col("sb")) <= threshold)
+    return found.where(agree.bitwiseAND(F.col("through")) == F.col("chosen")).select("a", "b", hamming(F.col("sa"), F.col("sb")).alias("distance"))
 
 
 def near_classes(df: DataFrame, key: str, signature: str) -> DataFrame:
@@ -77,13 +100,13 @@ def near_classes(df: DataFrame, key: str, signature: str) -> DataFrame:
     return rows.join(rows.groupBy("s").agg(F.min("key").alias("representative")), "s").select("key", "representative", "s")
 
 
-def near_class_pairs(classes: DataFrame, threshold: int = 10, bands: int = 4) -> DataFrame:
+def near_class_pairs(classes: DataFrame, threshold: int = 10, blocks: int | None = None) -> DataFrame:
     """Pairs of different classes at most ``threshold`` bits apart: (a, b, distance) by representative.
 
     Copies of a signature are one row here, so their number does not enter the join; with the classes' members, no link
     between different signatures is lost.
     """
-    return near_pairs(classes.where("key = representative").dropDuplicates(["representative"]), "representative", "s", threshold, bands)
+    return near_pairs(classes.where("key = representative").dropDuplicates(["representative"]), "representative", "s", threshold, blocks)
 
 
 def similarity_band(confidence: Column) -> Column:

@@ -3,6 +3,7 @@
 import collections
 import decimal
 import hashlib
+import json
 import random
 from decimal import Decimal
 
@@ -274,7 +275,7 @@ def test_quantiles_equal_percentile(spark, n):
     df = spark.range(n).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), F.when(F.col("id") % 7 != 6, x).alias("v"))
     qs = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.95, "e": 1.0}
     for keys in (("k",), ()):
-        got = {tuple(r[k] for k in keys): [r[q] for q in qs] for r in quantiles.with_quantiles(df, keys, F.col("v"), qs, F.count("*").alias("n")).collect()}
+        got = {tuple(r[k] for k in keys): [r[q] for q in qs] for r in quantiles.with_quantiles(df, keys, F.col("v"), qs, F.count("*").alias("n"), plain=0).collect()}
         want = {tuple(r[k] for k in keys): r["q"] for r in df.groupBy(*keys).agg(F.percentile("v", F.array(*map(F.lit, qs.values()))).alias("q")).collect()}
         assert set(got) == set(want)
         assert all(got[k] == pytest.approx(list(want[k]), rel=1e-12) for k in want)
@@ -354,3 +355,43 @@ def test_fixed_outliers_and_layouts(spark):
     assert {t[2]: t[3:5] for t in places} == {"top_left": (0, 0), "top_right": (0, 268), "bottom_left": (56, 0), "bottom_right": (56, 268), "center": (28, 134)}
     with pytest.raises(ValueError):
         models.perturbed(scores, scores, 1, 1, 1, "CHW")
+
+
+def test_near_pairs_of_any_number_of_blocks(spark):
+    rng = random.Random(12)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    sigs = base + [s ^ sum(1 << b for b in rng.sample(range(64), rng.choice((0, 9, 10, 11)))) for s in base] + base[:3]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(i, signed(s)) for i, s in enumerate(sigs)], "k long, s long")
+    want = sorted((i, j, bin(sigs[i] ^ sigs[j]).count("1")) for i in range(len(sigs)) for j in range(i + 1, len(sigs)) if bin(sigs[i] ^ sigs[j]).count("1") <= 10)
+    for blocks in (11, 12, 14):
+        assert sorted(map(tuple, detect.near_pairs(df, "k", "s", 10, blocks).collect())) == want
+
+
+def test_candidates_stay_level_as_signatures_grow(spark):
+    assert [detect.block_count(n) for n in (10, 100_000, 400_000, 1_600_000)] == [11, 11, 12, 13]
+    each = []
+    for n in (2_000, 8_000):
+        df = spark.range(n).select(F.col("id").alias("k"), F.xxhash64("id").alias("s"))
+        blocks = 11 if n == 2_000 else 12  # what four times the signatures get where the first number is just enough
+        each.append(detect.near_candidates(df, "k", "s", 10, blocks).count() / n)
+    assert 0.5 < each[1] / each[0] < 1.5, each
+
+
+def test_one_long_chain_is_verified_by_all_tasks(spark):
+    """A chain of many records, with a break in the middle and one near the end: the first is found."""
+    n = 20_000
+    rows = [("c", i, f"AUD-{i:08d}", "E", "t", "a", "{}", "2024-01-01T00:00:00.000000Z") for i in range(1, n + 1)]
+    before, done = "0" * 64, []
+    for chain, sequence, audit_id, event, kind, asset, payload, at in rows:
+        record = {"asset_id": asset, "asset_type": kind, "audit_id": audit_id, "event_type": event, "payload_json": payload, "previous_hash": before, "sequence": sequence, "timestamp": at}
+        own = hashlib.sha256(json.dumps(record, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+        done.append((chain, sequence, audit_id, event, kind, asset, payload, at, before, own))
+        before = own
+    schema = "chain string, sequence long, audit_id string, event_type string, asset_type string, asset_id string, payload_json string, timestamp string, previous_hash string, current_hash string"
+    assert audit.GENESIS == "0" * 64
+    assert one(audit.verify(spark.createDataFrame(done, schema).repartition(5))).asDict() == {"chain": "c", "records": n, "status": "VALID", "first_broken": None, "code": None}
+    done[n // 2] = (*done[n // 2][:6], '{"x":1}', *done[n // 2][7:])
+    del done[-2]
+    got = one(audit.verify(spark.createDataFrame(done, schema).repartition(5)))
+    assert (got.records, got.status, got.first_broken, got.code) == (n - 1, "COMPROMISED", f"AUD-{n // 2 + 1:08d}", "AUDIT_RECORD_TAMPERING")
