@@ -82,14 +82,11 @@ def test_products_beyond_64_bits(spark):
     assert row.score == 1000 * (big - 5) * n // (big * (big + 1)) and (row.l, row.r) == (big, big + 1)
 
 
-def test_shared_ids_are_seen(spark, monkeypatch):
-    real = co.range_prints
-    monkeypatch.setattr(co, "range_prints", lambda data, starts, ends, seed=0: real(data, starts, ends, seed) if seed else np.full(len(starts), 7, dtype=np.uint64))
-    data = np.frombuffer(b"one two", dtype=np.uint8)
-    starts, ends, _, _ = co.words_of(data, np.array([0, 7]))
-    ids = co.range_prints(data, starts, ends)
+def test_shared_ids_are_seen():
+    ids, checks = np.array([7, 9, 7], dtype=np.uint64), np.array([1, 2, 3], dtype=np.int32)
     found, first = np.unique(ids, return_index=True)
-    assert co._unlike(data, starts, ends, ids, found, first) == 1
+    assert co._unlike(ids, checks, found, checks[first]) == 2
+    assert co._unlike(ids, checks[[0, 1, 0]], found, checks[first]) is None
 
 
 def test_query_equals_sql(spark):
