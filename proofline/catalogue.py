@@ -13,7 +13,7 @@ from proofline.session import ship
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of ``proofline.plans``; each has QUERIES: name -> (query, DuckDB SQL or None).
-PLANS = ("dataset", "shift", "assurance", "representation", "runs", "streams", "reports", "evidence", "gates")
+PLANS = ("dataset", "shift", "assurance", "representation", "runs", "streams", "reports", "evidence", "gates", "inspection")
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:

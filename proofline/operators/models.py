@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,9 +172,8 @@ def parameter_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return diff.select("name", kind.alias("change"))
 
 
-def issue_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Issues by (code, tensor, channel): NEW, RESOLVED or PERSISTING."""
-    keys = ["code", "tensor", "channel"]
+def issue_deltas(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("code", "tensor", "channel")) -> DataFrame:
+    """Issues by their identity: NEW, RESOLVED or PERSISTING."""
     marked = before.select(*keys, F.lit(1).alias("b"), F.lit(0).alias("a")).union(after.select(*keys, F.lit(0).alias("b"), F.lit(1).alias("a")))
     both = marked.groupBy(*keys).agg(F.max("b").alias("b"), F.max("a").alias("a"))
     return both.select(*keys, F.when(F.col("b") == 0, "NEW").when(F.col("a") == 0, "RESOLVED").otherwise("PERSISTING").alias("delta"))
@@ -185,6 +186,87 @@ def structure_issues(nodes: DataFrame, approved: tuple[str, ...], domains: tuple
     return custom.union(other).groupBy("model_id", "code", "subject").agg(F.count("*").alias("n"))
 
 
+def external_location(location: Column) -> Column:
+    """Whether the path of external tensor data is MISSING, UNSAFE (may leave the model's folder) or only NOT_VERIFIED; null: none.
+
+    Percent escapes are read once, and a backslash separates like a slash.
+    """
+    plain = F.translate(F.coalesce(F.try_url_decode(F.replace(location, F.lit("+"), F.lit("%2B"))), location), "\\", "/")
+    parts = F.filter(F.split(plain, "/"), lambda p: ~p.isin("", "."))
+    drive = F.coalesce(F.get(parts, F.lit(0)).endswith(":"), F.lit(False))
+    unsafe = plain.startswith("/") | F.array_contains(parts, "..") | plain.contains("://") | (F.instr(plain, "\0") > 0) | drive
+    return F.when(location == "", "EXTERNAL_DATA_LOCATION_MISSING").when(unsafe, "EXTERNAL_DATA_PATH_UNSAFE").when(location.isNotNull(), "EXTERNAL_DATA_NOT_VERIFIED")
+
+
+#: Structural rules with their severities.
+STRUCTURE_RULES = {
+    "NO_GRAPH_INPUTS": "HIGH",
+    "NO_GRAPH_OUTPUTS": "HIGH",
+    "EMPTY_GRAPH": "HIGH",
+    "DYNAMIC_OR_UNKNOWN_SHAPE": "LOW",
+    "CUSTOM_OPERATOR_DOMAIN": "MEDIUM",
+    "OPERATOR_NOT_APPROVED": "MEDIUM",
+    "EXTERNAL_DATA_LOCATION_MISSING": "HIGH",
+    "EXTERNAL_DATA_PATH_UNSAFE": "HIGH",
+    "EXTERNAL_DATA_NOT_VERIFIED": "MEDIUM",
+    "INITIALIZER_NAME_MISSING": "MEDIUM",
+}
+
+
+def structure_report(models: DataFrame, boundaries: DataFrame, nodes: DataFrame, initializers: DataFrame, approved: tuple[str, ...] | None = None, domains: tuple[str, ...] = ("", "ai.onnx", "ai.onnx.ml")) -> DataFrame:
+    """Every structural issue of model graphs: (model_id, code, severity, evidence).
+
+    ``models``: (model_id). ``boundaries``: (model_id, direction ``input`` or ``output``, name, shape: array of texts, of which
+    only whole numbers are known sizes; an empty or null shape declares nothing). ``nodes``: (model_id, index, name, op_type,
+    domain). ``initializers``: (model_id, name, location: null where the data is inside). A missing name of an initializer
+    counts once a model, as the rule is about the model. Without ``approved`` every operator is.
+    """
+    issue = lambda df, code, *evidence: df.select("model_id", F.lit(code).alias("code"), F.array(*evidence).cast("array<string>").alias("evidence"))
+    said = lambda name, value: F.concat(F.lit(f"{name}="), F.coalesce(value.cast("string"), F.lit("")))
+    without = lambda some: models.select("model_id").distinct().join(some.select("model_id").distinct(), "model_id", "left_anti")
+    known = F.forall("shape", lambda d: F.coalesce(d.rlike("^-?[0-9]+$"), F.lit(False)))
+    shape = F.concat(F.lit("["), F.array_join(F.transform("shape", lambda d: F.coalesce(d, F.lit("?"))), ", "), F.lit("]"))
+    node = F.when(F.coalesce("name", F.lit("")) == "", F.col("index").cast("string")).otherwise(F.col("name"))
+    outside = nodes.where(~F.coalesce("domain", F.lit("")).isin(*domains))
+    located = initializers.withColumn("code", external_location(F.col("location"))).where("code IS NOT NULL")
+    where = F.array_compact(F.array(said("initializer", F.col("name")), F.when(F.col("location") != "", said("location", F.substring("location", 1, 256)))))
+    found = [
+        issue(without(boundaries.where("direction = 'input'")), "NO_GRAPH_INPUTS"),
+        issue(without(boundaries.where("direction = 'output'")), "NO_GRAPH_OUTPUTS"),
+        issue(without(nodes), "EMPTY_GRAPH"),
+        issue(boundaries.where(F.col("shape").isNotNull() & ~known), "DYNAMIC_OR_UNKNOWN_SHAPE", said("tensor", F.col("name")), said("shape", shape)),
+        issue(outside, "CUSTOM_OPERATOR_DOMAIN", said("node", node), said("domain", F.col("domain")), said("op_type", F.col("op_type"))),
+        located.select("model_id", "code", where.alias("evidence")),
+        issue(initializers.where(F.coalesce("name", F.lit("")) == "").select("model_id").distinct(), "INITIALIZER_NAME_MISSING"),
+    ]
+    if approved is not None:
+        found.append(issue(nodes.where(~F.col("op_type").isin(*approved)), "OPERATOR_NOT_APPROVED", said("node", node), said("op_type", F.col("op_type"))))
+    severity = F.coalesce(*(F.when(F.col("code") == c, s) for c, s in STRUCTURE_RULES.items()))
+    return reduce(DataFrame.unionByName, found).select("model_id", "code", severity.alias("severity"), "evidence")
+
+
+def structure_limitations(initializers: DataFrame) -> DataFrame:
+    """(model_id, limitation) where a report can't speak for external data."""
+    return initializers.where("location IS NOT NULL").select("model_id", F.lit("EXTERNAL_DATA_UNVERIFIED").alias("limitation")).distinct()
+
+
+def parameter_totals(initializers: DataFrame) -> DataFrame:
+    """(model_id, n_initializers, n_parameters): elements of all initializers by their ``dims``; a scalar has one, exact beyond 64 bits."""
+    elements = F.aggregate("dims", F.lit(1).cast("decimal(38,0)"), lambda n, d: (n * d.cast("decimal(19,0)")).cast("decimal(38,0)"))
+    return initializers.groupBy("model_id").agg(F.count("*").alias("n_initializers"), F.sum(elements).cast("decimal(38,0)").alias("n_parameters"))
+
+
+def flagged_issues(energies: DataFrame | None = None, scales: DataFrame | None = None) -> DataFrame:
+    """What ``energy`` and ``peer_scale`` flag, as issues: (model_id, tensor, channel, code, severity, evidence)."""
+    shown = lambda name, value: F.concat(F.lit(f"{name}="), F.format_string("%.6f", value))
+    parts = []
+    if energies is not None:
+        parts.append(energies.where("concentrated").select("model_id", "tensor", F.lit(None).cast("long").alias("channel"), F.lit("PARAMETER_ENERGY_CONCENTRATION").alias("code"), F.lit("MEDIUM").alias("severity"), F.array(shown("top1_energy", F.col("top1")), F.concat(F.lit("channels="), F.col("n_channels").cast("string"))).alias("evidence")))
+    if scales is not None:
+        parts.append(scales.where("is_outlier").select("model_id", "tensor", F.lit(None).cast("long").alias("channel"), F.lit("TENSOR_SCALE_OUTLIER").alias("code"), F.lit("MEDIUM").alias("severity"), F.array(shown("robust_z", F.col("robust_z")), F.concat(F.lit("peers="), F.col("n_peers").cast("string"))).alias("evidence")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def operator_profile(nodes: DataFrame) -> DataFrame:
     """Operators of each model with their counts, and the model's number of different ones."""
     counts = nodes.groupBy("model_id", "op_type").agg(F.count("*").alias("n"))
@@ -457,6 +539,61 @@ def compare_behaviour(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.where("pairs = pairs_before").withColumn("flip_change", F.col("flip_after") - F.col("flip_before")).drop("pairs_before")
 
 
+#: What a changed issue of a behaviour report is called, by its code and its delta.
+BEHAVIOUR_CODES = {
+    ("TRIGGER_SENSITIVITY", "NEW"): "NEW_TRIGGER_SENSITIVITY",
+    ("TRIGGER_SENSITIVITY", "RESOLVED"): "RESOLVED_TRIGGER_SENSITIVITY",
+    ("TRIGGER_SENSITIVITY", "PERSISTING"): "PERSISTING_TRIGGER_SENSITIVITY",
+    ("NONDETERMINISTIC_OUTPUT", "NEW"): "NEW_NONDETERMINISM",
+    ("OUTPUT_NONFINITE", "NEW"): "NEW_OUTPUT_NONFINITE",
+}
+
+
+def behaviour_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Changes of the triggers that two reports share: (model_id, trigger_id, flip_change, lift_change, control_change).
+
+    A change is null where the reports' samples differ in number or are none, or where a rate is missing or not finite.
+    """
+    rates = {"flip_rate": "flip_change", "lift": "lift_change", "control_relative": "control_change"}
+    a = after.select("model_id", "trigger_id", F.col("pairs").alias("_pairs"), *(F.col(c).alias(f"_{c}") for c in rates))
+    both = before.select("model_id", "trigger_id", "pairs", *rates).join(a, ["model_id", "trigger_id"])
+    comparable = (F.col("pairs") > 0) & (F.col("pairs") == F.col("_pairs"))
+    change = lambda c: F.when(comparable & finite(F.col(c)) & finite(F.col(f"_{c}")), F.col(f"_{c}") - F.col(c))
+    return both.select("model_id", "trigger_id", *(change(c).alias(n) for c, n in rates.items()))
+
+
+def behaviour_report(reports: DataFrame, deltas: DataFrame, issues_before: DataFrame, issues_after: DataFrame, identity: tuple[str, ...] = ("trigger_id",), most: int | None = None) -> DataFrame:
+    """Per model, two behaviour reports compared: (model_id, status, state, codes, n_new, n_resolved, n_persisting, limitations).
+
+    ``reports``: (model_id, status_before, status_after), a row for each model to compare. Issues are the same by code and
+    ``identity``. The state is CHANGED when an issue came or went or a rate moved, SAME otherwise, and UNAVAILABLE where the
+    evidence is partial: a report is not complete, or a model has more deltas than ``most``.
+    """
+    keys = ("model_id", "code", *identity)
+    moved = issue_deltas(issues_before, issues_after, keys).groupBy("model_id").agg(
+        *(F.count_if(F.col("delta") == d).alias(f"n_{d.lower()}") for d in ("NEW", "RESOLVED", "PERSISTING")),
+        F.array_sort(F.collect_set(F.coalesce(*(F.when((F.col("code") == c) & (F.col("delta") == d), F.lit(n)) for (c, d), n in BEHAVIOUR_CODES.items())))).alias("codes"),
+    )
+    shifted = reduce(Column.__or__, (F.coalesce(F.col(c) != 0, F.lit(False)) for c in ("flip_change", "lift_change", "control_change")))
+    rates = deltas.groupBy("model_id").agg(F.count_if(shifted).alias("_rates"), F.count("*").alias("_triggers"))
+    joined = reports.join(moved, "model_id", "left").join(rates, "model_id", "left").fillna(0, ["n_new", "n_resolved", "n_persisting", "_rates", "_triggers"])
+    too_many = lambda n: F.lit(False) if most is None else n > most
+    cut_triggers, cut_issues = too_many(F.col("_triggers")), too_many(F.col("n_new") + F.col("n_resolved") + F.col("n_persisting"))
+    partial = ~(F.col("status_before").eqNullSafe("COMPLETE") & F.col("status_after").eqNullSafe("COMPLETE")) | cut_triggers | cut_issues
+    changed = (F.col("n_new") + F.col("n_resolved") + F.col("_rates")) > 0
+    limits = F.array_compact(F.array(F.when(partial, "BEHAVIORAL_EVIDENCE_PARTIAL"), F.when(cut_triggers, "BEHAVIOR_TRIGGER_DELTAS_TRUNCATED"), F.when(cut_issues, "BEHAVIOR_ISSUE_DELTAS_TRUNCATED")))
+    return joined.select(
+        "model_id",
+        F.when(partial, "PARTIAL").otherwise("COMPLETE").alias("status"),
+        F.when(partial, "UNAVAILABLE").when(changed, "CHANGED").otherwise("SAME").alias("state"),
+        F.coalesce("codes", F.array().cast("array<string>")).alias("codes"),
+        "n_new",
+        "n_resolved",
+        "n_persisting",
+        limits.alias("limitations"),
+    )
+
+
 def protocol_mismatches(before: DataFrame, after: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """Per model, the parts of the test protocol in which two reports differ, so that they can't be compared."""
     a = after.select("model_id", *(F.col(f).alias(f"_{f}") for f in fields))

@@ -395,3 +395,35 @@ def test_one_long_chain_is_verified_by_all_tasks(spark):
     del done[-2]
     got = one(audit.verify(spark.createDataFrame(done, schema).repartition(5)))
     assert (got.records, got.status, got.first_broken, got.code) == (n - 1, "COMPROMISED", f"AUD-{n // 2 + 1:08d}", "AUDIT_RECORD_TAMPERING")
+
+
+def test_external_locations(spark):
+    cases = {
+        "": "EXTERNAL_DATA_LOCATION_MISSING", None: None, "w.bin": "EXTERNAL_DATA_NOT_VERIFIED", "a/./b.bin": "EXTERNAL_DATA_NOT_VERIFIED", "100%.bin": "EXTERNAL_DATA_NOT_VERIFIED", "a+b": "EXTERNAL_DATA_NOT_VERIFIED", "a..b/c": "EXTERNAL_DATA_NOT_VERIFIED",
+        "/abs": "EXTERNAL_DATA_PATH_UNSAFE", "../up": "EXTERNAL_DATA_PATH_UNSAFE", "a/../b": "EXTERNAL_DATA_PATH_UNSAFE", "a\\..\\b": "EXTERNAL_DATA_PATH_UNSAFE", "%2e%2e/x": "EXTERNAL_DATA_PATH_UNSAFE", "%2Fabs": "EXTERNAL_DATA_PATH_UNSAFE", "http://h/x": "EXTERNAL_DATA_PATH_UNSAFE", "c:/x": "EXTERNAL_DATA_PATH_UNSAFE", "a%00b": "EXTERNAL_DATA_PATH_UNSAFE",
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "location string")
+    assert {r.location: r.code for r in df.withColumn("code", models.external_location(F.col("location"))).collect()} == cases
+
+
+def test_structure_of_an_empty_model(spark):
+    none = [spark.createDataFrame([], s) for s in ("model_id string, direction string, name string, shape array<string>", "model_id string, index long, name string, op_type string, domain string", "model_id string, name string, location string, dims array<long>")]
+    got = models.structure_report(spark.createDataFrame([("m",)], "model_id string"), *none).collect()
+    assert {(r.code, r.severity, tuple(r.evidence)) for r in got} == {(c, "HIGH", ()) for c in ("NO_GRAPH_INPUTS", "NO_GRAPH_OUTPUTS", "EMPTY_GRAPH")}
+    totals = models.parameter_totals(spark.createDataFrame([("m", []), ("m", [2**40, 2**40]), ("n", [0, 5])], "model_id string, dims array<long>"))
+    assert {(r.model_id, r.n_initializers, int(r.n_parameters)) for r in totals.collect()} == {("m", 2, 2**80 + 1), ("n", 1, 0)}
+
+
+def test_behaviour_reports_without_common_support(spark):
+    rates = "model_id string, trigger_id string, pairs long, flip_rate double, lift double, control_relative double"
+    before = spark.createDataFrame([("a", "t", 4, 0.5, 0.1, None), ("a", "u", 4, 0.5, 0.1, 0.2), ("a", "gone", 4, 1.0, 1.0, 1.0), ("b", "t", 0, 0.0, 0.0, 0.0)], rates)
+    after = spark.createDataFrame([("a", "t", 5, 0.9, 0.9, 0.9), ("a", "u", 4, 0.75, float("nan"), 0.2), ("b", "t", 0, 1.0, 1.0, 1.0)], rates)
+    deltas = models.behaviour_deltas(before, after)
+    assert {(r.model_id, r.trigger_id): tuple(r)[2:] for r in deltas.collect()} == {("a", "t"): (None,) * 3, ("a", "u"): (0.25, None, 0.0), ("b", "t"): (None,) * 3}
+    issue = lambda *rows: spark.createDataFrame(list(rows), "model_id string, trigger_id string, code string")
+    reports = spark.createDataFrame([("a", "COMPLETE", "COMPLETE"), ("b", "COMPLETE", "COMPLETE"), ("c", None, "COMPLETE")], "model_id string, status_before string, status_after string")
+    got = {r.model_id: r for r in models.behaviour_report(reports, deltas, issue(("b", "t", "TRIGGER_SENSITIVITY")), issue(("b", "t", "TRIGGER_SENSITIVITY"), ("c", "t", "OUTPUT_NONFINITE"))).collect()}
+    assert (got["a"].state, got["a"].codes) == ("CHANGED", []) and (got["b"].state, got["b"].codes) == ("SAME", ["PERSISTING_TRIGGER_SENSITIVITY"])
+    assert (got["c"].status, got["c"].state, got["c"].codes, got["c"].limitations) == ("PARTIAL", "UNAVAILABLE", ["NEW_OUTPUT_NONFINITE"], ["BEHAVIORAL_EVIDENCE_PARTIAL"])
+    capped = {r.model_id: r.limitations for r in models.behaviour_report(reports, deltas, issue(), issue(), most=1).collect()}
+    assert capped["a"] == ["BEHAVIORAL_EVIDENCE_PARTIAL", "BEHAVIOR_TRIGGER_DELTAS_TRUNCATED"]
