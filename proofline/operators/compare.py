@@ -126,11 +126,15 @@ def report(states: DataFrame, segment: tuple[str, ...]) -> DataFrame:
 
 
 #: What two windows of vectors, or of predictions, have to agree in, and the code where they don't.
-VECTOR_SPACE = {"dimension": "DIMENSION_MISMATCH", "space_id": "SPACE_MISMATCH"}
+VECTOR_SPACE = {"dimension": "REPRESENTATION_DIMENSION_MISMATCH", "space_id": "REPRESENTATION_SPACE_MISMATCH"}
 OUTPUT_SPACE = {"space_id": "OUTPUT_SPACE_MISMATCH"}
+#: The limitation that a partial window leaves, and the features of a report in order.
+VECTOR_PARTIAL, OUTPUT_PARTIAL = "INPUT_REPRESENTATION_PROFILE_PARTIAL", "INPUT_PREDICTION_PROFILE_PARTIAL"
+VECTOR_FEATURES = ("REPRESENTATION_CENTROID", "REPRESENTATION_DISPERSION", "REPRESENTATION_VARIANCE", "REPRESENTATION_MMD", "REPRESENTATION_SUPPORT_DISTANCE")
+OUTPUT_FEATURES = ("PREDICTED_LABEL_DISTRIBUTION", "TOP1_CONFIDENCE", "PREDICTION_ENTROPY", "TOP1_MARGIN", "ABSTENTION_RATE", "DECLARED_UNKNOWN_RATE")
 
 
-def comparability(windows: DataFrame, keys: tuple[str, ...], space: dict[str, str], version: int = 1, policy: ComparisonPolicy = POLICY) -> DataFrame:
+def comparability(windows: DataFrame, keys: tuple[str, ...], space: dict[str, str], version: int = 1, policy: ComparisonPolicy = POLICY, partial_code: str = "INPUT_PROFILE_PARTIAL") -> DataFrame:
     """Per key, whether its two windows can be compared: ``state`` with ``limitations``.
 
     ``windows``: keys, role, schema_version, status, samples and the columns of ``space``. INCOMPARABLE for a role that
@@ -150,7 +154,40 @@ def comparability(windows: DataFrame, keys: tuple[str, ...], space: dict[str, st
         end = end.when(~F.col(f"r.{column}").eqNullSafe(F.col(f"c.{column}")), code)
     few = either(lambda s: F.coalesce(F.col(f"{s}.samples"), F.lit(0)) < policy.support)
     partial = either(lambda s: F.col(f"{s}.status") == "PARTIAL")
-    notes = F.array_compact(F.array(F.when(few, "INSUFFICIENT_SAMPLE_SUPPORT"), F.when(partial, "INPUT_PROFILE_PARTIAL")))
+    notes = F.array_compact(F.array(F.when(few, "INSUFFICIENT_SAMPLE_SUPPORT"), F.when(partial, partial_code)))
     found = both.withColumn("_end", end).withColumn("limitations", F.when(F.col("_end").isNull(), F.array_join(notes, ",")).otherwise(F.col("_end")))
     state = F.when(F.col("_end") == "INPUT_PROFILE_UNAVAILABLE", "UNAVAILABLE").when(F.col("_end").isNotNull(), "INCOMPARABLE").when(F.col("limitations") != "", "PARTIAL").otherwise("COMPLETE")
     return found.select(*keys, state.alias("state"), "limitations")
+
+
+def layer_report(gates: DataFrame, features: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], missing: dict[str, str] | None = None) -> DataFrame:
+    """One report for each pair of windows: status, features by state, what each of them could not say, and an id.
+
+    ``gates``: what ``comparability`` gives. ``features``: keys, feature, state (SHIFTED, STABLE, or what else it is),
+    limitations (array). Windows that can't be compared have every feature of ``order`` in the gate's state; below the
+    least support every feature is PARTIAL; a feature without a row is UNAVAILABLE with its code in ``missing``, else
+    FEATURE_NOT_SUPPLIED. Limitations of the windows and of measured features are those of the report.
+    """
+    codes = {f: (missing or {}).get(f, "FEATURE_NOT_SUPPLIED") for f in order}
+    asked = gates.select(*keys, F.col("state").alias("_gate"), F.col("limitations").alias("_notes"), F.explode(F.array(*(F.struct(F.lit(i).alias("_i"), F.lit(f).alias("feature"), F.lit(codes[f]).alias("_code")) for i, f in enumerate(order)))).alias("_f"))
+    asked = asked.select(*keys, "_gate", "_notes", "_f.*")
+    joined = asked.join(features.select(*keys, "feature", "state", F.coalesce("limitations", F.array().cast("array<string>")).alias("_own")), [*keys, "feature"], "left")
+    ended, few = F.col("_gate").isin("INCOMPARABLE", "UNAVAILABLE"), F.col("_notes").contains("INSUFFICIENT_SAMPLE_SUPPORT")
+    state = F.when(ended, F.col("_gate")).when(few, "PARTIAL").otherwise(F.coalesce("state", F.lit("UNAVAILABLE")))
+    own = F.when(ended, F.array("_notes")).when(few, F.array(F.lit("INSUFFICIENT_SAMPLE_SUPPORT"))).when(F.col("state").isNull(), F.array("_code")).otherwise(F.col("_own"))
+    measured = F.when(~ended & ~few & F.col("state").isNotNull(), F.col("_own")).otherwise(F.array().cast("array<string>"))
+    rows = joined.select(*keys, "_i", "feature", state.alias("state"), own.alias("_own"), measured.alias("_measured"), "_gate", "_notes")
+    of = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("state") == s, F.struct("_i", "feature")))), lambda x: x["feature"])
+    known = ("SHIFTED", "STABLE", "PARTIAL", "UNAVAILABLE", "INCOMPARABLE")
+    notes = F.filter(F.split(F.first("_notes"), ","), lambda x: x != "")
+    summed = rows.groupBy(*keys).agg(
+        F.first("_gate").alias("_gate"),
+        *(of(s).alias(s.lower()) for s in known),
+        F.array_sort(F.array_distinct(F.concat(notes, F.flatten(F.collect_list("_measured"))))).alias("limitations"),
+        F.transform(F.array_sort(F.collect_list(F.struct("_i", "feature", F.array_sort("_own").alias("limitations")))), lambda x: F.concat(x["feature"], F.lit(":"), F.array_join(x["limitations"], "+"))).alias("feature_limitations"),
+    )
+    degraded = (F.size("limitations") > 0) | (F.size("partial") + F.size("unavailable") + F.size("incomparable") > 0)
+    status = F.when(F.col("_gate").isin("INCOMPARABLE", "UNAVAILABLE"), F.col("_gate")).when(degraded, "PARTIAL").otherwise("COMPLETE")
+    whole = summed.withColumn("status", status).drop("_gate")
+    said = F.concat_ws("|", "status", *(F.array_join(s.lower(), ",") for s in known), F.array_join("limitations", ","), F.array_join("feature_limitations", ","))
+    return whole.withColumn("report_id", F.sha2(said, 256))

@@ -24,7 +24,7 @@ def window_gates(spark, sf_dir):
         F.when(current & (k % 11 == 2), 32).otherwise(64).alias("dimension"),
         F.when(current & (k % 13 == 6), "b").otherwise("a").alias("space_id"),
     )
-    return compare.comparability(rows, ("key",), compare.VECTOR_SPACE)
+    return compare.comparability(rows, ("key",), compare.VECTOR_SPACE, partial_code=compare.VECTOR_PARTIAL)
 
 
 def output_contract_typed(spark, sf_dir):
@@ -127,8 +127,8 @@ _GATES = """w AS (SELECT c_custkey AS key, i, i = 1 AND c_custkey % 23 = 5 AS ot
   (c_custkey * 3 + i) % 40 + 5 AS samples, i = 1 AND c_custkey % 11 = 2 AS narrow, i = 1 AND c_custkey % 13 = 6 AS elsewhere
   FROM customer, range(0, 2) t(i) WHERE NOT (i = 1 AND c_custkey % 17 = 3)),
 g AS (SELECT key, CASE WHEN bool_or(other) THEN 'ROLE_INVALID' WHEN bool_or(version <> 1) THEN 'PROFILE_SCHEMA_INCOMPATIBLE'
-    WHEN count(*) < 2 OR bool_or(status = 'UNAVAILABLE') THEN 'INPUT_PROFILE_UNAVAILABLE' WHEN bool_or(narrow) THEN 'DIMENSION_MISMATCH' WHEN bool_or(elsewhere) THEN 'SPACE_MISMATCH' END AS stop,
-  concat_ws(',', CASE WHEN min(samples) < 20 THEN 'INSUFFICIENT_SAMPLE_SUPPORT' END, CASE WHEN bool_or(status = 'PARTIAL') THEN 'INPUT_PROFILE_PARTIAL' END) AS notes FROM w GROUP BY key)
+    WHEN count(*) < 2 OR bool_or(status = 'UNAVAILABLE') THEN 'INPUT_PROFILE_UNAVAILABLE' WHEN bool_or(narrow) THEN 'REPRESENTATION_DIMENSION_MISMATCH' WHEN bool_or(elsewhere) THEN 'REPRESENTATION_SPACE_MISMATCH' END AS stop,
+  concat_ws(',', CASE WHEN min(samples) < 20 THEN 'INSUFFICIENT_SAMPLE_SUPPORT' END, CASE WHEN bool_or(status = 'PARTIAL') THEN 'INPUT_REPRESENTATION_PROFILE_PARTIAL' END) AS notes FROM w GROUP BY key)
 SELECT key, CASE WHEN stop = 'INPUT_PROFILE_UNAVAILABLE' THEN 'UNAVAILABLE' WHEN stop IS NOT NULL THEN 'INCOMPARABLE' WHEN notes <> '' THEN 'PARTIAL' ELSE 'COMPLETE' END AS state,
   coalesce(stop, notes) AS limitations FROM g"""
 

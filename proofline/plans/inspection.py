@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.operators import models
+from proofline.operators import compare, models, vectors
+from proofline.plans import representation
 from proofline.session import table
 
 
@@ -71,6 +75,51 @@ def tensor_flags(spark, sf_dir):
     return found.select("tensor", "code", "severity", F.get("evidence", F.lit(1)).alias("count"))
 
 
+def vector_reports(spark, sf_dir):
+    """A report for the windows of each label, some of which can't be compared by rule, and one for all rows with the pairwise features."""
+    windows = representation._windows(spark, sf_dir)
+    label, current = F.col("label"), F.col("role") == "CURRENT"
+    sides = windows.groupBy("label", "role").agg(F.count("*").alias("samples")).where(~((label == 2) & current))
+    sides = sides.select(
+        label.cast("string").alias("key"), "role", F.when(label == 4, 7).otherwise(F.col("samples")).alias("samples"), F.when((label == 5) & current, 2).otherwise(1).alias("schema_version"),
+        F.when(label == 3, "PARTIAL").otherwise("COMPLETE").alias("status"), F.when((label == 1) & current, 32).otherwise(64).alias("dimension"), F.when((label == 0) & current, "b").otherwise("a").alias("space_id"),
+    )
+    whole = windows.groupBy("role").agg(F.count("*").alias("samples")).select(F.lit("all").alias("key"), "role", "samples", F.lit(1).alias("schema_version"), F.lit("COMPLETE").alias("status"), F.lit(64).alias("dimension"), F.lit("a").alias("space_id"))
+    gates = compare.comparability(sides.union(whole), ("key",), compare.VECTOR_SPACE, partial_code=compare.VECTOR_PARTIAL)
+    moved = vectors.moved(vectors.vector_profile(windows, ("label", "role"), "v"), ("label",))
+    row = lambda df, key, feature, state: df.select(key.alias("key"), F.lit(feature).alias("feature"), F.col(state).alias("state"), F.array().cast("array<string>").alias("limitations"))
+    parts = [row(moved, label.cast("string"), f, c) for f, c in zip(compare.VECTOR_FEATURES, ("centroid_state", "dispersion_state", "variance_state"))]
+    parts += [row(vectors.mmd(windows, "vec_id", "v"), F.lit("all"), compare.VECTOR_FEATURES[3], "state"), row(vectors.nearest_support(windows, "vec_id", "v"), F.lit("all"), compare.VECTOR_FEATURES[4], "state")]
+    found = compare.layer_report(gates, reduce(DataFrame.union, parts), ("key",), compare.VECTOR_FEATURES)
+    return found.select("key", "status", *(F.array_join(c, ",").alias(c) for c in ("shifted", "stable", "partial", "unavailable", "incomparable", "limitations", "feature_limitations")))
+
+
+def output_reports(spark, sf_dir):
+    """Reports of predictions by customer segment and nation: features by rule, flags that were not declared, other output spaces."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("key"), F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    both = c.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1))))
+    sides = both.groupBy("key", "n", "i").agg(F.count("*").alias("samples")).select(
+        "key", F.when(F.col("i") == 1, "CURRENT").otherwise("REFERENCE").alias("role"), F.when(F.col("n") % 8 == 3, 3).otherwise(F.col("samples") + 20).alias("samples"), F.lit(1).alias("schema_version"),
+        F.when(F.col("n") % 5 == 2, "PARTIAL").otherwise("COMPLETE").alias("status"), F.when((F.col("i") == 1) & (F.col("n") % 6 == 1), "b").otherwise("a").alias("space_id"),
+    )
+    gates = compare.comparability(sides, ("key",), compare.OUTPUT_SPACE, partial_code=compare.OUTPUT_PARTIAL)
+    number = F.explode(F.sequence(F.lit(0), F.lit(len(compare.OUTPUT_FEATURES) - 1))).alias("f")
+    features = c.groupBy("key", "n").agg(F.sum("k").alias("s")).select("key", "n", "s", number).where((F.col("n") % 2 == 0) | (F.col("f") < 4))
+    named = F.get(F.array(*map(F.lit, compare.OUTPUT_FEATURES)), F.col("f"))
+    rows = features.select("key", named.alias("feature"), F.when((F.col("s") + F.col("f")) % 3 == 0, "SHIFTED").otherwise("STABLE").alias("state"), F.array().cast("array<string>").alias("limitations"))
+    undeclared = {f: "CALLER_DECLARED_FLAG_UNAVAILABLE" for f in compare.OUTPUT_FEATURES[4:]}
+    found = compare.layer_report(gates, rows, ("key",), compare.OUTPUT_FEATURES, undeclared)
+    return found.select("key", "status", *(F.array_join(c, ",").alias(c) for c in ("shifted", "stable", "partial", "unavailable", "incomparable", "limitations", "feature_limitations")))
+
+
+#: From gates ``g`` (key, state, notes) and features ``ft`` (key, feature, state) to reports; ``fo``: (i, feature, code).
+_REPORT = """q AS (SELECT g.key, i, fo.feature, g.state AS gate, notes, CASE WHEN g.state IN ('INCOMPARABLE', 'UNAVAILABLE') THEN g.state WHEN notes LIKE '%INSUFFICIENT%' THEN 'PARTIAL' ELSE coalesce(ft.state, 'UNAVAILABLE') END AS state,
+  CASE WHEN g.state IN ('INCOMPARABLE', 'UNAVAILABLE') THEN notes WHEN notes LIKE '%INSUFFICIENT%' THEN 'INSUFFICIENT_SAMPLE_SUPPORT' WHEN ft.state IS NULL THEN code ELSE '' END AS own FROM g CROSS JOIN fo LEFT JOIN ft ON ft.key = g.key AND ft.feature = fo.feature),
+rp AS (SELECT key, any_value(gate) AS gate, any_value(notes) AS limitations, count(*) FILTER (state NOT IN ('SHIFTED', 'STABLE')) AS bad,
+  coalesce(string_agg(feature, ',' ORDER BY i) FILTER (state = 'SHIFTED'), '') AS shifted, coalesce(string_agg(feature, ',' ORDER BY i) FILTER (state = 'STABLE'), '') AS stable, coalesce(string_agg(feature, ',' ORDER BY i) FILTER (state = 'PARTIAL'), '') AS partial,
+  coalesce(string_agg(feature, ',' ORDER BY i) FILTER (state = 'UNAVAILABLE'), '') AS unavailable, coalesce(string_agg(feature, ',' ORDER BY i) FILTER (state = 'INCOMPARABLE'), '') AS incomparable, string_agg(feature || ':' || own, ',' ORDER BY i) AS feature_limitations FROM q GROUP BY key)
+SELECT key, CASE WHEN gate IN ('INCOMPARABLE', 'UNAVAILABLE') THEN gate WHEN limitations <> '' OR bad > 0 THEN 'PARTIAL' ELSE 'COMPLETE' END AS status, shifted, stable, partial, unavailable, incomparable, array_to_string(list_sort(string_split(limitations, ',')), ',') AS limitations, feature_limitations FROM rp"""
+
 _GRAPHS = """p AS (SELECT p_size AS model_id, p_partkey AS k, p_name, p_brand, p_size % 7 AS m FROM part),
 ends AS (SELECT * FROM (SELECT model_id, m, CASE WHEN k % 2 = 0 THEN 'input' ELSE 'output' END AS direction, 't' || k AS name, CASE WHEN k % 11 = 0 THEN 'batch' WHEN k % 11 = 1 THEN '?' ELSE '64' END AS size FROM p WHERE k % 3 = 0)
   WHERE NOT (m = 1 AND direction = 'input') AND NOT (m = 2 AND direction = 'output')),
@@ -107,6 +156,24 @@ s AS (SELECT label, max(l2) ^ 2 / sum(l2 ^ 2) AS top1, count(*) AS c, sqrt(sum(l
 m AS (SELECT *, (SELECT median(rms) FROM s) AS mid FROM s), z AS (SELECT *, 0.6745 * (rms - mid) / (SELECT median(abs(rms - mid)) FROM m) AS z FROM m)
 SELECT 't' || label AS tensor, 'PARAMETER_ENERGY_CONCENTRATION' AS code, 'MEDIUM' AS severity, 'channels=' || c AS count FROM s WHERE top1 >= 0.95 AND c >= 4
 UNION ALL SELECT 't' || label, 'TENSOR_SCALE_OUTLIER', 'MEDIUM', 'peers=' || (SELECT count(*) FROM s) FROM z WHERE abs(z) >= 8""",
+    ),
+    "vector_reports": (
+        vector_reports,
+        f"""WITH vs AS ({representation.QUERIES["vector_shift"][1]}), vm AS ({representation.QUERIES["vector_mmd"][1]}), vn AS ({representation.QUERIES["vector_support"][1]}),
+n AS (SELECT label, min(c) AS c, sum(c) AS s FROM (SELECT label, vec_id % 2 AS r, count(*) AS c FROM embeddings GROUP BY ALL) GROUP BY label),
+g AS (SELECT label::VARCHAR AS key, CASE WHEN label = 2 THEN 'UNAVAILABLE' WHEN label IN (0, 1, 5) THEN 'INCOMPARABLE' WHEN label IN (3, 4) OR c < 20 THEN 'PARTIAL' ELSE 'COMPLETE' END AS state,
+  CASE label WHEN 0 THEN 'REPRESENTATION_SPACE_MISMATCH' WHEN 1 THEN 'REPRESENTATION_DIMENSION_MISMATCH' WHEN 2 THEN 'INPUT_PROFILE_UNAVAILABLE' WHEN 5 THEN 'PROFILE_SCHEMA_INCOMPATIBLE'
+    ELSE concat_ws(',', CASE WHEN label = 4 OR c < 20 THEN 'INSUFFICIENT_SAMPLE_SUPPORT' END, CASE WHEN label = 3 THEN 'INPUT_REPRESENTATION_PROFILE_PARTIAL' END) END AS notes FROM n UNION ALL SELECT 'all', 'COMPLETE', ''),
+fo AS (SELECT i, feature, 'FEATURE_NOT_SUPPLIED' AS code FROM (VALUES {", ".join(f"({i}, '{f}')" for i, f in enumerate(compare.VECTOR_FEATURES))}) t(i, feature)),
+ft AS (SELECT label::VARCHAR AS key, 'REPRESENTATION_CENTROID' AS feature, centroid_state AS state FROM vs UNION ALL SELECT label::VARCHAR, 'REPRESENTATION_DISPERSION', dispersion_state FROM vs UNION ALL SELECT label::VARCHAR, 'REPRESENTATION_VARIANCE', variance_state FROM vs
+  UNION ALL SELECT 'all', 'REPRESENTATION_MMD', state FROM vm UNION ALL SELECT 'all', 'REPRESENTATION_SUPPORT_DISTANCE', state FROM vn), {_REPORT}""",
+    ),
+    "output_reports": (
+        output_reports,
+        f"""WITH n AS (SELECT c_nationkey AS n, sum(c_custkey) AS s FROM customer GROUP BY 1),
+g AS (SELECT n::VARCHAR AS key, CASE WHEN n % 6 = 1 THEN 'INCOMPARABLE' WHEN n % 8 = 3 OR n % 5 = 2 THEN 'PARTIAL' ELSE 'COMPLETE' END AS state, CASE WHEN n % 6 = 1 THEN 'OUTPUT_SPACE_MISMATCH' ELSE concat_ws(',', CASE WHEN n % 8 = 3 THEN 'INSUFFICIENT_SAMPLE_SUPPORT' END, CASE WHEN n % 5 = 2 THEN 'INPUT_PREDICTION_PROFILE_PARTIAL' END) END AS notes FROM n),
+fo AS (SELECT i, feature, CASE WHEN i < 4 THEN 'FEATURE_NOT_SUPPLIED' ELSE 'CALLER_DECLARED_FLAG_UNAVAILABLE' END AS code FROM (VALUES {", ".join(f"({i}, '{f}')" for i, f in enumerate(compare.OUTPUT_FEATURES))}) t(i, feature)),
+ft AS (SELECT n::VARCHAR AS key, feature, CASE WHEN (s + i) % 3 = 0 THEN 'SHIFTED' ELSE 'STABLE' END AS state FROM n CROSS JOIN fo WHERE n % 2 = 0 OR i < 4), {_REPORT}""",
     ),
     "behaviour_deltas": (behaviour_deltas, f"WITH {_BEHAVIOUR} SELECT model_id, trigger_id, round(flip_change, 9) AS flip_change, round(lift_change, 9) AS lift_change, round(control_change, 9) AS control_change FROM d"),
     "behaviour_report": (
