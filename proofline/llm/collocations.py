@@ -4,10 +4,10 @@ Counting. A phrase is the chain of its words' ids (64-bit fingerprints in big-en
 order). Each task counts into a ``HatTrie``: a shallow trie over word ids whose containers are hash tables of the
 remaining ids; a full container bursts into one per next word. When a trie holds too many entries, its largest
 subtrees leave as sorted runs, and runs meet in prefix partitions (language and the first ids of the phrase), where
-their counts are added. Words are counted first, then pairs of frequent words, then phrases of three to five words all
-of whose pairs are frequent: a phrase is never more frequent than its parts. Tasks know what is frequent from bitmaps
-of a fixed size; a collision there only lets a phrase be counted that is dropped by its own count. Two words of
-one id would be seen in the table of words; then other fingerprints are taken.
+their counts are added. Words are counted first, then hashes of pairs of frequent words, then hashes of triples of such
+pairs, then the phrases all of whose parts may be frequent: a phrase is never more frequent than its parts. Tasks know what is frequent from bitmaps of a
+fixed size; a collision there only lets a phrase be counted that is dropped by its own count. Two words of one id would
+show by a second fingerprint in the table of words; then other ids are taken.
 
 Scoring is joins over the phrases of at least ``LEAST`` occurrences; every part of one is in the same table. A phrase
 inside a longer one of the same count is inside one that is a single word longer, too, so only those are compared.
@@ -33,11 +33,13 @@ from proofline.session import cut
 #: Occurrences of a candidate, its words at most, and phrases reported for a language.
 LEAST, LONGEST, TOP = 100, 5, 2000
 NO_LANG = "und"
-#: Bits of a bitmap: 8 MB, whatever the corpus.
-BITS = 26
+#: Bits of a bitmap: 8 MB, whatever the corpus; phrases of up to so many words are sieved by hash before they are counted.
+BITS, SIEVED = 26, 3
 #: Entries of a container that bursts, of a whole trie that spills, and levels of the shallow trie.
 BURST, HELD, SHALLOW = 4096, 600_000, 3
 SLICE = 4 << 20
+#: Words that one task of the last pass reads, about 200 MB of text.
+WORDS_A_TASK = 32_000_000
 _SEEDS = 4
 
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -206,28 +208,35 @@ def _summed(chains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_words(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """(lang, id, word, n, other) of all words, and for each language a row without id that counts all of them."""
+    """(lang, id, word, n, unlike) of all words, and for each language a row without id that counts all of them.
+
+    ``unlike``: words of this id have different second fingerprints.
+    """
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, data, at in _by_lang(batches):
             starts, ends, _, _ = words_of(data, at)
-            ids = range_prints(data, starts, ends, seed)
+            ids, checks = range_prints(data, starts, ends, seed), _checks(data, starts, ends)
             found, first, n = np.unique(ids, return_index=True, return_counts=True)
+            own = checks[first]
+            if (odd := _unlike(ids, checks, found, own)) is not None:
+                found, first, n, own = np.append(found, ids[odd]), np.append(first, odd), np.append(n, 0), np.append(own, checks[odd])
             words = [data[starts[i] : ends[i]].tobytes() for i in first.tolist()]
-            # two words of one id in this slice are kept apart, for the check
-            if (odd := _unlike(data, starts, ends, ids, found, first)) is not None:
-                found, words, n = np.append(found, ids[odd]), [*words, data[starts[odd] : ends[odd]].tobytes()], np.append(n, 0)
-            yield pa.record_batch([pa.array([lang] * (len(words) + 1)), pa.array([*found.astype(np.int64).tolist(), None], pa.int64()), pa.array([*words, None], pa.binary()), pa.array([*n.tolist(), len(ids)], pa.int64())], ["lang", "id", "word", "n"])
+            columns = [[lang] * (len(words) + 1), [*found.astype(np.int64).tolist(), None], [*words, None], [*own.tolist(), 0], [*n.tolist(), len(ids)]]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int64()))], ["lang", "id", "word", "check", "n"])
+
+    rows = _read(docs).mapInArrow(counted, "lang string, id long, word binary, check int, n long")
+    return rows.groupBy("lang", "id").agg(F.sum("n").alias("n"), F.min("word").alias("word"), (F.min("check") != F.max("check")).alias("unlike"))
+
 
-    rows = _read(docs).mapInArrow(counted, "lang string, id long, word binary, n long")
-    return rows.groupBy("lang", "id").agg(F.sum("n").alias("n"), F.min("word").alias("word"), F.max("word").alias("other"))
+def _checks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Second fingerprints of words, 31 bits."""
+    return (range_prints(data, starts, ends, 1 << 40) >> np.uint64(33)).astype(np.int32)
 
 
-def _unlike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray, found: np.ndarray, first: np.ndarray) -> int | None:
-    """A word whose id another word has, if there is one: lengths and a second fingerprint are compared."""
-    other = range_prints(data, starts, ends, 1 << 40)
-    same = first[np.searchsorted(found, ids)]
-    odd = np.flatnonzero((other != other[same]) | (ends - starts != (ends - starts)[same]))
+def _unlike(ids: np.ndarray, checks: np.ndarray, found: np.ndarray, own: np.ndarray) -> int | None:
+    """A word whose id another word has, if there is one; ``own``: the second fingerprints of the distinct ids ``found``."""
+    odd = np.flatnonzero(checks != own[np.searchsorted(found, ids)])
     return int(odd[0]) if len(odd) else None
 
 
@@ -243,24 +252,74 @@ def _bitmap(marked: DataFrame) -> np.ndarray:
     return out
 
 
-def frequent_bits(phrases: DataFrame) -> np.ndarray:
-    """The bitmap of phrases (lang, phrase) of one or two words."""
+def frequent_bits(words: DataFrame) -> np.ndarray:
+    """The bitmap of words (lang, id)."""
 
     def bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=">u8").astype(np.uint64)
-            if len(batch):
-                ids = ids.reshape(len(batch), -1)
-                own = ids[:, 0] if ids.shape[1] == 1 else _pair(ids[:, 0], ids[:, 1])
-                prints = {lang: _lang_print(lang) for lang in set(batch.column(0).to_pylist())}
-                of_lang = np.array([prints[x] for x in batch.column(0).to_pylist()], dtype=np.uint64)
-                yield pa.record_batch([pa.array(_bit(own, of_lang).astype(np.int64))], ["bit"])
+            langs = batch.column(0).to_pylist()
+            prints = {lang: _lang_print(lang) for lang in set(langs)}
+            of_lang = np.array([prints[x] for x in langs], dtype=np.uint64)
+            yield pa.record_batch([pa.array(_bit(batch.column(1).to_numpy().astype(np.uint64), of_lang).astype(np.int64))], ["bit"])
+
+    return _bitmap(words.select("lang", "id").mapInArrow(bits, "bit long"))
+
+
+def _chains(data: np.ndarray, at: np.ndarray, of_lang: np.uint64, words: np.ndarray, sieves: list[np.ndarray], longest: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For phrases of 2 to ``longest`` words: (words, ids of all words, places where one ends, hashes by place).
+
+    Its words are marked and lie in one piece, and so are both phrases a word shorter inside it; ``sieves`` has the bitmaps of
+    hashes of phrases of 2, 3, ... words.
+    """
+    starts, ends, _, follows = words_of(data, at)
+    ids = range_prints(data, starts, ends, seed)
+    known = _has(words, _bit(ids, of_lang))
+    whole, hashes = known, ids
+    for k in range(2, longest + 1):
+        before = np.concatenate([hashes[:1], hashes[:-1]])
+        inside = np.concatenate([[False], whole[:-1]]) if len(whole) else whole
+        whole = whole & inside & (follows if k == 2 else True)
+        hashes = _pair(before, ids)
+        if k - 2 < len(sieves):
+            whole[whole] = _has(sieves[k - 2], _bit(hashes[whole], of_lang))
+        yield k, ids, np.flatnonzero(whole), hashes
+
+
+def frequent_hashes(docs: DataFrame, k: int, words, sieves: list, least: int = LEAST, seed: int = 0) -> np.ndarray:
+    """The bitmap of phrases of ``k`` words whose hash occurs ``least`` times: all frequent ones, and few others.
 
-    return _bitmap(phrases.select("lang", "phrase").mapInArrow(bits, "bit long"))
+    Hashes of four bytes are counted in place of the phrases, among those whose parts are in ``sieves`` (broadcast bitmaps):
+    what is shuffled is a third of it.
+    """
 
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def summed() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.record_batch([pa.array(found.view(np.int32)), pa.array(n, pa.int32())], ["hash", "n"])
+
+        for lang, data, at in _by_lang(batches):
+            of_lang = _lang_print(lang)
+            *_, (_, _, end, hashes) = _chains(data, at, of_lang, words.value, [s.value for s in sieves], k, seed)
+            held.append((mix(hashes[end] ^ of_lang) >> np.uint64(32)).astype(np.uint32))
+            if sum(map(len, held)) > 4 * HELD:
+                yield summed()
+        if held:
+            yield summed()
+
+    hashes = _read(docs).mapInArrow(counted, "hash int, n int").groupBy("hash").agg(F.sum("n").alias("n"))
+    # the place in the bitmap is the first BITS bits of the hash
+    place = F.shiftrightunsigned(F.col("hash").cast("long").bitwiseAND(0xFFFFFFFF), 32 - BITS)
+    return _bitmap(hashes.where(F.col("n") >= least).select(place.alias("bit")))
 
-def count_phrases(docs: DataFrame, shortest: int, longest: int, words, pairs=None, seed: int = 0, burst: int = BURST, held: int = HELD) -> DataFrame:
-    """(lang, phrase, n): phrases of so many words, all of them (and with ``pairs``, all pairs) marked in the broadcast bitmaps."""
+
+def count_phrases(docs: DataFrame, longest: int, words, sieves: list, seed: int = 0, burst: int = BURST, held: int = HELD, tasks: int | None = None) -> DataFrame:
+    """(lang, phrase, n): phrases of two to ``longest`` words that pass the broadcast bitmaps of words and of shorter phrases.
+
+    Few different phrases are left, so a task that reads more text sends fewer rows: ``tasks`` bounds their number.
+    """
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, HatTrie] = {}
@@ -271,28 +330,16 @@ def count_phrases(docs: DataFrame, shortest: int, longest: int, words, pairs=Non
                     yield pa.record_batch([pa.array([lang] * len(keys)), pa.array(keys, pa.binary()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
 
         for lang, data, at in _by_lang(batches):
-            starts, ends, _, follows = words_of(data, at)
-            ids, of_lang = range_prints(data, starts, ends, seed), _lang_print(lang)
-            known = _has(words.value, _bit(ids, of_lang))
-            # whether the pair that ends at a word may be part of a phrase
-            linked = follows & known
-            linked[1:] &= known[:-1]
-            if pairs is not None and len(ids):
-                linked[1:] &= _has(pairs.value, _bit(_pair(ids[:-1], ids[1:]), of_lang))
-            trie = tries.setdefault(lang, HatTrie(burst, held, SHALLOW if longest > 2 else 1))
-            whole = linked  # whether a phrase of k words ends here
-            for k in range(2, longest + 1):
-                if k > 2:
-                    whole = linked & np.concatenate([[False], whole[:-1]])
-                if k >= shortest:
-                    end = np.flatnonzero(whole)
-                    trie.add(*_summed(np.stack([ids[end - (k - 1 - j)] for j in range(k)], axis=1)))
+            trie = tries.setdefault(lang, HatTrie(burst, held))
+            for k, ids, end, _ in _chains(data, at, _lang_print(lang), words.value, [s.value for s in sieves], longest, seed):
+                trie.add(*_summed(np.stack([ids[end - (k - 1 - j)] for j in range(k)], axis=1)))
             if sum(t.size for t in tries.values()) > held:
                 yield from leaves(all_of_it=len(tries) > 8)
         yield from leaves(all_of_it=True)
 
-    runs = _read(docs).mapInArrow(counted, "lang string, phrase binary, n long")
-    prefixed = runs.withColumn("_prefix", F.substring("phrase", 1, 8 * min(shortest, 3))).repartition("lang", "_prefix")
+    texts = _read(docs) if tasks is None else _read(docs).coalesce(tasks)
+    runs = texts.mapInArrow(counted, "lang string, phrase binary, n long")
+    prefixed = runs.withColumn("_prefix", F.substring("phrase", 1, 24)).repartition("lang", "_prefix")
     return prefixed.groupBy("lang", "_prefix", "phrase").agg(F.sum("n").alias("n")).drop("_prefix")
 
 
@@ -304,19 +351,20 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     context = docs.sparkSession.sparkContext
     for seed in range(_SEEDS):
         words = cut(count_words(docs, seed).where((F.col("n") >= least) | F.col("id").isNull()), "collocation-words")
-        if not words.where("word <> other").limit(1).count():
+        if not words.where("unlike").limit(1).count():
             break
     else:
         raise RuntimeError("words share ids under every seed")
-    chain = F.unhex(F.lpad(F.hex("id"), 16, "0"))
-    single = words.where("id IS NOT NULL").select("lang", chain.alias("phrase"), F.col("n").alias("a"))
+    single = words.where("id IS NOT NULL")
     of_words = context.broadcast(frequent_bits(single))
-    pairs = cut(count_phrases(docs, 2, 2, of_words, None, seed, burst, held).where(F.col("n") >= least), "collocation-pairs")
-    found = single.union(pairs)
-    if longest > 2:
-        of_pairs = context.broadcast(frequent_bits(pairs))
-        found = found.union(count_phrases(docs, 3, longest, of_words, of_pairs, seed, burst, held).where(F.col("n") >= least))
-    return cut(found, "collocation-phrases"), words
+    sieves: list = []
+    for k in range(2, min(longest, SIEVED) + 1):
+        sieves.append(context.broadcast(frequent_hashes(docs, k, of_words, sieves, least, seed)))
+    total = words.where("id IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = max(context.defaultParallelism, -(-total // WORDS_A_TASK))
+    many = count_phrases(docs, longest, of_words, sieves, seed, burst, held, tasks).where(F.col("n") >= least)
+    chain = F.unhex(F.lpad(F.hex("id"), 16, "0"))
+    return cut(single.select("lang", chain.alias("phrase"), F.col("n").alias("a")).union(many), "collocation-phrases"), words
 
 
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
