@@ -10,6 +10,10 @@ and with only punctuation and lines without ASCII letters and digits as such (so
 sentences too). Each licence is counted in the reading that finds it more often, the wrapped one where both agree, so
 what both readings find counts once.
 
+Sentences that name an owner are templates (``SLOTS``): who stands in the slot does not matter. An SPDX expression is read
+operand by operand. "All rights reserved" counts only where no licence is next to it, since copyright lines above
+permissive licences say so too.
+
 DataFrame functions only, in one pass over the texts and without a shuffle. Defined cases: null, empty and blank texts
 hold nothing; repeated rows are scanned one by one; an empty table gives an empty result; columns of the input that
 clash with the results' are replaced; a character U+0001 ends a sentence.
@@ -93,9 +97,59 @@ SENTENCES = {
     "name_gpl3_later": "gpl 3 0 or later",
     "name_bsd3": "bsd 3 clause",
     "reserved": "all rights reserved",
+    "apache_title": "apache license",
+    "apache_dated": "version 2 0 january 2004",
+    "gpl_title": "gnu general public license",
+    "gpl3_dated": "version 3 29 june 2007",
+    "gpl2_dated": "version 2 june 1991",
+    "lgpl_title": "gnu lesser general public license",
+    "lgpl21_dated": "version 2 1 february 1999",
+    "agpl_title": "gnu affero general public license",
+    "agpl3_dated": "version 3 19 november 2007",
+    "mit_title": "mit license",
+    "mpl2_title": "mozilla public license version 2 0",
+    "bsd_event_full": "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "name_bsd2": "bsd 2 clause",
+    "name_gpl2": "gpl 2 0 only",
+    "name_gpl2_later": "gpl 2 0 or later",
+    "name_lgpl21": "lgpl 2 1 only",
+    "name_lgpl21_later": "lgpl 2 1 or later",
+    "name_lgpl3": "lgpl 3 0 only",
+    "name_lgpl3_later": "lgpl 3 0 or later",
+    "name_agpl3": "agpl 3 0 only",
+    "name_agpl3_later": "agpl 3 0 or later",
+    "name_mpl2": "mpl 2 0",
+    "name_isc": "isc",
+    "name_zlib": "zlib",
+    "name_bsl": "bsl 1 0",
+    "name_epl2": "epl 2 0",
+    "name_unlicense": "unlicense",
+    "name_cc0": "cc0 1 0",
+    "name_cc_by": "cc by 4 0",
+    "name_cc_by_sa": "cc by sa 4 0",
 }
-#: Licence, class and sequence of sentences; earlier rules win.
+#: Sentences with a slot for the owner's name: how they begin, how they go on after the slot, and the
+#: identifier they stand for.
+SLOTS = (
+    ("neither the name of ", " nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd_names"),
+    ("neither the name of ", " may be used to endorse or promote products derived from this software without specific prior written permission", "bsd_names"),
+    ("the name of ", " may not be used to endorse or promote products derived from this software without specific prior written permission", "bsd_names"),
+    ("this software is provided by ", " as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", "bsd_provided"),
+    ("in no event shall ", " be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services", "bsd_event"),
+    ("in no event shall ", " be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage", "bsd_event_full"),
+)
+#: Fixed value: the rest of a sentence whose owner's name ends in a full stop, which stands for the whole of it.
+AFTER_STOP = ("nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd_names")
+#: Words of a slot's name at most, as characters.
+SLOT = 200
+#: Operands of an SPDX expression beyond the first that are read.
+OPERANDS = 4
+_SPDX = "spdx-license-identifier:"
+#: Licence, class and sequence of sentences; earlier rules win. The last is that of ``reserved``.
 RULES = (
+    ("BSD-3-Clause", "permissive", ("bsd_head", "bsd_source", "bsd_binary", "bsd_names", "bsd_provided", "bsd_event")),
+    ("BSD-3-Clause", "permissive", ("bsd_head", "bsd_source", "bsd_binary", "bsd_names", "bsd_provided", "bsd_event_full")),
+    ("BSD-2-Clause", "permissive", ("bsd_head", "bsd_source", "bsd_binary", "bsd_provided", "bsd_event_full")),
     ("BSD-3-Clause", "permissive", ("bsd_head", "bsd_source", "bsd_binary", "bsd_names")),
     ("Apache-2.0", "permissive", ("apache_head", "apache_comply", "apache_obtain", "apache_url", "apache_unless", "apache_see")),
     ("Apache-2.0", "permissive", ("apache_head", "apache_comply", "apache_copy", "apache_unless", "apache_see")),
@@ -120,6 +174,20 @@ RULES = (
     ("Apache-2.0", "permissive", ("apache_head", "apache_comply")),
     ("GPL-3.0-or-later", "copyleft", ("gpl_free", "gpl3_terms")),
     ("GPL-2.0-or-later", "copyleft", ("gpl_free", "gpl2_terms")),
+    *((license, kind, ("spdx", name)) for name, license, kind in (
+        ("name_bsd2", "BSD-2-Clause", "permissive"), ("name_gpl2", "GPL-2.0-only", "copyleft"), ("name_gpl2_later", "GPL-2.0-or-later", "copyleft"),
+        ("name_lgpl21", "LGPL-2.1-only", "copyleft"), ("name_lgpl21_later", "LGPL-2.1-or-later", "copyleft"), ("name_lgpl3", "LGPL-3.0-only", "copyleft"),
+        ("name_lgpl3_later", "LGPL-3.0-or-later", "copyleft"), ("name_agpl3", "AGPL-3.0-only", "copyleft"), ("name_agpl3_later", "AGPL-3.0-or-later", "copyleft"),
+        ("name_mpl2", "MPL-2.0", "copyleft"), ("name_isc", "ISC", "permissive"), ("name_zlib", "Zlib", "permissive"), ("name_bsl", "BSL-1.0", "permissive"),
+        ("name_epl2", "EPL-2.0", "copyleft"), ("name_unlicense", "Unlicense", "permissive"), ("name_cc0", "CC0-1.0", "permissive"),
+        ("name_cc_by", "CC-BY-4.0", "permissive"), ("name_cc_by_sa", "CC-BY-SA-4.0", "copyleft"),
+    )),
+    ("Apache-2.0", "permissive", ("apache_title", "apache_dated")),
+    ("GPL-3.0-only", "copyleft", ("gpl_title", "gpl3_dated")),
+    ("GPL-2.0-only", "copyleft", ("gpl_title", "gpl2_dated")),
+    ("LGPL-2.1-only", "copyleft", ("lgpl_title", "lgpl21_dated")),
+    ("AGPL-3.0-only", "copyleft", ("agpl_title", "agpl3_dated")),
+    ("MIT", "permissive", ("mit_title", "mit_grant", "mit_notice", "mit_as_is", "mit_liable")),
     ("MIT", "permissive", ("spdx", "name_mit")),
     ("Apache-2.0", "permissive", ("spdx", "name_apache")),
     ("GPL-3.0-only", "copyleft", ("spdx", "name_gpl3")),
@@ -166,10 +234,28 @@ def _pattern(rule: tuple[str, ...]) -> str:
     return "".join(CODES[s] for s in rule)
 
 
+def _operands(low: Column) -> Column:
+    """Lower-cased text in which each operand of an SPDX expression has a line of its own."""
+    spread = low
+    for _ in range(OPERANDS):
+        spread = F.regexp_replace(spread, rf"({_SPDX}[^\n]*?)[ ()]+(?:or|and|with)[ ()]+", f"$1\n{_SPDX} ")
+    return F.when(F.contains(low, F.lit(_SPDX)), spread).otherwise(low)
+
+
+def _filled(s: Column) -> Column:
+    """A sentence with the name in its slot left out: the sentence that the template stands for."""
+    found = s
+    for begin, rest, name in SLOTS:
+        fits = s.startswith(begin) & s.endswith(rest) & (F.length(s) > len(begin) + len(rest)) & (F.length(s) <= len(begin) + len(rest) + SLOT)
+        found = F.when(fits, F.lit(SENTENCES[name])).otherwise(found)
+    found = F.when(s == AFTER_STOP[0], F.lit(SENTENCES[AFTER_STOP[1]])).otherwise(found)
+    return F.when(s.startswith("nor the names of") | s.startswith("neither the name") | s.startswith("the name of") | s.startswith("this software is") | s.startswith("in no event"), found).otherwise(s)
+
+
 def _sequence(text: Column, ends: str) -> Column:
     """The known sentences of a text as a struct: their (position, identifier) in order, and the sequence as a text."""
-    marked = F.regexp_replace(F.translate(text, _CAPITALS, _SMALL), ends, "\x01")
-    sentences = F.filter(F.transform(F.split(F.regexp_replace(marked, r"[^a-z0-9\x01]+", " "), "\x01"), lambda s: F.trim(s)), lambda s: s != "")
+    marked = F.regexp_replace(let(F.translate(text, _CAPITALS, _SMALL), _operands), ends, "\x01")
+    sentences = F.filter(F.transform(F.split(F.regexp_replace(marked, r"[^a-z0-9\x01]+", " "), "\x01"), lambda s: _filled(F.trim(s))), lambda s: s != "")
     known = F.create_map(*(x for name, s in SENTENCES.items() for x in (F.lit(s), F.lit(CODES[name]))))
     # few sentences are long enough, so the map is asked for those that are of a known one's length
     sizes = F.array(*(F.lit(n) for n in sorted({len(s) for s in SENTENCES.values()})))
@@ -178,6 +264,22 @@ def _sequence(text: Column, ends: str) -> Column:
     return let(hits, lambda h: F.struct(h.alias("hits"), F.array_join(F.transform(h, lambda x, k: F.concat(F.when((k > 0) & (x["pos"] - F.get(h, k - 1)["pos"] > GAP + 1), ".").otherwise(""), x["code"])), "").alias("line")))
 
 
+#: Sentences that say which licence it is: next to one of them, "all rights reserved" is part of a copyright line.
+_TELLING = "".join(CODES[n] for n in SENTENCES if n not in ("reserved", "two_zero", "spdx") and not n.startswith("name_"))
+
+
+def _unreserved(line: Column) -> Column:
+    r = CODES["reserved"]
+    return F.regexp_replace(F.regexp_replace(line, f"{r}+([{_TELLING}])", "$1"), f"([{_TELLING}]){r}+", "$1")
+
+
+def _reserved(lines: Column, wrapped: Column) -> Column:
+    """How often "all rights reserved" stands alone: what the readings hold at most, less what either finds next to a licence."""
+    marks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(CODES["reserved"]), F.lit("")))
+    gone = lambda x: marks(x) - marks(_unreserved(x))
+    return F.greatest(F.lit(0), F.greatest(marks(lines), marks(wrapped)) - F.greatest(gone(lines), gone(wrapped)))
+
+
 def _counts(line: Column) -> Column:
     """How often each rule matches a sequence, in the rules' order; matched sentences are used up."""
     marks = lambda x: F.length(F.translate(x, "".join(CODES.values()) + ".", ""))
@@ -186,7 +288,7 @@ def _counts(line: Column) -> Column:
         # each match of a rule's sentences becomes one mark, so marks count matches
         return let(F.replace(acc["left"], pattern, F.lit("#")), lambda left: F.struct(left.alias("left"), F.concat(acc["n"], F.array(marks(left) - marks(acc["left"]))).alias("n")))
 
-    start = F.struct(line.alias("left"), F.array().cast("array<int>").alias("n"))
+    start = F.struct(_unreserved(line).alias("left"), F.array().cast("array<int>").alias("n"))
     return F.aggregate(F.array(*(F.lit(_pattern(rule)) for _, _, rule in RULES)), start, step, lambda acc: acc["n"])
 
 
@@ -213,7 +315,8 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     rules = F.array(*(F.struct(F.lit(a).alias("license"), F.lit(b).alias("class")) for a, b, _ in RULES))
     # most texts hold nothing: the rules run only where a sequence is
     none = (F.col("_lines.line") == "") & (F.col("_wrapped.line") == "")
-    counted = F.when(none, F.array().cast("array<int>")).otherwise(_chosen(_counts(F.col("_lines.line")), _counts(F.col("_wrapped.line"))))
+    chosen = _chosen(_counts(F.col("_lines.line")), _counts(F.col("_wrapped.line")))
+    counted = F.when(none, F.array().cast("array<int>")).otherwise(F.concat(F.slice(chosen, 1, len(RULES) - 1), F.array(_reserved(F.col("_lines.line"), F.col("_wrapped.line")))))
     rated = lambda n, i: F.struct(F.get(rules, i)["license"].alias("license"), F.get(rules, i)["class"].alias("class"), n.alias("n"))
     matches = F.filter(F.transform(counted, rated), lambda m: m["n"] > 0)
 
@@ -231,24 +334,42 @@ def query(spark, sf_dir: str) -> DataFrame:
     return scan(docs).select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), total.alias("n_matches"), F.array_join("licenses", ",").alias("licenses"), F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["class"]))), ",").alias("classes"))
 
 
+def _sql_sentences(text: str, ends: str) -> str:
+    """The sentences of a text, in SQL."""
+    low = f"translate({text}, '{_CAPITALS}', '{_SMALL}')"
+    spread = low
+    for _ in range(OPERANDS):
+        spread = f"regexp_replace({spread}, '({_SPDX}[^\\n]*?)[ ()]+(?:or|and|with)[ ()]+', '\\1\n{_SPDX} ', 'g')"
+    slots = "s"
+    for begin, rest, name in SLOTS:
+        slots = f"CASE WHEN starts_with(s, '{begin}') AND ends_with(s, '{rest}') AND length(s) > {len(begin) + len(rest)} AND length(s) <= {len(begin) + len(rest) + SLOT} THEN '{SENTENCES[name]}' ELSE {slots} END"
+    slots = f"CASE WHEN s = '{AFTER_STOP[0]}' THEN '{SENTENCES[AFTER_STOP[1]]}' ELSE {slots} END"
+    plain = f"regexp_replace(regexp_replace({spread}, '{ends}', chr(1), 'g'), '[^a-z0-9\\x01]+', ' ', 'g')"
+    return f"list_filter(list_transform(list_transform(string_split({plain}, chr(1)), lambda s: trim(s, ' ')), lambda s: {slots}), lambda s: s <> '')"
+
+
 def _sql() -> str:
     codes = "".join(CODES.values())
     known = "MAP {" + ", ".join(f"'{s}': '{CODES[n]}'" for n, s in SENTENCES.items()) + "}"
     reads, steps = [], []
+    reserved = CODES["reserved"]
+    held = lambda x: f"(length({x}) - length(replace({x}, '{reserved}', '')))"
+    near = f"regexp_replace(regexp_replace(string_agg(p, '' ORDER BY i), '{reserved}+([{_TELLING}])', '\\1', 'g'), '([{_TELLING}]){reserved}+', '\\1', 'g')"
     for name, ends in _ENDS.items():
         reads.append(
-            f"s_{name} AS (SELECT rid, list_filter(list_transform(string_split(regexp_replace(regexp_replace(translate(t, '{_CAPITALS}', '{_SMALL}'), '{ends}', chr(1), 'g'), '[^a-z0-9\\x01]+', ' ', 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '') AS ss FROM d), "
+            f"s_{name} AS (SELECT rid, {_sql_sentences('t', ends)} AS ss FROM d), "
             f"c_{name} AS (SELECT rid, i, k.code FROM (SELECT rid, unnest(ss) AS s, unnest(range(0, len(ss))) AS i FROM s_{name}) JOIN k ON k.s = s.s), ".replace("FROM (SELECT rid, unnest(ss) AS s, unnest(range(0, len(ss))) AS i FROM s_" + name + ")", f"FROM (SELECT rid, unnest(ss) AS s, unnest(range(0, len(ss))) AS i FROM s_{name}) s")
             + f"g_{name} AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) > {GAP + 1} THEN '.' ELSE '' END || code AS p FROM c_{name}), "
-            f"l_{name} AS (SELECT rid, count(*) AS n, string_agg(p, '' ORDER BY i) AS x0 FROM g_{name} GROUP BY rid)"
+            f"l_{name} AS (SELECT rid, count(*) AS n, {near} AS x0, {held("string_agg(p, '' ORDER BY i)")} AS raw, {held("string_agg(p, '' ORDER BY i)")} - {held(near)} AS gone FROM g_{name} GROUP BY rid)"
         )
     chain = lambda name: reduce(lambda sql, k: f"SELECT *, replace(x{k}, '{_pattern(RULES[k][2])}', '#') AS x{k + 1} FROM ({sql})", range(len(RULES)), f"SELECT * FROM l_{name}")
     marks = lambda k: f"length(translate(x{k + 1}, '{codes}.', '')) - length(translate(x{k}, '{codes}.', ''))"
     for name in _ENDS:
-        steps.append(f"r_{name} AS (SELECT rid, n, " + ", ".join(f"{marks(k)} AS m{k}" for k in range(len(RULES))) + f" FROM ({chain(name)}))")
+        steps.append(f"r_{name} AS (SELECT rid, n, raw, gone, " + ", ".join(f"{marks(k)} AS m{k}" for k in range(len(RULES))) + f" FROM ({chain(name)}))")
     of = lambda t, k: f"coalesce({t}.m{k}, 0)"
+    alone = "greatest(0, greatest(coalesce(a.raw, 0), coalesce(b.raw, 0)) - greatest(coalesce(a.gone, 0), coalesce(b.gone, 0)))"
     every = lambda t, k: " + ".join(of(t, j) for j in _SAME[k])
-    count = lambda k: f"CASE WHEN {every('b', k)} >= {every('a', k)} THEN {of('b', k)} ELSE {of('a', k)} END"
+    count = lambda k: f"CASE WHEN {every('b', k)} >= {every('a', k)} THEN {of('b', k)} ELSE {of('a', k)} END" if k + 1 < len(RULES) else alone
     chosen = "m AS (SELECT d.doc_id, coalesce(a.n, 0) + coalesce(b.n, 0) AS n, " + ", ".join(f"{count(k)} AS m{k}" for k in range(len(RULES)))
     chosen += " FROM d LEFT JOIN r_lines a USING (rid) LEFT JOIN r_wrapped b USING (rid))"
     pick = lambda i: "list_filter([" + ", ".join(f"CASE WHEN m{k} > 0 THEN '{r[i]}' END" for k, r in enumerate(RULES)) + "], lambda x: x IS NOT NULL)"

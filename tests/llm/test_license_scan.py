@@ -117,3 +117,52 @@ def test_one_licence_in_two_readings_counts_once(spark):
     one_line = " ".join(GRANT.split("\n\n")[0].split()) + "\n\n" + GRANT.split("\n\n")[1]
     df = spark.createDataFrame([(1, one_line), (2, " ".join(GRANT.split())), (3, wrapped)], "doc_id int, text string")
     assert {r.doc_id: [m.n for m in r.matches] for r in L.scan(df).collect()} == {1: [1], 2: [1], 3: [1]}
+
+
+BSD_BODY = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY {who} "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED. IN NO EVENT SHALL {who} BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION).
+"""
+THIRD = """3. Neither the name of {} nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+#: Written by hand: what a reader would say that a text is under.
+BY_HAND = [
+    ("Copyright (c) 1990 The Regents of the University of Somewhere.\nAll rights reserved.\n\n" + BSD_BODY.format(third=THIRD.format("the University"), who="THE REGENTS AND CONTRIBUTORS"), {"BSD-3-Clause"}),
+    ("Copyright 2011 Some Person. All rights reserved.\n" + BSD_BODY.format(third="", who="SOME PERSON"), {"BSD-2-Clause"}),
+    ("Copyright (c) 2020, Example Inc.\n\n" + BSD_BODY.format(third=THIRD.format("Example Inc."), who="THE COPYRIGHT HOLDERS AND CONTRIBUTORS"), {"BSD-3-Clause"}),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation\n", {"GPL-3.0-only"}),
+    ("  GNU LESSER GENERAL PUBLIC LICENSE\n  Version 2.1, February 1999\n", {"LGPL-2.1-only"}),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n", {"Apache-2.0"}),
+    ("# SPDX-License-Identifier: BSD-2-Clause\nimport os\n", {"BSD-2-Clause"}),
+    ("/* SPDX-License-Identifier: GPL-2.0-only */\n", {"GPL-2.0-only"}),
+    ("// SPDX-License-Identifier: MIT OR Apache-2.0\n", {"MIT", "Apache-2.0"}),
+    ("// SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR MPL-2.0\n", {"MIT", "BSD-3-Clause", "MPL-2.0"}),
+    ("# SPDX-License-Identifier: ISC\n", {"ISC"}),
+    ("MIT License\n\nCopyright (c) 2020 Foo\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n", {"MIT"}),
+    ("Copyright 2021 Big Corp. All rights reserved. Do not copy.", {"LicenseRef-all-rights-reserved"}),
+    ("All rights reserved.\n" + "Some other line.\n" * 9 + "Released under the MIT License.", {"LicenseRef-all-rights-reserved", "MIT"}),
+    ("mit or apache 2.0 were mentioned in a talk about the name of the rose", set()),
+    ("Neither the name of the wind nor the sound of rain.", set()),
+    ("in no event shall anyone be late", set()),
+]
+
+
+def test_licences_read_by_hand(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(BY_HAND)], "doc_id long, text string")
+    got = {r.doc_id: set(r.licenses) for r in L.scan(docs).collect()}
+    for i, (text, want) in enumerate(BY_HAND):
+        assert got[i] == want, text[:120]
