@@ -67,22 +67,49 @@ def vector_profile(df: DataFrame, keys: tuple[str, ...], vector: str) -> DataFra
     return base.join(sides, list(keys)).join(rms, list(keys))
 
 
-def covariance(df: DataFrame, vector: str) -> DataFrame:
-    """Population covariance (i, j, value) by partial Gram matrices: each task ships one matrix, whatever its rows."""
+#: Dimensions up to which a covariance is computed, and columns of one tile of it.
+COVARIANCE_DIMENSIONS, COVARIANCE_TILE = 512, 128
+
+
+def covariance(df: DataFrame, vector: str, most: int = COVARIANCE_DIMENSIONS, tile: int = COVARIANCE_TILE) -> DataFrame:
+    """Population covariance (i, j, value) by partial Gram matrices: each task ships one matrix, whatever its rows.
+
+    A task holds one matrix of at most ``most`` squared numbers and hands it over in tiles of columns, so no frame is
+    larger than a tile. Vectors of more than ``most`` dimensions have no covariance: the result is empty.
+    """
+
     def gram(batches):
         total, sums, n = None, None, 0
         for pdf in batches:
-            if len(pdf):
+            if len(pdf) and len(pdf["v"].iloc[0]) <= most:
                 x = np.stack(pdf["v"].to_numpy()).astype(float)
-                total, sums, n = (x.T @ x if total is None else total + x.T @ x), (x.sum(0) if sums is None else sums + x.sum(0)), n + len(x)
-        if n:
-            i, j = np.indices(total.shape)
-            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "xx": total.ravel(), "xi": sums[i.ravel()], "xj": sums[j.ravel()], "n": n})
+                if total is None:
+                    total, sums = np.zeros((x.shape[1], x.shape[1])), np.zeros(x.shape[1])
+                total += x.T @ x
+                sums += x.sum(0)
+                n += len(x)
+        for a in range(0, len(sums) if n else 0, tile):
+            for b in range(0, len(sums), tile):
+                part = total[a : a + tile, b : b + tile]
+                i, j = (x.ravel() for x in np.indices(part.shape))
+                yield pd.DataFrame({"i": i + a, "j": j + b, "xx": part.ravel(), "xi": sums[i + a], "xj": sums[j + b], "n": n})
 
     parts = df.select(F.col(vector).cast("array<double>").alias("v")).mapInPandas(gram, "i int, j int, xx double, xi double, xj double, n long")
     return parts.groupBy("i", "j").agg((F.sum("xx") / F.sum("n") - F.sum("xi") * F.sum("xj") / (F.sum("n") * F.sum("n"))).alias("value"))
 
 
+def covariance_commitment(matrix: DataFrame) -> DataFrame:
+    """One hash over the cells of a covariance, rounded to twelve digits so that the order of sums does not show; null without cells."""
+    cell = F.concat_ws("|", F.col("i").cast("string"), F.col("j").cast("string"), F.format_string("%.12e", public(F.col("value"))))
+    found = profile.commitment(matrix, (), cell)
+    return found.select(F.when(F.col("samples") > 0, F.col("commitment")).alias("commitment"), F.coalesce("samples", F.lit(0)).alias("cells"))
+
+
+def vector_digest(vector: Column) -> Column:
+    """A digest of a vector's numbers in order; null for a null vector."""
+    return F.when(vector.isNotNull(), F.sha2(F.array_join(F.transform(vector, lambda x: F.format_string("%.17g", x.cast("double"))), ","), 256))
+
+
 def _differs(small: Column, gap: Column, epsilon: float) -> Column:
     """A scale without extent over which there is a gap: no ratio can be given, and the sides differ."""
     return (small <= epsilon) & (gap > epsilon)

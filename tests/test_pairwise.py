@@ -98,3 +98,24 @@ def test_ranks_of_one_key_are_spread(spark):
     ranked = running_sum(rows, ("k",), ("x",), F.lit(1)).withColumn("_task", F.spark_partition_id())
     sizes = [r["count"] for r in ranked.groupBy("_task").count().collect()]
     assert ranked.agg(F.max("running")).first()[0] == 40_000 and len(sizes) >= 4 and max(sizes) < 20_000
+
+
+def test_wide_covariance_in_tiles(spark):
+    ship(spark)
+    x = np.random.default_rng(4).normal(size=(40, 300))
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").repartition(3)
+    got = np.zeros((300, 300))
+    for r in vectors.covariance(df, "v").collect():
+        got[r.i, r.j] = r.value
+    assert np.allclose(got, np.cov(x, rowvar=False, ddof=0))
+    assert vectors.covariance(df, "v", most=299).count() == 0
+    one, two = (vectors.covariance_commitment(vectors.covariance(d, "v", tile=t)).first() for d, t in ((df, 128), (df.repartition(1), 64)))
+    assert one.cells == 300 * 300 and one.commitment == two.commitment
+    none = vectors.covariance_commitment(vectors.covariance(df, "v", most=2)).first()
+    assert (none.commitment, none.cells) == (None, 0)
+
+
+def test_vector_digests(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [2.0, 1.0]), (4, None)], "id long, v array<double>")
+    d = {r.id: r.d for r in df.select("id", vectors.vector_digest(F.col("v")).alias("d")).collect()}
+    assert d[1] == d[2] != d[3] and d[4] is None
