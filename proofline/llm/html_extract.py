@@ -353,38 +353,65 @@ def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[
     """Which nodes stay on the content side of the cheapest cut.
 
     A node with positive odds is tied to the content terminal with that capacity, one with negative odds to the other;
-    edges hold both ways. Flow is pushed along shortest augmenting paths until none is left.
+    edges hold both ways. Flow is pushed along all shortest augmenting paths of one length together, then of the next.
     """
     n = len(odds)
     source, sink = n, n + 1
-    flow: list[dict[int, float]] = [{} for _ in range(n + 2)]
+    ends: list[int] = []  # of arc e; arc e ^ 1 goes back
+    room: list[float] = []
+    arcs: list[list[int]] = [[] for _ in range(n + 2)]
+
+    def arc(x: int, y: int, there: float, back: float) -> None:
+        arcs[x].append(len(ends))
+        arcs[y].append(len(ends) + 1)
+        ends.extend((y, x))
+        room.extend((there, back))
+
     for i, w in enumerate(odds):
         if w > 0:
-            flow[source][i], flow[i][source] = w, 0.0
+            arc(source, i, w, 0.0)
         elif w < 0:
-            flow[i][sink], flow[sink][i] = -w, 0.0
-    for a, b, w in edges:
-        flow[a][b] = flow[a].get(b, 0.0) + w
-        flow[b][a] = flow[b].get(a, 0.0) + w
+            arc(i, sink, -w, 0.0)
+    for x, y, w in edges:
+        arc(x, y, w, w)
     while True:
-        back = {source: source}
+        # distances from the source; without a way to the sink, what is reached is the content side
+        level = [-1] * (n + 2)
+        level[source] = 0
         queue = deque((source,))
-        while queue and sink not in back:
-            a = queue.popleft()
-            for b, w in flow[a].items():
-                if w > 1e-9 and b not in back:
-                    back[b] = a
-                    queue.append(b)
-        if sink not in back:
-            return [i in back for i in range(n)]
-        path, b = [], sink
-        while b != source:
-            path.append((back[b], b))
-            b = back[b]
-        least = min(flow[a][b] for a, b in path)
-        for a, b in path:
-            flow[a][b] -= least
-            flow[b][a] += least
+        while queue:
+            x = queue.popleft()
+            for e in arcs[x]:
+                if room[e] > 1e-9 and level[ends[e]] < 0:
+                    level[ends[e]] = level[x] + 1
+                    queue.append(ends[e])
+        if level[sink] < 0:
+            return [level[i] >= 0 for i in range(n)]
+        # all shortest ways at once: an arc that leads nowhere is not looked at again
+        looked, way, at = [0] * (n + 2), [], source
+        while True:
+            if at == sink:
+                least = min(room[e] for e in way)
+                for e in way:
+                    room[e] -= least
+                    room[e ^ 1] += least
+                full = next(k for k, e in enumerate(way) if room[e] <= 1e-9)
+                at = ends[way[full] ^ 1]
+                del way[full:]
+            further = arcs[at]
+            while looked[at] < len(further):
+                e = further[looked[at]]
+                if room[e] > 1e-9 and level[ends[e]] == level[at] + 1:
+                    break
+                looked[at] += 1
+            if looked[at] < len(further):
+                way.append(e)
+                at = ends[e]
+            elif at == source:
+                break
+            else:
+                at = ends[way.pop() ^ 1]
+                looked[at] += 1
 
 
 def labelled(found: list[Block]) -> list[bool]:

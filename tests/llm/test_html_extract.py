@@ -97,3 +97,25 @@ def test_frame(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, TEXT string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in H.extract(df).collect()) == [(1, "x y", 3), (1, "x y", 3), (2, "", 0)]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_cut_of_long_pages_is_near_linear():
+    """Four times the blocks take about four times the time, and the cut is the cheapest one."""
+
+    rng = random.Random(3)
+    for _ in range(60):
+        n = rng.randint(1, 9)
+        odds = [round(rng.gauss(0, 2), 2) for _ in range(n)]
+        edges = [(a, b, round(rng.random() * 2, 2)) for a, b in itertools.combinations(range(n), 2) if rng.random() < 0.4]
+        price = lambda side: sum(-min(w, 0) if kept else max(w, 0) for w, kept in zip(odds, side)) + sum(w for a, b, w in edges if side[a] != side[b])  # noqa: E731, B023
+        least = min(price(side) for side in itertools.product((False, True), repeat=n))
+        assert abs(price(H.minimum_cut(odds, edges)) - least) < 1e-6
+
+    def seconds(blocks: int) -> float:
+        page = "<html><body>" + "".join(f"<div class='c{i % 7}'><p>{'word ' * rng.randint(1, 9)}</p><a href=x>{'l ' * rng.randint(1, 4)}</a></div>" for i in range(blocks)) + "</body></html>"
+        began = time.perf_counter()
+        H.main_text(page)
+        return time.perf_counter() - began
+
+    short, long = min(seconds(1500) for _ in range(3)), min(seconds(6000) for _ in range(3))
+    assert long < 12 * short, (short, long)
