@@ -135,7 +135,8 @@ def fit(matrix: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Model:
 def vote(model: Model, matrix: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
     """Similarity-weighted share of label 1 among each row's nearest labelled vectors.
 
-    Where several are as near as the last one that votes, which of them votes is left open.
+    Similarities count to five decimals, and where several are as near as the last one that votes, all of them vote: so
+    neither the order of the labelled rows nor the batch that a row is in shows in a score.
     """
     out = np.full(len(matrix), model.prior)
     k = min(k, len(model.labels))
@@ -143,11 +144,16 @@ def vote(model: Model, matrix: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
         return out
     query = _unit(matrix @ model.projection)
     known = np.flatnonzero(query.any(axis=1))
-    likeness = query[known] @ model.vectors.T
+    likeness = np.round(query[known] @ model.vectors.T, 5)
     near = np.argpartition(-likeness, k - 1, axis=1)[:, :k]
     weight = np.maximum(np.take_along_axis(likeness, near, axis=1), 0).astype(np.float64) ** 4
     total = weight.sum(axis=1)
     share = (weight * model.labels[near]).sum(axis=1)
+    last = np.take_along_axis(likeness, near, axis=1).min(axis=1)
+    for i in np.flatnonzero((likeness >= last[:, None]).sum(axis=1) > k):
+        voters = np.flatnonzero(likeness[i] >= last[i])
+        all_weights = np.maximum(likeness[i, voters], 0).astype(np.float64) ** 4
+        total[i], share[i] = all_weights.sum(), (all_weights * model.labels[voters]).sum()
     out[known] = np.where(total > 0, share / np.where(total > 0, total, 1), model.prior)
     return np.clip(out, 0.0, 1.0)
 

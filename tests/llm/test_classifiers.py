@@ -135,3 +135,19 @@ def test_scan_is_linear():
     for unit in ([1, -2], [1, -0.5], [3, -1, -1, 1, -4]):
         short, long = (min(seconds([float(x) for x in unit] * n) for _ in range(3)) for n in (20_000, 80_000))
         assert long < 12 * short, (unit, short, long)
+
+
+def test_ties_all_vote():
+    """Equal labelled vectors with different labels: the score is the same in any order and any batch."""
+    rng = np.random.default_rng(2)
+    width = 8
+    vectors = np.repeat(neighbour_quality._unit(rng.normal(size=(6, width)).astype(np.float32)), 20, axis=0)
+    labels = np.tile([1.0, 0.0, 0.0, 0.0], 30).astype(np.float32)
+    asked = rng.normal(size=(50, width)).astype(np.float32)
+    scores = []
+    for order in (np.arange(120), rng.permutation(120)):
+        model = neighbour_quality.Model(np.eye(width, dtype=np.float32), vectors[order], labels[order], 0.5)
+        scores.append(neighbour_quality.vote(model, asked, 10))
+        scores.append(np.concatenate([neighbour_quality.vote(model, asked[i : i + 1], 10) for i in range(50)]))
+    # a row without a like neighbour has the share of label 1 as its score
+    assert all(np.allclose(scores[0], s) for s in scores[1:]) and set(np.round(scores[0], 6).tolist()) == {0.25, 0.5}
