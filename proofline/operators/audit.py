@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import json
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,38 +28,48 @@ def record_hash() -> Column:
     return F.sha2(canonical(**{f: F.col(f) for f in _FIELDS}), 256)
 
 
+def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole chains in order, with ``_first``, ``_head`` and ``_tail``: links and hashes in place of those three."""
+    before = ""
+    for batch in batches:
+        links, hashes = [], []
+        start, first, head, tail = (batch.column(c).to_pylist() for c in ("previous_hash", "_first", "_head", "_tail"))
+        for i in range(batch.num_rows):
+            before = start[i] if first[i] else before
+            links.append(before)
+            before = hashlib.sha256((head[i] + before + tail[i]).encode()).hexdigest()
+            hashes.append(before)
+        kept = [c for c in batch.schema.names if c not in ("previous_hash", "_first", "_head", "_tail")]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(links, pa.string()), pa.array(hashes, pa.string())], [*kept, "previous_hash", "current_hash"])
+
+
 def build(events: DataFrame, chain: str, order: tuple[str, ...], after: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Audit records of events: ids, sequence and hashes, each over the one before.
 
     ``events`` has chain, order columns, event_type, asset_type, asset_id, payload_json and ts. A hash chain is
-    sequential by nature, so a chain is one ordered fold; chains are independent of each other. Numbers, texts and
-    times are prepared as columns; the fold only hashes. Chains continue after the ``heads`` given in ``after``, and
-    the columns in ``keep`` are carried along.
+    sequential by nature, chains are independent of each other: rows come sorted by chain and order and pass one by one,
+    so a task holds a batch of rows and the hash before it, however many chains there are and however long one is. The
+    canonical text around that hash is prepared as columns; the fold only hashes. Chains continue after the ``heads``
+    given in ``after``, and the columns in ``keep`` are carried along.
     """
-    rank = Window.partitionBy(chain).orderBy(*order)
+    by = tuple(f"_o{i}" for i in range(len(order)))
     fields = ("event_type", "asset_type", "asset_id", "payload_json", *keep)
-    rows = events.select(F.col(chain).alias("chain"), *fields, F.row_number().over(rank).cast("long").alias("_rank"), utc_text(F.col("ts")).alias("timestamp"))
+    rows = events.select(F.col(chain).alias("chain"), *fields, *(F.col(o).alias(i) for o, i in zip(order, by)), utc_text(F.col("ts")).alias("timestamp"))
     if after is None:
         rows = rows.withColumn("_start", F.lit(0)).withColumn("previous_hash", F.lit(GENESIS))
     else:
         rows = rows.join(after.select("chain", F.col("audit_sequence").alias("_start"), F.col("record_hash").alias("previous_hash")), "chain", "left")
         rows = rows.fillna({"_start": 0, "previous_hash": GENESIS})
+    # the sort is the window's own, so Spark leaves it out; it states what the fold relies on
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("chain").orderBy(*by))).sortWithinPartitions("chain", *by)
     sequence = (F.col("_rank") + F.col("_start")).cast("long")
-    rows = rows.select("chain", *fields, sequence.alias("sequence"), "timestamp", "previous_hash").withColumn("audit_id", F.format_string("AUD-%08d", "sequence"))
-    rows = rows.select("chain", *fields, "sequence", "timestamp", "audit_id", "previous_hash")
-    schema = T.StructType([*rows.schema.fields, T.StructField("current_hash", T.StringType())])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sequence")
-        before, links, hashes = pdf["previous_hash"].iloc[0], [], []
-        for row in pdf[[f for f in _FIELDS if f != "previous_hash"]].to_dict("records"):
-            row["previous_hash"] = before
-            links.append(before)
-            before = hashlib.sha256(json.dumps(row, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
-            hashes.append(before)
-        return pdf.assign(previous_hash=links, current_hash=hashes)
-
-    return rows.groupBy("chain").applyInPandas(fold, schema)
+    rows = ranked.select("chain", *fields, sequence.alias("sequence"), "timestamp", "previous_hash", (F.col("_rank") == 1).alias("_first")).withColumn("audit_id", F.format_string("AUD-%08d", "sequence"))
+    ahead, behind = (canonical(**{f: F.col(f) for f in _FIELDS if f != "previous_hash" and (f < "previous_hash") == side}) for side in (True, False))
+    head = F.concat(F.expr("substring(_head, 1, length(_head) - 1)"), F.lit(',"previous_hash":"'))
+    rows = rows.withColumns({"_head": ahead, "_tail": F.concat(F.lit('",'), F.substring(behind, 2, 1 << 30))}).withColumn("_head", head)
+    rows = rows.select("chain", *fields, "sequence", "timestamp", "audit_id", "previous_hash", "_first", "_head", "_tail")
+    text = T.StructType([T.StructField(c, T.StringType()) for c in ("previous_hash", "current_hash")])
+    return rows.mapInArrow(_hashed, T.StructType([*rows.drop("previous_hash", "_first", "_head", "_tail").schema.fields, *text.fields]))
 
 
 def verify(log: DataFrame) -> DataFrame:
@@ -142,8 +152,8 @@ def verify_checkpoints(points: DataFrame, log: DataFrame) -> DataFrame:
     return joined.select("chain", "audit_sequence", status.alias("status"))
 
 
-def drainable(outbox: DataFrame) -> DataFrame:
-    """Pending intents in order of creation, with the first thing that forbids delivery, or null.
+def judged(outbox: DataFrame) -> DataFrame:
+    """Pending intents with ``problem``, the first thing that forbids delivery, or null.
 
     Where the outbox has event_type, asset_type and asset_id, the body has to name the same ones.
     """
@@ -151,7 +161,12 @@ def drainable(outbox: DataFrame) -> DataFrame:
     for c in ("event_type", "asset_type", "asset_id"):
         if c in outbox.columns:
             problem = problem.when(~F.get_json_object("payload_json", f"$.{c}").eqNullSafe(F.col(c)), "BODY_MISMATCH")
-    return outbox.where("status = 'PENDING'").withColumn("problem", problem).orderBy("created_at", "event_key")
+    return outbox.where("status = 'PENDING'").withColumn("problem", problem)
+
+
+def drainable(outbox: DataFrame) -> DataFrame:
+    """The same in order of creation."""
+    return judged(outbox).orderBy("created_at", "event_key")
 
 
 def drain(outbox: DataFrame, log: DataFrame, delivered: DataFrame, chain: str = "chain") -> DataFrame:
@@ -161,7 +176,7 @@ def drain(outbox: DataFrame, log: DataFrame, delivered: DataFrame, chain: str =
     Those whose key ``delivered`` names are left out, so a drain that is run again delivers nothing twice.
     """
     before = Window.partitionBy(chain).orderBy("created_at", "event_key").rowsBetween(Window.unboundedPreceding, 0)
-    waiting = drainable(outbox.join(delivered.select("event_key"), "event_key", "left_anti"))
+    waiting = judged(outbox.join(delivered.select("event_key"), "event_key", "left_anti"))
     free = waiting.withColumn("_held", F.count("problem").over(before)).where(F.col("_held") == 0)
     body = free.withColumn("payload_json", F.coalesce(F.get_json_object("payload_json", "$.payload"), F.lit("null")))
     return build(body, chain, ("created_at", "event_key"), heads(log), ("event_key",))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from proofline.operators import audit, dataset_scan, models, registry, relational
 from proofline.plans import assurance, runs
 from proofline.plans.derived import commitment_sql
-from proofline.session import table
+from proofline.session import cut, table
 from proofline.streaming import acceptance
 
 
@@ -67,7 +67,7 @@ def attack_findings(spark, sf_dir):
 
 
 def checkpoint_refusals(spark, sf_dir):
-    log = assurance._log(spark, sf_dir)
+    log = cut(assurance._log(spark, sf_dir), "log")
     pending = table(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.concat(F.lit("u"), F.col("n_nationkey").cast("string")).alias("chain"))
     latest = audit.heads(log).where("chain LIKE '%2' OR chain LIKE '%5'").select("chain", "record_hash")
     return audit.checkpoint_refusals(log, pending, latest).select("chain", "audit_sequence", F.coalesce("reason", F.lit("-")).alias("reason"))

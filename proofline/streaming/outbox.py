@@ -88,7 +88,7 @@ def deliver(store: Store, rows: DataFrame, batch: int, before_marker: Callable[[
     # an intent that can be delivered replaces a held one of its key that cannot
     first = Window.partitionBy("event_key").orderBy(sound.desc(), "_turn", "created_at", "payload_hash")
     once = waiting.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_turn")
-    judged = audit.drainable(once.withColumn("status", F.lit("PENDING"))).drop("status")
+    judged = audit.judged(once.withColumn("status", F.lit("PENDING"))).drop("status")
     held_from = Window.partitionBy("chain").orderBy("created_at", "event_key").rowsBetween(Window.unboundedPreceding, 0)
     turned = judged.withColumn("_held", F.count("problem").over(held_from) > 0).drop("problem")
     store.write(turned, "judged", batch)

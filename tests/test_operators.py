@@ -427,3 +427,21 @@ def test_behaviour_reports_without_common_support(spark):
     assert (got["c"].status, got["c"].state, got["c"].codes, got["c"].limitations) == ("PARTIAL", "UNAVAILABLE", ["NEW_OUTPUT_NONFINITE"], ["BEHAVIORAL_EVIDENCE_PARTIAL"])
     capped = {r.model_id: r.limitations for r in models.behaviour_report(reports, deltas, issue(), issue(), most=1).collect()}
     assert capped["a"] == ["BEHAVIORAL_EVIDENCE_PARTIAL", "BEHAVIOR_TRIGGER_DELTAS_TRUNCATED"]
+
+
+def test_chains_are_folded_row_by_row(spark):
+    """A task holds a batch of a chain's rows, and many chains are one pass: no group is handed over whole."""
+    n = 30_000
+    plain = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit("long")).otherwise(F.concat(F.lit("c"), (F.col("id") % 5000).cast("string"))).alias("chain"), F.lit("E").alias("event_type"), F.lit("t").alias("asset_type"), F.col("id").cast("string").alias("asset_id"), F.lit('{"k":"é\\""}').alias("payload_json"), F.timestamp_seconds("id").alias("ts"), "id")
+    log = audit.build(plain, "chain", ("ts",), keep=("id",))
+    kinds = log._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in kinds and "FlatMapGroups" not in kinds
+    assert log.where("chain = 'long'").count() == n // 3
+    assert {(r.status, r.first_broken) for r in audit.verify(log).collect()} == {("VALID", None)}
+    before, rows = audit.GENESIS, log.where("chain = 'c7'").orderBy("sequence").collect()
+    for i, r in enumerate(rows, 1):
+        record = {f: r[f] for f in ("asset_id", "asset_type", "audit_id", "event_type", "payload_json", "sequence", "timestamp")} | {"previous_hash": before}
+        before = hashlib.sha256(json.dumps(record, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+        assert (r.sequence, r.current_hash) == (i, before)
+    more = audit.build(plain.where("id < 9"), "chain", ("ts",), audit.heads(log), ("id",))
+    assert {(r.status, r.first_broken) for r in audit.verify(log.unionByName(more)).collect()} == {("VALID", None)}
