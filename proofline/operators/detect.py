@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from itertools import combinations
 from math import comb
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from proofline.functions.columns import bounded_list, dot, finding_id, hamming, norm
 from proofline.functions.policies import RISK_WEIGHT, OutlierPolicy
 from proofline.operators.quantiles import with_quantiles
+from proofline.session import cut
 
 DATASET = "dataset_integrity"
 
@@ -72,10 +74,12 @@ def near_candidates(df: DataFrame, key: str, signature: str, threshold: int, blo
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     choices = [(signed(sum(masks[i] for i in c)), sum(1 << i for i in c), (1 << c[-1] + 1) - 1) for c in combinations(range(blocks), blocks - threshold)]
     rows = df.select(F.col(key).alias("k"), F.col(signature).alias("s")).where("s IS NOT NULL")
-    spread = rows.withColumn("c", F.explode(F.array(*(F.struct(*(F.lit(x).cast("long").alias(n) for x, n in zip(c, ("mask", "chosen", "through")))) for c in choices))))
+    # one literal, however many choices there are: as expressions they would fill the driver with plans
+    listed = F.from_json(F.lit(json.dumps([dict(zip(("mask", "chosen", "through"), c)) for c in choices])), "array<struct<mask:long,chosen:long,through:long>>")
+    spread = rows.withColumn("c", F.explode(listed))
     keyed = spread.select("k", "s", "c.chosen", "c.through", F.col("s").bitwiseAND(F.col("c.mask")).alias("v"))
     one, two = keyed.selectExpr("k AS a", "s AS sa", "chosen", "through", "v"), keyed.selectExpr("k AS b", "s AS sb", "chosen", "v")
-    return one.join(two, ["chosen", "v"]).where("a < b").select("a", "sa", "b", "sb", "chosen", "through")
+    return one.join(two.hint("merge"), ["chosen", "v"]).where("a < b").select("a", "sa", "b", "sb", "chosen", "through")
 
 
 def near_pairs(df: DataFrame, key: str, signature: str, threshold: int = 10, blocks: int | None = None) -> DataFrame:
@@ -86,7 +90,9 @@ def near_pairs(df: DataFrame, key: str, signature: str, threshold: int = 10, blo
     make keys longer and choices more; their number grows with the signatures (``block_count``), which keeps the
     candidates of a signature about level. Each pair is kept once, in the choice of the first blocks that agree.
     """
-    blocks = blocks or block_count(df.where(F.col(signature).isNotNull()).count(), threshold)
+    # counted and read by both sides: signatures are computed once
+    df = cut(df.select(key, signature).where(F.col(signature).isNotNull()), "signatures")
+    blocks = blocks or block_count(df.count(), threshold)
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     apart = F.col("sa").bitwiseXOR(F.col("sb"))
     agree = reduce(lambda x, y: x + y, (F.when(F.shiftrightunsigned(apart, edges[i]).bitwiseAND(F.lit((1 << edges[i + 1] - edges[i]) - 1).cast("long")) == 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(blocks)))
@@ -97,7 +103,9 @@ def near_pairs(df: DataFrame, key: str, signature: str, threshold: int = 10, blo
 def near_classes(df: DataFrame, key: str, signature: str) -> DataFrame:
     """Each row's class: (key, representative, s), where rows of one signature are a class named by its smallest key."""
     rows = df.select(F.col(key).alias("key"), F.col(signature).alias("s")).where("s IS NOT NULL")
-    return rows.join(rows.groupBy("s").agg(F.min("key").alias("representative")), "s").select("key", "representative", "s")
+    rows = cut(rows, "signed")
+    # a row for each signature: too many for the driver to send around
+    return rows.join(rows.groupBy("s").agg(F.min("key").alias("representative")).hint("merge"), "s").select("key", "representative", "s")
 
 
 def near_class_pairs(classes: DataFrame, threshold: int = 10, blocks: int | None = None) -> DataFrame:

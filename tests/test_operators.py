@@ -445,3 +445,12 @@ def test_chains_are_folded_row_by_row(spark):
         assert (r.sequence, r.current_hash) == (i, before)
     more = audit.build(plain.where("id < 9"), "chain", ("ts",), audit.heads(log), ("id",))
     assert {(r.status, r.first_broken) for r in audit.verify(log.unionByName(more)).collect()} == {("VALID", None)}
+
+
+def test_choices_of_blocks_are_one_literal(spark):
+    """The plan of a near join does not grow with the number of choices, and nothing is broadcast."""
+    df = spark.range(50).select(F.col("id").alias("k"), F.xxhash64("id").alias("s"))
+    plans = [detect.near_candidates(df, "k", "s", 10, blocks)._jdf.queryExecution().analyzed().toString() for blocks in (11, 14)]
+    assert all(p.count("named_struct") == 0 and p.count("struct(mask") == 0 for p in plans)
+    classes = detect.near_classes(df, "k", "s")
+    assert "BroadcastHashJoin" not in classes._jdf.queryExecution().executedPlan().toString()
