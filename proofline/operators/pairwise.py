@@ -1,9 +1,10 @@
 """Metrics over all pairs of two windows of vectors, in tiles: kernel two-sample statistics and nearest neighbours.
 
-Rows (``role``: REFERENCE or CURRENT, an id, a vector) are dealt into groups of about ``TILE`` rows by a hash of their
-id. A tile is a pair of groups, and one task multiplies one tile at a time in NumPy, so a task holds two groups however
-large the windows are; what leaves a tile is a sum, a histogram or a minimum for each row. All pairs are work with the
-square of the rows by definition; nothing else grows so.
+Rows (``role``: REFERENCE or CURRENT, an id, a vector) are dealt into groups by a hash of their id: ``GROUPS`` at most,
+until one would hold more than ``PART`` rows. So a row is sent to as many places as there are groups, whatever the number
+of rows. A tile is a pair of groups, and one task multiplies one tile at a time in NumPy, in blocks of ``TILE`` rows by
+``TILE``, so a task holds two groups and one block however large the windows are; what leaves a tile is a sum, a histogram
+or a minimum for each row. All pairs are work with the square of the rows by definition; nothing else grows so.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from proofline.operators.quantiles import with_quantiles
 from proofline.operators.relational import running_sum
 from proofline.session import cut
 
-#: Rows of a group, slots of a histogram of distances, and values that are put in order after it.
+#: Rows of a block, slots of a histogram of distances, and values that are put in order after it.
 TILE, SLOTS, ORDERED = 2048, 1 << 16, 1 << 20
-#: Reference rows that stand for cells of the nearest-neighbour search.
-PIVOTS = 64
+#: Groups that rows are dealt into, and the most rows of one, which goes first.
+GROUPS, PART = 16, 1 << 16
+#: Reference rows that stand for cells of the nearest-neighbour search, and regions of cells that rows are sent to.
+PIVOTS, REGIONS = 64, 16
 ROLES = ("REFERENCE", "CURRENT")
 
 
@@ -41,23 +44,43 @@ def _plain(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select("role", F.col(key).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
 
-def tiles(rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str, tile: int = TILE) -> DataFrame:
-    """``work`` (squared distances, roles of both sides as 0 and 1) on every tile.
+def _summed(tables: list[pa.Table], by: str | None) -> pa.Table:
+    """Tables of one schema as one; with ``by``, a row for each of its values with the sums of the other columns."""
+    whole = pa.concat_tables(tables)
+    if by is None:
+        return whole
+    others = [c for c in whole.column_names if c != by]
+    found = whole.group_by(by).aggregate([(c, "sum") for c in others])
+    return pa.table({c: found[c if c == by else f"{c}_sum"] for c in whole.column_names})
 
-    A pair of different rows is in one tile, once; distances of a row to itself and the mirrored half of a tile of one
-    group with itself are NaN.
+
+def tiles(rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str, tile: int = TILE, by: str | None = None) -> DataFrame:
+    """``work`` (squared distances, roles of both sides as 0 and 1) on every block of at most ``tile`` rows by ``tile``.
+
+    A pair of different rows is in one block, once; distances of a row to itself and the mirrored half of a block of rows
+    with themselves are NaN. With ``by``, what the blocks of a tile give is summed by that column before it leaves.
     """
-    groups = max(1, math.ceil(rows.count() / tile))
+    n = rows.count()
+    groups = max(1, min(math.ceil(n / tile), GROUPS), math.ceil(n / PART))
     dealt = rows.withColumn("_g", F.pmod(F.xxhash64("role", "id"), F.lit(groups)).cast("int"))
     one = dealt.withColumn("b", F.explode(F.sequence("_g", F.lit(groups - 1)))).select(F.col("_g").alias("a"), "b", "role", "id", "v")
     two = dealt.withColumn("a", F.explode(F.sequence(F.lit(0), "_g"))).select("a", F.col("_g").alias("b"), F.col("role").alias("role2"), F.col("id").alias("id2"), F.col("v").alias("v2"))
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.sort_by([("role", "ascending"), ("id", "ascending")]), right.sort_by([("role2", "ascending"), ("id2", "ascending")])
-        d = squared(_matrix(left, "v"), _matrix(right, "v2")) if len(left) and len(right) else np.zeros((len(left), len(right)))
-        if key[0].as_py() == key[1].as_py():
-            d[np.tril_indices(len(d))] = np.nan
-        return work(d, *(np.array([r == ROLES[1] for r in side.to_pylist()], dtype=np.int64) for side in (left["role"], right["role2"])))
+        x, y = _matrix(left, "v"), _matrix(right, "v2")
+        a, b = (np.array([r == ROLES[1] for r in side.to_pylist()], dtype=np.int64) for side in (left["role"], right["role2"]))
+        same = key[0].as_py() == key[1].as_py()
+        found = [work(np.zeros((0, 0)), a[:0], b[:0])]
+        for i in range(0, len(x), tile):
+            for j in range(i if same else 0, len(y), tile):
+                d = squared(x[i : i + tile], y[j : j + tile])
+                if same and i == j:
+                    d[np.tril_indices(len(d))] = np.nan
+                found.append(work(d, a[i : i + tile], b[j : j + tile]))
+                if by is not None and sum(map(len, found)) > 1 << 20:
+                    found = [_summed(found, by)]
+        return _summed(found, by)
 
     return one.groupBy("a", "b").cogroup(two.groupBy("a", "b")).applyInArrow(run, schema)
 
@@ -103,10 +126,11 @@ def median_distance(rows: DataFrame, tile: int = TILE, ordered: int = ORDERED) -
         level = _Level(low, high)
 
         def counted(d: np.ndarray, a: np.ndarray, b: np.ndarray, done=tuple(levels), level=level) -> pa.Table:
-            found, n = np.unique(level.slots(_open(d, done)), return_counts=True)
-            return pa.table({"slot": pa.array(found, pa.int32()), "n": pa.array(n, pa.int64())})
+            n = np.bincount(level.slots(_open(d, done)), minlength=SLOTS)
+            found = np.flatnonzero(n)
+            return pa.table({"slot": pa.array(found, pa.int32()), "n": pa.array(n[found], pa.int64())})
 
-        counts = {r.slot: r.n for r in tiles(rows, counted, "slot int, n long", tile).groupBy("slot").agg(F.sum("n").alias("n")).collect()}
+        counts = {r.slot: r.n for r in tiles(rows, counted, "slot int, n long", tile, "slot").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
         total = sum(counts.values()) if total is None else total
         if not total:
             return None
@@ -130,7 +154,7 @@ def median_distance(rows: DataFrame, tile: int = TILE, ordered: int = ORDERED) -
         found, n = np.unique(_open(d, levels), return_counts=True)
         return pa.table({"d": pa.array(found, pa.float64()), "n": pa.array(n, pa.int64())})
 
-    values = tiles(rows, left, "d double, n long", tile).groupBy("d").agg(F.sum("n").alias("n"))
+    values = tiles(rows, left, "d double, n long", tile, "d").groupBy("d").agg(F.sum("n").alias("n"))
     placed = running_sum(values, (), ("d",), F.col("n")).withColumn("_end", F.col("running") + below)
     at = lambda r: F.max(F.when((F.col("_end") - F.col("n") <= r) & (F.col("_end") > r), F.col("d")))
     a, b = placed.agg(at(ranks[0]), at(ranks[1])).first()
@@ -152,41 +176,58 @@ def kernel_sums(rows: DataFrame, bandwidth: float, tile: int = TILE) -> DataFram
         return pa.table({"pair": [p for p, _, _ in out], "k": [k for _, k, _ in out], "n": pa.array([n for _, _, n in out], pa.int64())})
 
     own = rows.groupBy("role").agg(F.count("*").alias("n")).select(F.when(F.col("role") == ROLES[0], "RR").otherwise("CC").alias("pair"), F.col("n").cast("double").alias("k"), "n")
-    return tiles(rows, sums, "pair string, k double, n long", tile).union(own).groupBy("pair").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+    return tiles(rows, sums, "pair string, k double, n long", tile, "pair").union(own).groupBy("pair").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
 
 
 # ---------------------------------------------------------------- nearest reference rows
 
 
-def _compare(asked: DataFrame, members: DataFrame, tile: int) -> DataFrame:
-    """(role, id, d, compared): the nearest member of the same cell for each asked row, itself left out, tile by tile."""
-    parts = lambda side: {r["cell"]: math.ceil(r["count"] / tile) for r in side.groupBy("cell").count().collect()}
+def _compare(asked: DataFrame, members: DataFrame, tile: int, allowed: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(role, id, d, compared): for each asked row of a region the nearest member of the region's cells that are ``allowed``.
+
+    ``asked`` is (region, role, id, v, cell, bound), ``members`` (region, cell, id, v); ``allowed`` takes vectors, cells and
+    bounds of asked rows and gives, for each row and cell, whether to look there. A reference row leaves itself out.
+    """
+    parts = lambda side: {r["region"]: math.ceil(r["count"] / PART) for r in side.groupBy("region").count().collect()}
     n_asked, n_members = parts(asked), parts(members)  # at most PIVOTS entries each
-    cells = sorted(set(n_asked) & set(n_members))
-    if not cells:
+    regions = sorted(set(n_asked) & set(n_members))
+    if not regions:
         return asked.select("role", "id", F.lit(None).cast("double").alias("d"), F.lit(0).cast("long").alias("compared")).limit(0)
-    of = lambda n: F.element_at(F.create_map(*(F.lit(x) for c in cells for x in (c, n[c]))), F.col("cell"))
+    of = lambda n: F.element_at(F.create_map(*(F.lit(x) for c in regions for x in (c, n[c]))), F.col("region"))
     part = lambda n: F.pmod(F.xxhash64("id"), of(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), of(n) - 1))
-    left = asked.where(F.col("cell").isin(cells)).select("cell", "role", "id", "v", part(n_asked).alias("p")).select("*", every(n_members).alias("q"))
-    right = members.where(F.col("cell").isin(cells)).select("cell", F.col("id").alias("id2"), F.col("v").alias("v2"), part(n_members).alias("q"))
+    left = asked.where(F.col("region").isin(regions)).select("region", "role", "id", "v", "cell", "bound", part(n_asked).alias("p")).select("*", every(n_members).alias("q"))
+    right = members.where(F.col("region").isin(regions)).select("region", F.col("cell").alias("cell2"), F.col("id").alias("id2"), F.col("v").alias("v2"), part(n_members).alias("q"))
     right = right.select("*", every(n_asked).alias("p"))
 
     def run(_, a: pa.Table, b: pa.Table) -> pa.Table:
-        x, y = _matrix(a, "v"), _matrix(b, "v2")
+        b = b.sort_by("cell2")
+        x, y, cells = _matrix(a, "v"), _matrix(b, "v2"), b["cell2"].to_numpy()
         if not len(x) or not len(y):
             return pa.table({"role": pa.array([], pa.string()), "id": pa.array([], pa.string()), "d": pa.array([], pa.float64()), "compared": pa.array([], pa.int64())})
-        d = squared(x, y)
-        roles, ids, others = a["role"].to_pylist(), a["id"].to_pylist(), {i: k for k, i in enumerate(b["id2"].to_pylist())}
-        for i, (role, name) in enumerate(zip(roles, ids)):
-            if role == ROLES[0] and name in others:
-                d[i, others[name]] = np.inf
-        best = d.argmin(1)
-        least = np.where(np.isinf(d[np.arange(len(d)), best]), np.inf, np.sqrt(((x - y[best]) ** 2).sum(1)))
-        return pa.table({"role": a["role"], "id": a["id"], "d": pa.array(least), "compared": pa.array(np.full(len(x), len(y)), pa.int64())})
-
-    place = ("cell", "p", "q")
-    found = left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(run, "role string, id string, d double, compared long")
+        place = {name: k for k, name in enumerate(b["id2"].to_pylist())}
+        own = np.array([place.get(name, -1) if role == ROLES[0] else -1 for role, name in zip(a["role"].to_pylist(), a["id"].to_pylist())])
+        least, compared = np.full(len(x), np.inf), np.zeros(len(x), dtype=np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])).tolist()
+        blocks = [(cells[lo], at, min(at + tile, hi)) for lo, hi in zip(starts, [*starts[1:], len(cells)]) for at in range(lo, hi, tile)]
+        bound = a["bound"].to_numpy(zero_copy_only=False).astype(np.float64)
+        for i in range(0, len(x), tile):
+            look = allowed(x[i : i + tile], a["cell"].to_numpy()[i : i + tile], bound[i : i + tile])
+            for cell, lo, hi in blocks:
+                rows = i + np.flatnonzero(look[:, cell])
+                if not len(rows):
+                    continue
+                d = squared(x[rows], y[lo:hi])
+                mine = np.flatnonzero((own[rows] >= lo) & (own[rows] < hi))
+                d[mine, own[rows][mine] - lo] = np.inf
+                best = d.argmin(1)
+                exact = np.sqrt(((x[rows] - y[lo + best]) ** 2).sum(1))
+                least[rows] = np.minimum(least[rows], np.where(np.isinf(d[np.arange(len(d)), best]), np.inf, exact))
+                compared[rows] += hi - lo
+        return pa.table({"role": a["role"], "id": a["id"], "d": pa.array(least), "compared": pa.array(compared)})
+
+    at = ("region", "p", "q")
+    found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(run, "role string, id string, d double, compared long")
     return found.groupBy("role", "id").agg(F.min("d").alias("d"), F.sum("compared").alias("compared"))
 
 
@@ -195,8 +236,9 @@ def nearest_reference(rows: DataFrame, tile: int = TILE, pivots: int = PIVOTS) -
 
     A few reference rows, the first by hash, are pivots of a bounded number; each row belongs to the cell of its
     nearest pivot. Its own cell gives an upper bound; of the others, only those are visited that the triangle inequality
-    lets hold a nearer row: where the distance to the pivot less the cell's radius is below the bound. Cells of any size
-    are compared in tiles. ``compared`` counts the distances taken.
+    lets hold a nearer row: where the distance to the pivot less the cell's radius is below the bound. A row is sent once
+    to each of ``REGIONS`` runs of cells that holds one to visit, so at most to so many places. Cells of any size are
+    compared in blocks. ``compared`` counts the distances taken.
     """
     first = rows.where(F.col("role") == ROLES[0]).orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").toArrow()
     if not len(first):
@@ -210,26 +252,38 @@ def nearest_reference(rows: DataFrame, tile: int = TILE, pivots: int = PIVOTS) -
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell])], [*batch.schema.names, "cell", "r"])
 
     placed = cut(rows.mapInArrow(assigned, "role string, id string, v array<double>, cell int, r double"), "nearest-cells")
-    members = placed.where(F.col("role") == ROLES[0]).select("cell", "id", "v", "r")
-    radius = np.full(len(centres), -np.inf)
-    for row in members.groupBy("cell").agg(F.max("r").alias("r")).collect():
-        radius[row.cell] = row.r
-    near = cut(_compare(placed.select("cell", "role", "id", "v"), members.drop("r"), tile), "nearest-own")
+    members = placed.where(F.col("role") == ROLES[0])
+    radius, held = np.full(len(centres), -np.inf), np.zeros(len(centres), dtype=np.int64)
+    for row in members.groupBy("cell").agg(F.max("r").alias("r"), F.count("*").alias("n")).collect():
+        radius[row.cell], held[row.cell] = row.r, row.n
+    here = F.col("cell").alias("region")
+    at_home = lambda x, cell, bound: cell[:, None] == np.arange(len(centres))[None, :]
+    near = cut(_compare(placed.select(here, "role", "id", "v", "cell", F.lit(None).cast("double").alias("bound")), members.select(here, "cell", "id", "v"), tile, at_home), "nearest-own")
+    region = (np.cumsum(held) - held) * REGIONS // max(1, int(held.sum()))
+
+    def visited(x: np.ndarray, cell: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        may = (np.sqrt(squared(x, centres)) - radius[None, :]) * (1 - 1e-9) - 1e-9 < np.where(np.isnan(bound), np.inf, bound)[:, None]
+        may &= ~np.isneginf(radius)[None, :]
+        may[np.arange(len(x)), cell] = False
+        return may
 
     def visits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            d = np.sqrt(squared(_matrix(table, "v"), centres)) if batch.num_rows else np.zeros((0, len(centres)))
-            bound = np.array([np.inf if x is None else x for x in table["bound"].to_pylist()])
-            may = (d - radius[None, :]) * (1 - 1e-9) - 1e-9 < bound[:, None]
-            may &= ~np.isneginf(radius)[None, :]
-            may[np.arange(len(d)), table["cell"].to_numpy()] = False
-            row, cell = np.nonzero(may)
-            take = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), take.column(0), take.column(1), take.column(2)], ["cell", "role", "id", "v"])
+            # a slice at a time, for each row leaves up to REGIONS times
+            for start in range(0, batch.num_rows, 512):
+                some = batch.slice(start, 512)
+                may = visited(_matrix(pa.Table.from_batches([some]), "v"), some.column(3).to_numpy(), some.column(4).to_numpy(zero_copy_only=False).astype(np.float64))
+                into = np.zeros((len(may), REGIONS), dtype=bool)
+                for c in range(len(centres)):
+                    into[:, region[c]] |= may[:, c]
+                row, to = np.nonzero(into)
+                take = some.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), *take.columns], ["region", "role", "id", "v", "cell", "bound"])
 
     bounded = placed.join(near.select("role", "id", F.col("d").alias("bound")), ["role", "id"], "left").select("role", "id", "v", "cell", "bound")
-    further = _compare(cut(bounded.mapInArrow(visits, "cell int, role string, id string, v array<double>"), "nearest-visits"), members.drop("r"), tile)
+    sent = cut(bounded.mapInArrow(visits, "region int, role string, id string, v array<double>, cell int, bound double"), "nearest-visits")
+    regions = F.element_at(F.array(*map(F.lit, region.tolist())), F.col("cell") + 1).cast("int")
+    further = _compare(sent, members.select(regions.alias("region"), "cell", "id", "v"), tile, visited)
     least = near.union(further).groupBy("role", "id").agg(F.min("d").alias("d"), F.sum("compared").alias("compared"))
     return least.withColumn("d", F.when(F.col("d") < float("inf"), F.col("d")))
 

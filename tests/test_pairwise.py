@@ -119,3 +119,20 @@ def test_vector_digests(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [2.0, 1.0]), (4, None)], "id long, v array<double>")
     d = {r.id: r.d for r in df.select("id", vectors.vector_digest(F.col("v")).alias("d")).collect()}
     assert d[1] == d[2] != d[3] and d[4] is None
+
+
+def test_rows_are_sent_to_a_bounded_number_of_places(spark, monkeypatch):
+    """Blocks smaller than groups: the same sums and neighbours, and replicas that don't grow with the rows."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(600, 3))
+    plain = pairwise._plain(windows(spark, x[:400], x[400:]), "id", "v")
+    shapes = pairwise.tiles(plain, lambda d, a, b: __import__("pyarrow").table({"k": ["all"], "n": [int((d == d).sum())]}), "k string, n long", tile=10, by="k").collect()
+    assert len(shapes) == pairwise.GROUPS * (pairwise.GROUPS + 1) // 2 and sum(r.n for r in shapes) == 600 * 599 // 2
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+    assert pairwise.median_distance(plain, tile=10) == pytest.approx(np.median(d[np.triu_indices(600, 1)]))
+    np.fill_diagonal(d, np.inf)
+    want = np.sqrt(d[:, :400].min(1))
+    for part in (1 << 16, 30):
+        monkeypatch.setattr(pairwise, "PART", part)
+        got = sorted(r.d for r in pairwise.nearest_reference(plain, tile=16, pivots=20).collect())
+        assert got == pytest.approx(sorted(want))
