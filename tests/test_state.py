@@ -1,6 +1,7 @@
 """State and sinks: acceptance with bounded state, exactly-once drains, racing writers, windows with rejects."""
 
 import hashlib
+import json
 import random
 import struct
 import threading
@@ -84,6 +85,73 @@ def test_retention_forgets_in_order_of_time():
     assert len(memory.nonces) == len(memory.order) == 1
 
 
+class Stored(dict):
+    """A map, value or timer state that counts the messages it would take."""
+
+    calls = 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return Stored()
+
+    def getValue(self, key):
+        self.calls += 1
+        return dict.get(self, key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        self.pop(key, None)
+
+    def get(self):
+        return dict.get(self, "value")
+
+    def update(self, value):
+        self["value"] = value
+
+
+def test_stream_asks_its_state_for_pages_not_for_values():
+    state, processor = Stored(), acceptance.Acceptance(None)
+    processor.init(state)
+    rng, sent, got = random.Random(3), [], {}
+    for batch in range(4):
+        rows = [(60_000_000 * i, i, 5_000_000, rng.random() > 0.1, i, f"n{rng.randrange(i + 5)}", f"h{rng.randrange(i + 500)}") for i in range(batch * 300, batch * 300 + 300)]
+        sent += rows
+        before = state.calls
+        got |= {r.receipt_id: (r.status, r.reasons) for r in processor.handleInputRows(("k",), iter(("k", *r) for r in rows), None)}
+        # a call for each value that is asked for, and one for each that is accepted, would be four a receipt
+        assert state.calls - before < (150 if batch else 40), (batch, state.calls - before)
+    at = lambda us: datetime(2024, 1, 1) + timedelta(microseconds=us)
+    want = replayed([("k", i, digest, nonce, sequence, at(now - age), at(now), valid) for now, i, age, valid, sequence, nonce, digest in sent], None)
+    assert got == want and len(set(want.values())) > 3
+
+
+def test_pages_hold_what_a_dictionary_holds():
+    state, known, rng = Stored(), {}, random.Random(5)
+    pages, values = 1, 0
+    for batch in range(60):
+        memory = acceptance._Pages(state, pages, values)
+        for _ in range(rng.choice([1, 3, 200])):
+            value = rng.choice([acceptance._named("n", None), f"n{rng.randrange(3000)}", f"h\ud800{rng.randrange(3000)}"])
+            assert memory.get(value) == known.get(value)
+            memory.put(value, batch)
+            known[value] = batch
+        memory.fit()
+        memory.write()
+        if batch % 20 == 19:
+            earliest = memory.forget(lambda at: at < batch - 1)
+            known = {v: at for v, at in known.items() if at >= batch - 1}
+            assert earliest == min(known.values())
+        pages, values = memory.pages, memory.values
+        assert values == len(known) and len(state) <= pages <= max(1, 4 * values / acceptance.PAGE)
+        assert {v: at for (text,) in state.values() for v, at in json.loads(text).items()} == known
+
+
 # ---------------------------------------------------------------- outbox
 
 INTENT = "chain string, event_key string, event_type string, asset_type string, asset_id string, payload_json string, payload_hash string, created_at long, ts timestamp"
