@@ -8,11 +8,39 @@ from pyspark.sql import functions as F
 from proofline.functions.columns import finite
 
 
+#: Rows of one task, and the shares into which the rows of one id are dealt before they are counted.
+ROWS, SHARES = 500_000, 16
+
+
+def _counted(given: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """(id, given, used): how often each id occurs in either table, null being an id like any other.
+
+    The tasks grow in number with the rows, so what one holds stays level. An id of any frequency is dealt to
+    ``SHARES`` tasks by the rest of its row first, and their counts are added.
+    """
+    share = lambda df: F.pmod(F.xxhash64(*df.columns), F.lit(SHARES)).alias("share")
+    rows = given.select("id", F.lit(1).alias("given"), F.lit(0).alias("used"), share(given))
+    if used is not None:
+        rows = rows.union(used.select("ref", F.lit(0), F.lit(1), share(used)))
+    n = given.count() + (used.count() if used is not None else 0)
+    total = [F.sum(c).alias(c) for c in ("given", "used")]
+    if n <= 8 * ROWS:
+        return rows.groupBy("id").agg(*total)
+    tasks = max(n // ROWS + 1, int(given.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, "id", "share").groupBy("id", "share").agg(*total).repartition(tasks, "id").groupBy("id").agg(*total)
+
+
 def reference_violations(images: DataFrame, categories: DataFrame, annotations: DataFrame) -> DataFrame:
     """Duplicate ids by section, and annotations whose image or category does not exist: (violation, subject, n)."""
-    twice = [df.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit(f"DUPLICATE_{name}_ID").alias("violation"), F.col("id").cast("string").alias("subject"), "n") for name, df in (("IMAGE", images), ("CATEGORY", categories), ("ANNOTATION", annotations))]
-    orphan = lambda column, to, name: annotations.join(to.select(F.col("id").alias(column)).distinct(), column, "left_anti").groupBy(column).agg(F.count("*").alias("n")).select(F.lit(f"ORPHAN_{name}").alias("violation"), F.col(column).cast("string").alias("subject"), "n")
-    return twice[0].union(twice[1]).union(twice[2]).union(orphan("image_id", images, "IMAGE")).union(orphan("category_id", categories, "CATEGORY"))
+    found = []
+    for name, given, used in (("IMAGE", images, "image_id"), ("CATEGORY", categories, "category_id"), ("ANNOTATION", annotations, None)):
+        counts = _counted(given, annotations.select(F.col(used).alias("ref"), "id") if used else None)
+        twice = F.when(F.col("given") > 1, F.struct(F.lit(f"DUPLICATE_{name}_ID").alias("violation"), F.col("given").alias("n")))
+        # a reference that is null names nothing, whatever ids there are
+        orphan = F.when((F.col("used") > 0) & ((F.col("given") == 0) | F.col("id").isNull()), F.struct(F.lit(f"ORPHAN_{name}").alias("violation"), F.col("used").alias("n")))
+        rows = counts.select(F.col("id").cast("string").alias("subject"), F.explode(F.array_compact(F.array(twice, orphan))).alias("v"))
+        found.append(rows.select("v.violation", "subject", "v.n"))
+    return found[0].union(found[1]).union(found[2])
 
 
 def box_violations(annotations: DataFrame, images: DataFrame) -> DataFrame:

@@ -454,3 +454,27 @@ def test_choices_of_blocks_are_one_literal(spark):
     assert all(p.count("named_struct") == 0 and p.count("struct(mask") == 0 for p in plans)
     classes = detect.near_classes(df, "k", "s")
     assert "BroadcastHashJoin" not in classes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_references_are_counted_by_more_tasks_where_rows_are_more(spark, monkeypatch):
+    from collections import Counter
+
+    from proofline.operators import annotations
+
+    images = [(i,) for i in range(40)] + [(3,), (None,), (None,)]
+    categories = [(i,) for i in range(5)] + [(2,)]
+    notes = [(i % 390, None if i % 50 == 9 else i % 47, 1 if i % 2 else i % 7) for i in range(400)]  # one category is very frequent
+    frames = (spark.createDataFrame(images, "id long"), spark.createDataFrame(categories, "id long"), spark.createDataFrame(notes, "id long, image_id long, category_id long"))
+    want = set()
+    for name, ids, refs in (("IMAGE", images, [n[1] for n in notes]), ("CATEGORY", categories, [n[2] for n in notes]), ("ANNOTATION", notes, [])):
+        text = lambda x: None if x is None else str(x)
+        want |= {(f"DUPLICATE_{name}_ID", text(i), n) for i, n in Counter(r[0] for r in ids).items() if n > 1}
+        want |= {(f"ORPHAN_{name}", text(i), n) for i, n in Counter(refs).items() if i is None or i not in {r[0] for r in ids}}
+    few = annotations.reference_violations(*frames)
+    assert {(r.violation, r.subject, r.n) for r in few.collect()} == want and few.count() == len(want)
+    monkeypatch.setattr(annotations, "ROWS", 5)
+    many = annotations.reference_violations(*frames)
+    assert {(r.violation, r.subject, r.n) for r in many.collect()} == want and many.count() == len(want)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    # 443, 406 and 400 rows, five to a task; no other exchange puts all of them into the session's partitions
+    assert all(f", {n // 5 + 1}), REPARTITION_BY_NUM" in plan for n in (443, 406, 400)) and "ENSURE_REQUIREMENTS" not in plan
