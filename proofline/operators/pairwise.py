@@ -1,10 +1,13 @@
 """Metrics over all pairs of two windows of vectors, in tiles: kernel two-sample statistics and nearest neighbours.
 
-Rows (``role``: REFERENCE or CURRENT, an id, a vector) are dealt into groups by a hash of their id: ``GROUPS`` at most,
+Rows (``role``: REFERENCE or CURRENT, an id, a vector) are dealt into groups by a hash: ``GROUPS`` at most,
 until one would hold more than ``PART`` rows. So a row is sent to as many places as there are groups, whatever the number
-of rows. A tile is a pair of groups, and one task multiplies one tile at a time in NumPy, in blocks of ``TILE`` rows by
-``TILE``, so a task holds two groups and one block however large the windows are; what leaves a tile is a sum, a histogram
+of rows. A tile is a pair of groups, and one task multiplies one tile at a time in NumPy, in blocks of ``BLOCK`` rows by
+``BLOCK``, so a task holds two groups and one block however large the windows are; what leaves a tile is a sum, a histogram
 or a minimum for each row. All pairs are work with the square of the rows by definition; nothing else grows so.
+
+Where distances are only compared with bounds (the median's search, nearest rows), a block is multiplied in single
+precision first. A bound on its error tells which pairs it decides; the others are taken again in double precision.
 """
 
 from __future__ import annotations
@@ -21,8 +24,12 @@ from proofline.operators.quantiles import with_quantiles
 from proofline.operators.relational import running_sum
 from proofline.session import cut
 
-#: Rows of a block, slots of a histogram of distances, and values that are put in order after it.
+#: Rows of a tile before there are several groups, slots of a histogram of distances, and values that are put in order after it.
 TILE, SLOTS, ORDERED = 2048, 1 << 16, 1 << 20
+#: Rows of a block, which a processor's cache holds, and the share of its pairs that are taken again one by one at most.
+BLOCK, AGAIN = 512, 1 / 16
+#: Rows that each row meets to the left and right in the sample that brackets the median, and deviations that this reaches.
+MET, REACH = 32, 4
 #: Groups that rows are dealt into, and the most rows of one, which goes first.
 GROUPS, PART = 16, 1 << 16
 #: Reference rows that stand for cells of the nearest-neighbour search, and regions of cells that rows are sent to.
@@ -54,23 +61,31 @@ def _summed(tables: list[pa.Table], by: str | None) -> pa.Table:
     return pa.table({c: found[c if c == by else f"{c}_sum"] for c in whole.column_names})
 
 
+def _grouped(rows: DataFrame, groups: int, by: tuple[str, ...], run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``run`` on every pair of groups of ``rows``, once; both sides are the same table where a group meets itself."""
+    dealt = rows.withColumn("_g", F.pmod(F.xxhash64(*by), F.lit(groups)).cast("int"))
+    # a partition holds few tiles, so that small ones aren't put together and the last task doesn't hold many
+    deal = lambda side: side.repartition(groups * (groups + 1), "a", "b").groupBy("a", "b")
+    one = dealt.select(F.col("_g").alias("a"), F.explode(F.sequence("_g", F.lit(groups - 1))).alias("b"), *rows.columns)
+    two = dealt.where("_g > 0").select(F.explode(F.sequence(F.lit(0), F.col("_g") - 1)).alias("a"), F.col("_g").alias("b"), *rows.columns)
+    return deal(one).cogroup(deal(two)).applyInArrow(lambda key, left, right: run(left, left if key[0].as_py() == key[1].as_py() else right), schema)
+
+
+def _groups(n: int, tile: int) -> int:
+    return max(1, min(math.ceil(n / tile), GROUPS), math.ceil(n / PART))
+
+
 def tiles(rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str, tile: int = TILE, by: str | None = None) -> DataFrame:
     """``work`` (squared distances, roles of both sides as 0 and 1) on every block of at most ``tile`` rows by ``tile``.
 
     A pair of different rows is in one block, once; distances of a row to itself and the mirrored half of a block of rows
     with themselves are NaN. With ``by``, what the blocks of a tile give is summed by that column before it leaves.
     """
-    n = rows.count()
-    groups = max(1, min(math.ceil(n / tile), GROUPS), math.ceil(n / PART))
-    dealt = rows.withColumn("_g", F.pmod(F.xxhash64("role", "id"), F.lit(groups)).cast("int"))
-    one = dealt.withColumn("b", F.explode(F.sequence("_g", F.lit(groups - 1)))).select(F.col("_g").alias("a"), "b", "role", "id", "v")
-    two = dealt.withColumn("a", F.explode(F.sequence(F.lit(0), "_g"))).select("a", F.col("_g").alias("b"), F.col("role").alias("role2"), F.col("id").alias("id2"), F.col("v").alias("v2"))
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        left, right = left.sort_by([("role", "ascending"), ("id", "ascending")]), right.sort_by([("role2", "ascending"), ("id2", "ascending")])
-        x, y = _matrix(left, "v"), _matrix(right, "v2")
-        a, b = (np.array([r == ROLES[1] for r in side.to_pylist()], dtype=np.int64) for side in (left["role"], right["role2"]))
-        same = key[0].as_py() == key[1].as_py()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        same = left is right
+        x, y = _matrix(left, "v"), _matrix(right, "v")
+        a, b = (np.array([r == ROLES[1] for r in side["role"].to_pylist()], dtype=np.int64) for side in (left, right))
         found = [work(np.zeros((0, 0)), a[:0], b[:0])]
         for i in range(0, len(x), tile):
             for j in range(i if same else 0, len(y), tile):
@@ -82,7 +97,128 @@ def tiles(rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray],
                     found = [_summed(found, by)]
         return _summed(found, by)
 
-    return one.groupBy("a", "b").cogroup(two.groupBy("a", "b")).applyInArrow(run, schema)
+    return _grouped(rows.select("role", "id", "v"), _groups(rows.count(), tile), ("role", "id"), run, schema)
+
+
+def distinct(rows: DataFrame) -> DataFrame:
+    """(v, r, c): the different vectors, and how many rows of each role have them. Pairs of copies need no distance."""
+    return cut(rows.where("v IS NOT NULL").groupBy("v").agg(*(F.count_if(F.col("role") == role).alias(n) for role, n in zip(ROLES, "rc"))), "distinct")
+
+
+class _Frame:
+    """A centre and a scale that bring rows near 0 and to lengths of at most 1; any will do, good ones make blocks decide more."""
+
+    def __init__(self, centre: np.ndarray, most: float):
+        self.centre = centre
+        self.scale = 1 / (math.sqrt(most) + float(np.sqrt((centre * centre).sum())) or 1.0)
+
+    def of(self, v: np.ndarray) -> np.ndarray:
+        return (v - self.centre) * self.scale if len(v) else np.zeros((0, len(self.centre)))
+
+
+def _frame(vectors: DataFrame) -> _Frame | None:
+    """The frame of some vectors (a column ``v``): the medians of a few, and the largest length; None without a vector of finite length."""
+    length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    finite = vectors.where(length < float("inf"))
+    most = finite.agg(F.max(length)).first()[0]
+    if most is None:
+        return None
+    some = _matrix(finite.select("v").limit(1000).toArrow(), "v")
+    return _Frame(np.median(some, axis=0), most)
+
+
+class _Side:
+    """Rows of one side of a tile, framed, and beside them what makes a product of both sides their squared distances."""
+
+    def __init__(self, v: np.ndarray, frame: _Frame):
+        self.v, z = v, frame.of(v)
+        with np.errstate(all="ignore"):
+            self.square = (z * z).sum(1)
+            self.z, self.length = z, np.sqrt(self.square)
+
+    def left(self, factor: float = 1.0) -> np.ndarray:
+        return np.column_stack([self.z * -2.0, self.square, np.ones(len(self.z))]) * factor
+
+    def right(self) -> np.ndarray:
+        return np.column_stack([self.z, np.ones(len(self.z)), self.square])
+
+
+def _single(side: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(side, dtype=np.float32)
+
+
+def _error(dims: int, x: np.ndarray, y: np.ndarray) -> float:
+    """What a squared distance by products in single precision may be off, for rows of these lengths.
+
+    A product of k numbers is off by at most about k units of rounding of the sum of their amounts, which is at most the
+    square of both lengths together; 2 units come from storing the numbers. The small terms are for the frame and underflow.
+    """
+    far = float(x.max(initial=0.0, where=np.isfinite(x)) + y.max(initial=0.0, where=np.isfinite(y)))
+    return (dims + 14) * 2.0**-24 * far * far + 1e-14 * far + 1e-30
+
+
+def _apart(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared distances of pairs of rows, one by one; a pair has the same wherever it stands. Memory is used over and over."""
+    found, step = np.empty(len(p)), min(len(p), 512)
+    a, b = np.empty((step, x.shape[1])), np.empty((step, x.shape[1]))
+    for i in range(0, len(p), 512):
+        n = min(512, len(p) - i)
+        np.take(x, p[i : i + n], axis=0, out=a[:n], mode="clip")
+        np.take(y, q[i : i + n], axis=0, out=b[:n], mode="clip")
+        np.subtract(a[:n], b[:n], out=a[:n])
+        np.einsum("ij,ij->i", a[:n], a[:n], out=found[i : i + n])
+    return found
+
+
+def _places(mask: np.ndarray) -> np.ndarray:
+    """Where a flat mask with few true values is true; eight values are looked at in one."""
+    if len(mask) % 8:
+        return np.flatnonzero(mask)
+    some = np.flatnonzero(mask.view(np.uint64))
+    p, q = np.nonzero(mask.reshape(-1, 8)[some])
+    return some[p] * 8 + q
+
+
+def _between(x: _Side, y: _Side, frame: _Frame, low: float, high: float, block: int) -> Iterator[tuple[np.ndarray, slice, slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each block: a mask of the pairs that are surely below ``low``, the block's rows of both sides, and rows and squared
+    distances of the pairs that may lie from ``low`` to ``high``. Pairs without a distance (NaN) are in neither.
+
+    Pairs that single precision leaves open are taken one by one where they are few, else by a product in double precision.
+    """
+    same, area = x is y, frame.scale * frame.scale
+    one, two = _single(x.left()), _single(y.right())
+    room = np.empty(block * block, dtype=np.float32), np.empty(block * block, dtype=bool), np.empty(block * block, dtype=bool)
+    for i in range(0, len(one), block):
+        for j in range(i if same else 0, len(two), block):
+            a, b = slice(i, min(i + block, len(one))), slice(j, min(j + block, len(two)))
+            shape = a.stop - i, b.stop - j
+            d, sure, maybe = (r[: shape[0] * shape[1]].reshape(shape) for r in room)
+            np.dot(one[a], two[b].T, out=d)
+            if same and i == j:
+                d[np.tril_indices(len(d))] = np.inf
+            error = _error(x.z.shape[1], x.length[a], y.length[b])
+            np.less(d, np.float32(low * area - error), out=sure)
+            np.less_equal(d, np.float32(high * area + error), out=maybe)
+            maybe ^= sure
+            if np.count_nonzero(maybe) <= AGAIN * maybe.size:
+                p, q = np.divmod(_places(maybe.reshape(-1)), shape[1])
+                found = _apart(x.v, i + p, y.v, j + q)
+            else:
+                p, q = np.nonzero(maybe)
+                found = squared(x.z[a], y.z[b])[p, q] / area
+            yield sure, a, b, i + p, j + q, found
+
+
+def _ordered(side: pa.Table, frame: _Frame) -> tuple[_Side, np.ndarray]:
+    """Different vectors by length, so that those of a block are alike in it, and how many rows of each role have them."""
+    v = _matrix(side, "v")
+    order = np.argsort(_Side(v, frame).length, kind="stable")
+    return _Side(v[order], frame), np.column_stack([side[n].to_numpy() for n in "rc"]).astype(np.float64)[order]
+
+
+def _both(left: pa.Table, right: pa.Table, frame: _Frame) -> tuple[tuple[_Side, np.ndarray], tuple[_Side, np.ndarray]]:
+    x = _ordered(left, frame)
+    return x, (x if left is right else _ordered(right, frame))
 
 
 # ---------------------------------------------------------------- median of all distances
@@ -92,7 +228,7 @@ class _Level:
     """A range of distances in slots, of which some are still open."""
 
     def __init__(self, low: float, high: float):
-        self.low, self.scale = low, SLOTS / (high - low)
+        self.low, self.high, self.scale = low, high, SLOTS / (high - low)
         self.first, self.last = 0, SLOTS - 1
 
     def slots(self, d: np.ndarray) -> np.ndarray:
@@ -103,44 +239,119 @@ class _Level:
 
 
 def _open(d: np.ndarray, levels: list[_Level]) -> np.ndarray:
-    """The distances inside the open slots of all levels."""
-    d = d[~np.isnan(d)]
+    """Which of the distances are inside the open slots of all levels."""
+    inside = np.ones(len(d), dtype=bool)
     for level in levels:
         s = level.slots(d)
-        d = d[(s >= level.first) & (s <= level.last)]
-    return d
+        inside &= (d >= level.low) & (d < level.high) & (s >= level.first) & (s <= level.last)
+    return inside
+
+
+def _sampled(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Distances, rounded down to 14 bits and in order, their weights, and how many pairs of weight 1 they are worth.
+
+    A row meets ``MET`` others of its batch to either side. As all rows meet equally many, the share of pairs below a
+    distance deviates little, whatever the rows are.
+    """
+
+    def met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, w = _matrix(pa.Table.from_batches([batch]), "v"), batch["w"].to_numpy().astype(np.float64)
+            order = np.random.default_rng(len(v)).permutation(len(v))
+            v, w = v[order], w[order]
+            slots, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for s in range(1, min(MET, (len(v) - 1) // 2 or len(v) - 1) + 1):
+                other = np.roll(np.arange(len(v)), s)
+                d, pair = _apart(v, np.arange(len(v)), v, other), w * w[other]
+                slots.append(d.view(np.int64)[d < np.inf] >> 38)
+                weights.append(pair[d < np.inf])
+            found, at = np.unique(np.concatenate(slots), return_inverse=True)
+            every = np.concatenate(weights)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.bincount(at, every, len(found)), pa.float64()), pa.array(np.bincount(at, every * every, len(found)), pa.float64())], ["slot", "n", "n2"])
+
+    slots = vectors.select("v", (F.col("r") + F.col("c")).alias("w")).mapInArrow(met, "slot long, n double, n2 double").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("n2").alias("n2")).orderBy("slot").toArrow()
+    n = slots["n"].to_numpy()
+    return (slots["slot"].to_numpy().astype(np.int64) << 38).view(np.float64), n, float(n.sum() ** 2 / max(slots["n2"].to_numpy().sum(), 1e-300))
 
 
 def median_distance(rows: DataFrame, tile: int = TILE, ordered: int = ORDERED) -> float | None:
-    """The exact median of the squared distances of all pairs; None without a pair.
+    """The exact median of the squared distances of all pairs; None without a pair."""
+    return median_of_distinct(distinct(rows), tile, ordered)
+
 
-    A pass counts distances by slot, at most ``SLOTS`` counts come to the driver, and the slots that hold the middle
-    stay open for the next pass, until few enough distances are in them to be put in order by value.
+def median_of_distinct(vectors: DataFrame, tile: int = TILE, ordered: int = ORDERED) -> float | None:
+    """The exact median of the squared distances of all pairs of rows that ``distinct`` has put together.
+
+    A sample brackets it. A pass counts the pairs below the bracket and those inside by slot, at most ``SLOTS`` counts
+    come to the driver, and the slots that hold the middle stay open for the next pass, until few enough distances are in
+    them to be put in order by value. Where the counts show that the middle lies outside of the bracket, the pass is
+    repeated with the range on that side.
     """
-    most = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
-    if most is None:
+    n, total, copies = vectors.agg(F.count("*"), F.sum(F.expr("r + c")), F.sum(F.expr("(r + c) * (r + c - 1) div 2"))).first()
+    if not total or total < 2:
         return None
-    below, total, levels = 0, None, []
-    low, high = 0.0, 4.000001 * most + 1e-300
-    for _ in range(6):
+    pairs = total * (total - 1) // 2
+    ranks = (pairs - 1) // 2, pairs // 2
+    if ranks[1] < copies:
+        return 0.0
+    frame = _frame(vectors)
+    if frame is None:
+        return float("nan")
+    groups, block = _groups(n, tile), min(tile, BLOCK)
+    # lengths in the frame are at most 1
+    end = 4.000001 / frame.scale**2
+    low, high = 0.0, end
+    values, weights, worth = _sampled(vectors)
+    if len(values):
+        share = np.cumsum(weights) / weights.sum()
+        slack = REACH / 2 / math.sqrt(worth)
+        at = [int(np.searchsorted(share, (r - copies) / max(pairs - copies, 1) + side)) for r, side in zip(ranks, (-slack, slack))]
+        # a step further and not evenly, so that a value many pairs share is at no edge
+        low = values[at[0]] * (1 - 1.1e-6) if at[0] > 0 else 0.0
+        high = min(end, values[at[1] + 1] * (1 + 1.7e-6)) if at[1] + 1 < len(values) else end
+        low, high = (low, high) if low < high else (0.0, end)
+    below, levels = 0, []
+    for _ in range(12):
         level = _Level(low, high)
 
-        def counted(d: np.ndarray, a: np.ndarray, b: np.ndarray, done=tuple(levels), level=level) -> pa.Table:
-            n = np.bincount(level.slots(_open(d, done)), minlength=SLOTS)
-            found = np.flatnonzero(n)
-            return pa.table({"slot": pa.array(found, pa.int32()), "n": pa.array(n[found], pa.int64())})
-
-        counts = {r.slot: r.n for r in tiles(rows, counted, "slot int, n long", tile, "slot").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
-        total = sum(counts.values()) if total is None else total
-        if not total:
-            return None
-        ranks = (total - 1) // 2, total // 2
+        def counted(left: pa.Table, right: pa.Table, done=tuple(levels), level=level) -> pa.Table:
+            (x, w), (y, u) = _both(left, right, frame)
+            w, u = w.sum(1), u.sum(1)
+            plain = bool((w == 1).all() and (u == 1).all())
+            counts, many, under = np.zeros(SLOTS), np.zeros(SLOTS, dtype=np.int64), 0.0
+            for sure, a, b, p, q, d in _between(x, y, frame, level.low, level.high, block):
+                pair = w[p] * u[q]
+                if not done:
+                    under += np.count_nonzero(sure) if plain else float(w[a] @ (sure @ u[b]))
+                    under += float(pair[d < level.low].sum())
+                keep = _open(d, [*done, level])
+                slots = level.slots(d[keep])
+                np.add.at(counts, slots, pair[keep])
+                np.add.at(many, slots, 1)
+            slots = np.flatnonzero(many)
+            n, m = np.concatenate([[under], counts[slots]]).round().astype(np.int64), np.concatenate([[0], many[slots]])
+            return pa.table({"slot": pa.array(np.concatenate([[-1], slots]), pa.int32()), "n": pa.array(n, pa.int64()), "m": pa.array(m, pa.int64())})
+
+        found = _grouped(vectors, groups, ("v",), counted, "slot int, n long, m long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()
+        many, counts = {r.slot: r.m for r in found}, {r.slot: r.n for r in found}
+        under = counts.pop(-1, 0)
+        if not levels:
+            below = copies + under
+            beyond = below + sum(counts.values())
+            # copies come before all others, so a rank among them is in any range
+            inner = [r < copies or below <= r < beyond for r in ranks]
+            if ranks[1] >= beyond and high == end:
+                return float("nan")
+            if not all(inner):
+                left, right = copies <= ranks[0] < below or copies <= ranks[1] < below, ranks[1] >= beyond
+                low, high = 0.0 if left else low if any(inner) else high, end if right else high if any(inner) else low
+                continue
         seen, inside, start = below, 0, None
         for slot in sorted(counts):
-            if start is None and seen + counts[slot] > ranks[0]:
+            if start is None and seen + counts[slot] > max(ranks[0], below):
                 start, below = slot, seen
             if start is not None:
-                inside += counts[slot]
+                inside += many[slot]
             seen += counts[slot]
             if start is not None and seen > ranks[1]:
                 level.first, level.last = start, slot
@@ -150,33 +361,58 @@ def median_distance(rows: DataFrame, tile: int = TILE, ordered: int = ORDERED) -
         if inside <= ordered or not high > low * (1 + 1e-12):
             break
 
-    def left(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
-        found, n = np.unique(_open(d, levels), return_counts=True)
-        return pa.table({"d": pa.array(found, pa.float64()), "n": pa.array(n, pa.int64())})
-
-    values = tiles(rows, left, "d double, n long", tile, "d").groupBy("d").agg(F.sum("n").alias("n"))
+    def left(one: pa.Table, two: pa.Table) -> pa.Table:
+        (x, w), (y, u) = _both(one, two, frame)
+        w, u = w.sum(1), u.sum(1)
+        found, held = [pa.table({"d": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})], 0
+        for *_, p, q, d in _between(x, y, frame, low, high, block):
+            keep = _open(d, levels)
+            if keep.any():
+                found.append(pa.table({"d": d[keep], "n": (w[p] * u[q])[keep].astype(np.int64)}))
+                held += len(found[-1])
+            if held > 1 << 20:
+                found, held = [_summed(found, "d")], 0
+        return _summed(found, "d")
+
+    values = _grouped(vectors, groups, ("v",), left, "d double, n long").groupBy("d").agg(F.sum("n").alias("n"))
     placed = running_sum(values, (), ("d",), F.col("n")).withColumn("_end", F.col("running") + below)
-    at = lambda r: F.max(F.when((F.col("_end") - F.col("n") <= r) & (F.col("_end") > r), F.col("d")))
+    at = lambda r: F.lit(0.0) if r < copies else F.coalesce(F.min(F.when(F.col("_end") > r, F.col("d"))), F.max("d"))
     a, b = placed.agg(at(ranks[0]), at(ranks[1])).first()
     return (a + b) / 2
 
 
 def kernel_sums(rows: DataFrame, bandwidth: float, tile: int = TILE) -> DataFrame:
     """(pair: RR, CC or CR; k, n): sums of an RBF kernel over ordered pairs of rows, each with itself among them."""
-
-    def sums(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
-        k = np.exp(-d / (2 * bandwidth))
-        out = []
-        for x in (0, 1):
-            for y in (0, 1):
-                part = k[np.ix_(a == x, b == y)]
-                # within a role both orders count
-                weight = 2 if x == y else 1
-                out.append(("RR" if x == y == 0 else "CC" if x == y else "CR", float(np.nansum(part)) * weight, int((~np.isnan(part)).sum()) * weight))
-        return pa.table({"pair": [p for p, _, _ in out], "k": [k for _, k, _ in out], "n": pa.array([n for _, _, n in out], pa.int64())})
-
-    own = rows.groupBy("role").agg(F.count("*").alias("n")).select(F.when(F.col("role") == ROLES[0], "RR").otherwise("CC").alias("pair"), F.col("n").cast("double").alias("k"), "n")
-    return tiles(rows, sums, "pair string, k double, n long", tile, "pair").union(own).groupBy("pair").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+    return kernel_of_distinct(distinct(rows), bandwidth, tile)
+
+
+def kernel_of_distinct(vectors: DataFrame, bandwidth: float, tile: int = TILE) -> DataFrame:
+    """``kernel_sums`` of rows that ``distinct`` has put together."""
+    n, frame, block = vectors.count(), _frame(vectors), min(tile, BLOCK)
+    frame = frame or _Frame(np.zeros(len((vectors.select("v").first() or [[]])[0])), 1.0)
+    factor = -1 / (2 * bandwidth * frame.scale**2)
+
+    def sums(left: pa.Table, right: pa.Table) -> pa.Table:
+        # a column of weights for each role, so that one product sums a block by roles
+        (x, w), (y, u) = _both(left, right, frame)
+        one, two = x.left(factor), y.right()
+        k, n, room = np.zeros((2, 2)), np.zeros((2, 2)), np.empty(block * block)
+        for i in range(0, len(one), block):
+            for j in range(i if x is y else 0, len(two), block):
+                a, b = slice(i, min(i + block, len(one))), slice(j, min(j + block, len(two)))
+                part = room[: (a.stop - i) * (b.stop - j)].reshape(a.stop - i, b.stop - j)
+                np.dot(one[a], two[b].T, out=part)
+                np.exp(part, out=part)
+                once = x is y and i == j
+                if once:
+                    np.fill_diagonal(part, np.where(np.isfinite(x.square[a]), 1.0, np.nan))
+                s, m = w[a].T @ (part @ u[b]), np.outer(w[a].sum(0), u[b].sum(0))
+                # a block beside the diagonal stands for its mirror image, too
+                k, n = k + s if once else k + s + s.T, n + m if once else n + m + m.T
+        at = [(name, c) for name, c in (("RR", (0, 0)), ("CC", (1, 1)), ("CR", (0, 1))) if n[c]]
+        return pa.table({"pair": pa.array([name for name, _ in at], pa.string()), "k": pa.array([k[c] for _, c in at], pa.float64()), "n": pa.array([int(n[c]) for _, c in at], pa.int64())})
+
+    return _grouped(vectors, _groups(n, tile), ("v",), sums, "pair string, k double, n long").groupBy("pair").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
 
 
 # ---------------------------------------------------------------- nearest reference rows

@@ -178,23 +178,22 @@ def moved(profiles: DataFrame, keys: tuple[str, ...], policy: VectorPolicy = POL
 
 
 def _window(df: DataFrame, key: str, vector: str, most: int | None) -> DataFrame:
-    """Rows for pairwise work, written once: all, or ``most`` of each role, evenly spaced, where a policy caps them."""
-    rows = df if most is None else spaced(df, ("role",), key, most)
-    return cut(pairwise._plain(rows, key, vector), "pairwise")
+    """Rows for pairwise work: all, or ``most`` of each role, evenly spaced, where a policy caps them."""
+    return pairwise._plain(df if most is None else spaced(df, ("role",), key, most), key, vector)
 
 
-def _bandwidth(rows: DataFrame, policy: VectorPolicy, fixed: float | None) -> tuple[float, bool]:
+def _bandwidth(distinct: DataFrame, policy: VectorPolicy, fixed: float | None) -> tuple[float, bool]:
     if fixed is not None:
         if not fixed > 0 or fixed == float("inf"):
             raise ValueError("a fixed bandwidth is a positive number")
         return fixed, False
-    middle = pairwise.median_distance(rows)
+    middle = pairwise.median_of_distinct(distinct)
     return (policy.fallback_bandwidth, True) if middle is None or middle <= 1e-12 else (round(middle, 12), False)
 
 
 def bandwidth(df: DataFrame, key: str, vector: str, most: int | None = None, policy: VectorPolicy = POLICY, fixed: float | None = None) -> DataFrame:
     """One row: the median squared distance between different rows of both windows, or the fallback, or a fixed value."""
-    value, fallback = _bandwidth(_window(df, key, vector, most), policy, fixed)
+    value, fallback = _bandwidth(pairwise.distinct(_window(df, key, vector, most)), policy, fixed)
     return df.sparkSession.createDataFrame([(value, fallback)], "bandwidth double, fallback boolean")
 
 
@@ -203,9 +202,9 @@ def mmd(df: DataFrame, key: str, vector: str, most: int | None = None, policy: V
 
     The bandwidth is the median squared distance, or ``fixed``.
     """
-    rows = _window(df, key, vector, most)
-    value, _ = _bandwidth(rows, policy, fixed)
-    means = pairwise.kernel_sums(rows, value).groupBy().pivot("pair", ["RR", "CC", "CR"]).agg(F.sum("k") / F.sum("n"))
+    distinct = pairwise.distinct(_window(df, key, vector, most))
+    value, _ = _bandwidth(distinct, policy, fixed)
+    means = pairwise.kernel_of_distinct(distinct, value).groupBy().pivot("pair", ["RR", "CC", "CR"]).agg(F.sum("k") / F.sum("n"))
     found = public(F.greatest(F.lit(0.0), F.col("RR") + F.col("CC") - 2 * F.col("CR")))
     return means.select(found.alias("mmd")).withColumn("state", F.when(F.col("mmd") >= policy.mmd, "SHIFTED").otherwise("STABLE"))
 
@@ -215,7 +214,7 @@ def nearest_support(df: DataFrame, key: str, vector: str, most: int | None = Non
 
     ``compared`` is the share of all pairs whose distance was taken.
     """
-    one = pairwise.support(_window(df, key, vector, most))
+    one = pairwise.support(cut(_window(df, key, vector, most), "pairwise"))
     ratio = F.when(F.col("base") > 1e-12, public(F.col("observed") / F.col("base"))).when(F.col("observed") <= 1e-12, F.lit(1.0))
     return one.withColumn("ratio", ratio).withColumn("state", F.when(F.col("ratio").isNull() | (F.col("ratio") >= policy.nearest_ratio), "SHIFTED").otherwise("STABLE")).select("ratio", "mean", "q95", "compared", "state")
 

@@ -1,5 +1,7 @@
 """Pairwise metrics over whole windows and quantiles of large keys, against NumPy; work of single tasks is bounded."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +138,42 @@ def test_rows_are_sent_to_a_bounded_number_of_places(spark, monkeypatch):
         monkeypatch.setattr(pairwise, "PART", part)
         got = sorted(r.d for r in pairwise.nearest_reference(plain, tile=16, pivots=20).collect())
         assert got == pytest.approx(sorted(want))
+
+
+def test_copies_cost_no_pairs(spark):
+    """400,000 rows of 60 vectors: pairs of copies are counted, not compared (all pairs took over a quarter of an hour)."""
+    ship(spark)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 4))
+    at = F.array(*(F.array(*map(F.lit, v.tolist())) for v in x))
+    k = F.pmod(F.xxhash64("id"), F.lit(60 * 60))
+    # the lower of two numbers, so that the vectors are not equally frequent
+    df = spark.range(400_000).select("id", F.least((k % 60), F.floor(k / 60)).cast("int").alias("at")).select("id", "at", F.get(at, F.col("at")).alias("v"), F.when((F.col("id") + F.col("at")) % 3 == 0, "REFERENCE").otherwise("CURRENT").alias("role"))
+    w = np.zeros((60, 2))
+    for r in df.groupBy("at", "role").count().collect():
+        w[r["at"], int(r.role == "CURRENT")] = r["count"]
+    d, all_ = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1), w.sum(1)
+    pairs = np.outer(all_, all_)[np.triu_indices(60, 1)]
+    values, n = np.concatenate([[0.0], d[np.triu_indices(60, 1)]]), np.concatenate([[(all_ * (all_ - 1) / 2).sum()], pairs])
+    order = np.argsort(values)
+    total, ends = n.sum(), np.cumsum(n[order])
+    middle = np.mean([values[order][np.searchsorted(ends, r, side="right")] for r in ((total - 1) // 2, total // 2)])
+    a, b = w[:, 0] / w[:, 0].sum(), w[:, 1] / w[:, 1].sum()
+    kernel = np.exp(-d / (2 * middle))
+    start = time.monotonic()
+    assert vectors.bandwidth(df, "id", "v").first().bandwidth == pytest.approx(middle, rel=1e-10)
+    assert vectors.mmd(df, "id", "v").first().mmd == pytest.approx((a - b) @ kernel @ (a - b), abs=1e-11)
+    assert time.monotonic() - start < 240
+
+
+def test_median_is_exact_whatever_the_sample_says(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    far, mixed = rng.normal(size=(700, 5)) + 1e4, rng.normal(size=(700, 5)) * np.where(np.arange(700) % 5 == 0, 1e3, 1e-2)[:, None]
+    # of whole numbers many distances are equal, also the middle ones
+    for x, close in ((far, 1e-9), (mixed, 1e-9), (np.unique(rng.integers(0, 4, (900, 6)).astype(float), axis=0), 1e-12)):
+        plain = pairwise._plain(windows(spark, x[:300], x[300:]), "id", "v")
+        d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)[np.triu_indices(len(x), 1)]
+        assert pairwise.median_distance(plain, tile=300) == pytest.approx(np.median(d), rel=close)
+    for wrong in (np.quantile(d, [0.1, 0.2, 0.3]), np.quantile(d, [0.8, 0.9, 0.95]), np.zeros(3), np.zeros(0)):
+        monkeypatch.setattr(pairwise, "_sampled", lambda vectors, wrong=wrong: (wrong, np.ones(len(wrong)), 1e12))
+        assert pairwise.median_distance(plain, tile=300, ordered=100) == pytest.approx(np.median(d), rel=1e-12)
