@@ -418,11 +418,12 @@ def kernel_of_distinct(vectors: DataFrame, bandwidth: float, tile: int = TILE) -
 # ---------------------------------------------------------------- nearest reference rows
 
 
-def _compare(asked: DataFrame, members: DataFrame, tile: int, allowed: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def _compare(asked: DataFrame, members: DataFrame, frame: _Frame, tile: int, allowed: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(role, id, d, compared): for each asked row of a region the nearest member of the region's cells that are ``allowed``.
 
     ``asked`` is (region, role, id, v, cell, bound), ``members`` (region, cell, id, v); ``allowed`` takes vectors, cells and
     bounds of asked rows and gives, for each row and cell, whether to look there. A reference row leaves itself out.
+    Members of a block whose distance in single precision comes near the least one known are taken again, exactly.
     """
     parts = lambda side: {r["region"]: math.ceil(r["count"] / PART) for r in side.groupBy("region").count().collect()}
     n_asked, n_members = parts(asked), parts(members)  # at most PIVOTS entries each
@@ -437,33 +438,50 @@ def _compare(asked: DataFrame, members: DataFrame, tile: int, allowed: Callable[
     right = right.select("*", every(n_asked).alias("p"))
 
     def run(_, a: pa.Table, b: pa.Table) -> pa.Table:
-        b = b.sort_by("cell2")
-        x, y, cells = _matrix(a, "v"), _matrix(b, "v2"), b["cell2"].to_numpy()
-        if not len(x) or not len(y):
+        if not len(a) or not len(b):
             return pa.table({"role": pa.array([], pa.string()), "id": pa.array([], pa.string()), "d": pa.array([], pa.float64()), "compared": pa.array([], pa.int64())})
+        # rows of a block are alike in length, so that the bound on its error is close
+        a = a.take(np.argsort(_Side(_matrix(a, "v"), frame).length, kind="stable"))
+        b = b.take(np.lexsort((_Side(_matrix(b, "v2"), frame).length, b["cell2"].to_numpy())))
+        x, y, cells, area = _Side(_matrix(a, "v"), frame), _Side(_matrix(b, "v2"), frame), b["cell2"].to_numpy(), frame.scale**2
+        one, two = _single(x.left()), _single(y.right())
         place = {name: k for k, name in enumerate(b["id2"].to_pylist())}
         own = np.array([place.get(name, -1) if role == ROLES[0] else -1 for role, name in zip(a["role"].to_pylist(), a["id"].to_pylist())])
-        least, compared = np.full(len(x), np.inf), np.zeros(len(x), dtype=np.int64)
         starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])).tolist()
-        blocks = [(cells[lo], at, min(at + tile, hi)) for lo, hi in zip(starts, [*starts[1:], len(cells)]) for at in range(lo, hi, tile)]
+        block = min(tile, BLOCK)
+        blocks = [(cells[lo], at, min(at + block, hi)) for lo, hi in zip(starts, [*starts[1:], len(cells)]) for at in range(lo, hi, block)]
         bound = a["bound"].to_numpy(zero_copy_only=False).astype(np.float64)
-        for i in range(0, len(x), tile):
-            look = allowed(x[i : i + tile], a["cell"].to_numpy()[i : i + tile], bound[i : i + tile])
+        found, compared = np.where(np.isfinite(x.length), np.inf, np.nan), np.zeros(len(a), dtype=np.int64)
+        known = np.where(np.isnan(bound), np.inf, bound * bound)
+        for i in range(0, len(a), block):
+            look = allowed(x.v[i : i + block], a["cell"].to_numpy()[i : i + block], bound[i : i + block])
             for cell, lo, hi in blocks:
                 rows = i + np.flatnonzero(look[:, cell])
                 if not len(rows):
                     continue
-                d = squared(x[rows], y[lo:hi])
-                mine = np.flatnonzero((own[rows] >= lo) & (own[rows] < hi))
-                d[mine, own[rows][mine] - lo] = np.inf
-                best = d.argmin(1)
-                exact = np.sqrt(((x[rows] - y[lo + best]) ** 2).sum(1))
-                least[rows] = np.minimum(least[rows], np.where(np.isinf(d[np.arange(len(d)), best]), np.inf, exact))
+                d = one[rows] @ two[lo:hi].T
                 compared[rows] += hi - lo
-        return pa.table({"role": a["role"], "id": a["id"], "d": pa.array(least), "compared": pa.array(compared)})
+                mine = np.flatnonzero((own[rows] >= lo) & (own[rows] < hi))
+                d[mine, own[rows[mine]] - lo] = np.inf
+                error, least = _error(x.z.shape[1], x.length[rows], y.length[lo:hi]), d.min(1).astype(np.float64)
+                near = np.flatnonzero((least <= known[rows] * area + error) & (least < np.inf))
+                if not len(near):
+                    continue
+                p, q = np.nonzero(d[near] <= (np.minimum(known[rows[near]] * area, least[near] + error) + error)[:, None])
+                if len(p) > max(2 * len(near), AGAIN * d.size):
+                    again = squared(x.z[rows[near]], y.z[lo:hi])
+                    again[np.isinf(d[near])] = np.inf
+                    p, q = np.arange(len(near)), again.argmin(1)
+                p = rows[near[p]]
+                exact = _apart(x.v, p, y.v, lo + q)
+                np.minimum.at(found, p, exact)
+                np.minimum.at(known, p, exact)
+        return pa.table({"role": a["role"], "id": a["id"], "d": pa.array(np.sqrt(found)), "compared": pa.array(compared)})
 
     at = ("region", "p", "q")
-    found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(run, "role string, id string, d double, compared long")
+    # a partition holds few parts of regions, so that the last task doesn't hold many
+    deal = lambda side: side.repartition(2 * sum(n_asked[r] * n_members[r] for r in regions), *at).groupBy(*at)
+    found = deal(left).cogroup(deal(right)).applyInArrow(run, "role string, id string, d double, compared long")
     return found.groupBy("role", "id").agg(F.min("d").alias("d"), F.sum("compared").alias("compared"))
 
 
@@ -476,7 +494,9 @@ def nearest_reference(rows: DataFrame, tile: int = TILE, pivots: int = PIVOTS) -
     to each of ``REGIONS`` runs of cells that holds one to visit, so at most to so many places. Cells of any size are
     compared in blocks. ``compared`` counts the distances taken.
     """
-    first = rows.where(F.col("role") == ROLES[0]).orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").toArrow()
+    # vectors without a finite length are nobody's nearest
+    finite = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) < float("inf")
+    first = rows.where((F.col("role") == ROLES[0]) & finite).orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").toArrow()
     if not len(first):
         return rows.select("role", "id", F.lit(None).cast("double").alias("d"), F.lit(0).cast("long").alias("compared"))
     centres = _matrix(first, "v")
@@ -488,14 +508,15 @@ def nearest_reference(rows: DataFrame, tile: int = TILE, pivots: int = PIVOTS) -
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell])], [*batch.schema.names, "cell", "r"])
 
     placed = cut(rows.mapInArrow(assigned, "role string, id string, v array<double>, cell int, r double"), "nearest-cells")
-    members = placed.where(F.col("role") == ROLES[0])
+    members, frame = placed.where((F.col("role") == ROLES[0]) & finite), _frame(placed)
     radius, held = np.full(len(centres), -np.inf), np.zeros(len(centres), dtype=np.int64)
     for row in members.groupBy("cell").agg(F.max("r").alias("r"), F.count("*").alias("n")).collect():
         radius[row.cell], held[row.cell] = row.r, row.n
     here = F.col("cell").alias("region")
     at_home = lambda x, cell, bound: cell[:, None] == np.arange(len(centres))[None, :]
-    near = cut(_compare(placed.select(here, "role", "id", "v", "cell", F.lit(None).cast("double").alias("bound")), members.select(here, "cell", "id", "v"), tile, at_home), "nearest-own")
-    region = (np.cumsum(held) - held) * REGIONS // max(1, int(held.sum()))
+    near = cut(_compare(placed.select(here, "role", "id", "v", "cell", F.lit(None).cast("double").alias("bound")), members.select(here, "cell", "id", "v"), frame, tile, at_home), "nearest-own")
+    # cells behind the last row that is held, pivots that are copies among them, are of the last region
+    region = np.minimum((np.cumsum(held) - held) * REGIONS // max(1, int(held.sum())), REGIONS - 1)
 
     def visited(x: np.ndarray, cell: np.ndarray, bound: np.ndarray) -> np.ndarray:
         may = (np.sqrt(squared(x, centres)) - radius[None, :]) * (1 - 1e-9) - 1e-9 < np.where(np.isnan(bound), np.inf, bound)[:, None]
@@ -519,7 +540,7 @@ def nearest_reference(rows: DataFrame, tile: int = TILE, pivots: int = PIVOTS) -
     bounded = placed.join(near.select("role", "id", F.col("d").alias("bound")), ["role", "id"], "left").select("role", "id", "v", "cell", "bound")
     sent = cut(bounded.mapInArrow(visits, "region int, role string, id string, v array<double>, cell int, bound double"), "nearest-visits")
     regions = F.element_at(F.array(*map(F.lit, region.tolist())), F.col("cell") + 1).cast("int")
-    further = _compare(sent, members.select(regions.alias("region"), "cell", "id", "v"), tile, visited)
+    further = _compare(sent, members.select(regions.alias("region"), "cell", "id", "v"), frame, tile, visited)
     least = near.union(further).groupBy("role", "id").agg(F.min("d").alias("d"), F.sum("compared").alias("compared"))
     return least.withColumn("d", F.when(F.col("d") < float("inf"), F.col("d")))
 

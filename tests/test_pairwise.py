@@ -177,3 +177,14 @@ def test_median_is_exact_whatever_the_sample_says(spark, monkeypatch):
     for wrong in (np.quantile(d, [0.1, 0.2, 0.3]), np.quantile(d, [0.8, 0.9, 0.95]), np.zeros(3), np.zeros(0)):
         monkeypatch.setattr(pairwise, "_sampled", lambda vectors, wrong=wrong: (wrong, np.ones(len(wrong)), 1e12))
         assert pairwise.median_distance(plain, tile=300, ordered=100) == pytest.approx(np.median(d), rel=1e-12)
+
+
+def test_pivots_that_are_copies_and_vectors_without_length(spark):
+    """Cells of pivots that are copies hold no row, also the last; a vector that is no number is nobody's nearest."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(3, 4))
+    reference, current = base[rng.integers(0, 3, 80)], np.vstack([rng.normal(size=(40, 4)), base])
+    want = np.sqrt(((current[:, None, :] - base[None, :, :]) ** 2).sum(-1)).min(1)
+    for odd in (reference, np.vstack([reference, np.full((2, 4), np.nan)])):
+        near = {(r.role, int(r.id)): r.d for r in pairwise.nearest_reference(pairwise._plain(windows(spark, odd, current), "id", "v")).collect()}
+        assert [near["CURRENT", i] for i in range(43)] == pytest.approx(want.tolist()) and all(near["REFERENCE", i] == 0 for i in range(80))
